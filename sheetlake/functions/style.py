@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MM_PER_PT, RasterBudget
@@ -75,54 +75,67 @@ def parse_dashes(raw: Column) -> Column:
     )
 
 
-def linetype_of_dash(dash: Column) -> Column:
-    """Named line type nearest to a dash array in points: name, family, ltscale."""
-    values = F.filter(F.transform(dash, lambda v: F.abs(v)), lambda v: v > 0)
-    scale_mm = F.transform(values, lambda v: F.greatest(F.lit(0.1), v * MM_PER_PT))
-    last = F.try_element_at(scale_mm, F.lit(-1))
-    mm = F.when(F.size(scale_mm) % 2 == 1, F.concat(scale_mm, F.array(last))).otherwise(scale_mm)
-    dashes = F.filter(mm, lambda v, i: i % 2 == 0)
-    longest = F.array_max(dashes)
-    dots = F.size(F.filter(dashes, lambda d: d <= DOT_MAX_MM))
-    longs = F.size(dashes) - dots
-    even = ~F.exists(dashes, lambda d: F.abs(d - longest) > longest * 0.35)
-    n = F.size(dashes)
+def with_linetype(df: DataFrame, raw: str, name: str = "line") -> DataFrame:
+    """Add the named line type nearest to a dash pattern: struct name, family, ltscale; or null.
+
+    Each step is a column of its own, so no list is worked out twice.
+    """
+    kept = df.columns
+    mm, dashes, longest = F.col("_mm"), F.col("_dashes"), F.col("_longest")
+    d = df.withColumn("_dash", parse_dashes(F.col(raw))["dash"])
+    d = d.withColumn(
+        "_size",
+        F.transform(
+            F.filter(F.col("_dash"), lambda v: v != 0),
+            lambda v: F.greatest(F.lit(0.1), F.abs(v) * MM_PER_PT),
+        ),
+    )
+    last = F.try_element_at(F.col("_size"), F.lit(-1))
+    odd = F.size("_size") % 2 == 1
+    d = d.withColumn(
+        "_mm", F.when(odd, F.concat(F.col("_size"), F.array(last))).otherwise(F.col("_size"))
+    )
+    d = d.withColumn("_dashes", F.filter(mm, lambda v, i: i % 2 == 0))
+    d = d.withColumn("_longest", F.array_max(dashes))
+    d = d.withColumns(
+        {
+            "_dots": F.size(F.filter(dashes, lambda v: v <= DOT_MAX_MM)),
+            "_n": F.size(dashes),
+            "_even": ~F.exists(dashes, lambda v: F.abs(v - longest) > longest * 0.35),
+        }
+    )
+    dots, n = F.col("_dots"), F.col("_n")
+    longs = n - dots
     family = (
         F.when(longs == 0, "DOT")
-        .when((n == 1) | even, "DASHED")
+        .when((n == 1) | F.col("_even"), "DASHED")
         .when(n == 2, F.when(dots > 0, "DASHDOT").otherwise("CENTER"))
         .when((dots >= 2) & (longs == 1), "DIVIDE")
         .when((longs >= 2) & (dots >= 1), "BORDER")
         .otherwise("CENTER")
     )
-
-    def nearest(reference: Column) -> Column:
-        return F.array_min(
-            F.array(
-                *[
-                    F.struct(
-                        F.abs(F.lit(size) - reference).alias("d"),
-                        F.lit(i).alias("i"),
-                        F.lit(name).alias("name"),
-                        F.lit(size).alias("size"),
-                    )
-                    for i, (name, size) in enumerate(DASH_VARIANTS)
-                ]
-            )
+    d = d.withColumns(
+        {"_family": family, "_ref": F.when(longs == 0, F.array_max(mm)).otherwise(longest)}
+    )
+    variant = F.array_min(
+        F.array(
+            *[
+                F.struct(
+                    F.abs(F.lit(size) - F.col("_ref")).alias("d"), F.lit(i).alias("i"),
+                    F.lit(tail).alias("tail"), F.lit(size).alias("size"),
+                )
+                for i, (tail, size) in enumerate(DASH_VARIANTS)
+            ]
         )
-
-    variant = nearest(F.when(longs == 0, F.array_max(mm)).otherwise(longest))
-    ltscale = F.round(
-        F.least(F.greatest(longest / variant["size"], F.lit(0.05)), F.lit(20.0)), 4
     )
-    return F.when(
-        F.size(values) >= 2,
-        F.struct(
-            F.concat(family, variant["name"]).alias("name"),
-            family.alias("family"),
-            ltscale.alias("ltscale"),
-        ),
+    d = d.withColumn("_v", variant)
+    ratio = longest / F.col("_v.size")
+    line = F.struct(
+        F.concat("_family", "_v.tail").alias("name"),
+        F.col("_family").alias("family"),
+        F.round(F.least(F.greatest(ratio, F.lit(0.05)), F.lit(20.0)), 4).alias("ltscale"),
     )
+    return d.select(*kept, F.when(F.size("_size") >= 2, line).alias(name))
 
 
 def linetype_simple(dash: Column) -> Column:

@@ -111,7 +111,7 @@ def group(text: Column, pattern: str, index: int = 1) -> Column:
 
 def number(text: Column, pattern: str, index: int = 1) -> Column:
     """A capture group as DOUBLE."""
-    return group(text, pattern, index).cast("double")
+    return group(text, pattern, index).try_cast("double")
 
 
 def normalize_text(text: Column) -> Column:
@@ -195,7 +195,7 @@ def with_dimension(df: DataFrame, text: Column, name: str = "dim") -> DataFrame:
             "_unit": F.upper(group(s, METRIC, 2)),
             "_num": number(s, RATIO, 1),
             "_den": number(s, RATIO, 2),
-            "_qty": F.coalesce(group(s, QTY_PAREN), group(s, QTY_PREFIX)).cast("long"),
+            "_qty": F.coalesce(group(s, QTY_PAREN), group(s, QTY_PREFIX)).try_cast("long"),
             "_ft": feet_inches(s, FEET_INCHES),
             "_im": F.coalesce(
                 number(s, IMPERIAL_MIXED, 1)
@@ -275,7 +275,7 @@ def split_fraction_digits(text: Column) -> Column:
     for den in (64, 32, 16, 8, 4, 2):
         tail = str(den)
         head = F.left(s, F.length(s) - len(tail))
-        value = head.cast("long")
+        value = head.try_cast("long")
         options.append(
             F.when(
                 ok
@@ -437,7 +437,7 @@ def part_kind(profile: Column) -> Column:
 
 def row_quantity(text: Column) -> Column:
     """Labelled quantity, else a leading number, else one; at least one."""
-    qty = F.coalesce(group(text, QTY_LABEL), group(text, QTY_LEADING)).cast("long")
+    qty = F.coalesce(group(text, QTY_LABEL), group(text, QTY_LEADING)).try_cast("long")
     return F.greatest(F.coalesce(qty, F.lit(1)), F.lit(1)).cast("long")
 
 

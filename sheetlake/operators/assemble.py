@@ -94,10 +94,13 @@ def split_subpaths(ops: DataFrame, gap: float = 0.01, tol: float = 0.01) -> Data
             p["x"].alias("x"),
             p["y"].alias("y"),
             (F.col("seq") * SLOTS + p["i"]).alias("pos"),
+            # Where every point of the operator is sure, each one opens its own run.
             (
                 F.col("_islands")
                 - F.col("_sure")
-                + F.size(F.filter("_pts", lambda q: sure(q) & (q["i"] <= p["i"])))
+                + F.when(F.col("_sure") == F.size("_pts"), p["i"] + 1).otherwise(
+                    F.size(F.filter("_pts", lambda q: sure(q) & (q["i"] <= p["i"])))
+                )
             ).alias("island"),
             (~sure(p)).alias("near"),
         ),

@@ -277,12 +277,12 @@ def visible_fill(points: DataFrame) -> DataFrame:
         .filter((F.col("ax") != F.col("bx")) | (F.col("ay") != F.col("by")))
     )
     # Every edge is filed under its undirected form; an exact retrace balances each form.
-    forward = F.struct("ax", "ay") < F.struct("bx", "by")
+    forward = (F.col("ax") < F.col("bx")) | ((F.col("ax") == F.col("bx")) & (F.col("ay") < F.col("by")))
     balance = (
         edges.select(
             "prim_id",
-            F.when(forward, F.struct("ax", "ay", "bx", "by"))
-            .otherwise(F.struct("bx", "by", "ax", "ay")).alias("e"),
+            F.when(forward, F.array("ax", "ay", "bx", "by"))
+            .otherwise(F.array("bx", "by", "ax", "ay")).alias("e"),
             F.when(forward, 1).otherwise(-1).alias("s"),
         )
         .groupBy("prim_id", "e")

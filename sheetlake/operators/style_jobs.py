@@ -87,8 +87,8 @@ def style_profile(prims: DataFrame) -> DataFrame:
         F.sum(g.segment_length(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).alias("len"),
     )
     color = st.composite_alpha(color_of("s"), F.lit(0.5))
-    line = st.linetype_of_dash(st.parse_dashes(F.col("dash"))["dash"])
-    styled = folded.select(
+    line = F.col("line")
+    styled = st.with_linetype(folded, "dash").select(
         "doc_id",
         st.layer_name(F.col("page"), F.col("layer"), color_of("s")).alias("layer"),
         F.coalesce(line["name"], F.lit("CONTINUOUS")).alias("linetype"),
@@ -161,7 +161,7 @@ def entity_table(
     """One styled row per drawable: a fill row and a stroke row where both exist."""
     placed = prims.join(page_stack(pages, arrangement).select(*PAGE, "width", "height", "dy"), PAGE)
     stroke, fill = color_of("s"), color_of("f")
-    line = st.linetype_of_dash(st.parse_dashes(F.col("dash"))["dash"])
+    line = F.col("line")
     w, h = F.col("width"), F.col("height")
     tol = F.greatest(F.lit(1e-7), F.greatest(w, h, F.lit(1.0)) * 1e-7)
     paper = (
@@ -180,7 +180,7 @@ def entity_table(
         F.when(fill.isNotNull() & ~paper & area, F.struct(F.lit("fill").alias("kind"), fill.alias("c"))),
         F.when(stroke.isNotNull() & kind.isNotNull(), F.struct(kind.alias("kind"), stroke.alias("c"))),
     )
-    drawn = placed.withColumn("_e", F.explode(F.filter(rows, lambda e: e.isNotNull())))
+    drawn = st.with_linetype(placed, "dash").withColumn("_e", F.explode(F.filter(rows, lambda e: e.isNotNull())))
     is_fill = F.col("_e.kind") == "fill"
     return drawn.select(
         "prim_id", *PAGE, F.col("_e.kind").alias("kind"),

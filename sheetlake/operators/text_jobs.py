@@ -87,7 +87,11 @@ def text_cap(texts: DataFrame, n: int) -> DataFrame:
 
 
 def resolve_scale(texts: DataFrame, pages: DataFrame) -> DataFrame:
-    """Best drawing scale of every page, 1:1 when no text states one."""
+    """Best drawing scale of every page, 1:1 when no text states one.
+
+    Texts without a scale drop out inside the aggregate (a null rank is ignored): a filter on
+    the parsed factor would be pushed down and repeat the whole parse.
+    """
     raw = F.trim("text")
     s = tx.strip_temporal(raw)
     joined = (
@@ -125,7 +129,7 @@ def resolve_scale(texts: DataFrame, pages: DataFrame) -> DataFrame:
     )
     scored = joined.withColumn("_stated", stated).withColumn("_arch", arch).withColumn(
         "factor", F.coalesce("_stated", "_arch", bare)
-    ).filter("factor is not null")
+    )
     base = F.when(F.col("_stated").isNotNull(), 0.75).when(F.col("_arch").isNotNull(), 0.88).otherwise(0.75)
     in_page = spread_join(scored, pages.select(*PAGE, "width", "height"), PAGE, "ord")
 
@@ -149,7 +153,7 @@ def resolve_scale(texts: DataFrame, pages: DataFrame) -> DataFrame:
         .agg(
             F.max_by(
                 F.struct("factor", F.trim("text").alias("notation"), "source", "confidence"),
-                F.struct(F.col("confidence"), -F.col("ord")),
+                F.when(F.col("factor").isNotNull(), F.struct("confidence", -F.col("ord"))),
             ).alias("b"),
         )
     )

@@ -59,6 +59,9 @@ def oracle(name: str, body: str, *steps: tuple[str, str], recursive: bool = Fals
     text = body + " ".join(s for _, s in steps)
     used = [n for n in VIEWS if n in text or (n == "v_points" and "v_ops" in text)]
     ctes = [(n, VIEWS[n]) for n in used] + list(steps)
+    if not ctes:
+        ORACLES[name] = body
+        return
     head = "WITH " + ("RECURSIVE " if recursive else "")
     ORACLES[name] = head + ",\n".join(f"{n} AS ({s})" for n, s in ctes) + "\n" + body
 
@@ -392,8 +395,8 @@ SPLIT = " OR ".join(
 )
 oracle(
     "dimension_facts",
-    f"""SELECT doc_id, kind, {ACTION} AS action, count(*) AS n, {r('min(val)')} AS min_value, {r('avg(val)')} AS avg_value,
-      {r('max(val)')} AS max_value, sum(qty) AS quantity, {r('sum(inch)')} AS inches,
+    f"""SELECT doc_id, kind, {ACTION} AS action, count(*) AS n, {r('min(val)', 6)} AS min_value, {r('avg(val)', 6)} AS avg_value,
+      {r('max(val)', 6)} AS max_value, sum(qty) AS quantity, {r('sum(inch)', 6)} AS inches,
       count(*) FILTER (split) AS splits, count(*) FILTER (temporal) AS temporal
     FROM (SELECT *, coalesce(value, CASE kind WHEN 'slot' THEN sl * 25.4 WHEN 'scale' THEN qd END) AS val, {length_in('text')} AS inch,
           {has('q', '^[0-9][0-9]+$')} AND ({SPLIT}) AS split, {strip_time('text')} <> trim(text) AS temporal

@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import ContentClass, RasterBudget
-from .operators import assemble, page_rules, shapes, style_jobs, text_jobs
+from .operators import (
+    assemble, bom, clusters, delivery, fractions, images, page_rules, reports, rules, shapes,
+    style_jobs, text_jobs,
+)
+from .plans import recognize
 from .plans.views import Corpus
+from .sources import corpus as sources
+from .streaming import jobs as streams
 
 PAGE = ["doc_id", "page"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,7 +78,7 @@ def text_annotations(c):
 
 @query
 def dimension_facts(c):
-    return rounded(text_jobs.dimension_facts(c.texts()))
+    return rounded(text_jobs.dimension_facts(c.texts()), 6)
 
 
 @query
@@ -292,3 +298,540 @@ def fidelity_diagnostics(c):
 def dpi_budget_fit(c):
     budget = RasterBudget(terminal_job_pixels=200_000_000, terminal_job_tiles=120)
     return page_rules.dpi_budget_fit(c.pages(), 300.0, budget, step=4.0)
+
+
+# ---- sources ------------------------------------------------------------------------------
+
+
+@query
+def load_corpus(c):
+    prims, texts = sources.conform(c.prims(), "primitives"), sources.conform(c.texts(), "texts")
+    return page_rules.page_counts(prims, texts)
+
+
+def _files(c):
+    return c.files().withColumn("content", F.encode("body", "UTF-8"))
+
+
+@query
+def file_inventory(c):
+    return sources.file_inventory(_files(c))
+
+
+@query
+def precheck_files(c):
+    return sources.precheck_files(_files(c))
+
+
+@query
+def page_selection(c):
+    spec = F.when(F.col("doc_id") % 3 == 0, "1,3").when(F.col("doc_id") % 3 == 1, "2-3").otherwise("1-2,2")
+    loose = F.when(F.col("doc_id") % 4 == 0, "all").when(F.col("doc_id") % 4 == 1, "3-2,x").when(
+        F.col("doc_id") % 4 == 2, "first").otherwise("1, 99")
+    docs = c.pages().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 3")
+    pages = c.pages().join(docs, "doc_id", "left_semi")
+    a = sources.page_selection(pages, docs.select("doc_id", spec.alias("spec")))
+    b = sources.page_selection(pages, docs.select("doc_id", loose.alias("spec")), strict=False)
+    return a.withColumn("how", F.lit("strict")).unionByName(b.withColumn("how", F.lit("tolerant")))
+
+
+@query
+def read_reports(c):
+    return sources.parse_reports(c.table("events").select("event_id", "props"), "props")
+
+
+@query
+def write_reports(c):
+    e = c.table("events").withColumns(
+        {
+            "elapsed": F.when(F.col("event_id") % 97 == 0, float("nan")).otherwise(F.col("value")),
+            "peak": F.when(F.col("event_id") % 89 == 0, float("inf")).otherwise(F.col("value")),
+        }
+    )
+    return sources.report_violations(
+        e, "event_id", {"performance.elapsed_ms": F.col("elapsed"), "performance.peak_mb": F.col("peak")}
+    )
+
+
+def _catalog(c):
+    name = F.concat(F.lit("W"), (F.col("p_size") % 4 * 2 + 8).cast("string"),
+                    F.when(F.col("p_size") % 4 == 1, "x").otherwise("X"), (F.col("p_size") % 2 + 20).cast("string"))
+    entry = F.format_string(
+        '{"%s": {"family": "W", "d": %d.5, "bf": 4, "tw": 0.25, "tf": 0.375}}', name, F.col("p_size") % 4 * 2 + 8
+    )
+    return sources.parse_catalog(c.table("part").select(entry.alias("j")), "j")
+
+
+@query
+def load_catalog(c):
+    return _catalog(c)
+
+
+# ---- joins ----------------------------------------------------------------------------------
+
+
+@query
+def dimension_assoc(c):
+    dims = recognize.dimension_texts(c.texts()).select(
+        *PAGE, "text_id", "ix", "iy", F.col("dim.kind").alias("kind"), F.col("dim.value").alias("value")
+    )
+    return rounded(clusters.dimension_assoc(dims, c.prims()))
+
+
+@query
+def parallel_pairs(c):
+    return rounded(clusters.parallel_degree(clusters.segment_metrics(c.prims())), 6)
+
+
+@query
+def cell_neighbors(c):
+    return clusters.cell_neighbors(clusters.occupied_cells(c.prims(), 150.0))
+
+
+@query
+def catalog_lookup(c):
+    members = bom.member_intent(c.texts()).select("doc_id", "kind", "key", "count")
+    return bom.catalog_lookup(members, "key", _catalog(c))
+
+
+@query
+def manifest_diff(c):
+    files = sources.file_inventory(_files(c)).join(c.files().select("path", "file_no"), "path")
+    stored = files.filter("file_no % 11 <> 0").select(
+        "path", F.when(F.col("file_no") % 13 == 0, "stale").otherwise(F.col("sha256")).alias("sha256")
+    )
+    ghosts = files.filter("file_no % 17 = 0").select(F.concat("path", F.lit(".old")).alias("path"), "sha256")
+    return reports.manifest_diff(files, stored.unionByName(ghosts), files.filter("file_no % 26 = 0"))
+
+
+def _session(c):
+    """Requested pages per session (an order) and the ledger of the pages that are done."""
+    a = c.attempts().select(
+        F.col("source_id").alias("session"), F.col("ord").alias("page"),
+        F.concat(F.lit("s"), F.col("source_id").cast("string")).alias("source_sha"), "requested",
+        F.col("handle").alias("digest"), "outcome", "attempted",
+    )
+    want = a.withColumn("options_sha", F.col("requested"))
+    done = want.filter("outcome <> 'failed'").withColumns(
+        {
+            "options_sha": F.when(F.col("session") % 7 == 0, "other").otherwise(F.col("options_sha")),
+            "digest": F.when(F.col("outcome") == "impossible", "stale").otherwise(F.col("digest")),
+            "entities": F.col("page") % 5, "delivered": F.col("attempted"),
+        }
+    )
+    return want, done
+
+
+@query
+def pending_pages(c):
+    want, done = _session(c)
+    return delivery.pending_pages(want, done).select("session", "page")
+
+
+@query
+def resume_summary(c):
+    want, done = _session(c)
+    return delivery.resume_summary(want.select("session", "page"), done.select("session", "page", "entities", "delivered"))
+
+
+def _deliveries(c):
+    return delivery.representation_ladder(c.attempts())
+
+
+@query
+def representation_ladder(c):
+    return _deliveries(c)
+
+
+@query
+def attempt_invariants(c):
+    return delivery.attempt_invariants(c.attempts()).select("source_id", "ord", "attempted")
+
+
+def _expected(c):
+    return c.table("orders").filter("o_orderkey % 50 <> 3").select(F.col("o_orderkey").alias("source_id"))
+
+
+@query
+def delivery_reconcile(c):
+    sent = _deliveries(c)
+    twice = sent.filter("source_id % 31 = 0")
+    return delivery.delivery_reconcile(_expected(c), sent.unionByName(twice))
+
+
+@query
+def id_set_checks(c):
+    return delivery.id_set_checks(_expected(c), _deliveries(c).filter("verified"))
+
+
+@query
+def delivery_summary(c):
+    return delivery.delivery_summary(_deliveries(c), ["doc_id"])
+
+
+@query
+def fallback_counts(c):
+    return delivery.fallback_counts(_deliveries(c))
+
+
+@query
+def entity_type_rollup(c):
+    return delivery.entity_type_rollup(_deliveries(c), ["doc_id"])
+
+
+@query
+def delivery_examples(c):
+    return delivery.examples_top3(_deliveries(c), ["doc_id"])
+
+
+@query
+def fallback_transitions(c):
+    a = c.attempts().filter("outcome <> 'verified'").select(
+        F.col("doc_id").alias("run_id"), F.col("source_id").cast("string").alias("id"),
+        F.concat(F.lit(" "), F.upper("requested")).alias("from"), F.col("attempted").alias("to"),
+        F.when(F.col("ord") % 4 == 0, "").otherwise(F.col("outcome")).alias("reason"), "ord", "page",
+    )
+    return delivery.fallback_transitions(
+        a.filter("run_id % 3 = 0 and ord % 2 = 0"), a.filter("ord % 2 = 0"), a.filter("ord % 3 = 0")
+    )
+
+
+@query
+def provenance(c):
+    return delivery.provenance(_deliveries(c), c.texts())
+
+
+@query
+def counts_delta(c):
+    e = c.events().withColumn("n", F.lit(1))
+    before, after = e.filter("ord % 2 = 0"), e.filter("ord % 2 = 1")
+    return reports.counts_delta(before, after, ["run_id", "stage"])
+
+
+@query
+def raster_compare(c):
+    px = c.pixels()
+    return rounded(
+        reports.raster_compare(px, px.withColumn("asset_id", F.col("asset_id") + 1)), 6
+    )
+
+
+@query
+def alpha_class(c):
+    return reports.alpha_class(c.pixels())
+
+
+# ---- aggregations and ranks --------------------------------------------------------------------
+
+
+@query
+def hatch_accept(c):
+    return rounded(clusters.hatch_accept(c.prims()))
+
+
+def _loop_facts(c):
+    return assemble.polygon_facts(c.points())
+
+
+@query
+def repeated_patterns(c):
+    return clusters.repeated_patterns(_loop_facts(c))
+
+
+@query
+def boundaries(c):
+    return clusters.boundaries(_loop_facts(c)).select("prim_id", "area", "bx0", "by0", "bx1", "by1")
+
+
+@query
+def stage_timing(c):
+    totals = c.events().groupBy("run_id").agg((F.count(F.lit(1)) * 40.0).alias("total_ms"))
+    stages = ("extract_ms", "host_build_ms", "cache_lookup_ms", "cache_store_ms", "other_ms")
+    return rounded(reports.stage_timing(c.events(), totals, stages), 3)
+
+
+@query
+def page_progress(c):
+    return rounded(reports.page_progress(c.events(), 60.0), 3)
+
+
+@query
+def batch_rollup(c):
+    return reports.batch_rollup(c.outcomes(), ["run_id"], 5)
+
+
+@query
+def member_intent(c):
+    return rounded(bom.member_intent(c.texts()), 6)
+
+
+@query
+def member_plan(c):
+    return rounded(bom.member_plan(bom.member_intent(c.texts()), _catalog(c)), 6)
+
+
+@query
+def corpus_quantiles(c):
+    per_run = c.events().groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("resolved_objects"), F.sum("ord").alias("decoded_bytes"),
+        F.max("ord").alias("operator_tokens"),
+    )
+    caps = {"resolved_objects": 4096, "decoded_bytes": 16 * 1024 * 1024, "operator_tokens": 1_000_000}
+    return rounded(reports.corpus_quantiles(per_run, caps))
+
+
+@query
+def image_dedupe(c):
+    return images.image_dedupe(c.images()).select(*PAGE, "xref", "smask", "ord", "px_w", "px_h")
+
+
+@query
+def image_composite(c):
+    return images.image_composite(c.images(), c.pages(), threshold=38)
+
+
+@query
+def raster_budget_greedy(c):
+    px = c.images().select("doc_id", "ord", (F.col("px_w") * F.col("px_h")).alias("px"))
+    return images.raster_budget_greedy(px, 2_000_000)
+
+
+@query
+def font_substitution(c):
+    return reports.font_substitution(c.texts())
+
+
+@query
+def set_digest(c):
+    files = sources.file_inventory(_files(c)).join(c.files().select("path", "folder"), "path")
+    return reports.set_digest(files, ["folder"])
+
+
+@query
+def bom_sequence_rows(c):
+    return rounded(bom.bom_sequence_rows(c.texts()))
+
+
+@query
+def bom_line_rows(c):
+    sequences = bom.bom_sequence_rows(c.texts()).filter("quantity > 40")
+    return rounded(bom.bom_line_rows(c.texts(), sequences))
+
+
+# ---- clusters -------------------------------------------------------------------------------------
+
+
+@query
+def bbox_adjacent(c):
+    return clusters.bbox_adjacent(_cells(c))
+
+
+def _cells(c):
+    """Boxes on a coarse lattice, so that neighbours exist: the first corner of every segment."""
+    from .operators.page_rules import table_cells
+
+    moved = c.prims().withColumns(
+        {k: F.floor(F.col(k) / 12) for k in ("bx0", "by0", "bx1", "by1")}
+    )
+    return table_cells(moved).withColumns({k: F.col(k).cast("double") for k in ("bx0", "by0", "bx1", "by1")})
+
+
+@query
+def leader_cluster(c):
+    boxes = clusters.box_items(_cells(c), 30.0)
+    _, links = clusters.leader_cluster(boxes, clusters.BOX, clusters.box_adjacent(30.0))
+    return clusters.first_leader(links)
+
+
+@query
+def table_regions(c):
+    from .config import Recognition
+
+    return clusters.table_regions(_cells(c), Recognition(table_gap=60.0, table_min_cells=2))
+
+
+@query
+def hatch_groups(c):
+    return clusters.hatch_groups(c.prims())
+
+
+@query
+def hatch_policy(c):
+    kept = page_rules.hatch_policy(c.prims(), clusters.hatch_groups(c.prims()), "group")
+    return page_rules.page_layers(kept)
+
+
+@query
+def regions(c):
+    return clusters.regions(c.prims(), c.pages())
+
+
+def _chars(c):
+    t = c.fractions().filter("laid_out")
+    return t.select(
+        "text_id", "ix", "iy", "font_size", F.posexplode(F.split("text", "")).alias("idx", "ch")
+    ).filter("ch <> ''").select(
+        "text_id", "idx", "ch", (F.col("ix") + F.col("idx") * F.col("font_size") * 0.5).alias("x"),
+        F.col("iy").alias("y"),
+    )
+
+
+@query
+def fraction_candidates(c):
+    sp = fractions.spans(c.fractions(), _chars(c))
+    found = fractions.fraction_candidates(fractions.near_digits(sp))
+    return found.select(*PAGE, "s_cls", "n_cls", "d_cls", "kind", "encoding", "semantic", "bound")
+
+
+@query
+def merge_fractions(c):
+    return fractions.merge_fractions(c.fractions(), _chars(c))
+
+
+# ---- rules ------------------------------------------------------------------------------------------
+
+
+@query
+def outcome_violations(c):
+    out = rules.outcome_violations(c.outcomes()).select("cell_id", "violations")
+    return joined(out, "violations")
+
+
+@query
+def cell_status(c):
+    return rules.cell_status(c.outcomes()).groupBy("run_id", "status", "completion").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+def _profiles(c):
+    o = F.col("cell_id")
+    return c.outcomes().select(
+        "cell_id",
+        F.when(o % 37 == 0, "old").otherwise("semantics/2.0").alias("schema"),
+        F.when(o % 19 == 0, "closed_world").when(o % 43 == 0, "guess").otherwise("feature_detection").alias("accounting_mode"),
+        (o % 31 == 0).alias("closed_world"),
+        F.when(o % 29 == 0, "complete").when(o % 2 == 0, "partial").otherwise("incomplete").alias("scan_status"),
+        F.when(o % 23 == 0, "weird").otherwise("source_profile_partial").alias("status_code"),
+        F.when(o % 5 == 0, F.array(F.lit("pdf_fill_alpha"), F.lit("pdf_text_clip")))
+        .when(o % 5 == 1, F.array(F.lit("pdf_text_clip"), F.lit("pdf_fill_alpha")))
+        .when(o % 5 == 2, F.array(F.lit("pdf_unknown"))).otherwise(F.array().cast("array<string>")).alias("feature_codes"),
+        (o % 6000).alias("resolved_objects"), (o * 4001).alias("decoded_bytes"),
+        F.col("o_totalprice").cast("long").alias("operator_tokens"), (o % 2100).alias("annotation_entries"),
+    )
+
+
+@query
+def source_profile_check(c):
+    out = rules.source_profile_check(_profiles(c), "semantics/2.0")
+    return joined(out.select("cell_id", "faults", "native_eligible"), "faults")
+
+
+@query
+def limit_breaches(c):
+    caps = {**rules.CAPS, "operator_tokens": 250_000}
+    out = rules.limit_breaches(_profiles(c), caps)
+    return joined(out.select("cell_id", "breaches", "scan_status", "status_code"), "breaches")
+
+
+@query
+def contract_ready(c):
+    o = F.col("cell_id")
+    rep = c.outcomes().select(
+        "cell_id", F.when(o % 9 > 0, "build").otherwise(" ").alias("build_stamp"),
+        F.when(o % 4 == 0, "ok").when(o % 4 == 1, "warn").when(o % 16 == 2, "bad").otherwise("ok").alias("crosscheck_level"),
+        F.col("entities").alias("text_entities"), (o % 7 > 0).alias("has_entity_types"),
+        F.when(o % 6 == 0, "Failed").when(o % 6 == 1, F.lit(None)).otherwise("success").alias("status"),
+        F.when(F.col("crashed"), "crash").alias("terminal_failure"), F.when(o % 41 == 0, "empty_file").alias("open_failure"),
+        (o % 5 > 0).alias("import_text"), (o % 3).alias("text_source_spans"),
+        (o % 8 > 0).alias("delivery_required"), (o % 10 < 7).alias("delivery_verified"),
+    )
+    checks = ("build_stamp", "scale_crosscheck", "actual_text_entity_types", "text_delivery", "result_succeeded",
+              "no_terminal_failure", "no_open_failure", "ready")
+    return rules.contract_ready(rep).groupBy(*checks).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def scale_crosscheck(c):
+    page = text_jobs.resolve_scale(c.texts(), c.pages())
+    doc = page_rules.doc_scale(page, _profile(c))
+    dims = c.texts().filter(
+        text_jobs.tx.tag_flag("dimension_like", F.col("text"), F.col("normalized"))
+    ).groupBy("doc_id").agg(F.count(F.lit(1)).alias("dimension_count"))
+    rep = doc.join(dims, "doc_id", "left").fillna(0, ["dimension_count"]).withColumns(
+        {"alternates": F.array("min_factor", "max_factor"), "fallback_reason": F.lit(""),
+         "title_block": F.col("doc_id") % 2 == 0}
+    )
+    return joined(rules.scale_crosscheck(rep).select("doc_id", "level", "reasons"), "reasons")
+
+
+@query
+def recognition_review(c):
+    plates = _loop_facts(c).filter("closed").select(
+        "prim_id", F.when(F.col("prim_id") % 3 == 0, "1/2").alias("thickness_note"),
+        (F.col("bx1") - F.col("bx0")).alias("width"), (F.col("by1") - F.col("by0")).alias("height"),
+    )
+    holes = c.prims().filter("type = 'circle'").select(
+        "prim_id", F.when(F.col("prim_id") % 2 == 0, F.lit(1)).alias("plate_id"),
+        (F.col("prim_id") % 10 / 10.0).alias("confidence"),
+    )
+    p, h = rules.recognition_review(plates, holes)
+    return p.select("prim_id", F.lit("plate").alias("kind"), F.col("evidence").alias("note")).unionByName(
+        h.select("prim_id", F.lit("hole").alias("kind"), F.col("warning").alias("note"))
+    ).filter("note is not null")
+
+
+@query
+def recognize_pages(c):
+    """Totals per page over the parts of the composite plan that are keyed by page."""
+    parts = recognize.recognize_pages(
+        c.prims(), c.arcs().select((-F.col("prim_id") - 1).alias("prim_id"), "seq", "x", "y"),
+        _loop_facts(c), c.texts(), c.pages(),
+    )
+    profile = parts["profile"].select(*PAGE, "mode_used")
+    blocks = parts["title_blocks"].select(*PAGE, F.lit(1).alias("title_block"))
+    dims = parts["dimensions"].groupBy(*PAGE).agg(
+        F.count(F.lit(1)).alias("dims"), F.count("nearest_prim_id").alias("linked")
+    )
+    return profile.join(blocks, PAGE, "left").join(dims, PAGE, "left").fillna(
+        0, ["title_block", "dims", "linked"]
+    )
+
+
+# ---- streaming jobs over the whole table (their batch form) ------------------------------------------
+
+
+@query
+def stream_stage_timing(c):
+    return rounded(streams.stream_stage_timing(c.events(), "1 hour"), 3)
+
+
+@query
+def stream_stage_timing_sliding(c):
+    return rounded(streams.stream_stage_timing(c.events(), "2 hours", "1 hour"), 3)
+
+
+@query
+def stream_sessions(c):
+    return rounded(streams.stream_sessions(c.events(), "6 hours"), 3)
+
+
+@query
+def stream_over_budget(c):
+    return rounded(streams.stream_over_budget(c.events(), 3200.0), 3)
+
+
+@query
+def stream_pages(c):
+    return page_rules.prune_stats(c.prims(), 4.5)
+
+
+@query
+def stream_resume(c):
+    """Pages the resume job certifies, and those it finds certified already, per session."""
+    want, done = _session(c)
+    left = delivery.pending_pages(want, done).groupBy("session").agg(F.count(F.lit(1)).alias("pending"))
+    asked = want.groupBy("session").agg(F.count(F.lit(1)).alias("asked"))
+    return asked.join(left, "session", "left").fillna(0, ["pending"]).withColumn(
+        "resumed", F.col("asked") - F.col("pending")
+    )
