@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
-from ..plans.scale import block_of, dense_position, running_sum, with_halo
+from ..plans.scale import block_of, cut_lineage, dense_position, running_sum, with_halo
 
 # Room for the points of one operator (a curve gives at most 32, plus its start).
 SLOTS = 64
@@ -82,6 +82,8 @@ def split_subpaths(ops: DataFrame, gap: float = 0.01, tol: float = 0.01) -> Data
         .withColumn("_sure", F.coalesce(F.size(F.filter("_pts", sure)), F.lit(0)))
         .select("path_id", "seq", "op", "_starts", "_pts", "_sure")
     )
+    # Written once: the sums below read it twice, and the point lists are costly to redo.
+    cut = cut_lineage(cut)
     cut = running_sum(
         cut,
         ["path_id"],
@@ -139,7 +141,8 @@ def assemble_primitives(ops: DataFrame, gap: float = 0.01, tol: float = 0.01) ->
     path of any length is summed side by side.
     """
     cut = split_subpaths(ops, gap, tol)
-    points = thin_points(cut.select("path_id", "sub_id", F.inline("pts")), tol)
+    points = cut_lineage(cut.select("path_id", "sub_id", F.inline("pts")))
+    points = thin_points(points, tol)
     placed = dense_position(points, ["path_id", "sub_id"], ["pos"], [block_of("pos")], "k")
     w = Window.partitionBy("path_id", "sub_id", "_block").orderBy("k")
     turned = with_halo(placed, "k", before=1).withColumn(

@@ -692,6 +692,539 @@ oracle(
       SELECT doc_id, dpi, sum(pw * ph) AS px, sum(ceil(pw / 1536) * ceil(ph / 1536)) AS tl FROM (
         SELECT doc_id, dpi, ceil(width * z - 1e-6) AS pw, ceil(height * z - 1e-6) AS ph FROM (
           SELECT *, least(dpi / 72, sqrt(134217728.0 / (width*height)), 24576.0/width, 24576.0/height) AS z
-          FROM v_pages, (SELECT CAST(36 + 4 * k AS DOUBLE) AS dpi FROM (SELECT unnest(range(67)) AS k)))))
+          FROM v_pages, (SELECT CAST(36 + 4 * k AS DOUBLE) AS dpi FROM (SELECT unnest(range(67)) AS k))))
       GROUP BY 1, 2) GROUP BY 1""",
 )
+
+# ---- sources ------------------------------------------------------------------------------
+
+oracle("load_corpus", "SELECT * FROM counts", COUNTS)
+SIZE = "length(encode(body))"
+LANGS = "{" + ", ".join(f"'{k}': '{w}'" for k, w in (("txt", "text"), ("py", "python"), ("json", "json"))) + "}"
+FILES = ("files", f"""SELECT path, folder, file_no, CAST(octet_length(encode(body)) AS BIGINT) AS size, sha256(body) AS sha256 FROM v_files""")
+oracle(
+    "file_inventory",
+    """SELECT path, size, sha256, regexp_extract(path, '[^/]*$') AS name,
+      CASE lower(regexp_extract(path, '[^.]*$')) WHEN 'txt' THEN 'text' WHEN 'py' THEN 'python' WHEN 'json' THEN 'json' ELSE '' END AS language,
+      CASE WHEN size < 1024 THEN printf('%.2f B', CAST(size AS DOUBLE)) ELSE printf('%.2f KB', size / 1024.0) END AS size_label FROM files""",
+    FILES,
+)
+oracle(
+    "precheck_files",
+    "SELECT path, CASE WHEN body = '' THEN 'empty_file' WHEN body NOT LIKE '\\%PDF-%' ESCAPE '\\' THEN 'not_a_pdf' ELSE 'ok' END AS status FROM v_files",
+)
+oracle(
+    "page_selection",
+    """SELECT doc_id, page, 'strict' AS how FROM f WHERE (doc_id % 3 = 0 AND page IN (1, 3)) OR (doc_id % 3 = 1 AND page IN (2, 3)) OR (doc_id % 3 = 2 AND page IN (1, 2))
+      UNION ALL SELECT doc_id, page, 'tolerant' FROM f WHERE doc_id % 4 = 0 OR (doc_id % 4 = 1 AND page IN (2, 3)) OR (doc_id % 4 >= 2 AND page = 1)""",
+    ("f", "SELECT doc_id, page FROM v_pages WHERE doc_id IN (SELECT doc_id FROM v_pages GROUP BY 1 HAVING count(*) = 3)"),
+)
+oracle(
+    "read_reports",
+    """SELECT event_id, 'import_report/1.1' AS schema, 'auto' AS mode, CAST(0 AS BIGINT) AS text_entities, 'unknown' AS status, false AS fallback_used,
+      CAST(NULL AS VARCHAR) AS fallback_reason, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, CAST(NULL AS VARCHAR) AS corrupt FROM events""",
+)
+oracle(
+    "write_reports",
+    """SELECT event_id, 'performance.elapsed_ms' AS path FROM events WHERE event_id % 97 = 0
+      UNION ALL SELECT event_id, 'performance.peak_mb' FROM events WHERE event_id % 89 = 0""",
+)
+CATALOG = ("catalog", """SELECT DISTINCT concat('W', p_size % 4 * 2 + 8, CASE WHEN p_size % 4 = 1 THEN 'x' ELSE 'X' END, p_size % 2 + 20) AS designation,
+  'W' AS family, p_size % 4 * 2 + 8.5::DOUBLE AS d, 4.0::DOUBLE AS bf, 0.25::DOUBLE AS tw, 0.375::DOUBLE AS tf FROM part""")
+oracle("load_catalog", "SELECT * FROM catalog", CATALOG)
+
+# ---- joins ----------------------------------------------------------------------------------
+
+SEGS = ("segs", """SELECT doc_id, page, prim_id, ord, sqrt((x1-x0)**2 + (y1-y0)**2) AS len, (x0+x1)/2 AS mx, (y0+y1)/2 AS my,
+  CASE WHEN degrees(atan2(y1-y0, x1-x0)) < 0 THEN degrees(atan2(y1-y0, x1-x0)) + 180 WHEN degrees(atan2(y1-y0, x1-x0)) >= 180 THEN 0 ELSE degrees(atan2(y1-y0, x1-x0)) END AS angle
+  FROM v_prims WHERE type = 'line' AND n_points = 2 AND sqrt((x1-x0)**2 + (y1-y0)**2) >= 0.5""")
+oracle(
+    "dimension_assoc",
+    f"""SELECT doc_id, page, text_id, ix, iy, kind, {r('value')} AS value, prim_id AS nearest_prim_id, {r('d')} AS distance FROM (
+      SELECT t.*, p.prim_id, sqrt((ix-px)**2 + (iy-py)**2) AS d, row_number() OVER (PARTITION BY text_id ORDER BY sqrt((ix-px)**2 + (iy-py)**2), p.ord) AS k
+      FROM dims t LEFT JOIN (SELECT doc_id, page, prim_id, ord, (bx0+bx1)/2 AS px, (by0+by1)/2 AS py FROM v_prims) p
+        ON t.doc_id = p.doc_id AND t.page = p.page AND sqrt((ix-px)**2 + (iy-py)**2) < 75) WHERE k = 1""",
+    *dimension_steps("v_texts", "text"),
+    ("dims", f"SELECT doc_id, page, text_id, ix, iy, kind, value FROM d3 WHERE {tag('dimension_like')} AND kind <> 'unknown' AND conf >= 0.3"),
+)
+oracle(
+    "parallel_pairs",
+    f"""SELECT doc_id, page, {r('angle', 6)} AS angle, count(*) AS n, any_value(k) - 1 AS parallel FROM
+      (SELECT a.doc_id, a.page, a.prim_id, a.angle, count(*) AS k FROM segs a JOIN segs b ON a.doc_id = b.doc_id AND a.page = b.page
+        AND CASE WHEN abs(a.angle-b.angle) > 90 THEN 180 - abs(a.angle-b.angle) ELSE abs(a.angle-b.angle) END < 3 GROUP BY ALL) GROUP BY ALL
+      """.replace("GROUP BY ALL\n", "GROUP BY doc_id, page, angle\n"),
+    SEGS,
+)
+CELLS = ("cells", """SELECT doc_id, page, CAST(trunc((bx0+bx1)/2/150) AS BIGINT) AS gx, CAST(trunc((by0+by1)/2/150) AS BIGINT) AS gy, min(ord) AS ord, count(*) AS n,
+  min(bx0) AS x0, min(by0) AS y0, max(bx1) AS x1, max(by1) AS y1 FROM v_prims GROUP BY 1, 2, 3, 4""")
+oracle(
+    "cell_neighbors",
+    """SELECT a.doc_id, a.page, a.ord AS a, b.ord AS b, a.gx AS ax, a.gy AS ay, b.gx AS bx, b.gy AS by FROM cells a JOIN cells b
+      ON a.doc_id = b.doc_id AND a.page = b.page AND abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1 AND a.ord <> b.ord""",
+    CELLS,
+)
+sq = "upper(regexp_replace($E, '\\s+', '', 'g'))"
+# RE2 here reads at most nine groups, so each section family has its own pattern.
+BEAM = r"^(W|S|M|HP|WT|MT|ST|C|MC)\s?(\d{1,3})\s?[xX]\s?(\d{1,3}(?:\.\d+)?)$"
+ANGLE = r"^(L)\s?(\d{1,2})\s?[xX]\s?(\d{1,2})\s?[xX]\s?(" + tx.FRACTION + r")$"
+TUBE = r"^(HSS)\s?(\d{1,2}(?:\.\d+)?)\s?[xX]\s?(\d{1,2}(?:\.\d+)?)\s?[xX]\s?(" + tx.FRACTION + r")$"
+PIPE = r"^(PIPE)\s?(\d{1,2})\s?(STD|XS|XXS)$"
+
+
+def designation(m: str) -> str:
+    def g(p, k):
+        return ex(m, p, k)
+
+    return (
+        f"CASE WHEN {g(BEAM, 1)} IS NOT NULL THEN concat({g(BEAM, 1)}, {g(BEAM, 2)}, 'X', {g(BEAM, 3)}) "
+        f"WHEN {g(ANGLE, 1)} IS NOT NULL THEN concat('L', {g(ANGLE, 2)}, 'X', {g(ANGLE, 3)}, 'X', {g(ANGLE, 4)}) "
+        f"WHEN {g(TUBE, 1)} IS NOT NULL THEN concat('HSS', {g(TUBE, 2)}, 'X', {g(TUBE, 3)}, 'X', {g(TUBE, 4)}) "
+        f"WHEN {g(PIPE, 1)} IS NOT NULL THEN concat('PIPE', {g(PIPE, 2)}, {g(PIPE, 3)}) END"
+    )
+
+
+DESIG = designation("m")
+FAMILY = "coalesce(" + ", ".join(ex("m", p, 1) for p in (BEAM, ANGLE, TUBE, PIPE)) + ")"
+INTENT = [
+    ("pl", f"SELECT doc_id, ord, text, unnest(regexp_extract_all(text, {lit(tx.PLATE)})) AS m FROM v_texts"),
+    ("me", f"SELECT doc_id, ord, text, unnest(regexp_extract_all(text, {lit(tx.MEMBER)})) AS m FROM v_texts"),
+    ("pl2", f"""SELECT doc_id, ord, 0 AS k, 'plate' AS kind, {sq.replace('$E', 'm')} AS key, CAST(NULL AS VARCHAR) AS family,
+       round({inches(ex('m', tx.PLATE, 1))}, 6) AS thickness_in, round({inches(ex('m', tx.PLATE, 2))}, 6) AS width_in,
+       coalesce(nullif({length_in(ex('m', tx.PLATE, 3))}, 0), {length_in('text')}) AS length_in, {ex('text', tx.PIECE_MARK)} AS mark FROM pl"""),
+    ("rows", f"""SELECT * FROM pl2 WHERE thickness_in BETWEEN 0.01 AND 12 UNION ALL
+       SELECT doc_id, ord, 1, 'member', {DESIG}, {FAMILY}, NULL, NULL, {length_in('text')}, {ex('text', tx.PIECE_MARK)} FROM me"""),
+    ("intent", """SELECT doc_id, kind, key, n AS count, family, thickness_in, width_in, length_in, mark FROM (
+       SELECT *, count(*) OVER (PARTITION BY doc_id, kind, key) AS n, row_number() OVER (PARTITION BY doc_id, kind, key ORDER BY ord, k) AS rn FROM rows) WHERE rn = 1"""),
+]
+oracle(
+    "member_intent",
+    f"SELECT * REPLACE ({r('length_in', 6)} AS length_in, {r('thickness_in', 6)} AS thickness_in, {r('width_in', 6)} AS width_in) FROM intent",
+    *INTENT,
+)
+P_COLS = "c.family AS p_family, c.d AS p_d, c.bf AS p_bf, c.tw AS p_tw, c.tf AS p_tf"
+ON_CAT = "ON replace(i.key, 'X', 'x') = replace(c.designation, 'X', 'x')"
+oracle(
+    "catalog_lookup",
+    f"SELECT doc_id, kind, key, count, c.d IS NOT NULL AS profile_found, {P_COLS} FROM intent i LEFT JOIN catalog c {ON_CAT}",
+    *INTENT, CATALOG,
+)
+oracle(
+    "member_plan",
+    f"""SELECT i.* REPLACE ({r('coalesce(length_in, 12)', 6)} AS length_in), length_in IS NULL AS length_assumed, c.d IS NOT NULL AS profile_found, {P_COLS},
+      CASE WHEN c.d IS NULL THEN 'designation not in catalog' END AS skip_reason FROM (SELECT * FROM intent WHERE kind = 'member') i LEFT JOIN catalog c {ON_CAT}""",
+    *INTENT, CATALOG,
+)
+oracle(
+    "manifest_diff",
+    """SELECT path, CASE WHEN file_no % 11 = 0 THEN 'unexpected' WHEN file_no % 26 = 0 THEN 'allowed_divergence' ELSE 'hash_mismatch' END AS status FROM v_files
+      WHERE file_no % 11 = 0 OR file_no % 13 = 0 UNION ALL SELECT concat(path, '.old'), 'missing' FROM v_files WHERE file_no % 17 = 0""",
+)
+SESSION = [
+    ("want", "SELECT source_id AS session, ord AS page, requested AS opt, handle AS digest, outcome, attempted FROM v_attempts"),
+    ("done", """SELECT session, page, CASE WHEN session % 7 = 0 THEN 'other' ELSE opt END AS opt, CASE WHEN outcome = 'impossible' THEN 'stale' ELSE digest END AS digest,
+       page % 5 AS entities, attempted AS delivered FROM want WHERE outcome <> 'failed'"""),
+    ("left_pages", """SELECT session, page FROM want w WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.session = w.session AND d.page = w.page AND d.opt = w.opt AND d.digest = w.digest)"""),
+]
+oracle("pending_pages", "SELECT * FROM left_pages", *SESSION)
+oracle(
+    "stream_resume",
+    """SELECT session, asked, coalesce(pending, 0) AS pending, asked - coalesce(pending, 0) AS resumed FROM (SELECT session, count(*) AS asked FROM want GROUP BY 1)
+      LEFT JOIN (SELECT session, count(*) AS pending FROM left_pages GROUP BY 1) USING (session)""",
+    *SESSION,
+)
+oracle(
+    "resume_summary",
+    """SELECT session, count(*) AS pages_requested, count(entities) AS pages_certified, coalesce(sum(entities), 0) AS entities,
+      CASE WHEN count(*) = count(entities) THEN 'complete' ELSE 'cancelled' END AS result,
+      CASE count(DISTINCT delivered) WHEN 0 THEN 'none' WHEN 1 THEN any_value(delivered) ELSE 'mixed' END AS delivered
+    FROM want LEFT JOIN (SELECT session, page, entities, delivered FROM done) USING (session, page) GROUP BY 1""",
+    *SESSION,
+)
+RUNG = "CASE " + " ".join(
+    f"WHEN requested = '{w}' AND attempted = '{a}' THEN {i}"
+    for w, rungs in (("text", ("text", "glyphs", "geometry")), ("labels", ("labels", "text", "glyphs", "geometry")),
+                     ("glyphs", ("glyphs", "geometry", "text")), ("geometry", ("geometry", "glyphs", "text")),
+                     ("3d_text", ("3d_text", "text", "glyphs", "geometry")), ("raster", ("raster",)))
+    for i, a in enumerate(rungs)
+) + " END"
+LADDER = [
+    ("la", f"SELECT *, {RUNG} AS rung FROM v_attempts"),
+    ("lb", """SELECT source_id, doc_id, page, requested, count(rung) AS attempts, min(rung) FILTER (outcome = 'failed') AS stop, min(rung) FILTER (outcome = 'verified') AS won
+       FROM la GROUP BY 1, 2, 3, 4"""),
+    ("lc", """SELECT source_id, attempted, handle FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY rung, ord) AS k FROM la WHERE rung IS NOT NULL AND outcome = 'verified') WHERE k = 1"""),
+    ("ld", """SELECT lb.*, lc.attempted, lc.handle AS h, requested <> 'raster' AND won IS NOT NULL AND (stop IS NULL OR stop >= won) AS ok,
+       requested = 'raster' OR (won IS NULL AND stop IS NULL AND attempts > 0) AS terminal FROM lb LEFT JOIN lc USING (source_id)"""),
+    ("sent", """SELECT source_id, doc_id, page, requested, CASE WHEN requested = 'raster' THEN 'raster' WHEN ok THEN attempted WHEN terminal THEN 'raster' END AS final,
+       ok AS verified, terminal, coalesce(CASE WHEN requested = 'raster' THEN 'raster' WHEN ok THEN attempted WHEN terminal THEN 'raster' END <> requested, false) AS fallback_used,
+       CASE WHEN ok THEN h END AS handle, attempts FROM ld"""),
+]
+oracle("representation_ladder", "SELECT * FROM sent", *LADDER)
+oracle(
+    "attempt_invariants",
+    """SELECT source_id, ord, attempted FROM v_attempts WHERE outcome = 'verified' AND NOT (type_verified AND delivery_verified AND visual_verified AND cleanup_verified)""",
+)
+EXPECTED = ("want_ids", "SELECT o_orderkey AS source_id FROM orders WHERE o_orderkey % 50 <> 3")
+oracle(
+    "delivery_reconcile",
+    """SELECT source_id, 'missing' AS problem FROM want_ids WHERE source_id NOT IN (SELECT source_id FROM sent)
+      UNION ALL SELECT source_id, 'unexpected' FROM sent WHERE source_id NOT IN (SELECT source_id FROM want_ids)
+      UNION ALL SELECT source_id, 'duplicate_id' FROM al GROUP BY 1 HAVING count(*) > 1
+      UNION ALL SELECT DISTINCT source_id, 'duplicate_handle' FROM al WHERE handle IN (SELECT handle FROM al GROUP BY 1 HAVING count(*) > 1)
+      UNION ALL SELECT source_id, 'not_verified' FROM sent WHERE NOT (verified AND final IS NOT NULL)""",
+    *LADDER, EXPECTED, ("al", "SELECT * FROM sent UNION ALL SELECT * FROM sent WHERE source_id % 31 = 0"),
+)
+oracle(
+    "id_set_checks",
+    """SELECT coalesce(w.source_id, s.source_id) AS source_id, CASE WHEN s.source_id IS NULL THEN 'missing' WHEN w.source_id IS NULL THEN 'extra' ELSE 'common' END AS status
+      FROM want_ids w FULL OUTER JOIN (SELECT source_id FROM sent WHERE verified) s ON w.source_id = s.source_id""",
+    *LADDER, EXPECTED,
+)
+oracle(
+    "delivery_summary",
+    """SELECT doc_id, count(*) AS items, count(*) FILTER (fallback_used) AS fallbacks, count(handle) AS entities, count(*) FILTER (NOT verified OR final IS NULL) AS failed,
+      min(source_id) FILTER (NOT verified OR final IS NULL) AS first_failed, CASE count(DISTINCT final) WHEN 0 THEN 'none' WHEN 1 THEN any_value(final) ELSE 'mixed' END AS delivered,
+      count(*) FILTER (NOT verified OR final IS NULL) = 0 AS all_verified FROM sent GROUP BY 1""",
+    *LADDER,
+)
+REASON = """CASE WHEN final = 'raster' THEN 'structural_representations_failed_verification' WHEN requested IN ('glyphs', 'geometry') THEN 'text2path_failed'
+  ELSE 'requested_representation_failed_verification' END"""
+BUCKET = """CASE final WHEN '3d_text' THEN 'native_3d_text' WHEN 'glyphs' THEN 'outline_curve_or_mesh' WHEN 'geometry' THEN 'raw_geometry_edges' WHEN 'raster' THEN 'raster_image'
+  WHEN 'text' THEN 'dxf_text' WHEN 'labels' THEN 'dxf_text' END"""
+oracle("fallback_counts", f"SELECT requested, final AS delivered, {REASON} AS reason, count(*) AS n FROM sent WHERE fallback_used GROUP BY 1, 2, 3", *LADDER)
+oracle(
+    "entity_type_rollup",
+    f"""SELECT doc_id, a AS dxf_text, b AS native_3d_text, c AS outline_curve_or_mesh, d AS raw_geometry_edges, a + b + c + d AS total,
+      CASE WHEN (a > 0)::INT + (b > 0)::INT + (c > 0)::INT + (d > 0)::INT > 1 THEN 'mixed' WHEN a > 0 THEN 'text' WHEN b > 0 THEN '3d_text' WHEN c > 0 THEN 'glyphs' ELSE 'geometry' END AS entity_type,
+      a + b > 0 AS font_rendered
+    FROM (SELECT doc_id, count(*) FILTER (bk = 'dxf_text') AS a, count(*) FILTER (bk = 'native_3d_text') AS b, count(*) FILTER (bk = 'outline_curve_or_mesh') AS c,
+          count(*) FILTER (bk = 'raw_geometry_edges') AS d FROM (SELECT doc_id, {BUCKET} AS bk FROM sent WHERE verified) GROUP BY 1)""",
+    *LADDER,
+)
+oracle(
+    "delivery_examples",
+    """SELECT doc_id, final, rank, source_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, final ORDER BY source_id) AS rank FROM sent WHERE verified) WHERE rank <= 3""",
+    *LADDER,
+)
+oracle(
+    "fallback_transitions",
+    """SELECT run_id, id, "from", "to", reason, page, src AS origin FROM (SELECT *, row_number() OVER (PARTITION BY run_id, id, "from", "to", reason ORDER BY src, ord) AS k FROM al
+      WHERE "from" <> "to" AND reason <> '') WHERE k = 1""",
+    ("a0", """SELECT doc_id AS run_id, CAST(source_id AS VARCHAR) AS id, requested AS "from", attempted AS "to", CASE WHEN ord % 4 = 0 THEN '' ELSE outcome END AS reason, ord, page
+       FROM v_attempts WHERE outcome <> 'verified'"""),
+    ("owners", "SELECT DISTINCT run_id FROM a0 WHERE run_id % 3 = 0 AND ord % 2 = 0"),
+    ("al", """SELECT *, 0 AS src FROM a0 WHERE run_id % 3 = 0 AND ord % 2 = 0
+       UNION ALL SELECT *, 1 FROM a0 WHERE ord % 2 = 0 AND run_id NOT IN (SELECT run_id FROM owners)
+       UNION ALL SELECT *, 2 FROM a0 WHERE ord % 3 = 0 AND run_id NOT IN (SELECT run_id FROM owners)"""),
+)
+oracle(
+    "provenance",
+    f"""SELECT concat_ws(':', 'text_span', t.page, s.source_id, 'entity', s.handle) AS object_id, t.page, 'text_span' AS source_kind, {BUCKET} AS created_entity_type,
+      s.handle AS parent_handle, t.bx0, t.by0, t.bx1, t.by1, requested AS selected_text_mode, CASE WHEN fallback_used THEN {REASON} ELSE '' END AS fallback_reason, s.source_id AS span_id
+    FROM sent s JOIN v_texts t ON s.source_id = t.text_id WHERE s.verified AND s.handle IS NOT NULL""",
+    *LADDER,
+)
+oracle(
+    "counts_delta",
+    """SELECT run_id, stage, count(*) FILTER (ord % 2 = 0) AS before, count(*) FILTER (ord % 2 = 1) AS after, count(*) FILTER (ord % 2 = 1) - count(*) FILTER (ord % 2 = 0) AS delta
+      FROM v_events GROUP BY 1, 2""",
+)
+oracle(
+    "raster_compare",
+    f"""SELECT asset_id, same AS same_size, same AND err = 0 AS pixel_exact, CASE WHEN same THEN {r('err / (n * 4)', 6)} END AS mae,
+      {r('CASE WHEN NOT same THEN 0 WHEN ink > 0 THEN kept / ink ELSE 1 END', 6)} AS ink_recall
+    FROM (SELECT asset_id, coalesce(max(e.y) = max(d.y) AND max(e.x) = max(d.x), false) AS same, sum(abs(e.r-d.r) + abs(e.g-d.g) + abs(e.b-d.b) + abs(e.a-d.a)) AS err, count(*) AS n,
+          count(*) FILTER (e.a > 0 AND least(e.r, e.g, e.b) < 250) AS ink,
+          count(*) FILTER (e.a > 0 AND least(e.r, e.g, e.b) < 250 AND d.a > 0 AND least(d.r, d.g, d.b) < 250) AS kept
+          FROM v_pixels e FULL OUTER JOIN (SELECT * REPLACE (asset_id + 1 AS asset_id) FROM v_pixels) d USING (asset_id, x, y) GROUP BY 1)""",
+)
+oracle(
+    "alpha_class",
+    """SELECT asset_id, CASE WHEN n = 0 THEN 'zero' WHEN part THEN 'compositing_required' WHEN n = (rt-lf)*(bt-tp) AND lf = 0 AND tp = 0 AND rt = w AND bt = h THEN 'opaque'
+      WHEN n = (rt-lf)*(bt-tp) THEN 'rectangular_opaque' ELSE 'binary_mask' END AS kind, coalesce(lf, 0) AS left, coalesce(tp, 0) AS top, coalesce(rt, 0) AS right, coalesce(bt, 0) AS bottom
+    FROM (SELECT asset_id, max(x)+1 AS w, max(y)+1 AS h, count(*) FILTER (a > 0) AS n, bool_or(a > 0 AND a < 255) AS part, min(x) FILTER (a > 0) AS lf, min(y) FILTER (a > 0) AS tp,
+          max(x) FILTER (a > 0) + 1 AS rt, max(y) FILTER (a > 0) + 1 AS bt FROM v_pixels GROUP BY 1)""",
+)
+
+# ---- aggregations and ranks --------------------------------------------------------------------
+
+
+def hatch_stats(keys: str, src: str) -> list[tuple[str, str]]:
+    return [
+        ("h1", f"SELECT *, proj - lag(proj) OVER (PARTITION BY {keys} ORDER BY proj) AS gap FROM {src}"),
+        ("h2", f"""SELECT {keys}, count(*) AS n, avg(gap) AS mean_spacing, CASE WHEN avg(gap) > 0 THEN stddev_pop(gap) / avg(gap) END AS spacing_cv,
+           stddev_pop(len) / avg(len) AS length_cv FROM h1 GROUP BY {keys} HAVING count(*) >= 6"""),
+        ("h3", "SELECT *, coalesce(mean_spacing >= 0.3 AND spacing_cv < 0.35 AND length_cv < 0.5, false) AS accepted FROM h2"),
+    ]
+
+
+ACROSS = "my * cos(radians($A)) - mx * sin(radians($A))"
+oracle(
+    "hatch_accept",
+    f"SELECT doc_id, page, bin, n, {r('mean_spacing')} AS mean_spacing, {r('spacing_cv')} AS spacing_cv, {r('length_cv')} AS length_cv, accepted FROM h3",
+    SEGS, ("hb", f"SELECT *, {ACROSS.replace('$A', 'bin * 3.0')} AS proj FROM (SELECT *, CAST(floor(angle / 3) AS BIGINT) AS bin FROM segs)"),
+    *hatch_stats("doc_id, page, bin", "hb"),
+)
+NEAR = "CASE WHEN abs(q - $A) > 90 THEN 180 - abs(q - $A) ELSE abs(q - $A) END < 3"
+HATCH = [
+    SEGS,
+    ("ang", "SELECT doc_id, page, angle, min(ord) AS ord FROM segs GROUP BY 1, 2, 3"),
+    ("lead", f"""SELECT doc_id, page, list_reduce(list([angle] ORDER BY ord), lambda acc, a:
+       CASE WHEN len(list_filter(acc, lambda q: {NEAR.replace('$A', 'a[1]')})) > 0 THEN acc ELSE list_concat(acc, a) END) AS ls FROM ang GROUP BY 1, 2"""),
+    ("own", f"SELECT segs.*, list_filter(ls, lambda q: {NEAR.replace('$A', 'angle')})[1] AS la FROM segs JOIN lead USING (doc_id, page)"),
+    ("own2", f"SELECT own.*, ang.ord AS leader, {ACROSS.replace('$A', 'la')} AS proj FROM own JOIN ang ON own.doc_id = ang.doc_id AND own.page = ang.page AND own.la = ang.angle"),
+    *hatch_stats("doc_id, page, leader", "own2"),
+    ("hatch", "SELECT doc_id, page, prim_id, leader FROM own2 SEMI JOIN (SELECT * FROM h3 WHERE accepted) g USING (doc_id, page, leader)"),
+]
+oracle("hatch_groups", "SELECT * FROM hatch", *HATCH)
+oracle(
+    "hatch_policy",
+    """SELECT doc_id, page, CASE WHEN prim_id IN (SELECT prim_id FROM hatch) THEN concat('Hatch_Page_', page) ELSE trim(layer) END AS layer, count(*) AS prims
+      FROM v_prims GROUP BY 1, 2, 3""",
+    *HATCH,
+)
+BOXES = ("boxes", f"""SELECT doc_id, page, ord, floor(bx0/12) AS bx0, floor(by0/12) AS by0, floor(bx1/12) AS bx1, floor(by1/12) AS by1 FROM v_prims WHERE {LOOP} AND area < 50""")
+
+
+def box_steps(gap: float) -> list[tuple[str, str]]:
+    near = f"greatest(q.x0 - $B.x1, $B.x0 - q.x1, 0) < {gap} AND greatest(q.y0 - $B.y1, $B.y0 - q.y1, 0) < {gap}"
+    return [
+        BOXES,
+        ("bl", f"""SELECT doc_id, page, list_reduce(list([{{'o': ord, 'x0': bx0, 'y0': by0, 'x1': bx1, 'y1': by1}}] ORDER BY ord), lambda acc, a:
+           CASE WHEN len(list_filter(acc, lambda q: {near.replace('$B', 'a[1]')})) > 0 THEN acc ELSE list_concat(acc, a) END) AS ls FROM boxes GROUP BY 1, 2"""),
+        ("links", f"""SELECT * FROM (SELECT b.*, unnest(list_filter(ls, lambda q: {near.replace('$B', "{'x0': bx0, 'y0': by0, 'x1': bx1, 'y1': by1}")})) AS l
+           FROM boxes b JOIN bl USING (doc_id, page)) WHERE l.o <= ord"""),
+        ("owner", "SELECT doc_id, page, ord, min(l.o) AS leader, any_value(bx0) AS bx0, any_value(by0) AS by0, any_value(bx1) AS bx1, any_value(by1) AS by1 FROM links GROUP BY 1, 2, 3"),
+    ]
+
+
+oracle("bbox_adjacent", "SELECT doc_id, page, ord, l.o AS leader FROM links", *box_steps(12.0))
+oracle("leader_cluster", "SELECT doc_id, page, ord, leader FROM owner", *box_steps(30.0))
+oracle(
+    "table_regions",
+    "SELECT doc_id, page, leader, count(*) AS cells, min(bx0) AS x0, min(by0) AS y0, max(bx1) AS x1, max(by1) AS y1 FROM owner GROUP BY 1, 2, 3 HAVING count(*) >= 2",
+    *box_steps(60.0),
+)
+oracle(
+    "regions",
+    """SELECT doc_id, page, region, type, CASE type WHEN 'title_block' THEN 'TitleBlock' WHEN 'assembly' THEN 'Assembly' ELSE concat('Detail_', region) END AS label,
+      CAST(CASE WHEN type = 'title_block' THEN 0.8 ELSE 0 END AS DOUBLE) AS confidence, prims, x0, y0, x1, y1
+    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY label) AS region,
+            CASE WHEN y0 < height*0.15 AND y1 < height*0.3 THEN 'title_block' WHEN prims > 50 THEN 'assembly' ELSE 'detail' END AS type
+          FROM (SELECT doc_id, page, label, CAST(sum(n) AS BIGINT) AS prims, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1
+                FROM cells JOIN (SELECT doc_id, page, ord, min(lb) AS label FROM reach GROUP BY 1, 2, 3) USING (doc_id, page, ord)
+                GROUP BY 1, 2, 3 HAVING sum(n) >= 3) JOIN (SELECT doc_id, page, height FROM v_pages) USING (doc_id, page))""",
+    CELLS,
+    ("edges", """SELECT a.doc_id, a.page, a.ord AS a, b.ord AS b FROM cells a JOIN cells b
+       ON a.doc_id = b.doc_id AND a.page = b.page AND abs(a.gx - b.gx) <= 1 AND abs(a.gy - b.gy) <= 1"""),
+    ("reach", "SELECT doc_id, page, ord, ord AS lb FROM cells UNION SELECT e.doc_id, e.page, e.b, r.lb FROM reach r JOIN edges e ON e.doc_id = r.doc_id AND e.page = r.page AND e.a = r.ord AND e.b > r.lb"),
+    recursive=True,
+)
+FACTS = [
+    ("pt", """SELECT prim_id, closed, seq, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy FROM v_points
+       WINDOW w AS (PARTITION BY prim_id ORDER BY seq)"""),
+    ("facts", """SELECT prim_id, closed, count(*) AS n_points, min(x) AS bx0, min(y) AS by0, max(x) AS bx1, max(y) AS by1,
+       CASE WHEN closed AND count(*) >= 3 THEN abs(sum(x * coalesce(ny, fy) - coalesce(nx, fx) * y)) / 2 END AS area,
+       CASE WHEN count(*) = 2 THEN 'line' WHEN closed THEN 'closed_loop' ELSE 'polyline' END AS type FROM pt GROUP BY 1, 2"""),
+]
+oracle(
+    "repeated_patterns",
+    """SELECT area_key, n_points, count, prim_id FROM (SELECT *, count(*) OVER (PARTITION BY area_key, n_points) AS count FROM
+      (SELECT *, CAST(round_even(area, 0) AS BIGINT) AS area_key FROM facts WHERE type = 'closed_loop' AND area > 1)) WHERE count >= 3""",
+    *FACTS,
+)
+oracle("boundaries", "SELECT prim_id, area, bx0, by0, bx1, by1 FROM facts WHERE type = 'closed_loop' AND closed AND area >= 100 ORDER BY area DESC, prim_id", *FACTS)
+ST = ("extract_ms", "host_build_ms", "cache_lookup_ms", "cache_store_ms", "other_ms")
+oracle(
+    "stage_timing",
+    "SELECT run_id, " + ", ".join(f"{r(f'sum(ms) FILTER (stage = {lit(k)})', 3)} AS {k}, count(*) FILTER (stage = '{k}') AS {k}_count" for k in ST)
+    + f""", count(*) FILTER (stage = 'other_ms') AS unclassified, any_value(total_ms) AS total_ms, {r('greatest(any_value(total_ms) - sum(ms), 0)', 3)} AS unaccounted_ms,
+      {r("coalesce(sum(ms) FILTER (stage = 'extract_ms'), 0) / any_value(total_ms) * 100", 3)} AS extract_share_pct,
+      {r("coalesce(sum(ms) FILTER (stage = 'host_build_ms'), 0) / any_value(total_ms) * 100", 3)} AS host_build_share_pct
+    FROM v_events JOIN (SELECT run_id, CAST(count(*) * 40 AS DOUBLE) AS total_ms FROM v_events GROUP BY 1) USING (run_id) WHERE ms >= 0 GROUP BY 1""",
+)
+oracle(
+    "page_progress",
+    f"""SELECT run_id, ord, ms, row_number() OVER (PARTITION BY run_id ORDER BY ord) AS position, count(*) OVER (PARTITION BY run_id) AS total,
+      {r('sum(ms) OVER (PARTITION BY run_id ORDER BY ord)', 3)} AS elapsed_ms, ms > 60 AS over_budget FROM v_events WHERE ms >= 0""",
+)
+oracle(
+    "batch_rollup",
+    """SELECT run_id, count(*) AS total, count(*) FILTER (NOT crashed) AS passed, count(*) FILTER (crashed) AS failed, count(*) FILTER (NOT crashed AND entities >= 5) AS smoke_passed,
+      CAST(sum(CASE WHEN crashed THEN 0 ELSE entities END) AS BIGINT) AS entities FROM v_outcomes GROUP BY 1""",
+)
+oracle(
+    "corpus_quantiles",
+    " UNION ALL ".join(
+        f"SELECT '{m}' AS metric, {r(f'quantile_cont({m}, 0.5)')} AS p50, {r(f'quantile_cont({m}, 0.99)')} AS p99, CAST(max({m}) AS DOUBLE) AS max, {r(f'{cap} / max({m})')} AS headroom FROM q"
+        for m, cap in (("resolved_objects", 4096), ("decoded_bytes", 16777216), ("operator_tokens", 1000000))
+    ),
+    ("q", "SELECT run_id, CAST(count(*) AS DOUBLE) AS resolved_objects, CAST(sum(ord) AS DOUBLE) AS decoded_bytes, CAST(max(ord) AS DOUBLE) AS operator_tokens FROM v_events GROUP BY 1"),
+)
+oracle(
+    "image_dedupe",
+    "SELECT doc_id, page, xref, smask, ord, px_w, px_h FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, xref, smask ORDER BY ord) AS k FROM v_images) WHERE k = 1",
+)
+oracle(
+    "image_composite",
+    """SELECT doc_id, page, kind, ord, a, d, CAST(1 AS BIGINT) AS instances FROM v_images JOIN st USING (doc_id, page, kind) WHERE NOT folds
+      UNION ALL SELECT doc_id, page, concat(kind, '_page_fidelity_required'), NULL, width, height, n FROM st JOIN v_pages USING (doc_id, page) WHERE folds""",
+    ("st", "SELECT doc_id, page, kind, count(*) AS n, count(*) > 38 OR bool_or(kind = 'inline_image' AND NOT (a > 0 AND d > 0 AND b = 0 AND c = 0)) AS folds FROM v_images GROUP BY 1, 2, 3"),
+)
+oracle(
+    "raster_budget_greedy",
+    """SELECT doc_id, q.o AS ord, q.p AS px, list_contains(kept, q.o) AS admitted FROM (
+      SELECT doc_id, unnest(items) AS q, list_transform(list_reduce(list_transform(items, lambda i: [i]), lambda acc, i:
+        CASE WHEN list_sum(list_transform(acc, lambda z: z.p)) + i[1].p <= 2000000 THEN list_concat(acc, i) ELSE acc END), lambda z: z.o) AS kept
+      FROM (SELECT doc_id, list({'o': ord, 'p': px_w * px_h} ORDER BY ord) AS items FROM v_images GROUP BY 1))""",
+)
+oracle(
+    "font_substitution",
+    """SELECT doc_id, len(f) AS fonts, concat(array_to_string(f[1:5], ', '), CASE WHEN len(f) > 5 THEN concat(' (+', len(f) - 5, ' more)') ELSE '' END) AS sample
+      FROM (SELECT doc_id, list_sort(list(DISTINCT trim(font_name))) AS f FROM v_texts WHERE NOT embedded GROUP BY 1)""",
+)
+oracle(
+    "set_digest",
+    """SELECT folder, sha256(string_agg(h, chr(10) ORDER BY block)) AS sha256, CAST(sum(n) AS BIGINT) AS files FROM
+      (SELECT folder, block, sha256(string_agg(line, chr(10) ORDER BY line)) AS h, count(*) AS n FROM
+        (SELECT folder, line, CAST(concat('0x', sha256(line)[1:4]) AS BIGINT) % 64 AS block FROM (SELECT folder, concat(path, '=', sha256) AS line FROM files)) GROUP BY 1, 2) GROUP BY 1""",
+    FILES,
+)
+HINT = f"coalesce({sq.replace('$E', ex('$T', tx.PLATE, 0))}, {designation(ex('$T', tx.MEMBER, 0))}, {sq.replace('$E', ex('$T', tx.ROW_PROFILE, 1))})"
+HEADS = ", ".join(lit(h) for h in tx.HEADER_LINES)
+BOM = [
+    ("b0", "SELECT doc_id, ord, page, trim(text) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS pos FROM v_texts WHERE trim(text) <> ''"),
+    ("b1", f"""SELECT *, {length_in('t')} AS ln, upper(t) IN ({HEADS}) AS head, {has('t', tx.MARK_LINE)} AS mark, {has('t', tx.QTY_LINE)} AS qty, {has('t', tx.WEIGHT_LINE)} AS wt,
+       {HINT.replace('$T', 't')} AS hint FROM b0"""),
+    ("b2", "SELECT *, {'t': t, 'ln': ln, 'head': head, 'mark': mark, 'qty': qty, 'wt': wt, 'hint': hint} AS s FROM b1"),
+    ("b3", "SELECT *, " + ", ".join(f"lead(s, {i}) OVER w AS n{i}" for i in range(1, 8)) + " FROM b2 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)"),
+    ("b4", "SELECT *, [n4, n5, n6, n7] AS tail, CASE WHEN n4.wt THEN 1 ELSE 0 END AS w FROM b3 WHERE NOT head AND mark AND n1.qty AND n2.hint IS NOT NULL AND n3.ln IS NOT NULL"),
+    ("b5", "SELECT *, CASE WHEN tail[1 + w] IS NOT NULL AND NOT tail[1 + w].mark AND NOT tail[1 + w].head THEN 1 ELSE 0 END AS rr FROM b4"),
+    ("b6", f"""SELECT doc_id, pos AS line_start, t AS piece_mark, CAST(n1.t AS BIGINT) AS quantity, n2.t AS description, n2.hint AS profile_hint,
+       CASE WHEN upper(n2.hint) LIKE 'PL%' THEN 'plate' ELSE 'member' END AS kind, {r('n3.ln')} AS length_in, CASE WHEN w = 1 THEN {r('CAST(n4.t AS DOUBLE)')} END AS total_weight,
+       CASE WHEN rr = 1 THEN tail[1 + w].t END AS remarks,
+       CASE WHEN tail[1+w+rr] IS NOT NULL AND NOT (tail[1+w+rr].mark AND coalesce(tail[2+w+rr].qty, false)) AND NOT tail[1+w+rr].head THEN tail[1+w+rr].t END AS grade FROM b5"""),
+]
+oracle("bom_sequence_rows", "SELECT * FROM b6", *BOM)
+oracle(
+    "bom_line_rows",
+    f"""SELECT doc_id, piece_mark, greatest(1, coalesce(CAST(coalesce({ex('t', tx.QTY_LABEL)}, {ex('t', tx.QTY_LEADING)}) AS BIGINT), 1)) AS quantity, hint AS profile_hint,
+      CASE WHEN hint IS NULL THEN NULL WHEN upper(hint) LIKE 'PL%' THEN 'plate' ELSE 'member' END AS kind, {r('ln')} AS length_in, page
+    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(piece_mark) ORDER BY ord) AS k FROM
+      (SELECT *, coalesce({ex('t', tx.PIECE_MARK)}, hint) AS piece_mark FROM b1 WHERE doc_id NOT IN (SELECT doc_id FROM b6 WHERE quantity > 40)) WHERE piece_mark IS NOT NULL) WHERE k = 1""",
+    *BOM,
+)
+
+# ---- rules ------------------------------------------------------------------------------------------
+
+DERIVED = """coalesce(effective_page_strategy <> 'visual_recovery' AND structural_status = 'pass' AND requested_representation_status IN ('pass', 'not_applicable') AND visual_status = 'pass', false)"""
+RECOV = "effective_page_strategy = 'visual_recovery'"
+LAWS = [
+    (f"requested_representation = 'raster' AND ({RECOV} OR visual_recovery <> 'absent')", "law5_raster_label"),
+    (f"{RECOV} AND has_item_transitions", "law2_item_transitions"),
+    (f"{RECOV} AND requested_representation_status = 'pass'", "law2_representation_pass"),
+    (f"{RECOV} AND structural_status <> 'not_certified'", "law3_structural"),
+    (f"{RECOV} AND requested_representation NOT IN ('raster', 'none') AND requested_representation_status <> 'fail'", "law3_representation"),
+    (f"{RECOV} AND native_peer_count <> 0", "law6_native_peers"),
+    ("visual_status = 'pass' AND visual_proof_digest = ''", "law3_visual_proof"),
+    ("visual_status = 'pass' AND visual_recovery = 'failed'", "law6_failed_recovery"),
+    (f"cell_status = 'pass' AND NOT {DERIVED}", "law4_cell_pass"),
+]
+WORDS = [
+    ("effective_page_strategy = 'warp'", "vocabulary:effective_page_strategy"),
+    ("requested_representation_status IS NULL", "missing:requested_representation_status"),
+]
+
+
+def codes(tests) -> str:
+    """Codes of the tests that hold, in alphabetical order."""
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {t} THEN '{c}' END" for t, c in sorted(tests, key=lambda p: p[1])) + ")"
+
+
+oracle(
+    "outcome_violations",
+    f"SELECT cell_id, CASE WHEN {' OR '.join(t for t, _ in WORDS)} THEN {codes(WORDS)} ELSE {codes(LAWS)} END AS violations FROM v_outcomes",
+)
+oracle(
+    "cell_status",
+    f"""SELECT run_id, CASE WHEN {DERIVED} THEN 'pass' ELSE 'fail' END AS status, CASE WHEN {RECOV} THEN 'visual recovery created; requested representation not certified'
+      WHEN {DERIVED} THEN 'requested representation delivered and certified' ELSE 'requested representation not certified' END AS completion, count(*) AS n FROM v_outcomes GROUP BY 1, 2, 3""",
+)
+oracle(
+    "source_profile_check",
+    "SELECT o_orderkey AS cell_id, " + codes([
+        ("o_orderkey % 37 = 0", "schema"), ("o_orderkey % 19 = 0", "closed_world_mode"), ("o_orderkey % 19 <> 0 AND o_orderkey % 43 = 0", "accounting_mode"),
+        ("o_orderkey % 31 = 0", "closed_world_flag"), ("o_orderkey % 29 = 0", "scan_complete"), ("o_orderkey % 23 = 0", "status_code"),
+        ("o_orderkey % 5 = 2", "unknown_code"), ("o_orderkey % 5 = 1", "codes_order"),
+    ]) + " AS faults, o_orderkey % 19 = 0 AND o_orderkey % 29 = 0 AND o_orderkey % 5 > 2 AS native_eligible FROM orders",
+)
+BREACH = [("o_orderkey % 6000 > 4096", "resolved_objects"), ("o_orderkey * 4001 > 16777216", "decoded_bytes"),
+          ("trunc(o_totalprice) > 250000", "operator_tokens"), ("o_orderkey % 2100 > 2048", "annotation_entries")]
+ANY = " OR ".join(t for t, _ in BREACH)
+oracle(
+    "limit_breaches",
+    f"""SELECT o_orderkey AS cell_id, {codes(BREACH)} AS breaches,
+      CASE WHEN {ANY} THEN 'incomplete' WHEN o_orderkey % 29 = 0 THEN 'complete' WHEN o_orderkey % 2 = 0 THEN 'partial' ELSE 'incomplete' END AS scan_status,
+      CASE WHEN {ANY} THEN 'resource_budget_incomplete' WHEN o_orderkey % 23 = 0 THEN 'weird' ELSE 'source_profile_partial' END AS status_code FROM orders""",
+)
+oracle(
+    "contract_ready",
+    """SELECT *, build_stamp AND scale_crosscheck AND actual_text_entity_types AND text_delivery AND result_succeeded AND no_terminal_failure AND no_open_failure AS ready, count(*) AS n
+    FROM (SELECT o % 9 > 0 AS build_stamp, NOT (o % 16 = 2) AS scale_crosscheck, o % 23 <= 0 OR o % 7 > 0 AS actual_text_entity_types,
+      o % 5 = 0 OR o % 3 <= 0 OR o % 8 = 0 OR o % 10 < 7 AS text_delivery, o % 6 <> 0 AND o % 17 <> 0 AS result_succeeded, o % 17 <> 0 AS no_terminal_failure, o % 41 <> 0 AS no_open_failure
+      FROM (SELECT o_orderkey AS o FROM orders)) GROUP BY ALL""",
+)
+oracle(
+    "scale_crosscheck",
+    """SELECT doc_id, CASE WHEN reasons = '' THEN 'ok' ELSE 'warn' END AS level, reasons FROM (SELECT doc_id, concat_ws(',',
+      CASE WHEN hi > 0 AND f > 0 AND (abs(lo - f) / greatest(lo, f) > 0.15 OR abs(hi - f) / greatest(hi, f) > 0.15) THEN 'conflicting_scale_notations' END,
+      CASE WHEN f IS NOT NULL AND cf < 0.70 THEN 'low_confidence' END, CASE WHEN f IS NULL THEN 'no_scale_detected' END,
+      CASE WHEN doc_id % 2 = 0 AND f IS NOT NULL AND coalesce(dc, 0) >= 3 AND cf < 0.85 THEN 'titleblock_dimension_tension' END,
+      CASE WHEN doc_id % 2 = 0 AND f IS NOT NULL AND source <> 'titleblock' THEN 'titleblock_source_mismatch' END) AS reasons
+    FROM (SELECT DISTINCT doc_id FROM v_pages)
+    LEFT JOIN (SELECT doc_id, factor AS f, confidence AS cf, source FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, page) AS k FROM scales WHERE confidence > 0) WHERE k = 1) USING (doc_id)
+    LEFT JOIN (SELECT doc_id, min(factor) AS lo, max(factor) AS hi FROM scales WHERE confidence > 0 GROUP BY 1) USING (doc_id)
+    LEFT JOIN (SELECT doc_id, count(*) AS dc FROM v_texts WHERE """ + tag("dimension_like") + " GROUP BY 1) USING (doc_id))",
+    *SCALE_STEPS,
+)
+oracle(
+    "recognition_review",
+    """SELECT prim_id, 'plate' AS kind, printf('Dimensions: %.1f x %.1fmm, thickness=1/2', bx1 - bx0, by1 - by0) AS note FROM facts WHERE closed AND prim_id % 3 = 0 AND bx1 > bx0 AND by1 > by0
+      UNION ALL SELECT prim_id, 'hole', 'Hole not inside any detected plate' FROM v_prims WHERE type = 'circle' AND prim_id % 2 = 1 AND prim_id % 10 / 10.0 > 0.5""",
+    *FACTS,
+)
+oracle(
+    "recognize_pages",
+    f"""SELECT doc_id, page, primary_type AS mode_used, coalesce(tb, 0) AS title_block, coalesce(dm, 0) AS dims, coalesce(lk, 0) AS linked FROM profile
+    LEFT JOIN (SELECT b.doc_id, b.page, 1 AS tb FROM (SELECT doc_id, page, count(*) AS n, max(iy)+1 AS y1 FROM v_texts WHERE {tag('titleblock_like')} GROUP BY 1, 2) b JOIN v_pages p
+      ON b.doc_id = p.doc_id AND b.page = p.page WHERE n >= 2 AND y1 < height*0.4) USING (doc_id, page)
+    LEFT JOIN (SELECT doc_id, page, count(*) AS dm, count(*) FILTER (EXISTS (SELECT 1 FROM v_prims p WHERE p.doc_id = t.doc_id AND p.page = t.page
+        AND sqrt((t.ix-(bx0+bx1)/2)**2 + (t.iy-(by0+by1)/2)**2) < 75)) AS lk FROM dims t GROUP BY 1, 2) USING (doc_id, page)""",
+    *PROFILE_STEPS, *dimension_steps("v_texts", "text"),
+    ("dims", f"SELECT doc_id, page, text_id, ix, iy FROM d3 WHERE {tag('dimension_like')} AND kind <> 'unknown' AND conf >= 0.3"),
+)
+
+# ---- streaming jobs ---------------------------------------------------------------------------------
+
+oracle(
+    "stream_stage_timing",
+    f"SELECT run_id, stage, date_trunc('hour', ts) AS window_start, {r('sum(ms)', 3)} AS ms, count(*) AS n FROM v_events WHERE ms >= 0 GROUP BY 1, 2, 3",
+)
+oracle(
+    "stream_stage_timing_sliding",
+    f"""SELECT run_id, stage, w AS window_start, {r('sum(ms)', 3)} AS ms, count(*) AS n FROM (
+      SELECT *, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS w FROM v_events WHERE ms >= 0) GROUP BY 1, 2, 3""",
+)
+oracle(
+    "stream_sessions",
+    f"""SELECT run_id, min(ts) AS session_start, count(*) AS events, {r('sum(ms) FILTER (ms >= 0)', 3)} AS ms FROM (
+      SELECT *, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY ts) AS sid
+      FROM (SELECT *, lag(ts) OVER (PARTITION BY run_id ORDER BY ts) AS p FROM v_events)) GROUP BY run_id, sid""",
+)
+oracle(
+    "stream_over_budget",
+    f"SELECT run_id, {r('sum(ms)', 3)} AS elapsed_ms, count(*) AS pages FROM v_events WHERE ms >= 0 GROUP BY 1 HAVING sum(ms) > 3200",
+)
+oracle(
+    "stream_pages",
+    f"SELECT doc_id, page, count(*) FILTER (NOT ({MICRO.replace('< 6', '< 4.5')})) AS kept, count(*) FILTER ({MICRO.replace('< 6', '< 4.5')}) AS removed FROM v_prims GROUP BY 1, 2",
+)

@@ -8,18 +8,17 @@ from pyspark.sql import functions as F
 from ..config import Recognition
 from ..functions import text as tx
 from ..operators import clusters, page_rules, shapes, text_jobs
+from .scale import keep_when
 
 PAGE = ["doc_id", "page"]
 
 
 def dimension_texts(texts: DataFrame, cfg: Recognition = Recognition()) -> DataFrame:
     """Texts that look like and parse as a dimension of sufficient confidence."""
-    tagged = texts.withColumn(
-        "_like", tx.tag_flag("dimension_like", F.col("text"), F.col("normalized"))
-    )
+    tagged = texts.filter(tx.tag_flag("dimension_like", F.col("text"), F.col("normalized")))
     d = tx.with_dimension(tagged, F.col("text"), "dim")
     has = F.coalesce("dim.value", "dim.width", "dim.ratio_num").isNotNull()
-    return d.filter(F.col("_like") & has & (F.col("dim.confidence") >= cfg.min_dimension_confidence)).drop("_like")
+    return keep_when(d, has & (F.col("dim.confidence") >= cfg.min_dimension_confidence))
 
 
 def recognize_pages(

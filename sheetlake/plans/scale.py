@@ -214,3 +214,13 @@ def spread_join(
     dealt = rows.withColumn("_salt", F.pmod(F.hash(salt_on), F.lit(salts)))
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
+def keep_when(df: DataFrame, test: Column) -> DataFrame:
+    """A filter the optimizer leaves in place.
+
+    A plain filter on a deeply derived column is pushed to the scan with the whole derivation
+    written out again, once per use; behind a generator it reads the finished column.
+    """
+    once = F.when(test, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return df.withColumn("_keep", F.explode(once)).drop("_keep")

@@ -91,7 +91,7 @@ def size_label(size: Column) -> Column:
     """Size in the largest unit below 1024."""
     out = None
     for i, unit in enumerate(SIZE_UNITS):
-        text = F.format_string(f"%.2f {unit}", size / (1024.0**i))
+        text = F.format_string(f"%.2f {unit}", F.bround(size / (1024.0**i), 2))
         if i == len(SIZE_UNITS) - 1:
             return out.otherwise(text)
         test = size < 1024.0 ** (i + 1)
