@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..plans.scale import block_of, dense_position
+from ..plans.scale import block_of, cut_lineage, dense_position, keep_when
 
 PAGE = ["doc_id", "page"]
 OBSERVED = ("text", "ix", "iy", "font_size", "rotation", "font_name", "laid_out")
@@ -164,14 +164,15 @@ def fraction_candidates(near: DataFrame) -> DataFrame:
              & (F.col("d_font_name") == F.col("s_font_name"))).alias("bound"),
         )
     )
-    return single.unionByName(pair).filter("encoding is not null")
+    return keep_when(single.unionByName(pair), F.col("encoding").isNotNull())
 
 
 def merge_decisions(texts: DataFrame, chars: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, members): one accepted proposal per fraction, and every class's items."""
-    sp = spans(texts, chars)
-    near = near_digits(sp)
-    cand = fraction_candidates(near)
+    sp = cut_lineage(spans(texts, chars))
+    # Read by several joins below, so each is written once.
+    near = cut_lineage(near_digits(sp))
+    cand = cut_lineage(fraction_candidates(near))
     members = sp.select(*PAGE, "cls", "text_id", "ord")
     bad = near.groupBy(*PAGE, "s_cls").agg(
         F.max((~F.col("good_slash")).cast("int")).alias("bad_slash"),
@@ -208,6 +209,7 @@ def merge_decisions(texts: DataFrame, chars: DataFrame) -> tuple[DataFrame, Data
 def merge_fractions(texts: DataFrame, chars: DataFrame) -> DataFrame:
     """Texts with every unambiguous fraction merged into its slash, and dense page-local ids."""
     accepted, members = merge_decisions(texts, chars)
+    accepted = cut_lineage(accepted)
     eaten = accepted.select(*PAGE, F.explode("parts").alias("cls")).join(members, [*PAGE, "cls"]).select(
         *PAGE, "text_id"
     ).distinct()

@@ -1099,8 +1099,8 @@ BOM = [
     ("b3", "SELECT *, " + ", ".join(f"lead(s, {i}) OVER w AS n{i}" for i in range(1, 8)) + " FROM b2 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)"),
     ("b4", "SELECT *, [n4, n5, n6, n7] AS tail, CASE WHEN n4.wt THEN 1 ELSE 0 END AS w FROM b3 WHERE NOT head AND mark AND n1.qty AND n2.hint IS NOT NULL AND n3.ln IS NOT NULL"),
     ("b5", "SELECT *, CASE WHEN tail[1 + w] IS NOT NULL AND NOT tail[1 + w].mark AND NOT tail[1 + w].head THEN 1 ELSE 0 END AS rr FROM b4"),
-    ("b6", f"""SELECT doc_id, pos AS line_start, t AS piece_mark, CAST(n1.t AS BIGINT) AS quantity, n2.t AS description, n2.hint AS profile_hint,
-       CASE WHEN upper(n2.hint) LIKE 'PL%' THEN 'plate' ELSE 'member' END AS kind, {r('n3.ln')} AS length_in, CASE WHEN w = 1 THEN {r('CAST(n4.t AS DOUBLE)')} END AS total_weight,
+    ("b6", f"""SELECT doc_id, pos AS line_start, t AS piece_mark, TRY_CAST(n1.t AS BIGINT) AS quantity, n2.t AS description, n2.hint AS profile_hint,
+       CASE WHEN upper(n2.hint) LIKE 'PL%' THEN 'plate' ELSE 'member' END AS kind, {r('n3.ln')} AS length_in, CASE WHEN w = 1 THEN {r('TRY_CAST(n4.t AS DOUBLE)')} END AS total_weight,
        CASE WHEN rr = 1 THEN tail[1 + w].t END AS remarks,
        CASE WHEN tail[1+w+rr] IS NOT NULL AND NOT (tail[1+w+rr].mark AND coalesce(tail[2+w+rr].qty, false)) AND NOT tail[1+w+rr].head THEN tail[1+w+rr].t END AS grade FROM b5"""),
 ]

@@ -163,14 +163,13 @@ def find_circles(c):
 
 def _all_prims(c):
     """Segments and arc polylines as one primitive table; arc ids are negative."""
-    cols = [*PAGE, "prim_id", "type", "n_points", "layer"]
     arcs = _arc_headers(c).select(
         F.floor(F.col("pg") / 3).cast("long").alias("doc_id"),
         (F.col("pg") % 3 + 1).cast("long").alias("page"),
-        (-F.col("prim_id") - 1).alias("prim_id"), "type", F.col("n_points").cast("long").alias("n_points"),
-        F.lit(None).cast("string").alias("layer"),
+        (-F.col("prim_id") - 1).alias("prim_id"), "type", "closed",
+        F.col("n_points").cast("long").alias("n_points"),
     )
-    return c.prims().select(*cols).unionByName(arcs.select(*cols))
+    return c.prims().unionByName(arcs, allowMissingColumns=True)
 
 
 def _profile(c):
@@ -785,7 +784,7 @@ def recognition_review(c):
 def recognize_pages(c):
     """Totals per page over the parts of the composite plan that are keyed by page."""
     parts = recognize.recognize_pages(
-        c.prims(), c.arcs().select((-F.col("prim_id") - 1).alias("prim_id"), "seq", "x", "y"),
+        _all_prims(c), c.arcs().select((-F.col("prim_id") - 1).alias("prim_id"), "seq", "x", "y"),
         _loop_facts(c), c.texts(), c.pages(),
     )
     profile = parts["profile"].select(*PAGE, "mode_used")
