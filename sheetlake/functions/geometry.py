@@ -56,8 +56,7 @@ def bezier_flatten(p0: Column, p1: Column, p2: Column, p3: Column, max_samples:
     chord = F.hypot(p3["x"] - p0["x"], p3["y"] - p0["y"])
     n = F.greatest(F.lit(4), F.least(F.lit(max_samples), F.ceil(chord / 0.5))).cast("int")
 
-    def at(i: Column) -> Column:
-        t = i.cast("double") / n
+    def at(t: Column) -> Column:
         u = F.lit(1.0) - t
 
         def axis(k: str) -> Column:
@@ -67,7 +66,8 @@ def bezier_flatten(p0: Column, p1: Column, p2: Column, p3: Column, max_samples:
 
         return point(axis("x"), axis("y"))
 
-    return F.transform(F.sequence(F.lit(1), n), at)
+    steps = F.transform(F.sequence(F.lit(1), n), lambda i: i.cast("double") / n)
+    return F.transform(steps, at)
 
 
 def rect_loop(x: Column, y: Column, w: Column, h: Column) -> Column:

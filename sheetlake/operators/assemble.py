@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
-from ..plans.scale import block_of, cut_lineage, dense_position, running_sum, with_halo
+from ..plans.scale import block_of, cut_lineage, running_sum, with_halo
 
 # Room for the points of one operator (a curve gives at most 32, plus its start).
 SLOTS = 64
@@ -143,24 +143,37 @@ def assemble_primitives(ops: DataFrame, gap: float = 0.01, tol: float = 0.01) ->
     cut = split_subpaths(ops, gap, tol)
     points = cut_lineage(cut.select("path_id", "sub_id", F.inline("pts")))
     points = thin_points(points, tol)
-    placed = dense_position(points, ["path_id", "sub_id"], ["pos"], [block_of("pos")], "k")
-    w = Window.partitionBy("path_id", "sub_id", "_block").orderBy("k")
-    turned = with_halo(placed, "k", before=1).withColumn(
-        "_cross", F.lag("x").over(w) * F.col("y") - F.col("x") * F.lag("y").over(w)
-    )
+    # Consecutive kept points within a block, then one row per block across its edges.
+    cut_points = points.withColumn("_block", block_of("pos"))
+    w = Window.partitionBy("path_id", "sub_id", "_block").orderBy("pos")
     at = F.struct("x", "y")
+    blocks = (
+        cut_points.withColumn(
+            "_cross", F.lag("x").over(w) * F.col("y") - F.col("x") * F.lag("y").over(w)
+        )
+        .groupBy("path_id", "sub_id", "_block")
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.min("x").alias("bx0"), F.min("y").alias("by0"),
+            F.max("x").alias("bx1"), F.max("y").alias("by1"),
+            F.sum("_cross").alias("_s"),
+            F.min_by(at, "pos").alias("_a"),
+            F.max_by(at, "pos").alias("_z"),
+        )
+    )
+    outer = Window.partitionBy("path_id", "sub_id").orderBy("_block")
+    before = F.lag("_z").over(outer)
+    edge = before["x"] * F.col("_a.y") - F.col("_a.x") * before["y"]
     prims = (
-        turned.filter(~F.col("_halo"))
+        blocks.withColumn("_e", edge)
         .groupBy("path_id", "sub_id")
         .agg(
-            F.count(F.lit(1)).alias("n_points"),
-            F.min("x").alias("bx0"),
-            F.min("y").alias("by0"),
-            F.max("x").alias("bx1"),
-            F.max("y").alias("by1"),
-            F.sum("_cross").alias("_s"),
-            F.min_by(at, "k").alias("_a"),
-            F.max_by(at, "k").alias("_z"),
+            F.sum("_n").alias("n_points"),
+            F.min("bx0").alias("bx0"), F.min("by0").alias("by0"),
+            F.max("bx1").alias("bx1"), F.max("by1").alias("by1"),
+            (F.coalesce(F.sum("_s"), F.lit(0.0)) + F.coalesce(F.sum("_e"), F.lit(0.0))).alias("_s"),
+            F.min_by("_a", "_block").alias("_a"),
+            F.max_by("_z", "_block").alias("_z"),
         )
         .filter("n_points >= 2")
     )

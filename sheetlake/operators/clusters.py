@@ -29,8 +29,8 @@ def leader_cluster(items: DataFrame, shape: list[str], adjacent: Adjacent) -> tu
     join, and leaders keep their distance, so a crowded cell costs one pass and no pairs.
     """
     cols = [*PAGE, "ord", *shape, "anchor", "cells"]
-    left = cut_lineage(items.select(*cols))
-    leaders = None
+    base = cut_lineage(items.select(*cols))
+    left, leaders = base, None
     while True:
         lowest = left.select(*PAGE, "ord", F.explode("cells").alias("cell")).groupBy(
             *PAGE, "cell"
@@ -50,7 +50,7 @@ def leader_cluster(items: DataFrame, shape: list[str], adjacent: Adjacent) -> tu
         leaders = new if leaders is None else leaders.unionByName(new)
         if left.isEmpty():
             break
-    return leaders, leader_links(items, leaders, shape, adjacent)
+    return leaders, leader_links(base, leaders, shape, adjacent)
 
 
 def leader_links(items: DataFrame, leaders: DataFrame, shape: list[str], adjacent: Adjacent) -> DataFrame:
@@ -218,7 +218,7 @@ def angle_items(segs: DataFrame, tol: float) -> DataFrame:
 
 def hatch_lines(prims: DataFrame, cfg: Hatching = Hatching()) -> DataFrame:
     """Lines with the leader of their parallel group and the leader's angle."""
-    segs = segment_metrics(prims, cfg.min_len)
+    segs = cut_lineage(segment_metrics(prims, cfg.min_len))
     items = angle_items(segs, cfg.angle_tol_deg)
     _, links = leader_cluster(
         items, ["angle"], lambda a, b: angle_gap(a("angle"), b("angle")) < cfg.angle_tol_deg
