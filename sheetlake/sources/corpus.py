@@ -80,11 +80,30 @@ SIZE_UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.pdf", recursive: bool = False) -> DataFrame:
-    """Files below ``path`` as (path, content), flat or recursive."""
-    return (
+    """Files below ``path`` as (path, content), flat or recursive.
+
+    The scan leaves out files of length zero, so those come from the file listing.
+    """
+    full = (
         spark.read.format("binaryFile").option("pathGlobFilter", glob)
         .option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "content")
     )
+    none = spark.createDataFrame([(p,) for p in empty_files(spark, path, glob, recursive)], "path string")
+    return full.unionByName(none.withColumn("content", F.lit(b"")))
+
+
+def empty_files(spark: SparkSession, path: str, glob: str, recursive: bool) -> list[str]:
+    """Paths of matching files of length zero, from the file system's own listing."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    wanted = jvm.org.apache.hadoop.fs.GlobFilter(glob)
+    found, listing = [], fs.listFiles(root, recursive)
+    while listing.hasNext():
+        status = listing.next()
+        if status.getLen() == 0 and wanted.accept(status.getPath()):
+            found.append(status.getPath().toString())
+    return found
 
 
 def size_label(size: Column) -> Column:
