@@ -431,6 +431,22 @@ def profile_hint(text: Column) -> Column:
     )
 
 
+def with_profile_hint(df: DataFrame, text: Column, name: str = "hint") -> DataFrame:
+    """Add ``profile_hint(text)`` in two steps, so each pattern is searched once per text."""
+    kept = [c for c in df.columns if c != name]
+    found = df.withColumns(
+        {
+            "_plate": group(text, PLATE, 0),
+            "_member": group(text, MEMBER, 0),
+            "_loose": group(text, ROW_PROFILE, 1),
+        }
+    )
+    hint = F.coalesce(
+        squeeze(F.col("_plate")), member_designation(F.col("_member")), squeeze(F.col("_loose"))
+    )
+    return found.select(*kept, hint.alias(name))
+
+
 def part_kind(profile: Column) -> Column:
     return F.when(F.upper(profile).startswith("PL"), "plate").otherwise("member")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from ..plans.scale import block_of, dense_position, with_halo
+from ..plans.scale import block_of, dense_position, keep_when, with_halo
 
 
 def bom_sequence_rows(lines: DataFrame) -> DataFrame:
@@ -20,13 +20,12 @@ def bom_sequence_rows(lines: DataFrame) -> DataFrame:
     clean = lines.select("doc_id", "ord", F.trim("text").alias("t")).filter("t <> ''")
     placed = dense_position(clean, ["doc_id"], ["ord"], [block_of("ord")])
     t = F.col("t")
-    placed = tx.with_length(placed, t, "len").withColumns(
+    placed = tx.with_profile_hint(tx.with_length(placed, t, "len"), t).withColumns(
         {
             "head": tx.is_header_line(t),
             "mark": t.rlike(tx.MARK_LINE),
             "qty": t.rlike(tx.QTY_LINE),
             "weigh": t.rlike(tx.WEIGHT_LINE),
-            "hint": tx.profile_hint(t),
         }
     ).withColumn("s", F.struct("t", "len", "head", "mark", "qty", "weigh", "hint"))
     w = Window.partitionBy("doc_id", "_block").orderBy("pos")
@@ -72,16 +71,16 @@ def bom_line_rows(texts: DataFrame, sequences: DataFrame) -> DataFrame:
     rest = texts.join(sequences.select("doc_id").distinct(), "doc_id", "left_anti").withColumn(
         "text", t
     ).filter("text <> ''")
-    facts = tx.with_length(rest, F.col("text"), "length_in").withColumns(
-        {"mark": tx.group(F.col("text"), tx.PIECE_MARK), "profile": tx.profile_hint(F.col("text"))}
-    ).withColumn("piece_mark", F.coalesce("mark", "profile"))
-    first = facts.groupBy("doc_id", F.lower("piece_mark").alias("key")).agg(
+    facts = tx.with_profile_hint(
+        tx.with_length(rest, F.col("text"), "length_in"), F.col("text"), "profile"
+    ).withColumn("piece_mark", F.coalesce(tx.group(F.col("text"), tx.PIECE_MARK), F.col("profile")))
+    first = keep_when(facts, F.col("piece_mark").isNotNull()).groupBy("doc_id", F.lower("piece_mark").alias("key")).agg(
         F.min_by(
             F.struct("piece_mark", tx.row_quantity(F.col("text")).alias("quantity"), "profile",
                      "length_in", "page"),
             "ord",
         ).alias("r")
-    ).filter("key is not null")
+    )
     return first.select(
         "doc_id", "r.piece_mark", "r.quantity", F.col("r.profile").alias("profile_hint"),
         F.when(F.col("r.profile").isNotNull(), tx.part_kind(F.col("r.profile"))).alias("kind"),
