@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import Hatching, Recognition
 from ..functions import geometry as g
@@ -135,12 +136,10 @@ def angle_gap(a: Column, b: Column) -> Column:
 def parallel_degree(segs: DataFrame, tol: float = 3.0) -> DataFrame:
     """How many other segments of the page run within ``tol`` degrees of each angle.
 
-    Counting instead of pairing: angles are folded to their counts, a page's half turn is cut
-    into bins of ``tol``, and a neighbourhood is whole bins plus two part bins, both read off
-    running counts over sorted distinct angles.
+    Counting instead of pairing: angles are folded to their counts, and a neighbourhood is the
+    difference of two running counts over sorted distinct angles.  The running counts are made
+    in narrow bins of the half turn; one row per bin carries them across.
     """
-    from pyspark.sql.window import Window
-
     counts = segs.groupBy(*PAGE, "angle").agg(F.count(F.lit(1)).alias("n"))
     # The half turn closes on itself: copies near the ends stand in for the other side.
     around = counts.select(
@@ -154,7 +153,7 @@ def parallel_degree(segs: DataFrame, tol: float = 3.0) -> DataFrame:
                                    zero.alias("n"), "angle", F.lit(1).cast("long").alias("s")))
         .unionByName(counts.select(*PAGE, (F.col("angle") - tol).alias("v"), F.lit(2).alias("o"),
                                    zero.alias("n"), "angle", F.lit(-1).cast("long").alias("s")))
-        .withColumn("bin", F.floor(F.col("v") / tol).cast("long"))
+        .withColumn("bin", F.floor(F.col("v") / (tol / 32)).cast("long"))
     )
     inner = Window.partitionBy(*PAGE, "bin").orderBy("v", "o").rowsBetween(Window.unboundedPreceding, 0)
     bins = marks.groupBy(*PAGE, "bin").agg(F.sum("n").alias("t"))
@@ -296,8 +295,6 @@ def regions(prims: DataFrame, pages: DataFrame, cfg: Recognition = Recognition()
 
     Primitives are folded to cells before and cells to regions after the labelling.
     """
-    from pyspark.sql.window import Window
-
     cells = cut_lineage(occupied_cells(prims, cfg.region_gap * 3))
     folded = cells.join(component_labels(cells), [*PAGE, "ord"]).groupBy(*PAGE, "label").agg(
         F.sum("n").alias("prims"), F.min("x0").alias("x0"), F.min("y0").alias("y0"),

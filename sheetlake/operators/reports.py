@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..plans.scale import running_sum
+from ..plans.scale import running_sum, spread_join
 
 # Stages a timing report knows.
 KNOWN_STAGES = ("extract_ms", "host_build_ms", "cache_lookup_ms", "cache_store_ms")
@@ -83,25 +84,39 @@ def counts_delta(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFr
 
 
 def corpus_quantiles(counters: DataFrame, caps: dict[str, float]) -> DataFrame:
-    """Exact p50, p99 and maximum of every counter and its headroom below the cap.
+    """Exact p50, p99 and maximum of every integer counter and its headroom below the cap.
 
-    Percentiles fold values to their counts first, so the state per counter holds distinct
-    values only.
+    Values are folded to their counts and given running counts block by block; a quantile then
+    is the lowest value whose running count passes its rank, a combinable minimum.
     """
-    parts = None
-    for name, cap in caps.items():
-        row = counters.agg(
-            F.percentile(F.col(name), 0.5).alias("p50"), F.percentile(F.col(name), 0.99).alias("p99"),
-            F.max(name).cast("double").alias("max"),
-        ).select(
-            F.lit(name).alias("metric"), "p50", "p99", "max",
-            (F.lit(float(cap)) / F.col("max")).alias("headroom"),
-        )
-        parts = row if parts is None else parts.unionByName(row)
-    return parts
-
-
-def set_digest(files: DataFrame, keys: list[str], blocks: int = 64) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("long").alias("v")) for m in caps])
+    folded = counters.select(F.explode(pairs).alias("p")).select("p.*").filter("v is not null").groupBy(
+        "metric", "v"
+    ).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_sum(folded, ["metric"], "v", {"upto": F.col("n")})
+    total = folded.groupBy("metric").agg(F.sum("n").alias("total"))
+    joined = spread_join(ranked, total, ["metric"], "v")
+
+    def at(p, edge):
+        rank = edge((F.col("total") - 1) * p)
+        return F.min(F.when(F.col("upto") > rank, F.col("v")))
+
+    probs = {"p50": 0.5, "p99": 0.99}
+    marks = [at(p, e).alias(f"{k}_{n}") for k, p in probs.items() for n, e in (("lo", F.floor), ("hi", F.ceil))]
+    found = joined.groupBy("metric").agg(*marks, F.max("v").alias("_max"), F.first("total").alias("total"))
+
+    def between(k, p):
+        pos = (F.col("total") - 1) * p
+        return F.col(f"{k}_lo") + (pos - F.floor(pos)) * (F.col(f"{k}_hi") - F.col(f"{k}_lo"))
+
+    cap = F.create_map(*[F.lit(v) for m, c in caps.items() for v in (m, float(c))])
+    return found.select(
+        "metric", *[between(k, p).cast("double").alias(k) for k, p in probs.items()],
+        F.col("_max").cast("double").alias("max"), (cap[F.col("metric")] / F.col("_max")).alias("headroom"),
+    )
+
+
+def set_digest(files: DataFrame, keys: list[str], blocks: int = 4096) -> DataFrame:
     """Order-free digest of a set of (path, sha256) pairs per key.
 
     Two levels, so no task ever holds a whole set: pairs are dealt by their own hash over
@@ -147,8 +162,6 @@ def font_substitution(fonts: DataFrame, shown: int = 5) -> DataFrame:
 
     Names are folded to distinct ones first; ranks beyond ``shown`` are cut before the exchange.
     """
-    from pyspark.sql.window import Window
-
     names = fonts.filter(~F.col("embedded")).select(
         "doc_id", F.trim(F.coalesce("font_name", F.lit("unknown"))).alias("font")
     ).filter("font <> ''").distinct()

@@ -1,7 +1,7 @@
 """Circle fits, arc promotion and run shapes over long point tables.
 
-``points``: prim_id, seq (dense from 0), x, y.  All passes shuffle on ``prim_id`` only,
-so one exchange of the points serves the fit, the residuals and the angles.
+``points``: prim_id, seq (dense from 0), x, y.  All passes shuffle on the primitive and its
+block of points, so no primitive is ever held by one task, and folded rows meet per primitive.
 """
 
 from __future__ import annotations
@@ -12,7 +12,18 @@ from pyspark.sql.window import Window
 
 from ..config import ArcFit
 from ..functions import geometry as g
-from ..plans.scale import with_halo
+from ..plans.scale import BLOCK, block_of, with_halo
+
+
+def with_facts(blocked: DataFrame, facts: DataFrame) -> DataFrame:
+    """Join points that carry ``_block`` to one-row-per-primitive facts with their count ``n``.
+
+    A primitive's row is copied once per block of its points, so a primitive of any size is
+    joined, and then partially aggregated, block by block.
+    """
+    last = F.floor((F.col("n") - 1) / BLOCK).cast("long")
+    copies = facts.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return blocked.join(copies, ["prim_id", "_block"])
 
 
 def _det(a, b, c, d, e, f, p, q, r) -> Column:
@@ -38,7 +49,7 @@ def fit_points(points: DataFrame, drop_closing: bool) -> DataFrame:
         .withColumn("my", F.when(drop, F.col("_sy") - F.col("_z.y")).otherwise(F.col("_sy")) / F.col("n_fit"))
         .drop("_sx", "_sy", "_a", "_z")
     )
-    return points.join(ends, "prim_id")
+    return with_facts(points.withColumn("_block", block_of("seq")), ends).drop("_block")
 
 
 def circle_fit(points: DataFrame, drop_closing: bool = False) -> DataFrame:
@@ -91,7 +102,7 @@ def arc_facts(points: DataFrame, drop_closing: bool = True) -> DataFrame:
     fits = circle_fit(points, drop_closing)
     w = Window.partitionBy("prim_id", "_block").orderBy("seq")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    p = with_halo(points, "seq", before=1, after=1).join(fits, "prim_id")
+    p = with_facts(with_halo(points, "seq", before=1, after=1), fits)
     angle = F.degrees(F.atan2(F.col("y") - F.col("cy"), F.col("x") - F.col("cx")))
     p = p.withColumn("_ang", angle).withColumns(
         {
@@ -220,7 +231,7 @@ def fit_residuals(points: DataFrame) -> DataFrame:
     fits = circle_fit(points)
     err = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) - F.col("r")
     return (
-        points.join(fits, "prim_id")
+        with_facts(points.withColumn("_block", block_of("seq")), fits)
         .groupBy("prim_id")
         .agg(
             *[F.first(k).alias(k) for k in ("n", "cx", "cy", "r")],
@@ -258,6 +269,7 @@ def visible_fill(points: DataFrame) -> DataFrame:
     p = p.filter(~F.col("_halo"))
     at = F.struct("x", "y")
     ends = p.groupBy("prim_id").agg(
+        F.count(F.lit(1)).alias("n"),
         F.min_by(at, "seq").alias("a"),
         F.max_by(at, "seq").alias("z"),
         F.count(
@@ -291,15 +303,15 @@ def visible_fill(points: DataFrame) -> DataFrame:
         .agg(F.max(F.abs("net")).alias("unbalanced"))
     )
     far = F.greatest(F.abs(F.col("x") - F.col("a.x")), F.abs(F.col("y") - F.col("a.y")))
-    anchored = p.join(ends, "prim_id")
+    anchored = with_facts(p, ends)
     anchor = anchored.groupBy("prim_id").agg(
-        F.max_by(at, F.struct(far, -F.col("seq"))).alias("m")
+        F.first("n").alias("n"), F.max_by(at, F.struct(far, -F.col("seq"))).alias("m")
     )
     off = (F.col("m.x") - F.col("a.x")) * (F.col("y") - F.col("a.y")) - (
         F.col("m.y") - F.col("a.y")
     ) * (F.col("x") - F.col("a.x"))
     spans = (
-        anchored.join(anchor, "prim_id")
+        with_facts(anchored.drop("n"), anchor)
         .groupBy("prim_id")
         .agg(F.max((off != 0).cast("int")).alias("spans"),
              (F.first("kept") - F.when(
