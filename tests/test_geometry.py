@@ -28,7 +28,8 @@ def test_promotion(spark):
         got = {r.prim_id: r for r in shapes.promote_arcs(heads, pts, variant=variant).collect()}
         assert got[1].type == "circle" and got[1].r == pytest.approx(10)
         assert got[2].type == "arc" and got[2].cx == pytest.approx(100)
-        assert got[2].end_deg == pytest.approx(90) and got[2].start_deg == pytest.approx(0, abs=1e-6)
+        assert got[2].end_deg == pytest.approx(90)
+        assert min(got[2].start_deg, 360 - got[2].start_deg) < 1e-6
         assert 3 not in got
     shape = {r.prim_id: r for r in shapes.run_shape(pts).collect()}
     assert shape[2].smooth and shape[2].curved and shape[2].minor_sweep
@@ -96,3 +97,39 @@ def test_fractions(spark, items, want):
     rows = fractions.merge_fractions(t, ch).orderBy("new_id").collect()
     assert sorted(r.text for r in rows) == sorted(want)
     assert [r.new_id for r in rows] == list(range(1, len(rows) + 1))
+
+
+def test_one_primitive_larger_than_a_block(spark):
+    from pyspark.sql import functions as F
+
+    n = 150_000
+    a = F.radians(F.col("id") * (360.0 / (n - 1)))
+    pts = spark.range(n).select(
+        F.lit(1).cast("long").alias("prim_id"), F.col("id").alias("seq"),
+        (100 + 10 * F.cos(a)).alias("x"), (50 + 10 * F.sin(a)).alias("y"), F.lit(True).alias("closed"),
+    )
+    row = shapes.fit_residuals(pts).first()
+    assert row.n == n and row.r == pytest.approx(10, abs=1e-6)
+    shape = shapes.run_shape(pts).first()
+    assert shape.span == pytest.approx(360) and shape.length == pytest.approx(20 * math.pi, abs=1e-4)
+    assert shapes.promote_arcs(pts.limit(1).select("prim_id", "closed"), pts).first().type == "circle"
+    facts = assemble.polygon_facts(pts).first()
+    assert facts.area == pytest.approx(100 * math.pi, abs=1e-3)
+    assert shapes.visible_fill(pts).first().visible
+
+
+def test_one_path_larger_than_a_block(spark):
+    from pyspark.sql import functions as F
+
+    n = 70_000
+    k = F.col("id")
+    ops = spark.range(n).select(
+        F.lit(1).cast("long").alias("path_id"), k.alias("seq"),
+        F.when(k == 0, "m").when(k == n - 1, "h").otherwise("l").alias("op"),
+        *[F.lit(None).cast("double").alias(c) for c in ("x0", "y0")],
+        (k * 1.0).alias("x1"), F.when(k == n - 2, 1000.0).otherwise(0.0).alias("y1"),
+        *[F.lit(None).cast("double").alias(c) for c in ("c1x", "c1y", "c2x", "c2y")],
+    )
+    row = assemble.assemble_primitives(ops).first()
+    assert row.n_points == n - 1 and row.closed
+    assert row.area == pytest.approx((n - 3) * 1000.0 / 2)
