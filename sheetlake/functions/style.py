@@ -187,16 +187,21 @@ def layer_name(page: Column, source: Column, color: Column) -> Column:
     )
 
 
-def nearest_palette(color: Column) -> Column:
-    """Palette index nearest by squared RGB distance; near-white is the paper colour 7."""
-    r, g, b = (F.bround(color[k] * 255).cast("long") for k in "rgb")
+def with_palette(df: DataFrame, color: Column, name: str = "palette") -> DataFrame:
+    """Add the palette index nearest by squared RGB distance; near-white is the paper colour 7.
+
+    The channels are rounded once, as columns, before the distances read them.
+    """
+    kept = df.columns
+    d = df.withColumns(
+        {f"_p{k}": F.bround(color[k] * 255).cast("long") for k in "rgb"}
+    )
+    r, g, b = (F.col(f"_p{k}") for k in "rgb")
     best = F.array_min(
         F.array(
             *[
                 F.struct(
-                    (
-                        (r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb)
-                    ).alias("d"),
+                    ((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb)).alias("d"),
                     F.lit(i).alias("pos"),
                     F.lit(idx).cast("long").alias("idx"),
                 )
@@ -205,7 +210,8 @@ def nearest_palette(color: Column) -> Column:
         )
     )
     white = (r > 245) & (g > 245) & (b > 245)
-    return F.when(color.isNotNull(), F.when(white, F.lit(7).cast("long")).otherwise(best["idx"]))
+    index = F.when(r.isNotNull(), F.when(white, F.lit(7).cast("long")).otherwise(best["idx"]))
+    return d.select(*kept, index.alias(name))
 
 
 def raster_zoom(w: Column, h: Column, dpi: Column, budget: RasterBudget) -> Column:

@@ -238,7 +238,7 @@ def hatch_groups(prims: DataFrame, cfg: Hatching = Hatching()) -> DataFrame:
 def occupied_cells(prims: DataFrame, side: float) -> DataFrame:
     """Occupied grid cells of every page with the extent and count of their primitives.
 
-    Cells truncate towards zero, as the reference rule does.
+    Cells truncate towards zero, so the cells around zero are merged.
     """
     gx = ((F.col("bx0") + F.col("bx1")) / 2 / side).cast("long")
     gy = ((F.col("by0") + F.col("by1")) / 2 / side).cast("long")

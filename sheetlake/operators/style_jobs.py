@@ -180,14 +180,17 @@ def entity_table(
         F.when(fill.isNotNull() & ~paper & area, F.struct(F.lit("fill").alias("kind"), fill.alias("c"))),
         F.when(stroke.isNotNull() & kind.isNotNull(), F.struct(kind.alias("kind"), stroke.alias("c"))),
     )
-    drawn = st.with_linetype(placed, "dash").withColumn("_e", F.explode(F.filter(rows, lambda e: e.isNotNull())))
+    # Dash patterns are few: the line type rule runs once per pattern.
+    lines = st.with_linetype(prims.select("dash").filter("dash is not null").distinct(), "dash")
+    drawn = placed.join(lines, "dash", "left").withColumn("_e", F.explode(F.filter(rows, lambda e: e.isNotNull())))
+    drawn = st.with_palette(drawn, F.col("_e.c"))
     is_fill = F.col("_e.kind") == "fill"
     return drawn.select(
         "prim_id", *PAGE, F.col("_e.kind").alias("kind"),
         st.layer_name(F.col("page"), F.col("layer"), F.coalesce(stroke, fill)).alias("layer"),
         F.when(~is_fill, F.coalesce(line["name"], F.lit("CONTINUOUS"))).alias("linetype"),
         F.when(~is_fill, st.lineweight(F.col("line_width"))).alias("lineweight"),
-        st.nearest_palette(F.col("_e.c")).alias("palette"),
+        "palette",
         "x0", (F.col("y0") + F.col("dy")).alias("y0"), "x1", (F.col("y1") + F.col("dy")).alias("y1"),
         "radius",
     )
@@ -198,4 +201,4 @@ def palette_use(prims: DataFrame) -> DataFrame:
     folded = prims.filter("sr is not null").groupBy("sr", "sg", "sb").agg(
         F.count(F.lit(1)).alias("n")
     )
-    return folded.withColumn("palette", st.nearest_palette(color_of("s")))
+    return st.with_palette(folded, color_of("s"))
