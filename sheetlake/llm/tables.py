@@ -8,7 +8,9 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sheetlake.plans.scale import ensure_checkpoint_dir
 
@@ -54,3 +56,30 @@ def arrow_map(df: DataFrame, fn: Callable, schema) -> DataFrame:
     """``mapInArrow`` with a function of this package."""
     ship_package(df.sparkSession)
     return df.mapInArrow(fn, schema)
+
+
+#: Size of a bit filter: 16 MB, whatever the input.
+FILTER_BITS = 1 << 27
+_BLOCK = 32768
+
+
+def bit_filter(keys: DataFrame, bits: int = FILTER_BITS):
+    """A broadcast bit table of a long column ``key``, for tasks to pass over rows that can't match.
+
+    A key whose bit is clear is not among ``keys``.  The table has ``bits`` bits; when it fills up fewer
+    rows are passed over, and results stay the same, since a join decides.
+    """
+    cell = F.pmod(F.col("key"), F.lit(bits))
+    blocks = keys.groupBy(F.floor(cell / _BLOCK).cast("int").alias("block")).agg(
+        F.bitmap_construct_agg(cell % _BLOCK).alias("bitmap")
+    )
+    table = np.zeros((bits // _BLOCK, _BLOCK // 8), np.uint8)
+    for block, bitmap in blocks.toLocalIterator():  # bits / 8 bytes in all
+        table[block] = np.frombuffer(bytes(bitmap), np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(table.reshape(-1))
+
+
+def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit keys have their bit set in a bit filter's table."""
+    cell = keys.view(np.int64) & np.int64(len(table) * 8 - 1)
+    return (table[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
