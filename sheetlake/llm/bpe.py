@@ -81,13 +81,14 @@ class ByteBPE:
     def _lookahead(self) -> int:
         """The longest reach of a change to the left, in bytes."""
         made: dict[int, tuple[int, int]] = {}
-        born: dict[int, int] = {}
+        used: set[int] = set()
         reach: dict[int, int] = {}
         longest = 0
-        for (left, right), (rank, token) in sorted(self.merges.items(), key=lambda m: m[1][0]):
-            if max(born.get(left, -1), born.get(right, -1)) >= rank or token in made:
+        for (left, right), (_, token) in sorted(self.merges.items(), key=lambda m: m[1][0]):
+            used |= {left, right}
+            if token in made or token in used:
                 raise ValueError("a merge uses a token that a later merge makes, or makes one again")
-            made[token], born[token] = (left, right), rank
+            made[token] = left, right
             best, part = 0, right
             while True:
                 best = max(best, reach.get(part, 0))

@@ -100,7 +100,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text no row with a smaller doc_id has, all columns as they were."""
     found = exact_duplicates(docs).where(~F.col("kept")).select("doc_id", "text_sha256").distinct()
-    marked = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
-    hit = (F.col("doc_id").eqNullSafe(F.col("_dropped"))) & (F.col("_sha") == F.col("_text"))
-    dropped = found.select(F.col("doc_id").alias("_dropped"), F.col("text_sha256").alias("_text"))
-    return marked.join(dropped, hit, "left_anti").drop("_sha")
+    marked = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.sha2(normalised(F.col("text")), 256).alias("sha")
+    )
+    hit = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("sha") == F.col("text_sha256"))
+    return marked.join(found, hit, "left_anti").select("row.*")

@@ -213,7 +213,7 @@ def fit(docs: DataFrame) -> LanguageModel:
     ]
     apart = [k for k in range(len(data)) if k % 5 == 4]
     weights = train_ftrl([x for k, x in enumerate(data) if k % 5 != 4], max(1, len(languages)))
-    logits = np.array([data[k][1] @ weights[data[k][0]] for k in apart]).reshape(len(apart), -1)
+    logits = np.array([data[k][1] @ weights[data[k][0]] for k in apart]).reshape(len(apart), weights.shape[1])
     temperature = fit_temperature(logits, np.array([data[k][2] for k in apart], int))
     return LanguageModel(languages, weights, idf, temperature)
 

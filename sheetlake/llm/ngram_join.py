@@ -207,7 +207,7 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     block_rated = stored(block.join(central, "cls"))
     release(block)
     block = block_rated
-    links = tested = roots = None
+    links = tested = roots = product = None
     for turn in range(MORE + 1):
         left = block.withColumn("root", F.col("cls"))
         if roots is not None:
@@ -221,7 +221,7 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
             rows, product = left.agg(F.count(F.lit(1)), F.sum("m")).first()
             if not rows:
                 break
-        rest = turn == MORE or turn >= ROUNDS and product <= SPARE * rows
+        rest = turn == MORE or turn >= ROUNDS and (product is None or product <= SPARE * rows)
         if rest:
             other = left.select("gram", F.col("cls").alias("b"), F.col("n").alias("ny"), F.col("root").alias("rb"))
             met = left.select("gram", F.col("cls").alias("a"), F.col("n").alias("nx"), F.col("root").alias("ra"))
