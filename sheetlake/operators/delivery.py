@@ -28,7 +28,7 @@ DELIVERED_BUCKET = {
 }
 
 
-def lookup(table: dict[str, str], key: Column) -> Column:
+def lookup(table: dict, key: Column) -> Column:
     """A fixed mapping as one CASE expression."""
     items = list(table.items())
     out = F.when(key == items[0][0], items[0][1])
@@ -63,8 +63,9 @@ def representation_ladder(attempts: DataFrame) -> DataFrame:
     """Final representation of every item.
 
     Rungs are tried in order: the first verified attempt wins, provided every attempt on a
-    lower rung proved its representation impossible; an item whose rungs all proved impossible
-    (or that asked for a raster) is handed to the terminal raster; anything else fails.
+    lower rung proved its representation impossible.  An item all of whose rungs were tried and
+    proved impossible, or that asked for a raster, is handed to the terminal raster; a verified
+    raster attempt delivers it.  Anything else fails.
     """
     a = attempts.withColumn("rung", rung_of(F.col("requested"), F.col("attempted"))).withColumn(
         "rank", F.struct("rung", "ord")
@@ -72,28 +73,33 @@ def representation_ladder(attempts: DataFrame) -> DataFrame:
     on = F.col("rung").isNotNull()
     won = on & (F.col("outcome") == "verified")
     stop = on & (F.col("outcome") == "failed")
+    drawn = (F.col("attempted") == "raster") & (F.col("outcome") == "verified")
     folded = a.groupBy("source_id", "doc_id", "page", "requested").agg(
         F.min(F.when(won, F.col("rank"))).alias("_won"),
         F.min_by(F.when(won, F.col("attempted")), F.when(won, F.col("rank"))).alias("_final"),
         F.min(F.when(stop, F.col("rung"))).alias("_stop"),
-        F.min_by(F.when(won, F.col("handle")), F.when(won, F.col("rank"))).alias("handle"),
+        F.min_by(F.when(won, F.col("handle")), F.when(won, F.col("rank"))).alias("_handle"),
+        F.bit_or(F.when(on, F.pow(F.lit(2), F.col("rung")).cast("long"))).alias("_tried"),
+        F.bool_or(drawn).alias("_drawn"),
+        F.min_by(F.when(drawn, F.col("handle")), F.when(drawn, F.col("ord"))).alias("_raster"),
         F.count(F.when(on, 1)).alias("attempts"),
     )
-    ladder_won = F.col("_won").isNotNull() & (
+    rungs = lookup({want: len(r) for want, r in LADDERS.items()}, F.col("requested"))
+    asked = F.col("requested") == "raster"
+    ladder_won = ~asked & F.col("_won").isNotNull() & (
         F.col("_stop").isNull() | (F.col("_stop") >= F.col("_won.rung"))
     )
-    terminal = (F.col("requested") == "raster") | (
-        F.col("_won").isNull() & F.col("_stop").isNull() & (F.col("attempts") > 0)
-    )
-    final = F.when(F.col("requested") == "raster", "raster").when(ladder_won, F.col("_final")).when(
-        terminal, "raster"
+    terminal = asked | (
+        F.col("_won").isNull() & F.col("_stop").isNull()
+        & (F.bit_count(F.coalesce("_tried", F.lit(0))) == rungs)
     )
+    final = F.when(ladder_won, F.col("_final")).when(terminal, "raster")
+    raster_done = terminal & F.coalesce("_drawn", F.lit(False))
     return folded.select(
         "source_id", "doc_id", "page", "requested", final.alias("final"),
-        (ladder_won & (F.col("requested") != "raster")).alias("verified"),
-        terminal.alias("terminal"),
+        (ladder_won | raster_done).alias("verified"), terminal.alias("terminal"),
         F.coalesce(final != F.col("requested"), F.lit(False)).alias("fallback_used"),
-        F.when(ladder_won & (F.col("requested") != "raster"), F.col("handle")).alias("handle"),
+        F.when(ladder_won, F.col("_handle")).when(raster_done, F.col("_raster")).alias("handle"),
         "attempts",
     )
 
@@ -149,7 +155,6 @@ def delivery_summary(deliveries: DataFrame, keys: list[str]) -> DataFrame:
         F.count(F.when(F.col("fallback_used"), 1)).alias("fallbacks"),
         F.count("handle").alias("entities"),
         F.count(F.when(failed, 1)).alias("failed"),
-        F.min(F.when(failed, F.col("source_id"))).alias("first_failed"),
     ).withColumn(
         "delivered",
         F.when(F.col("_lo").isNull(), "none").when(F.col("_lo") == F.col("_hi"), F.col("_lo"))
@@ -157,6 +162,12 @@ def delivery_summary(deliveries: DataFrame, keys: list[str]) -> DataFrame:
     ).withColumn("all_verified", F.col("failed") == 0).drop("_lo", "_hi")
 
 
+def delivery_failures(deliveries: DataFrame, keys: list[str]) -> DataFrame:
+    """Every item that was not delivered: a row per id beside the counts of ``delivery_summary``."""
+    failed = ~F.col("verified") | F.col("final").isNull()
+    return deliveries.filter(failed).select(*keys, "source_id", "requested", "final")
+
+
 def fallback_reason() -> Column:
     return (
         F.when(F.col("final") == "raster", "structural_representations_failed_verification")
@@ -173,12 +184,15 @@ def fallback_counts(deliveries: DataFrame) -> DataFrame:
 
 
 def entity_type_rollup(deliveries: DataFrame, keys: list[str]) -> DataFrame:
-    """Delivered buckets per run, the entity type they amount to, and three examples.
+    """Delivered buckets per run and the entity type they amount to.
 
+    A delivery may name its ``bucket``; the others count in the one of their representation.
     The outline bucket aggregates glyph curves and meshes; where those are counted on their
     own it is not added again.
     """
-    b = deliveries.filter("verified").withColumn("bucket", lookup(DELIVERED_BUCKET, F.col("final")))
+    usual = lookup(DELIVERED_BUCKET, F.col("final"))
+    named = F.coalesce("bucket", usual) if "bucket" in deliveries.columns else usual
+    b = deliveries.filter("verified").withColumn("bucket", named)
     counted = b.groupBy(*keys).pivot("bucket", sorted(BUCKET_TYPES)).agg(F.count(F.lit(1))).fillna(0)
     split = (F.col("glyph_curve") > 0) | (F.col("geometry_mesh") > 0)
     weight = {
@@ -194,7 +208,7 @@ def entity_type_rollup(deliveries: DataFrame, keys: list[str]) -> DataFrame:
     )
     drawn = F.array("native_label", "native_text", "native_3d_text", "dxf_text")
     return counted.select(
-        *keys, *[F.col(k) for k in ("dxf_text", "native_3d_text", "outline_curve_or_mesh", "raw_geometry_edges")],
+        *keys, *[F.col(k) for k in BUCKET_TYPES],
         total.alias("total"),
         F.when(F.size(types) == 0, "none").when(F.size(types) == 1, F.get(types, F.lit(0)))
         .otherwise("mixed").alias("entity_type"),

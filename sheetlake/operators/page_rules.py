@@ -490,6 +490,13 @@ def doc_scale(page_scales: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
+def doc_scale_factors(page_scales: DataFrame) -> DataFrame:
+    """Every distinct scale factor of a document, a row each, with the pages that show it."""
+    return page_scales.filter("confidence > 0").groupBy("doc_id", F.round("factor", 6).alias("factor")).agg(
+        F.count(F.lit(1)).alias("pages"), F.max("confidence").alias("confidence")
+    )
+
+
 def corpus_rollup(prims: DataFrame, texts: DataFrame) -> DataFrame:
     """Counts by page, by document and for the corpus; null keys mark the totals."""
     counts = page_counts(prims, texts)

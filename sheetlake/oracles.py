@@ -647,6 +647,11 @@ oracle(
     LEFT JOIN (SELECT doc_id, count(DISTINCT round(factor, 6)) AS factors, min(factor) AS min_factor, max(factor) AS max_factor FROM scales WHERE confidence > 0 GROUP BY 1) USING (doc_id)""",
     *SCALE_STEPS, *PROFILE_STEPS,
 )
+oracle(
+    "doc_scale_factors",
+    f"SELECT doc_id, {r('round(factor, 6)')} AS factor, count(*) AS pages, max(confidence) AS confidence FROM scales WHERE confidence > 0 GROUP BY doc_id, round(factor, 6)",
+    *SCALE_STEPS,
+)
 oracle(
     "corpus_rollup",
     "SELECT doc_id, page, sum(n_prims) AS n_prims, sum(n_texts) AS n_texts, count(*) AS pages FROM counts GROUP BY ROLLUP (doc_id, page)",
@@ -716,8 +721,8 @@ oracle(
 oracle(
     "page_selection",
     """SELECT doc_id, page, 'strict' AS how FROM f WHERE (doc_id % 3 = 0 AND page IN (1, 3)) OR (doc_id % 3 = 1 AND page IN (2, 3)) OR (doc_id % 3 = 2 AND page IN (1, 2))
-      UNION ALL SELECT doc_id, page, 'tolerant' FROM f WHERE doc_id % 4 = 0 OR (doc_id % 4 = 1 AND page IN (2, 3)) OR (doc_id % 4 >= 2 AND page = 1)""",
-    ("f", "SELECT doc_id, page FROM v_pages WHERE doc_id IN (SELECT doc_id FROM v_pages GROUP BY 1 HAVING count(*) = 3)"),
+      UNION ALL SELECT doc_id, page, 'tolerant' FROM f WHERE CASE WHEN doc_id % 4 = 0 THEN true WHEN low <> 1 THEN page = low WHEN doc_id % 4 = 1 THEN page IN (2, 3) ELSE page = 1 END""",
+    ("f", "SELECT doc_id, page, min(page) OVER (PARTITION BY doc_id) AS low FROM v_pages"),
 )
 oracle(
     "read_reports",
@@ -729,8 +734,10 @@ oracle(
     """SELECT event_id, 'performance.elapsed_ms' AS path FROM events WHERE event_id % 97 = 0
       UNION ALL SELECT event_id, 'performance.peak_mb' FROM events WHERE event_id % 89 = 0""",
 )
-CATALOG = ("catalog", """SELECT DISTINCT concat('W', p_size % 4 * 2 + 8, CASE WHEN p_size % 4 = 1 THEN 'x' ELSE 'X' END, p_size % 2 + 20) AS designation,
-  'W' AS family, p_size % 4 * 2 + 8.5::DOUBLE AS d, 4.0::DOUBLE AS bf, 0.25::DOUBLE AS tw, 0.375::DOUBLE AS tf FROM part""")
+CATALOG = ("catalog", """SELECT designation, family, d, bf, tw, tf FROM (
+  SELECT *, row_number() OVER (PARTITION BY designation ORDER BY k DESC) AS rn FROM (
+    SELECT p_partkey AS k, concat('W', p_size % 4 * 2 + 8, CASE WHEN p_size % 4 = 1 THEN 'x' ELSE 'X' END, p_size % 2 + 20) AS designation,
+      'W' AS family, p_size % 4 * 2 + 8.5::DOUBLE AS d, (p_partkey % 5 + 2)::DOUBLE AS bf, 0.25::DOUBLE AS tw, 0.375::DOUBLE AS tf FROM part)) WHERE rn = 1""")
 oracle("load_catalog", "SELECT * FROM catalog", CATALOG)
 
 # ---- joins ----------------------------------------------------------------------------------
@@ -849,14 +856,16 @@ RUNG = "CASE " + " ".join(
 ) + " END"
 LADDER = [
     ("la", f"SELECT *, {RUNG} AS rung FROM v_attempts"),
-    ("lb", """SELECT source_id, doc_id, page, requested, count(rung) AS attempts, min(rung) FILTER (outcome = 'failed') AS stop, min(rung) FILTER (outcome = 'verified') AS won
+    ("lb", """SELECT source_id, doc_id, page, requested, count(rung) AS attempts, count(DISTINCT rung) AS tried, min(rung) FILTER (outcome = 'failed') AS stop, min(rung) FILTER (outcome = 'verified') AS won
        FROM la GROUP BY 1, 2, 3, 4"""),
     ("lc", """SELECT source_id, attempted, handle FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY rung, ord) AS k FROM la WHERE rung IS NOT NULL AND outcome = 'verified') WHERE k = 1"""),
-    ("ld", """SELECT lb.*, lc.attempted, lc.handle AS h, requested <> 'raster' AND won IS NOT NULL AND (stop IS NULL OR stop >= won) AS ok,
-       requested = 'raster' OR (won IS NULL AND stop IS NULL AND attempts > 0) AS terminal FROM lb LEFT JOIN lc USING (source_id)"""),
-    ("sent", """SELECT source_id, doc_id, page, requested, CASE WHEN requested = 'raster' THEN 'raster' WHEN ok THEN attempted WHEN terminal THEN 'raster' END AS final,
-       ok AS verified, terminal, coalesce(CASE WHEN requested = 'raster' THEN 'raster' WHEN ok THEN attempted WHEN terminal THEN 'raster' END <> requested, false) AS fallback_used,
-       CASE WHEN ok THEN h END AS handle, attempts FROM ld"""),
+    ("lr", """SELECT source_id, handle AS raster_handle, true AS drawn FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY ord) AS k FROM la WHERE attempted = 'raster' AND outcome = 'verified') WHERE k = 1"""),
+    ("ld", """SELECT lb.*, lc.attempted, lc.handle AS h, raster_handle, coalesce(drawn, false) AS drawn, requested <> 'raster' AND won IS NOT NULL AND (stop IS NULL OR stop >= won) AS ok,
+       requested = 'raster' OR (won IS NULL AND stop IS NULL AND tried = CASE WHEN requested IN ('labels', '3d_text') THEN 4 ELSE 3 END) AS terminal
+       FROM lb LEFT JOIN lc USING (source_id) LEFT JOIN lr USING (source_id)"""),
+    ("sent", """SELECT source_id, doc_id, page, requested, CASE WHEN ok THEN attempted WHEN terminal THEN 'raster' END AS final,
+       ok OR (terminal AND drawn) AS verified, terminal, coalesce(CASE WHEN ok THEN attempted WHEN terminal THEN 'raster' END <> requested, false) AS fallback_used,
+       CASE WHEN ok THEN h WHEN terminal THEN raster_handle END AS handle, attempts FROM ld"""),
 ]
 oracle("representation_ladder", "SELECT * FROM sent", *LADDER)
 oracle(
@@ -882,22 +891,31 @@ oracle(
 oracle(
     "delivery_summary",
     """SELECT doc_id, count(*) AS items, count(*) FILTER (fallback_used) AS fallbacks, count(handle) AS entities, count(*) FILTER (NOT verified OR final IS NULL) AS failed,
-      min(source_id) FILTER (NOT verified OR final IS NULL) AS first_failed, CASE count(DISTINCT final) WHEN 0 THEN 'none' WHEN 1 THEN any_value(final) ELSE 'mixed' END AS delivered,
+      CASE count(DISTINCT final) WHEN 0 THEN 'none' WHEN 1 THEN any_value(final) ELSE 'mixed' END AS delivered,
       count(*) FILTER (NOT verified OR final IS NULL) = 0 AS all_verified FROM sent GROUP BY 1""",
     *LADDER,
 )
+oracle("delivery_failures", "SELECT doc_id, source_id, requested, final FROM sent WHERE NOT verified OR final IS NULL", *LADDER)
 REASON = """CASE WHEN final = 'raster' THEN 'structural_representations_failed_verification' WHEN requested IN ('glyphs', 'geometry') THEN 'text2path_failed'
   ELSE 'requested_representation_failed_verification' END"""
 BUCKET = """CASE final WHEN '3d_text' THEN 'native_3d_text' WHEN 'glyphs' THEN 'outline_curve_or_mesh' WHEN 'geometry' THEN 'raw_geometry_edges' WHEN 'raster' THEN 'raster_image'
   WHEN 'text' THEN 'dxf_text' WHEN 'labels' THEN 'dxf_text' END"""
 oracle("fallback_counts", f"SELECT requested, final AS delivered, {REASON} AS reason, count(*) AS n FROM sent WHERE fallback_used GROUP BY 1, 2, 3", *LADDER)
+BUCKETS = {"native_label": "labels", "native_text": "text", "native_3d_text": "3d_text", "glyph_curve": "glyphs", "geometry_mesh": "geometry", "raster_patch": "raster",
+           "outline_curve_or_mesh": "glyphs", "raw_geometry_edges": "geometry", "raster_text_patch": "raster", "dxf_text": "text", "raster_image": "raster", "fallback_geometry": "geometry"}
+OWN_BUCKET = f"""CASE WHEN final = 'labels' AND source_id % 3 > 0 THEN 'native_label' WHEN final = 'text' AND source_id % 3 = 1 THEN 'native_text'
+  WHEN final = 'glyphs' AND source_id % 3 = 1 AND doc_id % 2 = 0 THEN 'glyph_curve' WHEN final = 'geometry' AND source_id % 3 = 1 AND doc_id % 4 = 0 THEN 'geometry_mesh'
+  WHEN final = 'geometry' AND source_id % 3 = 2 THEN 'fallback_geometry' WHEN final = 'raster' AND source_id % 3 = 1 THEN 'raster_patch'
+  WHEN final = 'raster' AND source_id % 3 = 2 THEN 'raster_text_patch' ELSE {BUCKET} END"""
 oracle(
     "entity_type_rollup",
-    f"""SELECT doc_id, a AS dxf_text, b AS native_3d_text, c AS outline_curve_or_mesh, d AS raw_geometry_edges, a + b + c + d AS total,
-      CASE WHEN (a > 0)::INT + (b > 0)::INT + (c > 0)::INT + (d > 0)::INT > 1 THEN 'mixed' WHEN a > 0 THEN 'text' WHEN b > 0 THEN '3d_text' WHEN c > 0 THEN 'glyphs' ELSE 'geometry' END AS entity_type,
-      a + b > 0 AS font_rendered
-    FROM (SELECT doc_id, count(*) FILTER (bk = 'dxf_text') AS a, count(*) FILTER (bk = 'native_3d_text') AS b, count(*) FILTER (bk = 'outline_curve_or_mesh') AS c,
-          count(*) FILTER (bk = 'raw_geometry_edges') AS d FROM (SELECT doc_id, {BUCKET} AS bk FROM sent WHERE verified) GROUP BY 1)""",
+    f"""SELECT doc_id, {", ".join(BUCKETS)}, {" + ".join(k for k in BUCKETS if k != "outline_curve_or_mesh")}
+        + CASE WHEN glyph_curve > 0 OR geometry_mesh > 0 THEN 0 ELSE outline_curve_or_mesh END AS total,
+      CASE len(types) WHEN 0 THEN 'none' WHEN 1 THEN types[1] ELSE 'mixed' END AS entity_type,
+      native_label + native_text + native_3d_text + dxf_text > 0 AS font_rendered
+    FROM (SELECT doc_id, {", ".join(f"count(*) FILTER (bk = '{k}') AS {k}" for k in BUCKETS)},
+      list(DISTINCT CASE bk {" ".join(f"WHEN '{k}' THEN '{t}'" for k, t in BUCKETS.items())} END) AS types
+      FROM (SELECT doc_id, {OWN_BUCKET} AS bk FROM sent WHERE verified) GROUP BY 1)""",
     *LADDER,
 )
 oracle(
@@ -914,7 +932,7 @@ oracle(
     ("owners", "SELECT DISTINCT run_id FROM a0 WHERE run_id % 3 = 0 AND ord % 2 = 0"),
     ("al", """SELECT *, 0 AS src FROM a0 WHERE run_id % 3 = 0 AND ord % 2 = 0
        UNION ALL SELECT *, 1 FROM a0 WHERE ord % 2 = 0 AND run_id NOT IN (SELECT run_id FROM owners)
-       UNION ALL SELECT *, 2 FROM a0 WHERE ord % 3 = 0 AND run_id NOT IN (SELECT run_id FROM owners)"""),
+       UNION ALL SELECT *, 2 FROM a0 WHERE (ord % 2 = 1 OR ord % 3 = 0) AND run_id NOT IN (SELECT run_id FROM owners)"""),
 )
 oracle(
     "provenance",

@@ -193,9 +193,11 @@ SELECT CAST(l_orderkey AS BIGINT) AS source_id,
          + (l_suppkey % 1024) * 1024 + CAST(l_quantity AS BIGINT) AS ord,
        CASE l_orderkey % 6 WHEN 0 THEN 'text' WHEN 1 THEN 'labels' WHEN 2 THEN 'glyphs'
             WHEN 3 THEN 'geometry' WHEN 4 THEN '3d_text' ELSE 'raster' END AS requested,
-       CASE l_linenumber % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'glyphs' WHEN 2 THEN 'geometry'
-            WHEN 3 THEN 'labels' ELSE '3d_text' END AS attempted,
-       CASE l_returnflag WHEN 'N' THEN 'verified' WHEN 'A' THEN 'impossible' ELSE 'failed' END AS outcome,
+       CASE WHEN l_linenumber = 6 OR (l_orderkey % 6 = 5 AND l_linenumber % 2 = 1) THEN 'raster'
+            ELSE CASE l_linenumber % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'glyphs' WHEN 2 THEN 'geometry'
+            WHEN 3 THEN 'labels' ELSE '3d_text' END END AS attempted,
+       CASE WHEN l_orderkey % 9 = 4 AND l_linenumber <> 6 THEN 'impossible'
+            ELSE CASE l_returnflag WHEN 'N' THEN 'verified' WHEN 'A' THEN 'impossible' ELSE 'failed' END END AS outcome,
        l_linestatus = 'O' AS type_verified, l_partkey % 5 > 0 AS delivery_verified,
        l_suppkey % 5 > 0 AS visual_verified, l_quantity > 5 AS cleanup_verified,
        concat('h', CAST(l_partkey AS VARCHAR(20)), '_', CAST(l_suppkey AS VARCHAR(20))) AS handle

@@ -256,6 +256,11 @@ def doc_scale(c):
     return rounded(page_rules.doc_scale(scales, _profile(c)))
 
 
+@query
+def doc_scale_factors(c):
+    return rounded(page_rules.doc_scale_factors(text_jobs.resolve_scale(c.texts(), c.pages())))
+
+
 @query
 def corpus_rollup(c):
     return page_rules.corpus_rollup(c.prims(), c.texts())
@@ -327,8 +332,10 @@ def page_selection(c):
     spec = F.when(F.col("doc_id") % 3 == 0, "1,3").when(F.col("doc_id") % 3 == 1, "2-3").otherwise("1-2,2")
     loose = F.when(F.col("doc_id") % 4 == 0, "all").when(F.col("doc_id") % 4 == 1, "3-2,x").when(
         F.col("doc_id") % 4 == 2, "first").otherwise("1, 99")
-    docs = c.pages().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 3")
-    pages = c.pages().join(docs, "doc_id", "left_semi")
+    # a document may lack page 1, and then a selection of page 1 alone would be refused
+    docs = c.pages().groupBy("doc_id").agg(F.min("page").cast("string").alias("low"))
+    loose = F.when((F.col("low") != "1") & (F.col("doc_id") % 4 >= 1), F.concat(F.lit("x,"), "low")).otherwise(loose)
+    pages = c.pages()
     a = sources.page_selection(pages, docs.select("doc_id", spec.alias("spec")))
     b = sources.page_selection(pages, docs.select("doc_id", loose.alias("spec")), strict=False)
     return a.withColumn("how", F.lit("strict")).unionByName(b.withColumn("how", F.lit("tolerant")))
@@ -356,9 +363,10 @@ def _catalog(c):
     name = F.concat(F.lit("W"), (F.col("p_size") % 4 * 2 + 8).cast("string"),
                     F.when(F.col("p_size") % 4 == 1, "x").otherwise("X"), (F.col("p_size") % 2 + 20).cast("string"))
     entry = F.format_string(
-        '{"%s": {"family": "W", "d": %d.5, "bf": 4, "tw": 0.25, "tf": 0.375}}', name, F.col("p_size") % 4 * 2 + 8
+        '{"%s": {"family": "W", "d": %d.5, "bf": %d, "tw": 0.25, "tf": 0.375}}', name, F.col("p_size") % 4 * 2 + 8,
+        F.col("p_partkey") % 5 + 2,
     )
-    return sources.parse_catalog(c.table("part").select(entry.alias("j")), "j")
+    return sources.parse_catalog(c.table("part").select(entry.alias("j"), "p_partkey"), "j", "p_partkey")
 
 
 @query
@@ -468,6 +476,11 @@ def delivery_summary(c):
     return delivery.delivery_summary(_deliveries(c), ["doc_id"])
 
 
+@query
+def delivery_failures(c):
+    return delivery.delivery_failures(_deliveries(c), ["doc_id"])
+
+
 @query
 def fallback_counts(c):
     return delivery.fallback_counts(_deliveries(c))
@@ -475,7 +488,17 @@ def fallback_counts(c):
 
 @query
 def entity_type_rollup(c):
-    return delivery.entity_type_rollup(_deliveries(c), ["doc_id"])
+    rest = F.col("source_id") % 3
+    own = (
+        F.when((F.col("final") == "labels") & (rest > 0), "native_label")
+        .when((F.col("final") == "text") & (rest == 1), "native_text")
+        .when((F.col("final") == "glyphs") & (rest == 1) & (F.col("doc_id") % 2 == 0), "glyph_curve")
+        .when((F.col("final") == "geometry") & (rest == 1) & (F.col("doc_id") % 4 == 0), "geometry_mesh")
+        .when((F.col("final") == "geometry") & (rest == 2), "fallback_geometry")
+        .when((F.col("final") == "raster") & (rest == 1), "raster_patch")
+        .when((F.col("final") == "raster") & (rest == 2), "raster_text_patch")
+    )
+    return delivery.entity_type_rollup(_deliveries(c).withColumn("bucket", own), ["doc_id"])
 
 
 @query
@@ -491,7 +514,7 @@ def fallback_transitions(c):
         F.when(F.col("ord") % 4 == 0, "").otherwise(F.col("outcome")).alias("reason"), "ord", "page",
     )
     return delivery.fallback_transitions(
-        a.filter("run_id % 3 = 0 and ord % 2 = 0"), a.filter("ord % 2 = 0"), a.filter("ord % 3 = 0")
+        a.filter("run_id % 3 = 0 and ord % 2 = 0"), a.filter("ord % 2 = 0"), a.filter("ord % 2 = 1 or ord % 3 = 0")
     )
 
 

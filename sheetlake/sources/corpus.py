@@ -235,13 +235,16 @@ CATALOG_ENTRY = T.MapType(
 )
 
 
-def parse_catalog(rows: DataFrame, column: str) -> DataFrame:
-    """``{designation: {dims}}`` maps, one JSON text per row, as one row per designation."""
-    return rows.select(F.explode(F.from_json(column, CATALOG_ENTRY)).alias("designation", "v")).select(
-        "designation", "v.*"
-    ).dropDuplicates(["designation"])
+def parse_catalog(rows: DataFrame, column: str, order: str) -> DataFrame:
+    """``{designation: {dims}}`` maps, one JSON text per row, as one row per designation.
+
+    Of entries with one designation the last by ``order`` wins.
+    """
+    entries = rows.select(F.col(order).alias("_o"), F.explode(F.from_json(column, CATALOG_ENTRY)).alias("designation", "v"))
+    return entries.groupBy("designation").agg(F.max_by("v", F.struct("_o", "v")).alias("v")).select("designation", "v.*")
 
 
 def load_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Section catalog from JSON files."""
-    return parse_catalog(spark.read.text(path, wholetext=True), "value")
+    """Section catalog from JSON files; a later file, by path, overrides an earlier one."""
+    files = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
+    return parse_catalog(files, "value", "path")
