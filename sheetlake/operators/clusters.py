@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,42 +16,111 @@ from .page_rules import table_cells
 
 PAGE = ["doc_id", "page"]
 Adjacent = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
+Near = Callable[[tuple, tuple], bool]
+#: Cells along the side of a tile, by the items of the page: about as large as one task holds well.
+TILES = ((20_000, 1024), (320_000, 256), (None, 64))
+#: Items up to which a tile is settled as a whole.
+CROWD = 20_000
 
 
-def leader_cluster(items: DataFrame, shape: list[str], adjacent: Adjacent) -> tuple[DataFrame, DataFrame]:
+def tile_side(n: Column) -> Column:
+    side = F.lit(TILES[-1][1])
+    for most, cells in reversed(TILES[:-1]):
+        side = F.when(n <= most, cells).otherwise(side)
+    return side
+
+
+def tile_solver(near: Near, shape: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """One ordered pass over a tile: items known to lead, and those free as far as the tile shows.
+
+    An item next to an earlier leader is taken; one next to an earlier undecided item waits; any other
+    leads, if its cells all lie in the tile, or is free here and may yet be taken elsewhere.
+    """
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord", kind="stable")
+        boxes = list(zip(*(pdf[c].to_list() for c in shape), strict=True))
+        leads: dict = {}
+        waits: dict = {}
+        rows = []
+        for i, (order, keys, single) in enumerate(zip(pdf["ord"].to_list(), pdf["keys"].to_list(), pdf["single"].to_list(), strict=True)):
+            mine = boxes[i]
+            if any(near(mine, boxes[j]) for k in keys for j in leads.get(k, ())):
+                continue
+            waiting = any(near(mine, boxes[j]) for k in keys for j in waits.get(k, ()))
+            leading = single and not waiting
+            if not waiting:
+                rows.append((order, leading))
+            for k in keys:
+                (leads if leading else waits).setdefault(k, []).append(i)
+        out = pdf[["doc_id", "page"]].iloc[: len(rows)].reset_index(drop=True)
+        out["ord"] = [r[0] for r in rows]
+        out["leads"] = [r[1] for r in rows]
+        return out.astype({"ord": "int64", "leads": "bool"})
+
+    return settle
+
+
+def leader_cluster(
+    items: DataFrame, shape: list[str], adjacent: Adjacent, near: Near, tile_of: Callable[[Column, Column, float], Column]
+) -> tuple[DataFrame, DataFrame]:
     """Greedy leader clustering: the lowest unused item leads and takes its unused neighbours.
 
     ``items``: doc_id, page, ord, the columns of ``shape``, ``anchor`` (items of one anchor are
-    always adjacent) and ``cells`` (adjacent items share a cell).  Returns (leaders, links); a
-    link is an item next to a leader, so there are only a few links per item.
-
-    Leaders come in rounds.  An item leads when no unused item of its cells has a lower ord,
-    which always holds for the lowest one left; one candidate per anchor is enough, because the
-    others of the anchor are its neighbours.  Cells are folded to their lowest ord before any
-    join, and leaders keep their distance, so a crowded cell costs one pass and no pairs.
+    always adjacent) and ``cells`` (adjacent items share a cell).  ``near`` is ``adjacent`` for two
+    shapes at hand, ``tile_of`` names the tile of a cell, with tiles moved by a share of their side.  Returns (leaders, links); a link is an
+    item next to a leader, so there are only a few links per item.
+
+    Leaders come in rounds.  Pages are cut into tiles of many cells and a tile is settled in one
+    ordered pass; only items on an edge need to hear from other tiles, so a chain of items costs a
+    round per tile it crosses.  Every other round the tiles move by half their side, so that a chain
+    along an edge comes to lie inside.  A tile with more than ``CROWD`` items is not held in one task:
+    there an item leads when none of its cells has a lower one, a fold without pairs, which clears
+    crowded cells at once.
     """
-    cols = [*PAGE, "ord", *shape, "anchor", "cells"]
-    base = cut_lineage(items.select(*cols))
-    left, leaders = base, None
+    cols = [*PAGE, "ord", *shape, "anchor", "cells", "side"]
+    sizes = items.groupBy(*PAGE).agg(tile_side(F.count(F.lit(1))).alias("side"))
+    base = cut_lineage(items.join(sizes, PAGE).select(*cols))
+    left, leaders, shift = base, None, 0.0
     while True:
-        lowest = left.select(*PAGE, "ord", F.explode("cells").alias("cell")).groupBy(
-            *PAGE, "cell"
-        ).agg(F.min("ord").alias("low"))
-        cand = left.groupBy(*PAGE, "anchor").agg(F.min_by(F.struct(*cols), "ord").alias("s")).select("s.*")
+        left = left.withColumn("tiles", F.array_distinct(F.transform("cells", lambda c: tile_of(c, F.col("side"), shift))))
+        spread = left.select("*", (F.size("tiles") == 1).alias("single"), F.explode("tiles").alias("tile"))
+        crowds = spread.groupBy(*PAGE, "tile").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD)
+        crowds = cut_lineage(crowds.select(*PAGE, "tile"))
+        calm = spread.join(crowds, [*PAGE, "tile"], "left_anti").select(
+            *PAGE, "tile", "ord", *shape, "single", F.transform("cells", lambda c: c.cast("string")).alias("keys")
+        )
+        told = calm.groupBy(*PAGE, "tile").applyInPandas(
+            tile_solver(near, shape), "doc_id long, page long, ord long, leads boolean"
+        )
+        full = spread.join(crowds, [*PAGE, "tile"], "left_semi")
+        own = F.filter("cells", lambda c: tile_of(c, F.col("side"), shift) == F.col("tile"))
+        lowest = full.select(*PAGE, "ord", F.explode(own).alias("cell")).groupBy(*PAGE, "cell").agg(
+            F.min("ord").alias("low")
+        )
+        first = full.groupBy(*PAGE, "tile", "anchor").agg(
+            F.min_by(F.struct("ord", "single", own.alias("own")), "ord").alias("s")
+        )
         free = (
-            cand.select(*PAGE, "ord", F.explode("cells").alias("cell"))
+            first.select(*PAGE, "tile", "s.ord", "s.single", F.explode("s.own").alias("cell"))
             .join(lowest, [*PAGE, "cell"])
-            .groupBy(*PAGE, "ord")
+            .groupBy(*PAGE, "tile", "ord", "single")
             .agg(F.min("low").alias("low"))
             .filter("low = ord")
-            .select(*PAGE, "ord")
+            .select(*PAGE, "ord", F.col("single").alias("leads"))
+        )
+        votes = told.unionByName(free).groupBy(*PAGE, "ord").agg(
+            F.bool_or("leads").alias("leads"), F.count(F.lit(1)).alias("n")
+        )
+        new = cut_lineage(
+            left.join(votes, [*PAGE, "ord"]).filter(F.col("leads") | (F.col("n") == F.size("tiles"))).select(*cols)
         )
-        new = cut_lineage(cand.join(free, [*PAGE, "ord"], "left_semi").select(*cols))
         taken = leader_links(left, new, shape, adjacent).select(*PAGE, "ord").distinct()
         left = cut_lineage(left.join(taken, [*PAGE, "ord"], "left_anti").select(*cols))
         leaders = new if leaders is None else leaders.unionByName(new)
         if left.isEmpty():
             break
+        shift = 0.5 - shift
     return leaders, leader_links(base, leaders, shape, adjacent)
 
 
@@ -98,9 +168,25 @@ def box_adjacent(gap: float) -> Adjacent:
     return lambda a, b: g.boxes_within(*[a(c) for c in BOX], *[b(c) for c in BOX], gap)
 
 
+def box_near(gap: float) -> Near:
+    def near(a: tuple, b: tuple) -> bool:
+        return max(a[0] - b[2], b[0] - a[2], 0.0) < gap and max(a[1] - b[3], b[1] - a[3], 0.0) < gap
+
+    return near
+
+
+def box_tile(cell: Column, side: Column, shift: float) -> Column:
+    return F.struct(F.floor(cell["x"] / side + shift).alias("x"), F.floor(cell["y"] / side + shift).alias("y"))
+
+
+def box_clusters(items: DataFrame, gap: float) -> tuple[DataFrame, DataFrame]:
+    """Leaders and links of box items that are less than ``gap`` apart."""
+    return leader_cluster(items, BOX, box_adjacent(gap), box_near(gap), box_tile)
+
+
 def bbox_adjacent(boxes: DataFrame, gap: float = 12.0) -> DataFrame:
     """Boxes next to a cluster leader: (ord, leader), several leaders per box are possible."""
-    return leader_cluster(box_items(boxes, gap), BOX, box_adjacent(gap))[1].select(
+    return box_clusters(box_items(boxes, gap), gap)[1].select(
         *PAGE, "ord", "leader"
     )
 
@@ -109,7 +195,7 @@ def table_regions(prims: DataFrame, cfg: Recognition = Recognition()) -> DataFra
     """Clusters of at least four small cells: union box and cell count."""
     cells = table_cells(prims).filter("bx0 is not null")
     items = box_items(cells, cfg.table_gap)
-    _, links = leader_cluster(items, BOX, box_adjacent(cfg.table_gap))
+    _, links = box_clusters(items, cfg.table_gap)
     owned = cells.select(*PAGE, "ord", *BOX).join(first_leader(links), [*PAGE, "ord"])
     return owned.groupBy(*PAGE, "leader").agg(
         F.count(F.lit(1)).alias("cells"), F.min("bx0").alias("x0"), F.min("by0").alias("y0"),
@@ -219,8 +305,15 @@ def hatch_lines(prims: DataFrame, cfg: Hatching = Hatching()) -> DataFrame:
     """Lines with the leader of their parallel group and the leader's angle."""
     segs = cut_lineage(segment_metrics(prims, cfg.min_len))
     items = angle_items(segs, cfg.angle_tol_deg)
+    tol = cfg.angle_tol_deg
+
+    def near(a: tuple, b: tuple) -> bool:
+        d = abs(a[0] - b[0])
+        return (180 - d if d > 90 else d) < tol
+
     _, links = leader_cluster(
-        items, ["angle"], lambda a, b: angle_gap(a("angle"), b("angle")) < cfg.angle_tol_deg
+        items, ["angle"], lambda a, b: angle_gap(a("angle"), b("angle")) < tol, near,
+        lambda cell, side, shift: F.lit("all"),
     )
     owner = first_leader(links, ["l_angle"]).join(
         items.select(*PAGE, "ord", "angle"), [*PAGE, "ord"]
@@ -327,7 +420,7 @@ def dimension_assoc(dims: DataFrame, prims: DataFrame, radius: float = 75.0, lev
     ).agg(F.min("ord").alias("ord"), F.min_by("prim_id", "ord").alias("prim_id"))
     spots = dims.select(*PAGE, "ix", "iy").distinct()
     found = None
-    for level in range(levels, -1, -levels if levels else -1):
+    for level in range(levels, -1, -1):
         side = radius / (2**level)
         homes = mid.withColumns(
             {"gx": F.floor(F.col("px") / side).cast("long"), "gy": F.floor(F.col("py") / side).cast("long")}

@@ -661,7 +661,7 @@ def _cells(c):
 @query
 def leader_cluster(c):
     boxes = clusters.box_items(_cells(c), 30.0)
-    _, links = clusters.leader_cluster(boxes, clusters.BOX, clusters.box_adjacent(30.0))
+    _, links = clusters.box_clusters(boxes, 30.0)
     return clusters.first_leader(links)
 
 

@@ -41,13 +41,32 @@ def test_leader_cluster_on_boxes_even_when_crowded(spark):
             return gx < 12 and gy < 12
 
         want = greedy([(r[2], r[3:]) for r in rows], near)
-        _, links = clusters.leader_cluster(
-            clusters.box_items(df, 12.0), clusters.BOX, clusters.box_adjacent(12.0)
-        )
+        _, links = clusters.box_clusters(clusters.box_items(df, 12.0), 12.0)
         got = {r.ord: r.leader for r in clusters.first_leader(links).collect()}
         assert got == want
 
 
+def test_leader_cluster_with_small_tiles_and_crowds(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "TILES", ((10, 1024), (None, 2)))
+    monkeypatch.setattr(clusters, "CROWD", 12)
+    rows, df = boxes(spark, 3, 80, 60)
+    want = greedy([(r[2], r[3:]) for r in rows], clusters.box_near(12.0))
+    _, links = clusters.box_clusters(clusters.box_items(df, 12.0), 12.0)
+    assert {r.ord: r.leader for r in clusters.first_leader(links).collect()} == want
+
+
+def test_a_row_of_cells_takes_a_handful_of_rounds(spark, monkeypatch):
+    calls = []
+    cut = clusters.cut_lineage
+    monkeypatch.setattr(clusters, "cut_lineage", lambda df: calls.append(1) or cut(df))
+    rows = [(0, 1, i, i * 12.0, 0.0, i * 12.0 + 10, 8.0) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, page long, ord long, bx0 double, by0 double, bx1 double, by1 double")
+    _, links = clusters.box_clusters(clusters.box_items(df, 12.0), 12.0)
+    want = greedy([(r[2], r[3:]) for r in rows], clusters.box_near(12.0))
+    assert {r.ord: r.leader for r in clusters.first_leader(links).collect()} == want
+    assert len(calls) <= 1 + 3 * 5
+
+
 def lines(spark, seed, n):
     rng = random.Random(seed)
     rows = []
