@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
-from ..plans.scale import block_of, cut_lineage, running_sum, with_halo
+from ..plans.scale import BLOCK, block_of, cut_lineage, running_sum, with_halo
 
 # Room for the points of one operator (a curve gives at most 32, plus its start).
 SLOTS = 64
@@ -116,22 +119,72 @@ def split_subpaths(ops: DataFrame, gap: float = 0.01, tol: float = 0.01) -> Data
     )
 
 
-def thin_points(points: DataFrame, tol: float = 0.01) -> DataFrame:
+def thin_points(points: DataFrame, tol: float = 0.01, short: int = 256, width: int = BLOCK) -> DataFrame:
     """Drop points within ``tol`` of the last kept point of their subpath.
 
     Only runs of points that all sit within two tolerances of their predecessor need the
-    fold; every other point is kept as it is.
+    fold; every other point is kept as it is.  Short runs fold as arrays, long ones block by block.
     """
-    near = points.filter("near").select("path_id", "island").distinct()
-    marked = points.join(near.withColumn("_run", F.lit(True)), ["path_id", "island"], "left")
-    plain = marked.filter(F.col("_run").isNull()).select("path_id", "sub_id", "pos", "x", "y")
+    run = ["path_id", "sub_id", "island"]
+    near = points.filter("near").groupBy("path_id", "island").agg(F.count(F.lit(1)).alias("_n"))
+    marked = points.join(near, ["path_id", "island"], "left")
+    plain = marked.filter(F.col("_n").isNull()).select("path_id", "sub_id", "pos", "x", "y")
     runs = (
-        marked.filter("_run")
-        .groupBy("path_id", "sub_id", "island")
+        marked.filter(F.col("_n") < short)
+        .groupBy(*run)
         .agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("pts"))
         .select("path_id", "sub_id", F.inline(g.keep_apart(F.col("pts"), tol)))
     )
-    return plain.unionByName(runs)
+    long = marked.filter(F.col("_n") >= short).select(*run, "pos", "x", "y", block_of("pos", width).alias("block"))
+    return plain.unionByName(runs).unionByName(thin_blocks(long, run, tol))
+
+
+def thin_blocks(points: DataFrame, run: list[str], tol: float) -> DataFrame:
+    """``thin_points`` for long runs: blocks of at most BLOCK positions are folded side by side.
+
+    A block needs the last point kept before it.  At first every block assumes that there is none;
+    then blocks whose predecessor ended on another point are folded again, until nothing changes.
+    Folds from different points soon keep the same ones, so few blocks are folded twice.
+    """
+    points = cut_lineage(points)
+    if points.isEmpty():
+        return points.select("path_id", "sub_id", "pos", "x", "y")
+    keys = [*run, "block"]
+
+    def fold(kept_only: bool):
+        def kept(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("pos", kind="stable")
+            x, y = pdf["x"].to_list(), pdf["y"].to_list()
+            lx, ly = pdf["lx"].iloc[0], pdf["ly"].iloc[0]
+            first = pd.isna(lx)
+            keep = []
+            for px, py in zip(x, y, strict=True):
+                keep.append(first or math.hypot(lx - px, ly - py) > tol)
+                if keep[-1]:
+                    lx, ly, first = px, py, False
+            if kept_only:
+                return pdf[keep][["path_id", "sub_id", "pos", "x", "y"]]
+            return pdf[keys].head(1).assign(ox=lx, oy=ly)
+
+        return kept
+
+    end = ", ".join(f"{f} {t}" for f, t in points.select(*keys).dtypes) + ", ox double, oy double"
+    none = F.lit(None).cast("double")
+    blocks = points.select(*keys).distinct()
+    ins = cut_lineage(blocks.withColumns({"lx": none, "ly": none}))
+    outs = cut_lineage(points.join(ins, keys).groupBy(*keys).applyInPandas(fold(False), end))
+    before = Window.partitionBy(*run).orderBy("block")  # one row per block
+    while True:
+        told = outs.withColumns({"nx": F.lag("ox").over(before), "ny": F.lag("oy").over(before)})
+        wrong = ins.join(told, keys).filter(~(F.col("lx").eqNullSafe(F.col("nx")) & F.col("ly").eqNullSafe(F.col("ny"))))
+        wrong = cut_lineage(wrong.select(*keys, F.col("nx").alias("lx"), F.col("ny").alias("ly")))
+        if wrong.isEmpty():
+            break
+        again = points.join(wrong, keys).groupBy(*keys).applyInPandas(fold(False), end)
+        outs = cut_lineage(outs.join(wrong, keys, "left_anti").unionByName(again))
+        ins = cut_lineage(ins.join(wrong, keys, "left_anti").unionByName(wrong))
+    final = ", ".join(f"{f} {t}" for f, t in points.select("path_id", "sub_id", "pos", "x", "y").dtypes)
+    return points.join(ins, keys).groupBy(*keys).applyInPandas(fold(True), final)
 
 
 def assemble_primitives(ops: DataFrame, gap: float = 0.01, tol: float = 0.01) -> DataFrame:

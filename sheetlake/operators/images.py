@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..plans.scale import block_of, cut_lineage, dense_position, running_sum
+from ..plans.scale import block_of, cut_lineage, dense_position
 
 PAGE = ["doc_id", "page"]
 
@@ -45,30 +46,35 @@ def image_composite(images: DataFrame, pages: DataFrame, threshold: int = 256) -
 def raster_budget_greedy(rasters: DataFrame, budget: int) -> DataFrame:
     """Admit rasters of a document in order while they fit; a rejected one uses no budget.
 
-    ``rasters``: doc_id, ord, px.  A plain running sum is wrong, since the rejected do not count,
-    and a fold would pull a document into one task.  Instead every round admits the run up to
-    the first overflow, then rejects at once all that exceed what is left: the rest only shrinks.
+    ``rasters``: doc_id, ord, px.  A plain running sum is wrong, since the rejected do not count.
+    Documents are cut into blocks of their order; a round settles one block of every document from
+    the room the block before left, so rounds grow with a document's blocks, not with its overflows.
     """
     placed = dense_position(rasters, ["doc_id"], ["ord"], [block_of("ord")])
-    active = cut_lineage(placed.select("doc_id", "ord", "px", "pos", F.lit(budget).cast("long").alias("room")))
+    placed = cut_lineage(placed.select("doc_id", "ord", "px", block_of("pos").alias("block")))
+    rounds = (placed.agg(F.max("block")).first()[0] or 0) + 1
+    room = None
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord", kind="stable")
+        left, fits = int(pdf["room"].iloc[0]), []
+        for px in pdf["px"].to_list():
+            fits.append(px <= left)
+            if fits[-1]:
+                left -= px
+        return pdf[["doc_id", "ord", "px"]].assign(admitted=fits, room=left)
+
     decided = None
-    while True:
-        fits = active.filter("px <= room")
-        out = active.filter("px > room").select("doc_id", "ord", "px", F.lit(False).alias("admitted"))
-        run = cut_lineage(running_sum(fits, ["doc_id"], "pos", {"used": F.col("px")}))
-        over = run.filter("used > room").groupBy("doc_id").agg(F.min("pos").alias("stop"))
-        state = run.join(over, "doc_id", "left").withColumn(
-            "in", F.col("stop").isNull() | (F.col("pos") < F.col("stop"))
-        )
-        taken = state.filter("in")
-        rest = state.filter(~F.col("in"))
-        spent = taken.groupBy("doc_id").agg(F.sum("px").alias("spent"))
-        left = rest.join(spent, "doc_id", "left").select(
-            "doc_id", "ord", "px", "pos",
-            (F.col("room") - F.coalesce("spent", F.lit(0))).alias("room"),
+    for k in range(rounds):
+        now = placed.filter(F.col("block") == k)
+        if room is None:
+            now = now.withColumn("room", F.lit(budget).cast("long"))
+        else:
+            now = now.join(room, "doc_id")
+        done = cut_lineage(
+            now.groupBy("doc_id").applyInPandas(settle, "doc_id long, ord long, px long, admitted boolean, room long")
         )
-        now = out.unionByName(taken.select("doc_id", "ord", "px", F.lit(True).alias("admitted")))
-        decided = now if decided is None else decided.unionByName(now)
-        active = cut_lineage(left)
-        if active.isEmpty():
-            return decided
+        room = done.groupBy("doc_id").agg(F.first("room").alias("room"))
+        part = done.drop("room")
+        decided = part if decided is None else decided.unionByName(part)
+    return decided

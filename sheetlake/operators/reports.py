@@ -116,28 +116,21 @@ def corpus_quantiles(counters: DataFrame, caps: dict[str, float]) -> DataFrame:
     )
 
 
-def set_digest(files: DataFrame, keys: list[str], blocks: int = 4096) -> DataFrame:
+def set_digest(files: DataFrame, keys: list[str]) -> DataFrame:
     """Order-free digest of a set of (path, sha256) pairs per key.
 
-    Two levels, so no task ever holds a whole set: pairs are dealt by their own hash over
-    ``blocks`` sorted lists, each list is hashed, and the block hashes are hashed in block order.
+    The digest of every line is cut into eight words; their sums and exclusive ors, which combine in
+    any order and in any task, are hashed together with the number of lines.
     """
-    line = F.concat_ws("=", "path", "sha256")
-    dealt = files.select(*keys, line.alias("line")).withColumn(
-        "block", F.conv(F.substring(F.sha2("line", 256), 1, 4), 16, 10).cast("long") % blocks
-    )
-    level1 = dealt.groupBy(*keys, "block").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("h"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    return level1.groupBy(*keys).agg(
-        F.sha2(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda s: s["h"]), "\n"
-            ),
-            256,
-        ).alias("sha256"),
-        F.sum("n").alias("files"),
+    line = F.sha2(F.concat_ws("=", "path", "sha256"), 256)
+    words = {f"_w{i}": F.conv(F.substring(line, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(8)}
+    folded = files.select(*keys, *[c.alias(n) for n, c in words.items()]).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("files"),
+        *[F.sum(n).alias(f"{n}s") for n in words], *[F.bit_xor(n).alias(f"{n}x") for n in words],
+    )
+    parts = [F.col("files"), *[F.col(f"{n}s") for n in words], *[F.col(f"{n}x") for n in words]]
+    return folded.select(
+        *keys, F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256).alias("sha256"), "files"
     )
 
 

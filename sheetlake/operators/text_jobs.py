@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from ..plans.scale import spread_join
+from ..plans.scale import block_of, dense_position, spread_join
 
 PAGE = ["doc_id", "page"]
 
@@ -77,11 +77,18 @@ def redaction_report(
     )
 
 
+#: Rank filters up to this are pushed below the exchange by the engine.
+PUSHED_RANK = 1000
+
+
 def text_cap(texts: DataFrame, n: int) -> DataFrame:
     """The first ``n`` texts of every page by source order.
 
-    The rank filter is pushed below the exchange, so a page sends at most ``n`` rows per task.
+    A small rank filter is pushed below the exchange, so a page sends at most ``n`` rows per task;
+    for a large one rows are numbered block by block, so that no page is sorted in one task.
     """
+    if n > PUSHED_RANK:
+        return dense_position(texts, PAGE, ["ord"], [block_of("ord")], "_rn").filter(F.col("_rn") < n).drop("_rn")
     w = Window.partitionBy(*PAGE).orderBy("ord")
     return texts.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 

@@ -1102,9 +1102,9 @@ oracle(
 )
 oracle(
     "set_digest",
-    """SELECT folder, sha256(string_agg(h, chr(10) ORDER BY block)) AS sha256, CAST(sum(n) AS BIGINT) AS files FROM
-      (SELECT folder, block, sha256(string_agg(line, chr(10) ORDER BY line)) AS h, count(*) AS n FROM
-        (SELECT folder, line, CAST(concat('0x', sha256(line)[1:4]) AS BIGINT) % 4096 AS block FROM (SELECT folder, concat(path, '=', sha256) AS line FROM files)) GROUP BY 1, 2) GROUP BY 1""",
+    f"""SELECT folder, sha256(concat_ws(':', count(*), {", ".join(f"sum(w[{i}])" for i in range(1, 9))}, {", ".join(f"bit_xor(w[{i}])" for i in range(1, 9))})) AS sha256, count(*) AS files
+      FROM (SELECT folder, list_transform(range(8), lambda i: CAST(concat('0x', h[1 + 8 * i : 8 + 8 * i]) AS BIGINT)) AS w
+        FROM (SELECT folder, sha256(concat(path, '=', sha256)) AS h FROM files)) GROUP BY 1""",
     FILES,
 )
 HINT = f"coalesce({sq.replace('$E', ex('$T', tx.PLATE, 0))}, {designation(ex('$T', tx.MEMBER, 0))}, {sq.replace('$E', ex('$T', tx.ROW_PROFILE, 1))})"
