@@ -2,7 +2,8 @@
 
 ``texts``: doc_id, page, text_id, ord, text, ix, iy, font_size, rotation, font_name, laid_out.
 ``chars``: text_id, idx, ch, x, y of the items whose characters were all placed.
-Identical overlays (equal in every observed column) are folded to one class before any pairing.
+Identical overlays (equal in every observed column and in their characters) are folded to one class
+before any pairing.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..plans.scale import block_of, cut_lineage, dense_position, keep_when
+from ..plans.scale import block_of, cut_lineage, dense_position, keep_when, spread_join
 
 PAGE = ["doc_id", "page"]
-OBSERVED = ("text", "ix", "iy", "font_size", "rotation", "font_name", "laid_out")
+#: What overlays must share, as far as the texts have it, beside their characters.
+OBSERVED = ("text", "normalized", "ix", "iy", "bx0", "by0", "bx1", "by1", "font_size", "rotation", "font_name", "color", "laid_out")
 REACH_EM, AXIS_EM, INLINE_EM, STACK_ALONG_EM, STACK_NORMAL_EM = 5.0, 0.10, 0.75, 1.75, 3.5
 DENOMS = (2, 4, 8, 16, 32, 64)
 
@@ -55,25 +57,33 @@ def spans(texts: DataFrame, chars: DataFrame) -> DataFrame:
         F.avg(F.when(F.col("idx") < F.col("cut"), F.col("y"))).alias("ny"),
         F.avg(F.when(F.col("idx") >= F.col("cut"), F.col("x"))).alias("dx"),
         F.avg(F.when(F.col("idx") >= F.col("cut"), F.col("y"))).alias("dy"),
+        # combines in any order; equal characters in equal places give equal sums
+        F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("idx", "ch", "x", "y")).alias("_h"),
     )
+    seen = [c for c in OBSERVED if c in texts.columns]
     k = F.ceil(F.log2(F.greatest("font_size", F.lit(0.01)))).cast("int")
     return rows.join(placed, "text_id", "left").withColumns(
         {
             "exact": F.col("laid_out") & F.col("cx").isNotNull(),
             "x": F.coalesce("cx", "ix"), "y": F.coalesce("cy", "iy"), "k": k,
             "value": F.col("t").try_cast("long"),
-            "cls": F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in OBSERVED]), 256),
+            "cls": F.sha2(F.to_json(F.struct(*seen, "_n", "_h")), 256),
         }
     )
 
 
-def near_digits(sp: DataFrame, top: int = 12) -> DataFrame:
+def near_digits(sp: DataFrame) -> DataFrame:
     """Slash and digit classes within reach, found on a grid per size class.
 
-    A digit is filed under its own size class and the next one (sizes further apart cannot form
-    a fraction), or under all larger classes when it lacks a layout, because such a digit blocks
+    A digit is filed under its own size class and the next one, since sizes further apart cannot form
+    a fraction; also under those up to the largest unclear slash of its page, which blocks digits of
+    any size; and under all classes of the page when it lacks a layout, because such a digit blocks
     the slash whatever its size.
     """
+    unclear = F.col("is_slash") & ~(F.col("exact") & (F.col("t") == "/"))
+    tops = sp.groupBy(*PAGE).agg(
+        F.max("k").alias("hi"), F.coalesce(F.max(F.when(unclear, F.col("k"))), F.min("k")).alias("hi_unclear")
+    )
     reach = REACH_EM * F.pow(F.lit(2.0), F.col("c"))
 
     def cell(v):
@@ -87,11 +97,13 @@ def near_digits(sp: DataFrame, top: int = 12) -> DataFrame:
     d = sp.filter("not is_slash").groupBy(*PAGE, "cls").agg(
         F.min_by(F.struct(*cols, "split", "nx", "ny", "dx", "dy", "value"), "ord").alias("d")
     ).select(*PAGE, "d.*")
-    s = s.withColumn("c", F.explode(F.sequence(F.col("s_k"), F.greatest(F.lit(top), F.col("s_k"))))).withColumns(
+    s = spread_join(s, tops.select(*PAGE, "hi"), PAGE, "s_text_id")
+    s = s.withColumn("c", F.explode(F.sequence("s_k", "hi"))).drop("hi").withColumns(
         {"gx": F.floor(F.col("s_x") / reach).cast("long"), "gy": F.floor(F.col("s_y") / reach).cast("long")}
     )
-    upto = F.when(F.col("exact"), F.col("k") + 1).otherwise(F.greatest(F.lit(top), F.col("k")))
-    d = d.withColumn("c", F.explode(F.sequence(F.col("k"), upto))).withColumn(
+    upto = F.when(F.col("exact"), F.greatest(F.col("k") + 1, F.col("hi_unclear"))).otherwise(F.col("hi"))
+    d = spread_join(d, tops, PAGE, "text_id").withColumn("c", F.explode(F.sequence(F.col("k"), upto)))
+    d = d.drop("hi", "hi_unclear").withColumn(
         "gx", F.explode(F.array(cell("x") - 1, cell("x"), cell("x") + 1))
     ).withColumn("gy", F.explode(F.array(cell("y") - 1, cell("y"), cell("y") + 1)))
     em = _middle(F.col("font_size"), F.col("s_font_size"))
@@ -140,10 +152,12 @@ def fraction_candidates(near: DataFrame) -> DataFrame:
         *PAGE, "s_cls", F.lit("concatenated").alias("kind"),
         _encoding(na, nn, da, dn).alias("encoding"),
         F.concat_ws("/", "split.num_text", "split.den_text").alias("semantic"),
-        F.col("cls").alias("n_cls"), F.lit("").alias("d_cls"),
+        F.col("cls").alias("n_cls"), F.lit("").alias("d_cls"), F.col("ord").alias("n_ord"),
+        F.lit(None).cast("long").alias("d_ord"), "s_ord",
+        F.struct(F.lit(0).alias("kind"), F.col("ord").alias("lo"), F.col("ord").alias("hi")).alias("turn"),
         (F.col("font_name") == F.col("s_font_name")).alias("bound"),
     )
-    part = ("cls", "t", "x", "y", "font_size", "rotation", "font_name", "value")
+    part = ("cls", "ord", "t", "x", "y", "font_size", "rotation", "font_name", "value")
     loose = ok.filter("split is null")
     num = loose.select(*PAGE, *slash, *[F.col(c).alias(f"n_{c}") for c in part])
     den = loose.filter(F.col("value").isin(*DENOMS)).select(
@@ -159,7 +173,9 @@ def fraction_candidates(near: DataFrame) -> DataFrame:
         .filter(_turn(F.col("n_rotation"), F.col("d_rotation")) <= 1.0)
         .select(
             *PAGE, "s_cls", F.lit("separate").alias("kind"), _encoding(a1, n1, a2, n2).alias("encoding"),
-            F.concat_ws("/", "n_t", "d_t").alias("semantic"), "n_cls", "d_cls",
+            F.concat_ws("/", "n_t", "d_t").alias("semantic"), "n_cls", "d_cls", "n_ord", "d_ord", "s_ord",
+            F.struct(F.lit(1).alias("kind"), F.least("n_ord", "d_ord").alias("lo"),
+                     F.greatest("n_ord", "d_ord").alias("hi")).alias("turn"),
             ((F.col("n_font_name") == F.col("s_font_name"))
              & (F.col("d_font_name") == F.col("s_font_name"))).alias("bound"),
         )
@@ -187,9 +203,16 @@ def merge_decisions(texts: DataFrame, chars: DataFrame) -> tuple[DataFrame, Data
         *PAGE, F.explode(F.array("cls", "s_cls")).alias("c")
     )
     unclear = state.filter("bad_slash = 0 and bad_digit = 0 and n is not null and (n > 1 or all_bound = 0)")
-    parts = cand.join(unclear.select(*PAGE, "s_cls"), [*PAGE, "s_cls"], "left_semi").select(
-        *PAGE, F.explode(F.array("s_cls", "n_cls", "d_cls")).alias("c")
+    # The first pair without one font stops its slash and is all that is blocked; else every proposal is.
+    first = cand.filter("not bound").groupBy(*PAGE, "s_cls").agg(
+        F.min_by(F.array("s_cls", "n_cls", "d_cls"), "turn").alias("parts")
+    )
+    doubtful = cand.join(unclear.select(*PAGE, "s_cls"), [*PAGE, "s_cls"], "left_semi")
+    stopped = first.join(unclear.select(*PAGE, "s_cls"), [*PAGE, "s_cls"], "left_semi")
+    rivals = doubtful.join(first, [*PAGE, "s_cls"], "left_anti").select(
+        *PAGE, F.array("s_cls", "n_cls", "d_cls").alias("parts")
     )
+    parts = stopped.select(*PAGE, "parts").unionByName(rivals).select(*PAGE, F.explode("parts").alias("c"))
     blocked = lone_bad.unionByName(invalid).unionByName(parts).filter("c <> ''").distinct()
     fine = state.filter("bad_slash = 0 and bad_digit = 0 and n = 1 and all_bound = 1")
     props = cand.join(fine.select(*PAGE, "s_cls"), [*PAGE, "s_cls"], "left_semi")

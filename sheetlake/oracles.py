@@ -1221,6 +1221,71 @@ oracle(
     ("dims", f"SELECT doc_id, page, text_id, ix, iy FROM d3 WHERE {tag('dimension_like')} AND kind <> 'unknown' AND conf >= 0.3"),
 )
 
+# ---- fractions ----------------------------------------------------------------------------------------
+
+SPLIT = "CASE " + " ".join(
+    f"WHEN length(t) > {len(str(d))} AND length(t) >= 2 AND t[-{len(str(d))}:] = '{d}' AND TRY_CAST(t[:-{len(str(d)) + 1}] AS BIGINT) BETWEEN 1 AND {d - 1} THEN {len(str(d))}"
+    for d in (64, 32, 16, 8, 4, 2)
+) + " END"
+
+
+def local(x: str, y: str, ax: str, ay: str, em: str) -> tuple[str, str]:
+    dx, dy, t = f"({x} - {ax})", f"({y} - {ay})", "radians(s_rot)"
+    return f"(({dx} * cos({t}) + {dy} * sin({t})) / {em})", f"(({dy} * cos({t}) - {dx} * sin({t})) / {em})"
+
+
+def layout(na: str, nn: str, da: str, dn: str) -> str:
+    up = f"({nn} >= 0.1 AND {dn} <= -0.1 AND greatest(abs({nn}), abs({dn})) <= 3.5 AND greatest(abs({na}), abs({da})) <= 1.75)"
+    side = f"({na} <= -0.1 AND {da} >= 0.1 AND greatest(abs({na}), abs({da})) <= 5 AND greatest(abs({nn}), abs({dn})) <= 0.75)"
+    return f"CASE WHEN {up} AND NOT {side} THEN 'vertical' WHEN {side} AND NOT {up} THEN 'horizontal' END"
+
+
+def turned(a: str, b: str) -> str:
+    return f"abs((({a} - {b} + 180) % 360 + 360) % 360 - 180)"
+
+
+AT_CHAR, AT_PEN = local("x", "y", "s_x", "s_y", "em"), local("ix", "iy", "s_ix", "s_iy", "em")
+ONE = layout(*local("nx", "iy", "s_x", "s_y", "fs"), *local("dx", "iy", "s_x", "s_y", "fs"))
+TWO = layout(*local("n.x", "n.y", "n.s_x", "n.s_y", "em3"), *local("d.x", "d.y", "n.s_x", "n.s_y", "em3")).replace("(s_rot)", "(n.s_rot)")
+FRACTION_STEPS = [
+    ("f0", "SELECT *, trim(text) AS t FROM v_fractions"),
+    ("f1", f"""SELECT doc_id, page, text_id, ord, t, ix, iy, font_size AS fs, rotation AS rot, font_name AS font, laid_out AS exact, length(t) AS n, {SPLIT} AS tail,
+       regexp_full_match(t, '[/⁄∕]') AS is_slash FROM f0 WHERE regexp_full_match(t, '[/⁄∕]') OR regexp_full_match(t, '\\d{{1,4}}')"""),
+    ("f2", """SELECT *, ix + CASE WHEN exact THEN fs * 0.5 * (n - 1) / 2 ELSE 0 END AS x, iy AS y, ix + fs * 0.5 * (n - tail - 1) / 2 AS nx, ix + fs * 0.5 * (n - tail + n - 1) / 2 AS dx FROM f1"""),
+    ("fc", """SELECT doc_id, page, min(ord) AS ord, arg_min(text_id, ord) AS text_id, list(text_id) AS members, t, ix, iy, fs, rot, font, exact, any_value(x) AS x, any_value(y) AS y, any_value(nx) AS nx,
+       any_value(dx) AS dx, any_value(tail) AS tail, any_value(is_slash) AS is_slash, TRY_CAST(t AS BIGINT) AS value FROM f2 GROUP BY doc_id, page, t, ix, iy, fs, rot, font, exact"""),
+    ("fn", f"""SELECT * FROM (SELECT d.*, s.ord AS s_ord, s.t AS s_t, s.x AS s_x, s.y AS s_y, s.ix AS s_ix, s.iy AS s_iy, s.fs AS s_fs, s.rot AS s_rot, s.font AS s_font,
+         s.exact AND s.t = '/' AS good, greatest(d.fs, s.fs) AS em FROM fc d JOIN fc s ON d.doc_id = s.doc_id AND d.page = s.page AND NOT d.is_slash AND s.is_slash)
+       WHERE {turned('rot', 's_rot')} <= 1 AND CASE WHEN good THEN abs({AT_CHAR[0]}) <= 5 AND abs({AT_CHAR[1]}) <= 5 ELSE abs({AT_PEN[0]}) <= 5 AND abs({AT_PEN[1]}) <= 5 END"""),
+    ("fp", f"""SELECT doc_id, page, s_ord, ord AS n_ord, CAST(NULL AS BIGINT) AS d_ord, 'concatenated' AS kind, {ONE} AS encoding, concat(t[:-tail - 1], '/', t[-tail:]) AS semantic, font = s_font AS bound
+       FROM fn WHERE good AND exact AND tail IS NOT NULL AND greatest(fs, s_fs) <= 2 * least(fs, s_fs)
+       UNION ALL SELECT doc_id, page, s_ord, n_ord, d_ord, 'separate', encoding, semantic, bound FROM (
+         SELECT n.doc_id, n.page, n.s_ord, n.ord AS n_ord, d.ord AS d_ord, concat(n.t, '/', d.t) AS semantic, n.font = n.s_font AND d.font = n.s_font AS bound,
+           list_sort([n.fs, n.s_fs, d.fs])[2] AS em3, {TWO} AS encoding
+         FROM fn n JOIN fn d ON n.doc_id = d.doc_id AND n.page = d.page AND n.s_ord = d.s_ord AND n.good AND n.exact AND d.exact AND n.tail IS NULL AND d.tail IS NULL
+           AND d.value IN (2, 4, 8, 16, 32, 64) AND n.value > 0 AND n.value < d.value AND greatest(n.fs, n.s_fs, d.fs) <= 2 * least(n.fs, n.s_fs, d.fs)
+           AND {turned('n.rot', 'd.rot')} <= 1)"""),
+    ("fk", "SELECT *, [s_ord, n_ord, d_ord] AS parts, row_number() OVER (PARTITION BY doc_id, page, s_ord, bound ORDER BY kind, least(n_ord, coalesce(d_ord, n_ord)), greatest(n_ord, coalesce(d_ord, n_ord))) AS k FROM fp WHERE encoding IS NOT NULL"),
+    ("fs0", "SELECT doc_id, page, s_ord, bool_or(NOT good) AS bad_slash, bool_or(good AND NOT exact) AS bad_digit FROM fn GROUP BY 1, 2, 3"),
+    ("fs1", "SELECT fs0.*, coalesce(n, 0) AS n, ok FROM fs0 LEFT JOIN (SELECT doc_id, page, s_ord, count(*) AS n, bool_and(bound) AS ok FROM fk GROUP BY 1, 2, 3) USING (doc_id, page, s_ord)"),
+    ("blocked", """SELECT DISTINCT * FROM (SELECT doc_id, page, ord AS c FROM fc WHERE is_slash AND NOT (exact AND t = '/')
+       UNION ALL SELECT doc_id, page, unnest([ord, s_ord]) FROM fn WHERE NOT good OR NOT exact
+       UNION ALL SELECT doc_id, page, unnest(parts) FROM fk JOIN fs1 USING (doc_id, page, s_ord) WHERE NOT bad_slash AND NOT bad_digit AND ((NOT ok AND NOT bound AND k = 1) OR (ok AND n > 1))) WHERE c IS NOT NULL"""),
+    ("opened", """SELECT fk.* FROM fk JOIN fs1 USING (doc_id, page, s_ord) WHERE NOT bad_slash AND NOT bad_digit AND n = 1 AND ok
+       AND NOT EXISTS (SELECT 1 FROM blocked b WHERE b.doc_id = fk.doc_id AND b.page = fk.page AND list_contains(fk.parts, b.c))"""),
+    ("shared", "SELECT doc_id, page, c FROM (SELECT doc_id, page, unnest(parts) AS c FROM opened) WHERE c IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1"),
+    ("accepted", "SELECT * FROM opened o WHERE NOT EXISTS (SELECT 1 FROM shared s WHERE s.doc_id = o.doc_id AND s.page = o.page AND list_contains(o.parts, s.c))"),
+    ("eaten", "SELECT DISTINCT a.doc_id, a.page, unnest(members) AS text_id FROM accepted a JOIN fc c ON a.doc_id = c.doc_id AND a.page = c.page AND list_contains(a.parts, c.ord)"),
+]
+oracle("fraction_candidates", "SELECT doc_id, page, s_ord, n_ord, d_ord, kind, encoding, semantic, bound FROM fk", *FRACTION_STEPS)
+oracle(
+    "merge_fractions",
+    """SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord) AS new_id FROM (
+      SELECT doc_id, page, text_id, ord, text, '' AS encoding FROM v_fractions f WHERE NOT EXISTS (SELECT 1 FROM eaten e WHERE e.doc_id = f.doc_id AND e.page = f.page AND e.text_id = f.text_id)
+      UNION ALL SELECT a.doc_id, a.page, c.text_id, c.ord, semantic, encoding FROM accepted a JOIN fc c ON a.doc_id = c.doc_id AND a.page = c.page AND a.s_ord = c.ord)""",
+    *FRACTION_STEPS,
+)
+
 # ---- streaming jobs ---------------------------------------------------------------------------------
 
 oracle(

@@ -239,10 +239,10 @@ SELECT CAST(floor(p_partkey / 18) AS BIGINT) AS doc_id,
          WHEN role = 0 OR role = 4 THEN -3.0 WHEN role = 2 THEN 3.0 WHEN role = 3 THEN -1.5 ELSE 0.0 END AS ix,
        CASE WHEN p_partkey % 2 = 1 THEN 0.0
             WHEN role = 0 OR role = 4 THEN 2.0 WHEN role = 2 THEN -2.0 WHEN role = 3 THEN 1.0 ELSE 0.0 END AS iy,
-       CASE WHEN p_partkey % 17 = 0 AND role = 2 THEN 9.0 ELSE 2.5 END AS font_size,
+       CASE WHEN p_partkey % 17 = 0 AND role = 2 THEN 9.0 WHEN p_partkey % 29 = 0 AND role = 1 THEN 40.0 ELSE 2.5 END AS font_size,
        CAST(0 AS DOUBLE) AS rotation,
        CASE WHEN p_partkey % 19 = 0 AND role = 2 THEN 'FontB' ELSE 'FontA' END AS font_name,
-       NOT (p_partkey % 23 = 0 AND role = 0) AS laid_out
+       NOT ((p_partkey % 23 = 0 AND role = 0) OR (p_partkey % 29 = 0 AND role = 1)) AS laid_out
 FROM (
   SELECT p_partkey, p_size, {role_series} FROM {part}
 ) r

@@ -702,7 +702,7 @@ def _chars(c):
 def fraction_candidates(c):
     sp = fractions.spans(c.fractions(), _chars(c))
     found = fractions.fraction_candidates(fractions.near_digits(sp))
-    return found.select(*PAGE, "s_cls", "n_cls", "d_cls", "kind", "encoding", "semantic", "bound")
+    return found.select(*PAGE, "s_ord", "n_ord", "d_ord", "kind", "encoding", "semantic", "bound")
 
 
 @query

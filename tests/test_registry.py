@@ -11,6 +11,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 import __spark_entry__ as entry  # noqa: E402
 from check_oracle import TABLES, canon  # noqa: E402
 
+from sheetlake.oracles import ORACLES  # noqa: E402
+from sheetlake.queries import QUERIES  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 SAMPLE = (
     "place_on_model", "style_profile", "dimension_facts", "redaction_report", "page_content_class",
@@ -19,9 +22,10 @@ SAMPLE = (
 )
 
 
-def test_every_oracle_has_a_query():
+def test_every_query_has_sql():
+    assert set(ORACLES) == set(QUERIES)
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"fraction_candidates", "merge_fractions"}
+    assert set(entry.queries()) >= set(QUERIES)
 
 
 def test_entry(spark):
