@@ -1,5 +1,7 @@
 """Streams against the same job on the whole table."""
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from sheetlake.operators import page_rules
@@ -29,11 +31,8 @@ def test_pages_stream_equals_batch(spark, tmp_path):
         lambda b: page_rules.prune_stats(b, 4.5),
     )
     q.awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).groupBy("doc_id", "page").agg(
-        F.sum("kept").alias("kept"), F.sum("removed").alias("removed")
-    )
-    assert rows(got) == rows(page_rules.prune_stats(prims, 4.5))
-    assert spark.read.parquet(str(tmp_path / "out")).select("batch").distinct().count() == 3
+    assert spark.read.parquet(str(tmp_path / "out/pages")).select("batch").distinct().count() == 3
+    assert rows(jobs.read_pages(spark, str(tmp_path / "out"))) == rows(page_rules.prune_stats(prims, 4.5))
 
 
 def test_windows_and_sessions(spark, tmp_path):
@@ -60,9 +59,7 @@ def test_resume_certifies_once(spark, tmp_path):
     land, ledger = str(tmp_path / "in"), str(tmp_path / "ledger")
 
     def batch(pages):
-        spark.createDataFrame([("s", "o", p, p * 10) for p in pages] + [("other", "o", 99, 1)], schema).coalesce(
-            1
-        ).write.mode("append").parquet(land)
+        spark.createDataFrame([("s", "o", p, p * 10) for p in pages], schema).coalesce(1).write.mode("append").parquet(land)
 
     def run():
         stream = spark.readStream.schema(schema).parquet(land)
@@ -74,3 +71,15 @@ def test_resume_certifies_once(spark, tmp_path):
     run()
     run()
     assert sorted(r.page for r in spark.read.parquet(ledger).collect()) == [1, 2, 3]
+    spark.createDataFrame([("other", "o", 99, 1)], schema).write.mode("append").parquet(land)
+    with pytest.raises(StreamingQueryException, match="another source"):
+        run()
+    assert sorted(r.page for r in spark.read.parquet(ledger).collect()) == [1, 2, 3]
+
+
+def test_a_broken_ledger_is_an_error(spark, tmp_path):
+    assert jobs.read_ledger(spark, str(tmp_path / "none")) is None
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        jobs.read_ledger(spark, str(tmp_path / "bad")).collect()
