@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..config import Hatching, Recognition
 from ..functions import geometry as g
-from ..plans.scale import cells_between, cut_lineage, gap_moments, neighbor_cells
+from ..plans.scale import cells_between, cut_lineage, gap_moments, neighbor_cells, spread_join
 from .page_rules import table_cells
 
 PAGE = ["doc_id", "page"]
@@ -318,14 +318,16 @@ def hatch_lines(prims: DataFrame, cfg: Hatching = Hatching()) -> DataFrame:
     owner = first_leader(links, ["l_angle"]).join(
         items.select(*PAGE, "ord", "angle"), [*PAGE, "ord"]
     ).drop("ord")
-    return segs.join(owner, [*PAGE, "angle"]).withColumn("proj", across(F.col("l_angle")))
+    # A hatched page is one angle, so its lines are dealt over several tasks.
+    dealt = spread_join(segs, owner, [*PAGE, "angle"], "prim_id")
+    return dealt.withColumn("proj", across(F.col("l_angle")))
 
 
 def hatch_groups(prims: DataFrame, cfg: Hatching = Hatching()) -> DataFrame:
     """Lines that belong to a hatch pattern, with their group leader."""
     lines = hatch_lines(prims, cfg)
     good = hatch_stats(lines, [*PAGE, "leader"], cfg).filter("accepted").select(*PAGE, "leader")
-    return lines.join(good, [*PAGE, "leader"], "left_semi").select(*PAGE, "prim_id", "leader")
+    return spread_join(lines, good, [*PAGE, "leader"], "prim_id").select(*PAGE, "prim_id", "leader")
 
 
 def occupied_cells(prims: DataFrame, side: float) -> DataFrame:

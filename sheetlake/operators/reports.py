@@ -55,7 +55,7 @@ def page_progress(events: DataFrame, budget_ms: float) -> DataFrame:
         good, ["run_id"], "ord", {"position": F.lit(1).cast("long"), "elapsed_ms": F.col("ms")}
     )
     totals = good.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"))
-    return run.join(totals, "run_id").select(
+    return spread_join(run, totals, ["run_id"], "ord").select(
         "run_id", "ord", "ms", "position", "total", "elapsed_ms",
         (F.col("ms") > budget_ms).alias("over_budget"),
     )

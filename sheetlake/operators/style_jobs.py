@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import RasterBudget
 from ..functions import geometry as g
 from ..functions import style as st
-from ..plans.scale import running_sum
+from ..plans.scale import running_sum, spread_join
 
 PAGE = ["doc_id", "page"]
 
@@ -182,7 +182,7 @@ def entity_table(
     )
     # Dash patterns are few: the line type rule runs once per pattern.
     lines = st.with_linetype(prims.select("dash").filter("dash is not null").distinct(), "dash")
-    drawn = placed.join(lines, "dash", "left").withColumn("_e", F.explode(F.filter(rows, lambda e: e.isNotNull())))
+    drawn = spread_join(placed, lines, ["dash"], "prim_id", how="left").withColumn("_e", F.explode(F.filter(rows, lambda e: e.isNotNull())))
     drawn = st.with_palette(drawn, F.col("_e.c"))
     is_fill = F.col("_e.kind") == "fill"
     return drawn.select(

@@ -194,26 +194,19 @@ def neighbor_cells(value: Column, side: float) -> Column:
     return F.array(cell - 1, cell, cell + 1)
 
 
-def iterate_until_empty(state, step, max_rounds: int = 10_000):
-    """Run ``step(state) -> (state, active)`` until ``active`` has no rows."""
-    for _ in range(max_rounds):
-        state, active = step(state)
-        if active.isEmpty():
-            return state
-    raise RuntimeError("iteration did not settle")
-
-
 def spread_join(
-    rows: DataFrame, dim: DataFrame, keys: Sequence[str], salt_on: str, salts: int = 16
+    rows: DataFrame, dim: DataFrame, keys: Sequence[str], salt_on: str, salts: int = 16, how: str = "inner"
 ) -> DataFrame:
     """Join rows to a one-row-per-key table, with each key's rows dealt over ``salts`` tasks.
 
     For joins whose result is aggregated by the same keys: without the salt the aggregation
-    would inherit the join's partitioning and one hot key would stay in one task.
+    would inherit the join's partitioning and one hot key would stay in one task.  ``salts`` is how
+    many tasks a key may take: about its share of all rows times the tasks of the job.  ``how`` may
+    be "left"; rows without a key are dealt as well.
     """
     dealt = rows.withColumn("_salt", F.pmod(F.hash(salt_on), F.lit(salts)))
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def keep_when(df: DataFrame, test: Column) -> DataFrame:

@@ -217,17 +217,41 @@ def report_violations(df: DataFrame, key: str, paths: dict[str, Column]) -> Data
     return non_finite(df, key, paths)
 
 
-def write_reports(df: DataFrame, path: str) -> None:
-    """Write reports as JSON; a NaN or infinite number stops the job and names its column."""
-    numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+def bad_numbers(value: Column, kind: T.DataType) -> list[tuple[str, Column]]:
+    """(path, test) for every place of a value where JSON could meet a NaN or infinite number."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return [("", F.isnan(value) | (F.abs(value) == math.inf))]
+    if isinstance(kind, T.StructType):
+        return [
+            (f".{f.name}{path}", test) for f in kind.fields for path, test in bad_numbers(value[f.name], f.dataType)
+        ]
+    inner = None
+    if isinstance(kind, T.ArrayType):
+        inner, items, mark = kind.elementType, value, "[]"
+    elif isinstance(kind, T.MapType):
+        inner, items, mark = kind.valueType, F.map_values(value), "{}"
+    if inner is None:
+        return []
+    paths = [path for path, _ in bad_numbers(F.lit(None), inner)]
+
+    def somewhere(i: int) -> Column:
+        return F.exists(items, lambda x: F.coalesce(bad_numbers(x, inner)[i][1], F.lit(False)))
+
+    return [(f"{mark}{path}", somewhere(i)) for i, path in enumerate(paths)]
 
-    def guarded(name: str) -> Column:
-        c = F.col(name)
-        bad = F.isnan(c) | (F.abs(c) == math.inf)
-        fail = F.raise_error(F.lit(f"non-finite JSON number at {name}")).cast("double")
-        return F.when(bad, fail).otherwise(c)
 
-    df.withColumns({n: guarded(n) for n in numbers}).write.mode("overwrite").json(path)
+def write_reports(df: DataFrame, path: str) -> None:
+    """Write reports as JSON; a NaN or infinite number at any depth stops the job and is named."""
+    tests = [
+        (f"{f.name}{place}", test) for f in df.schema.fields for place, test in bad_numbers(F.col(f"`{f.name}`"), f.dataType)
+    ]
+    if tests:
+        where = F.coalesce(*[F.when(test, F.lit(place)) for place, test in tests])
+        fail = F.raise_error(F.concat(F.lit("non-finite JSON number at "), where))
+        first = df.schema.fields[0]
+        kept = F.when(where.isNotNull(), fail.cast(first.dataType)).otherwise(F.col(f"`{first.name}`"))
+        df = df.withColumn(first.name, kept)
+    df.write.mode("overwrite").json(path)
 
 
 CATALOG_ENTRY = T.MapType(

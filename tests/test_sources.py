@@ -71,6 +71,12 @@ def test_reports(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).first().ms == 2.5
     with pytest.raises(PySparkException, match="non-finite JSON number at ms"):
         src.write_reports(good.withColumn("ms", F.lit(float("nan"))), str(tmp_path / "bad"))
+    nested = good.select("id", F.struct(F.array(F.struct(F.create_map(F.lit("k"), "ms").alias("m"))).alias("a")).alias("r"))
+    src.write_reports(nested, str(tmp_path / "nested"))
+    broken = good.withColumn("ms", F.lit(float("inf"))).select(*nested.columns[:1], F.struct(
+        F.array(F.struct(F.create_map(F.lit("k"), "ms").alias("m"))).alias("a")).alias("r"))
+    with pytest.raises(PySparkException, match=r"non-finite JSON number at r.a\[\].m\{\}"):
+        src.write_reports(broken, str(tmp_path / "bad2"))
 
 
 def test_catalog(spark, tmp_path):
@@ -78,6 +84,8 @@ def test_catalog(spark, tmp_path):
     assert {r.designation: r.d for r in src.load_catalog(spark, str(tmp_path)).collect()} == {
         "W12X30": 12.3, "L2X2X1/4": 2.0,
     }
+    (tmp_path / "d.json").write_text(json.dumps({"W12X30": {"family": "W", "d": 12.5}}))
+    assert {r.designation: r.d for r in src.load_catalog(spark, str(tmp_path)).collect()}["W12X30"] == 12.5
 
 
 def test_sql_functions(spark):
