@@ -11,32 +11,23 @@ from sheetlake.llm.tables import release, stored
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (x, y): root is the smallest node it can reach.
 
-    Each round takes the smallest label among a node's neighbours, gives it to the node's own root as
-    well, and follows roots to their roots; labels fall geometrically, so rounds grow with the logarithm
-    of a component.  Only minima cross the network: a node with many neighbours is folded before the
+    Each round takes the smallest root among a node's neighbours and gives it to all nodes of the node's
+    own root, so whole trees merge with their neighbours and rounds grow with the logarithm of a component.  Only minima cross the network: a node with many neighbours is folded before the
     shuffle.  An empty table gives no rows; repeated and one-node links are fine; null ends are left out.
     """
     links = links.where("x is not null and y is not null")
     both = stored(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    state = stored(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("root")).withColumnRenamed("x", "node"))
+    state = stored(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.min("x")).alias("root")))
     while True:
         seen = both.join(state.select(F.col("node").alias("y"), "root"), "y").groupBy(F.col("x").alias("node")).agg(
             F.min("root").alias("met")
         )
         merged = state.join(seen, "node").withColumn("least", F.least("root", "met"))
-        hooks = merged.groupBy("root").agg(F.min("least").alias("hook")).where("hook < root")
-        hooks = stored(hooks.select(F.col("root").alias("old"), "hook"))
-        if hooks.isEmpty():
-            release(hooks)
-            release(both)
-            return state
-        jump = hooks.alias("a").join(hooks.select(F.col("old").alias("mid"), F.col("hook").alias("far")),
-                                     F.col("a.hook") == F.col("mid"), "left")
-        jump = jump.select("old", F.coalesce("far", "hook").alias("new"))
-        moved = merged.join(jump, F.col("root") == F.col("old"), "left").select(
-            "node", F.coalesce("new", "root").alias("root")
-        )
+        hooks = merged.groupBy("root").agg(F.min("least").alias("hook"))
+        moved = merged.join(hooks, "root").select("node", F.col("hook").alias("root"), (F.col("hook") < F.col("root")).alias("moved"))
         following = stored(moved)
         release(state)
-        release(hooks)
-        state = following
+        state = following.select("node", "root")
+        if following.where("moved").isEmpty():
+            release(both)
+            return state

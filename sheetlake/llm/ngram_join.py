@@ -31,8 +31,8 @@ LEAST = 75
 #: n-grams put last in the order: the most frequent ones met OFTEN times or more within a bounded stretch
 #: of documents; at most HOT of them.  The list changes the work, not the result.
 HOT, OFTEN, STRETCH = 1 << 18, 3, 1 << 21
-#: Rounds with central documents; more follow while what is left would make more than SPARE rows a row.
-ROUNDS, MORE, SPARE = 2, 6, 8
+#: Rounds with central documents: one, and up to MORE while the rest would make over SPARE rows a row.
+ROUNDS, MORE, SPARE = 1, 4, 32
 _TABLE = byte_table(BLANKS, lower=True)
 U = np.uint64
 
@@ -114,12 +114,15 @@ def classes_of(docs: DataFrame) -> DataFrame:
 
 
 def first_block(docs: DataFrame, hot, maybe=None) -> DataFrame:
-    """The first block of the matrix as rows (gram, cls, n); ``maybe``: a filter on n-grams."""
+    """The first block of the matrix as rows (gram, cls, n, k); ``maybe``: a filter on n-grams.
+
+    ``k``: how many of a set's own rows pass the filter, at least as many as it can share there.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = hot.value
         for run in text_runs(batches, _TABLE):
-            grams, classes, sizes, seen = [], [], [], set()
+            grams, classes, sizes, passed, seen = [], [], [], [], set()
             for s in sets_of(run):
                 key = digest(s)
                 if not len(s) or key in seen:
@@ -136,41 +139,65 @@ def first_block(docs: DataFrame, hot, maybe=None) -> DataFrame:
                 grams.append(own)
                 classes.append(np.full(len(own), key))
                 sizes.append(np.full(len(own), len(s), np.int32))
+                passed.append(np.full(len(own), len(own), np.int32))
             if grams:
+                columns = (grams, classes, sizes, passed)
                 yield pa.record_batch(
-                    [pa.array(np.concatenate(c)) for c in (grams, classes, sizes)], names=["gram", "cls", "n"]
+                    [pa.array(np.concatenate(c)) for c in columns], names=["gram", "cls", "n", "k"]
                 )
 
-    return arrow_map(docs.select("text"), emit, "gram long, cls long, n int")
+    return arrow_map(docs.select("text"), emit, "gram long, cls long, n int, k int")
+
+
+def least_met(m: Column, n: Column) -> Column:
+    """Least count in the first block of similar sets of m and n: what the rest can't make up for."""
+    return needed(m, n) - F.greatest(m - head(m), n - head(n))
 
 
 def shared_columns(docs: DataFrame) -> DataFrame:
-    """Rows of the first block whose n-gram occurs there in more than one set."""
+    """Rows of the first block whose n-gram occurs there in more than one set.
+
+    A row is left out when its set meets others in too few n-grams for any size its column holds; the
+    bound is weakest for the smallest and for the largest size that is near enough.
+    """
     hot = docs.sparkSession.sparkContext.broadcast(frequent(docs))
-    met = first_block(docs, hot).groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high"))
-    shared = stored(met.where("low < high").select("gram"))
+    met = first_block(docs, hot).groupBy("gram").agg(
+        F.min("cls").alias("low"), F.max("cls").alias("high"), F.min("n").alias("least"), F.max("n").alias("most")
+    )
+    shared = stored(met.where("low < high").select("gram", "least", "most"))
     maybe = bit_filter(shared.select(F.col("gram").alias("key")))
-    rows = stored(first_block(docs, hot, maybe).distinct().join(shared, "gram"))
+    n = F.col("n")
+    small = F.greatest("least", F.ceil(n * LEAST / 100)).cast("int")
+    large = F.least("most", F.floor(n * 100 / LEAST)).cast("int")
+    # rounding up may put a size between the two one below them
+    enough = F.col("k") >= F.least(least_met(small, n), least_met(large, n)) - 1
+    rows = first_block(docs, hot, maybe).distinct().join(shared, "gram").where(enough)
+    rows = stored(rows.select("gram", "cls", "n", (F.col("k") / head(n)).alias("share")))
     release(shared)
     return rows
 
 
-def similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def speakers_of(classes: DataFrame) -> DataFrame:
+    """(cls, key): the row that stands for each set, by a hash of its doc_id and text."""
+    return classes.groupBy("cls").agg(F.min(F.struct("doc_id", "mark")).alias("at")).select(
+        "cls", F.xxhash64("at.doc_id", "at.mark").alias("key")
+    )
+
+
+def similar(docs: DataFrame, speakers: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (x, y) of sets that are similar enough, by the remaining blocks of the product."""
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
-    spoken = classes.groupBy("cls").agg(F.min(F.struct("doc_id", "mark")).alias("at"))
-    speakers = stored(wanted.join(spoken, "cls").select("cls", "at.doc_id", "at.mark"))
-    maybe = bit_filter(speakers.select(F.col("mark").alias("key")))
+    maybe = bit_filter(wanted.join(speakers, "cls").select("key"))
+    rows = docs.select("text", F.xxhash64("doc_id", F.xxhash64("text")).alias("key"))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            on = may_hold(maybe.value, batch.column(2).to_numpy(zero_copy_only=False))
-            yield batch.filter(pa.array(on))
+            on = may_hold(maybe.value, batch.column(1).to_numpy(zero_copy_only=False))
+            for run in text_runs([batch.filter(pa.array(on))], _TABLE):
+                keys = pa.array([digest(s) for s in sets_of(run)], pa.int64())
+                yield pa.record_batch([keys, run.rows.column(0)], names=["cls", "text"])
 
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    texts = stored(
-        arrow_map(rows, chosen, rows.schema).distinct().join(speakers, ["doc_id", "mark"]).select("cls", "text")
-    )
+    texts = stored(arrow_map(rows, chosen, "cls long, text string"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +216,6 @@ def similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
         texts.select(F.col("cls").alias("x"), F.col("text").alias("tx")), "x"
     )
     links = stored(arrow_map(met.select("x", "y", "tx", "ty"), compare, "x long, y long"))
-    release(speakers)
     release(texts)
     return links
 
@@ -203,43 +229,49 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, root): components of the sets that are linked with another one."""
     block = shared_columns(docs)
-    central = block.groupBy("cls").agg((F.count(F.lit(1)) / F.first(head(F.col("n")))).alias("share"))
-    block_rated = stored(block.join(central, "cls"))
-    release(block)
-    block = block_rated
+    speakers = stored(speakers_of(classes))
     links = tested = roots = product = None
     for turn in range(MORE + 1):
-        left = block.withColumn("root", F.col("cls"))
+        left = block.withColumns({"root": F.col("cls"), "apart": F.lit(True)})
         if roots is not None:
             left = block.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
                 "root", F.coalesce("root", "cls")
             )
-            open_columns = left.groupBy("gram").agg(
-                F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m")
-            ).where("low < high")
-            left = stored(left.join(open_columns.select("gram", "m"), "gram").select(*block.columns, "root", "m"))
-            rows, product = left.agg(F.count(F.lit(1)), F.sum("m")).first()
+            shares = left.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("k"))
+            columns = shares.groupBy("gram").agg(
+                F.sum("k").alias("m"), F.max("k").alias("most"), F.max_by("root", F.struct("k", "root")).alias("major"),
+                F.count(F.lit(1)).alias("roots"),
+            ).where("roots > 1")
+            left = left.join(columns.select("gram", "major", (F.col("m") - F.col("most")).alias("minor")), "gram")
+            left = stored(left.select(*block.columns, "root", "minor", (F.col("root") != F.col("major")).alias("apart")))
+            rows, product = left.agg(F.count(F.lit(1)), F.sum("minor")).first()
             if not rows:
                 break
         rest = turn == MORE or turn >= ROUNDS and (product is None or product <= SPARE * rows)
         if rest:
-            other = left.select("gram", F.col("cls").alias("b"), F.col("n").alias("ny"), F.col("root").alias("rb"))
-            met = left.select("gram", F.col("cls").alias("a"), F.col("n").alias("nx"), F.col("root").alias("ra"))
+            # Of a column's components the largest needs no pairs within: every pair has an end apart from it.
+            met = left.select("gram", F.col("cls").alias("a"), F.col("n").alias("nx"), F.col("root").alias("ra"), "apart")
+            other = left.where("apart").select(
+                "gram", F.col("cls").alias("b"), F.col("n").alias("ny"), F.col("root").alias("rb")
+            )
             fits = 100 * F.least("nx", "ny") >= LEAST * F.greatest("nx", "ny")
-            counts = met.join(other, "gram").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits)
-            counts = counts.groupBy(F.col("a").alias("x"), F.col("b").alias("y"), "nx", "ny").count()
+            once = ~F.col("apart") | (F.col("a") < F.col("b"))
+            counts = met.join(other, "gram").where(once & (F.col("ra") != F.col("rb")) & fits)
+            counts = counts.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "nx", "ny")
+            sizes = F.struct(F.least("nx", "ny").alias("nx"), F.greatest("nx", "ny").alias("ny"))
+            counts = counts.groupBy("x", "y", sizes.alias("s")).count().select("x", "y", "s.*", "count")
             beyond = F.greatest(F.col("nx") - head(F.col("nx")), F.col("ny") - head(F.col("ny")))
             pairs = counts.where(F.col("count") + beyond >= needed(F.col("nx"), F.col("ny"))).select("x", "y")
         else:
             order = F.struct("share", "cls") if turn == 0 else F.struct(F.xxhash64("root", F.lit(turn)), "share", "cls")
             middle = left.groupBy("gram").agg(F.max_by(F.struct("cls", "n", "root"), order).alias("mid"))
-            met = left.join(middle.select("gram", "mid"), "gram").where(F.col("root") != F.col("mid.root"))
+            met = left.join(middle, "gram").where(F.col("root") != F.col("mid.root"))
             pairs = _ordered(met.select(F.col("cls").alias("a"), F.col("n").alias("nx"), F.col("mid.cls").alias("b"),
                                         F.col("mid.n").alias("ny"))).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = stored(pairs)
-        found = similar(docs, classes, pairs)
+        found = similar(docs, speakers, pairs)
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         roots = components(links)

@@ -74,7 +74,7 @@ def bit_filter(keys: DataFrame, bits: int = FILTER_BITS):
         F.bitmap_construct_agg(cell % _BLOCK).alias("bitmap")
     )
     table = np.zeros((bits // _BLOCK, _BLOCK // 8), np.uint8)
-    for block, bitmap in blocks.toLocalIterator():  # bits / 8 bytes in all
+    for block, bitmap in blocks.collect():  # bits / 8 bytes in all
         table[block] = np.frombuffer(bytes(bitmap), np.uint8)
     return keys.sparkSession.sparkContext.broadcast(table.reshape(-1))
 
