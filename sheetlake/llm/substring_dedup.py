@@ -140,26 +140,49 @@ def with_kept_text(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     return arrow_map(docs, emit, schema)
 
 
-def windows_around(rows: DataFrame) -> DataFrame:
-    """Hashes of the windows around the anchors: (w1, w2, doc_id, at) with start and mark in ``at``."""
+def _windows(run: TextRun) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes, row and start of every window around the anchors of a run."""
+    hashes = run.word_hashes()
+    first, second = ngrams(hashes, WINDOW), ngrams(mix(hashes + U(0x632BE59BD9B4E019)), WINDOW)
+    rows, starts = [], []
+    for k, anchors in enumerate(run.rows.column("anchors")):
+        own = spans_around(anchors.values.to_numpy(), int(run.first[k + 1] - run.first[k]))
+        rows.append(np.full(len(own), k))
+        starts.append(own)
+    row, start = np.concatenate(rows), np.concatenate(starts)
+    at = run.first[row] + start
+    return first[at].view(np.int64), (second[at] >> U(33)).astype(np.int32), row, start
+
+
+def repeated_windows(rows: DataFrame) -> DataFrame:
+    """Windows around anchors that more than one doc_id has: (w1, w2, low), low the smallest doc_id."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in text_runs(batches, _TABLE):
-            hashes = run.word_hashes()
-            first, second = ngrams(hashes, WINDOW), ngrams(mix(hashes + U(0x632BE59BD9B4E019)), WINDOW)
-            ids, marks = ids_of(run), ids_of(run, "mark")
-            out = []
-            for k, anchors in enumerate(run.rows.column("anchors")):
-                n = int(run.first[k + 1] - run.first[k])
-                starts = spans_around(anchors.values.to_numpy(), n)
-                if len(starts):
-                    at = starts + run.first[k]
-                    out.append((first[at].view(np.int64), (second[at] >> U(33)).astype(np.int32),
-                                np.full(len(starts), ids[k]), starts << 32 | marks[k]))
-            if out:
-                yield pa.record_batch(
-                    [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["w1", "w2", "doc_id", "at"]
-                )
+            w1, w2, row, _ = _windows(run)
+            if len(w1):
+                order = np.lexsort((w2, w1))
+                w1, w2, ids = w1[order], w2[order], ids_of(run)[row[order]]
+                at = np.flatnonzero(np.concatenate(([True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]))))
+                low, high = np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at)
+                yield pa.record_batch([pa.array(x) for x in (w1[at], w2[at], low, high)], names=["w1", "w2", "low", "high"])
+
+    met = arrow_map(rows, emit, "w1 long, w2 int, low long, high long")
+    owners = met.groupBy("w1", "w2").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return owners.where("low < high").select("w1", "w2", "low")
+
+
+def windows_around(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Windows that may be among ``repeated``: (w1, w2, doc_id, at) with start and mark in ``at``."""
+    maybe = bit_filter(repeated.select(F.col("w1").alias("key")))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in text_runs(batches, _TABLE):
+            w1, w2, row, start = _windows(run)
+            on = may_hold(maybe.value, w1)
+            w1, w2, row, start = w1[on], w2[on], row[on], start[on]
+            at = start << 32 | ids_of(run, "mark")[row]
+            yield pa.record_batch([pa.array(x) for x in (w1, w2, ids_of(run)[row], at)], names=["w1", "w2", "doc_id", "at"])
 
     return arrow_map(rows, emit, "w1 long, w2 int, doc_id long, at long")
 
@@ -178,11 +201,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     repeated = stored(repeated_anchors(known))
     places = stored(anchor_places(known, repeated))
     rows = with_kept_text(known, places)
-    found = rows.where("candidate").select("doc_id", "mark", "text").distinct()
-    windows = stored(windows_around(found.join(places, ["doc_id", "mark"]).select("doc_id", "mark", "text", "anchors")))
-    owners = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    found = rows.where("candidate").select("doc_id", "mark", "text").join(places, ["doc_id", "mark"])
+    owners = stored(repeated_windows(found))
     taken = (
-        windows.join(owners.where("low < high"), ["w1", "w2"])
+        windows_around(found, owners).join(owners, ["w1", "w2"])
         .where("doc_id > low")
         .groupBy("doc_id", F.col("at").bitwiseAND(LOW).alias("mark"))
         .agg(F.collect_set(F.shiftrightunsigned("at", 32)).alias("starts"))  # bounded by the row's words
