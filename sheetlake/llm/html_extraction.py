@@ -29,8 +29,13 @@ PRIOR = 20.0
 #: Cost of a tag, by its log odds of standing outside: least, most and step.
 TAG_LEAST, TAG_MOST, TAG_STEP = 0.1, 3.0, 1.0
 
-#: Elements whose content is no text, elements that start a block, elements without end tag.
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "select", "button")
+#: Elements read as raw text up to their end tag, and elements that are left out with all they hold.
+RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in ("script", "style", "textarea", "title", "iframe")}
+APART = frozenset("svg foreignobject button select noscript template".split())
+#: Parts of a page that no button or select holds, and inline tags that end an svg.
+SECTIONS = frozenset("article aside body footer form header main nav section table".split())
+AFTER_SVG = frozenset("b big br code em embed i img meta nobr ruby s small span strike strong sub sup tt u var".split())
+#: Elements that start a block, elements without end tag.
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody "
@@ -77,35 +82,113 @@ def kind_of(name: str, rest: str) -> str:
     return ".".join([name, *words[:8]])
 
 
-def tokens(page: str) -> Iterator[Token]:
-    """Tags and texts in page order; scripts, styles and the like are gone; bad nesting is mended.
+def lexed(page: str) -> list[tuple[str | None, str, bool, str]]:
+    """Texts, and names, ends and attributes of tags, in page order, without raw texts.
 
-    A tag that the page's end cuts short is dropped.
+    Within an svg no element is raw; a tag that the page's end cuts short is dropped.
     """
-    stack: list[tuple[str, str]] = []
-    inside: tuple[str, ...] = ()
+    row: list[tuple[str | None, str, bool, str]] = []
+    drawing: list[str] = []
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.match(page, at)
         at = m.end()
         if m["text"] is not None:
-            yield Token(html.unescape(m["text"]), inside=inside)
+            row.append((m["text"], "", False, ""))
         elif m["name"] is not None:
-            name, end = m["name"].lower(), bool(m["end"])
-            if name in RAW and not end:
-                close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            name, end, rest = m["name"].lower(), bool(m["end"]), m["rest"]
+            if name == "svg" or name == "foreignobject" and drawing:
+                if not end and not rest.endswith("/"):
+                    drawing.append(name)
+                elif end and name in drawing:
+                    while drawing.pop() != name:
+                        pass
+            elif drawing and (name in BLOCK or name in AFTER_SVG and not end):
+                while drawing and drawing[-1] == "svg":
+                    drawing.pop()
+            if name in RAW and not end and drawing[-1:] != ["svg"]:
+                close = RAW[name].search(page, at)
                 at = close.end() if close else n
-                continue
-            kind = kind_of(name, m["rest"]) if not end and name in CONTAINERS else name
-            if name in CONTAINERS:
-                if not end:
-                    stack.append((name, kind))
-                elif any(x == name for x, _ in stack):
-                    while True:
-                        x, kind = stack.pop()
-                        if x == name:
-                            break
-                inside = tuple(k for _, k in stack)
+            row.append((None, name, end, rest))
+    return row
+
+
+def closed(row: list[tuple[str | None, str, bool, str]]) -> set[int]:
+    """Places of the start tags of elements left out that have an end tag of their own.
+
+    A button or select ends at the next one, the others may nest.
+    """
+    found: set[int] = set()
+    ends: Counter = Counter()
+    for i in range(len(row) - 1, -1, -1):
+        _, name, end, rest = row[i]
+        if name not in APART:
+            continue
+        alone = name in ("button", "select")
+        if end:
+            ends[name] = 1 if alone else ends[name] + 1
+        elif alone or not rest.endswith("/"):
+            if ends[name]:
+                found.add(i)
+            ends[name] = 0 if alone else max(0, ends[name] - 1)
+    return found
+
+
+def tokens(page: str) -> Iterator[Token]:
+    """Tags and texts in page order; scripts, svgs, buttons and the like are gone; bad nesting is mended.
+
+    An element left out whose end tag is missing ends with its parent or at the next block; an svg always
+    does, as in browsers, but for what its foreignObject holds.
+    """
+    row = lexed(page)
+    ended = closed(row)
+    stack: list[tuple[str, str, bool]] = []  # name, kind, whether blocks may stand within
+    inside: tuple[str, ...] = ()
+    apart = False
+
+    def last(names: frozenset[str] | tuple[str, ...]) -> int:
+        """Place of the innermost open element of these names, -1 if a closed template or the like hides it."""
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in names:
+                return i
+            if stack[i][0] in ("template", "noscript", "select") and stack[i][2]:
+                break
+        return -1
+
+    for at, (text, name, end, rest) in enumerate(row):
+        if text is not None:
+            if not apart:
+                yield Token(html.unescape(text), inside=inside)
+            continue
+        kind, size = name, len(stack)
+        if apart and (name in BLOCK or name in AFTER_SVG and not end):
+            for i in range(len(stack) - 1, -1, -1):
+                x, _, holds = stack[i]
+                if x not in APART:
+                    continue
+                if x == "svg" or name in BLOCK and (not holds or name in SECTIONS and x in ("button", "select") and not end):
+                    del stack[i:]
+                else:
+                    break
+        elif not end and name in ("button", "select", "input", "textarea"):
+            i = last((name,) if name == "button" else ("select",))
+            if i >= 0:
+                del stack[i:]
+        if name in CONTAINERS or name in APART:
+            if not end:
+                if name in CONTAINERS:
+                    kind = kind_of(name, rest)
+                if name not in ("svg", "foreignobject") or not rest.endswith("/") and (apart or name == "svg"):
+                    stack.append((name, kind, at in ended))
+            else:
+                i = last((name,))
+                if i >= 0:
+                    kind = stack[i][1]
+                    del stack[i:]
+        if name in CONTAINERS or name in APART or len(stack) != size:
+            inside = tuple(k for _, k, _ in stack)
+            apart = any(x in APART for x, _, _ in stack)
+        if not apart and name not in APART and (end or name not in RAW):
             yield Token(None, name, end, kind, inside)
 
 

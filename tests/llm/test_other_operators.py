@@ -180,6 +180,26 @@ def test_html_edge_cases(spark):
     assert html_extraction.extract_pages(pages.limit(0)).count() == 0
 
 
+WORDS = "<article><h1>Head words here</h1><p>Some words of the article.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "before",
+    ['<svg class="icon"/>', '<svg class="icon">', '<p><svg><g><path d="M0"/>', "<svg><title/><style/></svg>", "<button>Go", "<div><button>Go</div>",
+     "<select><option>One", "<noscript>No script", "<template><b>No</b>", "<svg><foreignObject><p>No</p></foreignObject></svg>",
+     "<button><div>Go</div></button>", "<template><p>No</p><template><p>No</p></template></template>", "<select><option>One<option>Two</select>",
+     "<noscript><p>No script</noscript>", "<svg><title>No</title><style>a{}</style><text>No</text></svg>", "<button>A<button>B</button>",
+     "<script>var a = '<p>'</script\n>", "<title>No words</title>"],
+)
+def test_html_left_out_elements(before):
+    want = "Head words here\n\nSome words of the article."
+    w = html_extraction.Weights()
+    for after in ("", "<svg></svg>", "<button>Go</button><select></select>", "<noscript></noscript><template></template>"):
+        assert html_extraction.extract(f"<body>{before}{WORDS}{after}", w) == want
+    inner = f"<body><article><p>First words of it.</p>{before}<p>Other words of it.</p></article>"
+    assert html_extraction.extract(inner, w) == "First words of it.\n\nOther words of it."
+
+
 def test_lookup_table():
     names = [f"s{i}" for i in range(7)]
     table = sharding.lookup_table(names, 1009)
