@@ -24,6 +24,8 @@ from sheetlake.llm.tables import arrow_map
 
 #: Labelled pages used for the weights: about so many, drawn by hash over all pages.
 LABELLED = 2000
+#: Rows of the learned table, those with the greatest counts; kinds beyond them weigh what their names say.
+LEARNED = 100_000
 #: Counts added to what labelled pages show, so that a corpus without them has weights too.
 PRIOR = 20.0
 #: Cost of a tag, by its log odds of standing outside: least, most and step.
@@ -77,9 +79,9 @@ class Token:
 
 
 def kind_of(name: str, rest: str) -> str:
-    """Name of an element with the words of its class, id and role."""
+    """Name of an element with all words of its class, id and role."""
     words = sorted({w for m in LABELS.findall(rest) for w in re.split(r"[^a-z0-9]+", "".join(m).lower()) if w})
-    return ".".join([name, *words[:8]])
+    return ".".join([name, *words])
 
 
 def lexed(page: str) -> list[tuple[str | None, str, bool, str]]:
@@ -301,8 +303,10 @@ def learn_weights(pages: DataFrame, sample: int = LABELLED) -> Weights:
                                   names=["what", "kind", "held", "n"])
 
     rows = arrow_map(drawn, count, "what string, kind string, held boolean, n long")
-    summed = rows.groupBy("what", "kind", "held").agg(F.sum("n").alias("n")).collect()  # kinds of a bounded sample
-    return learned(Counter({(r["what"], r["kind"], r["held"]): r["n"] for r in summed}))
+    summed = rows.groupBy("what", "kind").agg(*(F.sum(F.when(F.col("held") == h, F.col("n"))).alias(str(h)) for h in (True, False)))
+    n = F.coalesce("True", F.lit(0)) + F.coalesce("False", F.lit(0))
+    top = summed.orderBy(n.desc(), "what", "kind").limit(LEARNED).collect()
+    return learned(Counter({(r["what"], r["kind"], h): r[str(h)] for r in top for h in (True, False) if r[str(h)] is not None}))
 
 
 def extract_pages(pages: DataFrame, weights: Weights | None = None) -> DataFrame:

@@ -200,6 +200,21 @@ def test_html_left_out_elements(before):
     assert html_extraction.extract(inner, w) == "First words of it.\n\nOther words of it."
 
 
+def test_html_kinds_keep_all_words(spark, monkeypatch):
+    many = "col-12 col-md-4 d-none d-lg-block p-3"
+    assert html_extraction.prior(html_extraction.kind_of("div", f' class="{many} sidebar widget"')) < 0
+    assert html_extraction.prior(html_extraction.kind_of("div", f' class="{many} text"')) > 0
+    page = f'<body>{WORDS}<div class="{many} sidebar widget">Other things to read</div><p>Last words here.</p>'
+    assert "Other" not in html_extraction.extract(page, html_extraction.Weights())
+    pages = spark.createDataFrame([(k, "u", page.replace("d-none", f"d-{k}")) for k in range(30)], "page_id long, url string, html string")
+    whole = html_extraction.learn_weights(pages)
+    monkeypatch.setattr(html_extraction, "LEARNED", 4)
+    few = html_extraction.learn_weights(pages)
+    assert len(few.words) + len(few.tags) == 4 < len(whole.words) + len(whole.tags)
+    assert all(few.words[k] == whole.words[k] for k in few.words)
+    assert all("Other" not in html_extraction.extract(page, w) for w in (few, whole))
+
+
 def test_lookup_table():
     names = [f"s{i}" for i in range(7)]
     table = sharding.lookup_table(names, 1009)
