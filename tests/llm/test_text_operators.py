@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 
 import duckdb
 import pyarrow as pa
@@ -315,6 +316,79 @@ def test_licenses(spark):
     assert {r.doc_id: r.licenses for r in found} == {k: cases[t] for k, t in rows}
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+ENDORSE = """
+3. Neither the name of the Copyright Holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+GPL = """This program is free software{stop} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation{then} either version {v} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+HEADERS = {
+    MIT: "MIT", APACHE: "Apache 2.0", BSD: "BSD-2-Clause", BSD + ENDORSE: "BSD-3-Clause", ISC: "ISC", MPL: "MPL 2.0",
+    GPL.format(stop=":", kind="", then=",", v="3"): "GPL 3 or later", GPL.format(stop=";", kind="", then=";", v="2"): "GPL 2 or later",
+    GPL.format(stop=";", kind="Lesser ", then=";", v="2.1"): "LGPL 2.1 or later",
+    GPL.format(stop=":", kind="Affero ", then=",", v="3"): "AGPL 3 or later",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL 3",
+    "Released under the GNU Lesser General Public License, version 3 or later.": "LGPL 3 or later",
+    "Distributed under the terms of the GNU Affero General Public License.": "AGPL",
+    "Released under the BSD License.": "BSD", "This project is released under the MIT License.": "MIT",
+    "To the extent possible under law, Some Author has waived all copyright and related or neighboring rights to This Work.": "CC0",
+    "This work is dedicated to the Public Domain.": "CC0",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC ATTRIBUTION SHAREALIKE 4.0",
+    "This is free and unencumbered software released into the public domain.": "Unlicense",
+}
+
+
+@pytest.mark.parametrize("width", [30, 52, 64, 72, 79, 1000])
+@pytest.mark.parametrize("sign", ["", " * ", "# ", "   "])
+def test_standard_headers(width, sign):
+    for header, want in HEADERS.items():
+        parts = ["\n".join(textwrap.wrap(p.strip(), width, break_long_words=False)) for p in header.split("\n\n")]
+        text = "\n".join((sign + x).rstrip() for x in ("Copyright (c) 2020 Some Author\n\n" + "\n\n".join(parts) + "\n\nMore Words").split("\n"))
+        assert ",".join(dict.fromkeys(license_scan.match_rules(license_scan.sentence_ids(text)))) == want, text
+
+
+def test_lines_joined_and_cut():
+    def found(text):
+        return ",".join(license_scan.match_rules(license_scan.sentence_ids(text)))
+
+    assert found("Some Title\nReleased under the MIT\nLicense\nLicensed under CC BY 4.0\nOther words") == "MIT,CC BY 4.0"
+    assert found(" * Copyright Some One\n * Released under the MIT License\n * Words of it") == "MIT"
+    assert found("Released into the public\n// domain.") == "CC0"
+    assert found("This License\n" * 20_000 + "Released under the BSD\nLicense") == "BSD"
+
+
+def test_spdx_lines():
+    cases = {
+        "// SPDX-License-Identifier: MIT\nint main;": "MIT", "/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */": "GPL 2.0",
+        "# SPDX-License-Identifier: (MIT OR Apache-2.0)\n# Words": "MIT,Apache 2.0", "SPDX-License-Identifier: LGPL-2.1+.": "LGPL 2.1 or later",
+        "x\nSPDX-License-Identifier: AGPL-3.0-or-later and words. Released under the BSD License.": "AGPL 3.0 or later,BSD",
+        "SPDX-License-Identifier: CC-BY-SA-4.0 More": "CC BY SA 4.0", "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
+        "SPDX-License-Identifier: NONE": "", "SPDX-License-Identifier:": "", "SPDX-License-Identifier: Zlib": "Zlib",
+    }
+    for text, want in cases.items():
+        assert ",".join(license_scan.match_rules(license_scan.sentence_ids(text))) == want, text
+
+
 def test_rules_are_ordered():
     row = [("bsd-grant", ""), ("bsd-source", ""), ("bsd-binary", ""), ("bsd-endorse", ""), ("mit", "")]
     assert license_scan.match_rules(row) == ["BSD-3-Clause", "MIT"]
