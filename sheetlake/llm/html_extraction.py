@@ -209,6 +209,7 @@ class Weights:
     words: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
     _left_out: dict[tuple[str, ...], bool] = field(default_factory=dict)
+    _spared: dict[tuple[str, ...], bool] = field(default_factory=dict)
 
     def odds(self, table: dict[str, float], kind: str) -> float:
         found = table.get(kind)
@@ -223,10 +224,31 @@ class Weights:
             found = self._left_out[inside] = any(self.odds(self.words, k) < -1 for k in inside)
         return found
 
+    def spared(self, chain: tuple[str, ...]) -> bool:
+        """Whether the last of these containers is left out of, or lies in one left out of, a content container.
+
+        Tags of ``html`` and ``body`` stand outside any article, whatever their classes say.
+        """
+        found = self._spared.get(chain)
+        if found is None:
+            if len(self._spared) > 10_000:
+                self._spared.clear()
+            found = content = False
+            for k in chain:
+                if self.odds(self.words, k) < -1:
+                    found = content
+                    break
+                content |= k.split(".")[0] not in ("html", "body") and self.odds(self.tags, k) > 1
+            self._spared[chain] = found
+        return found
+
     def word(self, inside: tuple[str, ...]) -> float:
         return 0.0 if self.excluded(inside) else 1.0
 
     def tag(self, t: Token) -> float:
+        """Cost of a tag; none for those of what is left out within content, which would cut it at its edges."""
+        if self.spared((*t.inside, t.kind) if t.end and t.name in CONTAINERS else t.inside):
+            return 0.0
         odds = 0.0 if self.excluded(t.inside[:-1]) else self.odds(self.tags, t.kind)
         return -min(TAG_MOST, max(TAG_LEAST, -odds * TAG_STEP))
 

@@ -215,6 +215,20 @@ def test_html_kinds_keep_all_words(spark, monkeypatch):
     assert all("Other" not in html_extraction.extract(page, w) for w in (few, whole))
 
 
+def test_html_left_out_parts_cut_no_article(spark):
+    share = '<div class="share" id="s-8123"><ul><li><a href=x>Post</a></li><li><a href=y>Send</a></li></ul><p>Share this</p></div>'
+    nav = "<nav><ul><li><a href=x>Home</a></li></ul></nav>"
+    text = "<p>A first paragraph of some more words.</p>"
+    want = "Short title\n\nA first paragraph of some more words.\n\nLast words."
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    for w in (html_extraction.Weights(), html_extraction.learn_weights(pages)):
+        for mark in ("article", "main", 'div class="content"'):
+            end = mark.split()[0]
+            page = f"<body>{nav}<{mark}><h1>Short title</h1>{share}{text}{share}<p>Last words.</p></{end}><footer>All rights</footer>"
+            assert html_extraction.extract(page, w) == want
+        assert html_extraction.extract(f"<body><p>Top line</p>{nav * 3}<article>{text}</article>", w) == want.split("\n\n")[1]
+
+
 def test_lookup_table():
     names = [f"s{i}" for i in range(7)]
     table = sharding.lookup_table(names, 1009)
