@@ -251,7 +251,13 @@ def predict_languages(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is told with a probability of ``least`` or more."""
-    found = identify(docs, fit(docs))
+def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` that are not "und", and whose language has a probability of ``least`` or more.
+
+    Where no language could be learned, all rows whose text has a letter.
+    """
+    model = fit(docs)
+    if not model.languages:
+        model = LanguageModel(["any"], np.zeros((BUCKETS, 1), np.float32), np.ones(BUCKETS, np.float32), 1.0)
+    found = identify(docs, model)
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

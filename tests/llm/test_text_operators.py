@@ -283,6 +283,17 @@ def test_language_edge_cases(spark):
     assert {r.lang_pred for r in language_id.predict_languages(nothing).collect()} == {"und"}
 
 
+def test_unsure_rows_are_kept(spark):
+    texts = [f"{w} {w}{w}" for w in ("abc", "def", "ghi", "jkl")]
+    rows = [(k, texts[k % 4], f"l{k % 4}") for k in range(80)] + [(100, "zz", None), (101, "abc def ghi jkl", None), (102, "1 --", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    scores = {r.doc_id: r.score for r in language_id.predict_languages(docs).collect()}
+    assert min(scores[100], scores[101]) < 0.5
+    assert sorted(r.doc_id for r in language_id.keep_identified(docs).collect()) == [*range(80), 100, 101]
+    unlabelled = docs.where("lang is null")
+    assert sorted(r.doc_id for r in language_id.keep_identified(unlabelled).collect()) == [100, 101]
+
+
 def test_temperature_is_found():
     import numpy as np
 
