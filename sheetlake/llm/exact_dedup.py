@@ -1,7 +1,7 @@
-"""Exact dedup: a Bloom filter of cells met twice decides which hashes may repeat; only those shuffle.
+"""Exact dedup: a Bloom filter of cells met twice decides which hashes may repeat; only those meet by digest.
 
-Pass one hashes every text into ``PROBES`` cells of a bit table, counts the cells, and keeps a bit for
-each cell met more than once.  Pass two reads the rows again: a row with a probe on a clear bit has no
+Pass one hashes every text into ``PROBES`` cells of a bit table, counts the cells (two folded cell
+rows a document shuffle for that), and keeps a bit for each cell met more than once.  Pass two reads the rows again: a row with a probe on a clear bit has no
 copy and passes straight through; the others meet by the digest of their text.  The bit table is
 broadcast: it has at most ``MAX_BITS`` bits (128 MB), whatever the input.  Beyond a few hundred million
 rows it fills up and more rows take the shuffle; the result stays exact.
