@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetlake.llm.bpe import digest_tokens
+from sheetlake.llm.centroid_clustering import CLUSTERS, ROUNDS, cluster_vectors
 from sheetlake.llm.chat_format import digest_conversations
+from sheetlake.llm.conversation_repair import digest_repairs
 from sheetlake.llm.decontamination import contamination
 from sheetlake.llm.exact_dedup import exact_duplicates
 from sheetlake.llm.html_extraction import extract_pages
@@ -16,6 +18,7 @@ from sheetlake.llm.license_scan import scan_licenses
 from sheetlake.llm.ngram_join import ngram_components
 from sheetlake.llm.sharding import SHARDS, assign_shards
 from sheetlake.llm.substring_dedup import remove_repeats
+from sheetlake.llm.vector_search import search
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -74,6 +77,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str, vocab_path: str | None = None) ->
     return digest_tokens(_read(spark, sf_dir, "documents"), vocab_path)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_repairs(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scan": op2_license_scan,
@@ -85,9 +100,139 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_language_id": op9_language_id,
     "op10_bpe": op10_bpe,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
+
+def _clustering_sql() -> str:
+    """The rounds written out one after the other."""
+    steps = [
+        f"""e as materialized (
+            select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+            where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+        ), c0 as materialized (
+            select (row_number() over (order by sha256('3:' || vec_id)) - 1)::int as k, v from e
+            order by sha256('3:' || vec_id) limit {CLUSTERS}
+        )"""
+    ]
+    for r in range(ROUNDS + 1):
+        steps.append(
+            f"""a{r} as materialized (
+            select vec_id, v, min(d) as d, arg_min(k, d * {CLUSTERS} + k) as k from (
+                select e.vec_id, e.v, c.k,
+                       list_sum(list_transform(list_zip(e.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d
+                from e, c{r} c
+            ) group by vec_id, v)"""
+        )
+        if r < ROUNDS:
+            steps.append(
+                f"""c{r + 1} as materialized (
+            select c.k, coalesce(m.v, c.v) as v from c{r} c left join (
+                select k, list(f order by i) as v from (
+                    select k, i, ((s - (s % n + n) % n) // n)::bigint as f from (
+                        select k, i, sum(x)::hugeint as s, count(*)::hugeint as n
+                        from (select k, unnest(v) as x, unnest(range(1, 65)) as i from a{r}) group by k, i
+                    )
+                ) group by k
+            ) m using (k))"""
+            )
+    return f"""with {", ".join(steps)}
+        select vec_id, k as cluster, d as distance, (sum(d) over (partition by k))::bigint as cluster_inertia,
+               (sum(d) over ())::bigint as inertia, sha256(array_to_string(c.v, ',')) as centroid_sha256
+        from a{ROUNDS} join c{ROUNDS} c using (k)"""
+
+
+#: Cheapest repairs row by row: per state the least cost, then the least audit, with the turns written so far.
+_REPAIR_SQL = r"""
+    with recursive raw as (
+        select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+               coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as name
+        from conversations
+    ), numbered as (
+        select *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''), lambda ch: ascii(ch)::bigint)),
+            lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))),
+            4294967295) % 20 as number from raw
+    ), damaged as (
+        select conv_id, turn, case when number = 4 then 'user' else role end as role,
+               case when number = 1 then '' when number = 2 then translate(text, '.!?', '') else text end as text,
+               unnest(range(case when number = 3 then 2 else 1 end)) as copy
+        from numbered where number <> 0
+    ), placed as (
+        select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i,
+               right(rtrim(text, e' \t\n\x0b\x0c\r'), 1) as last
+        from damaged
+    ), repeated as (
+        select *, row_number() over (partition by conv_id, role, text order by i) as again from placed
+    ), coded as (
+        select *, left(role, 1) as kind,
+               case when last = '' then 'b' when again > 1 then 'd' when last not in ('.', '!', '?') then 't' else '' end as fault
+        from repeated
+    ), walk as (
+        select distinct conv_id, 0::bigint as i, '' as st, 0::bigint as cost, '' as audit, '' as body from conversations
+        union all
+        select conv_id, i, st, w.cost, w.audit, w.body from (
+            select conv_id, i, st, min(struct_pack(cost := cost, audit := audit, body := body)) as w from (
+                select x.conv_id, r.i, x.audit || op as audit,
+                       case op when 'D' then st when 'K' then r.kind else x.next end as st,
+                       x.cost + case op when 'D' then 4 when 'K' then 0 else 3 end
+                           + case when op <> 'D' and fault = 't' then 3 else 0 end as cost,
+                       case op when 'D' then body when 'K' then body || chr(10) || r.role || ':' || r.text
+                            else body || chr(10) || (case x.next when 'u' then 'user' else 'assistant' end) || ':' || r.text end as body
+                from (
+                    select conv_id, i, s[1] as st, cost + 3 * k as cost, audit || repeat('I', k::bigint) as audit,
+                           body || s[2] as body, case when s[1] = 'u' then 'a' else 'u' end as next
+                    from (
+                        select *, unnest([0, 1, 2]) as k, unnest(case when st = 'u'
+                            then [['u', ''], ['a', chr(10) || 'assistant:'], ['u', chr(10) || 'assistant:' || chr(10) || 'user:']]
+                            else [[st, ''], ['u', chr(10) || 'user:'], ['a', chr(10) || 'user:' || chr(10) || 'assistant:']] end) as s
+                        from walk
+                    )
+                ) x join coded r on r.conv_id is not distinct from x.conv_id and r.i = x.i + 1, (values ('D'), ('K'), ('R')) o(op)
+                where op = 'D' or (fault not in ('b', 'd') and (op = 'R'
+                      or (st = '' and r.kind in ('s', 'u')) or (st in ('s', 'a') and r.kind = 'u') or (st = 'u' and r.kind = 'a')))
+            ) group by conv_id, i, st
+        )
+    ), ended as (
+        select conv_id, min(struct_pack(cost := cost + more, audit := audit || tail, body := body || written)) as w
+        from walk join (
+            select conv_id as c, max(i) as n from walk group by conv_id
+        ) on c is not distinct from conv_id and n = i join (values ('', 0, '', ''), ('a', 0, '', ''), ('u', 3, 'I', chr(10) || 'assistant:'),
+            ('s', 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')) f(s, more, tail, written) on s = st
+        group by conv_id
+    ), near as (
+        select *, lag(kind) over (partition by conv_id order by i) || kind as pair from coded
+    ), told as (
+        select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps,
+               count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate,
+               count(*) filter (fault = 't') as truncated,
+               count(*) filter (pair is not null and pair not in ('su', 'ua', 'au')) as illegal
+        from near group by conv_id
+    )
+    select e.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank,
+           coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+           coalesce(illegal, 0)::bigint as illegal, w.cost::bigint as cost, w.audit as audit, sha256(substr(w.body, 2)) as repaired_sha256
+    from ended e left join told t on e.conv_id is not distinct from t.conv_id
+"""
+
+
 ORACLES = {
+    "op11_centroid_clustering": _clustering_sql(),
+    # exact neighbours: what the search finds in tables of up to LEAST rows, of which it meets all
+    "op12_nearest_neighbours": """
+        with e as (
+            select vec_id, embedding::double[] as v from embeddings
+            where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+                  and len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), p as (
+            select q.vec_id as query_id, c.vec_id, list_distance(q.v, c.v) as score
+            from e q, e c where q.vec_id % 100 = 0 and q.vec_id <> c.vec_id
+        )
+        select query_id, (row_number() over (partition by query_id order by score, vec_id))::int as rank, vec_id, score
+        from p qualify rank <= 10
+    """,
+    "op13_conversation_repair": _REPAIR_SQL,
     "op3_exact_dedup": r"""
         with n as (
             select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents
