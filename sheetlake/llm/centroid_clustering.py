@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -89,14 +90,14 @@ class Run:
 _RUNS = "vec_ids array<bigint>, sizes array<int>, entries binary, codes binary"
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, values = matrix(batch.column("vector"), WIDTH)
         ids = batch.column("vec_id").cast(pa.int64()).take(pa.array(rows))
         whole = integers(values)
-        for at in range(0, len(rows), RUN):
-            run = Run.of(whole[at : at + RUN])
-            part = ids.slice(at, RUN)
+        for at in range(0, len(rows), most):
+            run = Run.of(whole[at : at + most])
+            part = ids.slice(at, most)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part),
@@ -191,7 +192,7 @@ def cluster_vectors(embeddings: DataFrame, vector: str = "embedding") -> DataFra
     """
     rows = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col(f"`{vector}`").alias("vector"))
     centroids = seeds(rows)
-    runs = stored(arrow_map(rows, _encode, _RUNS))
+    runs = stored(arrow_map(rows, partial(_encode, most=RUN), _RUNS))
     for _ in range(ROUNDS if len(centroids) else 0):
         told = measure(runs, centroids)
         centroids = np.array(

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -221,7 +222,7 @@ _PIECE_SCHEMA = pa.schema([
 ])
 
 
-def _piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _piece(batches: Iterator[pa.RecordBatch], most_rows: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Sorted rows into pieces; a piece is whole if its conversation can lie in no other."""
     part, seq = TaskContext.get().partitionId(), 0
     name, first = object(), True
@@ -256,7 +257,7 @@ def _piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first, began, met = False, True, set()
             name, started = conv, True
             if code < GONE:
-                if codes and (len(codes) >= PIECE_ROWS or size + len(text) > PIECE_BYTES):
+                if codes and (len(codes) >= most_rows or size + len(text) > most_bytes):
                     cut(False)
                 if code & 28 == BLANK:
                     sha = None
@@ -271,7 +272,7 @@ def _piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 shas.append(sha)
                 size += len(text)
                 held += len(text) + 64
-            if held >= PIECE_BYTES or len(done) >= 1024:
+            if held >= most_bytes or len(done) >= 1024:
                 if done:
                     yield told()
                 held = size
@@ -287,7 +288,8 @@ def pieces_of(turns: DataFrame) -> DataFrame:
     order = ["conv_id", "known", "turn", "role", "head", "sha", "uid"]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return stored(arrow_map(ordered.select("conv_id", "turn", "role", "text", "sha", "code"), _piece, _PIECES))
+    cut = partial(_piece, most_rows=PIECE_ROWS, most_bytes=PIECE_BYTES)
+    return stored(arrow_map(ordered.select("conv_id", "turn", "role", "text", "sha", "code"), cut, _PIECES))
 
 
 def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,13 +369,13 @@ def _edited(pieces: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(out, _EDITED_SCHEMA)
 
 
-def _grouped(rows: Iterator[dict], edit: Callable[[dict], dict]) -> Iterator[pa.RecordBatch]:
-    """Pieces in lots of about TOGETHER rows."""
+def _grouped(rows: Iterator[dict], edit: Callable[[dict], dict], together: int) -> Iterator[pa.RecordBatch]:
+    """Pieces in lots of about so many rows."""
     lot, size = [], 0
     for row in rows:
         lot.append(edit(row))
         size += len(row["codes"]) + 1
-        if size >= TOGETHER:
+        if size >= together:
             yield _edited(lot)
             lot, size = [], 0
     if lot:
@@ -386,13 +388,13 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield from batch.slice(at, 256).to_pylist()
 
 
-def _repair_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repair_whole(batches: Iterator[pa.RecordBatch], together: int) -> Iterator[pa.RecordBatch]:
     def edit(p: dict) -> dict:
         gaps = min(p["high"] - p["low"] + 1 - p["turns"], MOST) if p["turns"] else 0
         told = {"cost": int(costs(p["codes"], END, True)[0][NOTHING]), "gaps": gaps, **_counts(p["codes"])}
         return p | {"end": END, "closes": True, "entry": NOTHING, "told": told}
 
-    yield from _grouped(_rows(batches), edit)
+    yield from _grouped(_rows(batches), edit, together)
 
 
 def _by_conversation(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -458,11 +460,11 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(out, pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("entry", pa.int32())]))
 
 
-def _repair_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repair_pieces(batches: Iterator[pa.RecordBatch], together: int) -> Iterator[pa.RecordBatch]:
     def edit(p: dict) -> dict:
         return p | {"told": {"cost": p["cost"], "gaps": p["gaps"], **_counts(p["codes"], p["before"])}}
 
-    yield from _grouped(_rows(batches), edit)
+    yield from _grouped(_rows(batches), edit, together)
 
 
 def _in_order(df: DataFrame) -> DataFrame:
@@ -474,7 +476,7 @@ def _repaired(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Conversations of one piece, and the pieces of the others."""
     pieces = pieces_of(turns)
     texts = ["conv_id", "part", "seq", "roles", "texts"]
-    whole = arrow_map(pieces.where("whole").select(*texts, "codes", "low", "high", "turns"), _repair_whole, _EDITED)
+    whole = arrow_map(pieces.where("whole").select(*texts, "codes", "low", "high", "turns"), partial(_repair_whole, together=TOGETHER), _EDITED)
     cut = pieces.where(~F.col("whole"))
     small = weighed(cut)
     ends = stored(arrow_map(_in_order(small.drop("codes")), _ends, _ENDS))
@@ -482,7 +484,7 @@ def _repaired(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     exits = arrow_map(known, _ways, "conv_id bigint, part int, seq int, exits array<int>")
     entries = arrow_map(_in_order(exits), _entries, "part int, seq int, entry int")
     rest = cut.select(*texts).join(known.drop("conv_id").join(entries, ["part", "seq"]), ["part", "seq"])
-    return whole, arrow_map(rest, _repair_pieces, _EDITED)
+    return whole, arrow_map(rest, partial(_repair_pieces, together=TOGETHER), _EDITED)
 
 
 def repair_conversations(turns: DataFrame) -> DataFrame:

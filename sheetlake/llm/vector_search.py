@@ -291,6 +291,8 @@ def search(embeddings: DataFrame, vector: str = "embedding", every: int = EVERY,
                 if not ask[lo]:
                     held.append((ids, part.column("cell").to_numpy(zero_copy_only=False), values))
                     continue
+                if shelf is None and not held:
+                    continue  # dealing by chance may leave a shelf of few rows empty
                 if shelf is None:
                     shelf = Shelf(*(np.concatenate(x) for x in zip(*held, strict=True)))
                     held = []
