@@ -835,7 +835,7 @@ SESSION = [
 oracle("pending_pages", "SELECT * FROM left_pages", *SESSION)
 oracle(
     "stream_resume",
-    """SELECT session, asked, coalesce(pending, 0) AS pending, asked - coalesce(pending, 0) AS resumed FROM (SELECT session, count(*) AS asked FROM want GROUP BY 1)
+    """SELECT session, asked, coalesce(pending, 0) AS pending, CAST(0 AS BIGINT) AS again, asked - coalesce(pending, 0) AS resumed FROM (SELECT session, count(*) AS asked FROM want GROUP BY 1)
       LEFT JOIN (SELECT session, count(*) AS pending FROM left_pages GROUP BY 1) USING (session)""",
     *SESSION,
 )
@@ -1304,10 +1304,20 @@ oracle(
       FROM (SELECT *, lag(ts) OVER (PARTITION BY run_id ORDER BY ts) AS p FROM v_events)) GROUP BY run_id, sid""",
 )
 oracle(
-    "stream_over_budget",
+    "over_budget_totals",
     f"SELECT run_id, {r('sum(ms)', 3)} AS elapsed_ms, count(*) AS pages FROM v_events WHERE ms >= 0 GROUP BY 1 HAVING sum(ms) > 3200",
 )
+oracle(
+    "stream_over_budget",
+    f"""SELECT run_id, session_start, ord AS stopped_ord, k AS pages, {r('total', 3)} AS elapsed_ms FROM (
+      SELECT *, row_number() OVER (PARTITION BY run_id, part ORDER BY k) AS f FROM (
+        SELECT *, row_number() OVER w AS k, sum(ms) OVER w AS total, min(ts) OVER (PARTITION BY run_id, part) AS session_start FROM (
+          SELECT *, sum(fresh) OVER (PARTITION BY run_id ORDER BY ts, ord) AS part FROM (
+            SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY run_id ORDER BY ts, ord) <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh
+            FROM v_events WHERE ms >= 0))
+        WINDOW w AS (PARTITION BY run_id, part ORDER BY ts, ord)) WHERE total > 400) WHERE f = 1""",
+)
 oracle(
     "stream_pages",
-    f"SELECT doc_id, page, count(*) FILTER (NOT ({MICRO.replace('< 6', '< 4.5')})) AS kept, count(*) FILTER ({MICRO.replace('< 6', '< 4.5')}) AS removed FROM v_prims GROUP BY 1, 2",
+    f"SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS position, count(*) FILTER (NOT ({MICRO.replace('< 6', '< 4.5')})) AS kept, count(*) FILTER ({MICRO.replace('< 6', '< 4.5')}) AS removed FROM v_prims GROUP BY 1, 2",
 )

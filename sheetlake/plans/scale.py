@@ -9,6 +9,7 @@ blocks are solved side by side, and only one row per block crosses the group.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one, for tables that a job writes and reads again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back from there."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -13,9 +13,11 @@ from .operators import (
     style_jobs, text_jobs,
 )
 from .plans import recognize
+from .plans.scale import block_of, dense_position, scratch_folder
 from .plans.views import Corpus
 from .sources import corpus as sources
 from .streaming import jobs as streams
+from .streaming import stateful
 
 PAGE = ["doc_id", "page"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -820,7 +822,7 @@ def recognize_pages(c):
     )
 
 
-# ---- streaming jobs over the whole table (their batch form) ------------------------------------------
+# ---- streaming jobs over the whole table ------------------------------------------
 
 
 @query
@@ -838,22 +840,60 @@ def stream_sessions(c):
     return rounded(streams.stream_sessions(c.events(), "6 hours"), 3)
 
 
+@query
+def over_budget_totals(c):
+    return rounded(streams.over_budget_totals(c.events(), 3200.0), 3)
+
+
 @query
 def stream_over_budget(c):
-    return rounded(streams.stream_over_budget(c.events(), 3200.0), 3)
+    """The stream over three landings of the events, started anew for each; what its sink holds."""
+    folder = scratch_folder(c.spark, "budget")
+    events = c.events().withColumn("ts", F.col("ts").cast("timestamp"))
+    lo, hi = events.agg(F.min("ts"), F.max("ts")).select(F.unix_micros("min(ts)"), F.unix_micros("max(ts)")).first()
+    part = F.least(F.lit(2), F.floor((F.unix_micros("ts") - F.lit(lo or 0)) * 3 / F.lit(max((hi or 0) - (lo or 0), 1))))
+    for k in range(3):
+        events.filter(part == k).write.mode("append").parquet(f"{folder}/in")
+        landed = c.spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        over = stateful.stream_over_budget(landed, 400.0, "12 hours")
+        stateful.finish(stateful.written(over, f"{folder}/out", f"{folder}/checkpoint"))
+    return rounded(c.spark.read.parquet(f"{folder}/out"), 3).drop("batch")
 
 
 @query
 def stream_pages(c):
-    return page_rules.prune_stats(c.prims(), 4.5)
+    """The stream over the landed page table, a few files a batch; what its sink holds."""
+    folder = scratch_folder(c.spark, "pages")
+    prims = sources.conform(c.prims(), "primitives")
+    prims.write.option("maxRecordsPerFile", 1_000_000).parquet(f"{folder}/in")
+    sizes = c.spark.read.parquet(f"{folder}/in").groupBy(*PAGE).agg(F.count(F.lit(1)).alias("rows"))
+    asked = dense_position(sizes, ["doc_id"], ["page"], [block_of("page")], "position")
+    asked.withColumn("position", F.col("position") + 1).write.parquet(f"{folder}/requests")
+    landed = streams.page_stream(c.spark, f"{folder}/in", sources.SCHEMAS["primitives"], 4)
+    micro = F.coalesce(page_rules.is_micro(4.5), F.lit(False))
+    pages = stateful.stream_pages_in_order(
+        landed, c.spark.read.parquet(f"{folder}/requests"), {"kept": ~micro, "removed": micro}
+    )
+    stateful.finish(stateful.written(pages, f"{folder}/out", f"{folder}/checkpoint"))
+    return c.spark.read.parquet(f"{folder}/out").drop("batch")
 
 
 @query
 def stream_resume(c):
-    """Pages the resume job certifies, and those it finds certified already, per session."""
+    """The ledger job over all sessions, twice: pages asked, certified by the first and by the second run."""
+    folder = scratch_folder(c.spark, "resume")
     want, done = _session(c)
-    left = delivery.pending_pages(want, done).groupBy("session").agg(F.count(F.lit(1)).alias("pending"))
+    land = want.select("session", *stateful.KEYS)
+    land.write.parquet(f"{folder}/in")
+    stateful.seed_ledger(done, f"{folder}/ledger")
+    for run in ("first", "second"):
+        landed = c.spark.readStream.schema(land.schema).parquet(f"{folder}/in").drop("session")
+        stateful.finish(stateful.stream_ledger(landed, f"{folder}/ledger", f"{folder}/checkpoint-{run}", run))
+    sources_of = land.select("session", "source_sha").distinct()
+    certified = stateful.read_pages_done(c.spark, f"{folder}/ledger").join(sources_of, "source_sha").groupBy("session").agg(
+        F.count(F.when(F.col("run") == "first", 1)).alias("pending"), F.count(F.when(F.col("run") == "second", 1)).alias("again")
+    )
     asked = want.groupBy("session").agg(F.count(F.lit(1)).alias("asked"))
-    return asked.join(left, "session", "left").fillna(0, ["pending"]).withColumn(
+    return asked.join(certified, "session", "left").fillna(0, ["pending", "again"]).withColumn(
         "resumed", F.col("asked") - F.col("pending")
     )

@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: page intake, timing windows, sessions, resume, budgets."""
+"""Structured Streaming jobs: page intake, timing windows, sessions, resume.  Stateful ones are in ``stateful``."""
 
 from __future__ import annotations
 
@@ -110,12 +110,8 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path)
 
 
-def stream_over_budget(events: DataFrame, budget_ms: float) -> DataFrame:
-    """Runs whose time so far exceeds the budget: the running total is streaming state.
-
-    One combinable sum per run is all the state; in update mode a run reappears as its total
-    grows.
-    """
+def over_budget_totals(events: DataFrame, budget_ms: float) -> DataFrame:
+    """Runs whose time so far exceeds the budget; in update mode a run reappears as its total grows."""
     return events.filter(usable(F.col("ms"))).groupBy("run_id").agg(
         F.sum("ms").alias("elapsed_ms"), F.count(F.lit(1)).alias("pages")
     ).filter(F.col("elapsed_ms") > budget_ms)

@@ -44,8 +44,8 @@ def test_windows_and_sessions(spark, tmp_path):
     want = jobs.stream_stage_timing(events, "1 hour").withColumn("ms", F.round("ms", 3))
     assert rows(got) == rows(want)
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "ev"))
-    drain(jobs.stream_over_budget(stream, 100.0), "t_over", "complete")
-    want = jobs.stream_over_budget(events, 100.0)
+    drain(jobs.over_budget_totals(stream, 100.0), "t_over", "complete")
+    want = jobs.over_budget_totals(events, 100.0)
     assert sorted(r.run_id for r in spark.table("t_over").collect()) == sorted(r.run_id for r in want.collect())
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "ev"))
     drain(jobs.stream_sessions(stream, "1 hour", "1 hour"), "t_sess", "append")
