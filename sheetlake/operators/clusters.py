@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import Hatching, Recognition
 from ..functions import geometry as g
-from ..plans.scale import cells_between, cut_lineage, gap_moments, neighbor_cells, spread_join
+from ..plans.groups import Columns, solve_groups
+from ..plans.scale import cells_between, cut_lineage, gap_moments, spread_join
 from .page_rules import table_cells
 
 PAGE = ["doc_id", "page"]
 Adjacent = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 Near = Callable[[tuple, tuple], bool]
-#: Cells along the side of a tile, by the items of the page: about as large as one task holds well.
-TILES = ((20_000, 1024), (320_000, 256), (None, 64))
+#: Cells along the side of a tile, by the items of the page: about as large as one task holds well.  A
+#: page that one task holds well is a single tile.
+TILES = ((20_000, 1 << 40), (320_000, 256), (None, 64))
 #: Items up to which a tile is settled as a whole.
 CROWD = 20_000
 
@@ -30,33 +32,31 @@ def tile_side(n: Column) -> Column:
     return side
 
 
-def tile_solver(near: Near, shape: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def tile_solver(near: Near, shape: list[str]) -> Callable[[Columns], Columns]:
     """One ordered pass over a tile: items known to lead, and those free as far as the tile shows.
 
     An item next to an earlier leader is taken; one next to an earlier undecided item waits; any other
     leads, if its cells all lie in the tile, or is free here and may yet be taken elsewhere.
     """
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        boxes = list(zip(*(pdf[c].to_list() for c in shape), strict=True))
+    def settle(tile: Columns) -> Columns:
+        boxes = list(zip(*(np.asarray(tile[c]).tolist() for c in shape), strict=True))
         leads: dict = {}
         waits: dict = {}
-        rows = []
-        for i, (order, keys, single) in enumerate(zip(pdf["ord"].to_list(), pdf["keys"].to_list(), pdf["single"].to_list(), strict=True)):
+        rows, how = [], []
+        for i, (keys, single) in enumerate(zip(tile["keys"], tile["single"].tolist(), strict=True)):
             mine = boxes[i]
             if any(near(mine, boxes[j]) for k in keys for j in leads.get(k, ())):
                 continue
-            waiting = any(near(mine, boxes[j]) for k in keys for j in waits.get(k, ()))
+            waiting = bool(waits) and any(near(mine, boxes[j]) for k in keys for j in waits.get(k, ()))
             leading = single and not waiting
             if not waiting:
-                rows.append((order, leading))
+                rows.append(i)
+                how.append(leading)
             for k in keys:
                 (leads if leading else waits).setdefault(k, []).append(i)
-        out = pdf[["doc_id", "page"]].iloc[: len(rows)].reset_index(drop=True)
-        out["ord"] = [r[0] for r in rows]
-        out["leads"] = [r[1] for r in rows]
-        return out.astype({"ord": "int64", "leads": "bool"})
+        rows = np.array(rows, np.int64)
+        return {**{c: tile[c][rows] for c in (*PAGE, "ord")}, "leads": np.array(how, bool)}
 
     return settle
 
@@ -81,7 +81,7 @@ def leader_cluster(
     cols = [*PAGE, "ord", *shape, "anchor", "cells", "side"]
     sizes = items.groupBy(*PAGE).agg(tile_side(F.count(F.lit(1))).alias("side"))
     base = cut_lineage(items.join(sizes, PAGE).select(*cols))
-    left, leaders, shift = base, None, 0.0
+    left, leaders, shift = base, None, 0.5  # tiles of whole pages are centred on zero
     while True:
         left = left.withColumn("tiles", F.array_distinct(F.transform("cells", lambda c: tile_of(c, F.col("side"), shift))))
         spread = left.select("*", (F.size("tiles") == 1).alias("single"), F.explode("tiles").alias("tile"))
@@ -90,8 +90,9 @@ def leader_cluster(
         calm = spread.join(crowds, [*PAGE, "tile"], "left_anti").select(
             *PAGE, "tile", "ord", *shape, "single", F.transform("cells", lambda c: c.cast("string")).alias("keys")
         )
-        told = calm.groupBy(*PAGE, "tile").applyInPandas(
-            tile_solver(near, shape), "doc_id long, page long, ord long, leads boolean"
+        told = solve_groups(
+            calm.withColumn("tile", F.col("tile").cast("string")), [*PAGE, "tile"], ["ord"],
+            tile_solver(near, shape), "doc_id long, page long, ord long, leads boolean",
         )
         full = spread.join(crowds, [*PAGE, "tile"], "left_semi")
         own = F.filter("cells", lambda c: tile_of(c, F.col("side"), shift) == F.col("tile"))
@@ -301,23 +302,60 @@ def angle_items(segs: DataFrame, tol: float) -> DataFrame:
     )
 
 
-def hatch_lines(prims: DataFrame, cfg: Hatching = Hatching()) -> DataFrame:
-    """Lines with the leader of their parallel group and the leader's angle."""
-    segs = cut_lineage(segment_metrics(prims, cfg.min_len))
-    items = angle_items(segs, cfg.angle_tol_deg)
-    tol = cfg.angle_tol_deg
+def circle_leaders(tol: float) -> Callable[[Columns], Columns]:
+    """Greedy leaders of one page's angles on the half turn, each angle with the first leader that takes it.
+
+    Leaders are at least ``tol`` apart, so there are at most 180 / tol of them; each takes its
+    stretch of the angles at once.
+    """
+
+    def solve(page: Columns) -> Columns:
+        angle, order = page["angle"], page["ord"]
+        leader, l_angle = np.full(len(angle), -1, np.int64), np.zeros(len(angle))
+        at = 0
+        while at < len(angle):
+            d = np.abs(angle - angle[at])
+            takes = (np.where(d > 90, 180 - d, d) < tol) & (leader < 0)
+            leader[takes], l_angle[takes] = order[at], angle[at]
+            rest = np.flatnonzero(leader[at:] < 0)
+            at = at + int(rest[0]) if len(rest) else len(angle)
+        return {**{c: page[c] for c in (*PAGE, "angle")}, "leader": leader, "l_angle": l_angle}
+
+    return solve
+
+
+#: Distinct angles of a page up to which one task finds its leaders.
+MOST_ANGLES = 1_000_000
+
+
+def angle_owners(segs: DataFrame, tol: float) -> DataFrame:
+    """Every distinct angle of a page with the leader that takes it; crowded pages by the general rounds."""
+    items = cut_lineage(angle_items(segs, tol))
+    crowded = items.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST_ANGLES).select(*PAGE)
+    crowded = cut_lineage(crowded)
+    schema = "doc_id bigint, page bigint, angle double, leader bigint, l_angle double"
+    if crowded.isEmpty():
+        return solve_groups(items.select(*PAGE, "angle", "ord"), PAGE, ["ord"], circle_leaders(tol), schema)
+    calm = items.join(crowded, PAGE, "left_anti").select(*PAGE, "angle", "ord")
+    full = items.join(crowded, PAGE, "left_semi")
 
     def near(a: tuple, b: tuple) -> bool:
         d = abs(a[0] - b[0])
         return (180 - d if d > 90 else d) < tol
 
     _, links = leader_cluster(
-        items, ["angle"], lambda a, b: angle_gap(a("angle"), b("angle")) < tol, near,
+        full, ["angle"], lambda a, b: angle_gap(a("angle"), b("angle")) < tol, near,
         lambda cell, side, shift: F.lit("all"),
     )
-    owner = first_leader(links, ["l_angle"]).join(
-        items.select(*PAGE, "ord", "angle"), [*PAGE, "ord"]
-    ).drop("ord")
+    owner = first_leader(links, ["l_angle"]).join(full.select(*PAGE, "ord", "angle"), [*PAGE, "ord"])
+    solved = solve_groups(calm, PAGE, ["ord"], circle_leaders(tol), schema)
+    return solved.unionByName(owner.select(*PAGE, "angle", "leader", "l_angle"))
+
+
+def hatch_lines(prims: DataFrame, cfg: Hatching = Hatching()) -> DataFrame:
+    """Lines with the leader of their parallel group and the leader's angle."""
+    segs = cut_lineage(segment_metrics(prims, cfg.min_len))
+    owner = angle_owners(segs, cfg.angle_tol_deg)
     # A hatched page is one angle, so its lines are dealt over several tasks.
     dealt = spread_join(segs, owner, [*PAGE, "angle"], "prim_id")
     return dealt.withColumn("proj", across(F.col("l_angle")))
@@ -357,30 +395,79 @@ def cell_neighbors(cells: DataFrame) -> DataFrame:
     )
 
 
-def component_labels(cells: DataFrame) -> DataFrame:
+def tile_labels(tile: Columns) -> Columns:
+    """Lowest ord of the component of every cell of one tile: trees are hooked and flattened until none meet."""
+    gx, gy = (tile[c] - tile[c].min() for c in ("gx", "gy"))
+    wide = int(gy.max()) + 3
+    key = gx * wide + gy + 1
+    order = np.argsort(key)
+    ends = []
+    for step in (1, wide - 1, wide, wide + 1):
+        at = np.searchsorted(key[order], key + step)
+        met = at < len(key)
+        met[met] = key[order][at[met]] == key[met] + step
+        ends.append((np.flatnonzero(met), order[at[met]]))
+    a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
+    root = np.arange(len(key))
+    while len(a):
+        ra, rb = root[a], root[b]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return tile | {"label": tile["ord"][root]}
+
+
+def component_labels(cells: DataFrame, side: int = 128) -> DataFrame:
     """Lowest ord of the connected component of every cell.
 
-    Each round takes the lowest label around a cell and then the label of that label, so the
-    rounds grow with the logarithm of a component's width; every round is checkpointed.
+    Tiles of ``side`` by ``side`` cells are labelled on their own.  Components that meet across the edges
+    of tiles are then joined in rounds over links between them, whose number follows the edges and
+    not the cells.
     """
-    edges = cut_lineage(
-        cell_neighbors(cells).select(*PAGE, "a", "b").unionByName(
-            cells.select(*PAGE, F.col("ord").alias("a"), F.col("ord").alias("b"))
+    tile = {t: F.floor((F.col(g) + F.lit(side // 2)) / F.lit(side)).cast("long") for t, g in (("tx", "gx"), ("ty", "gy"))}
+    schema = "doc_id bigint, page bigint, gx bigint, gy bigint, tx bigint, ty bigint, ord bigint, label bigint"
+    local = cut_lineage(
+        solve_groups(
+            cells.select(*PAGE, "gx", "gy", F.col("ord").cast("bigint").alias("ord")).withColumns(tile),
+            [*PAGE, "tx", "ty"], ["ord"], tile_labels, schema,
         )
     )
-    labels = cut_lineage(cells.select(*PAGE, "ord", F.col("ord").alias("label")))
+    inside = [F.pmod(F.col(c) + side // 2, F.lit(side)).isin(0, side - 1) for c in ("gx", "gy")]
+    edge = local.filter(inside[0] | inside[1])
+    steps = [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1) if x or y]
+    step = F.explode(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in steps]))
+    beside = edge.select(*PAGE, F.col("label").alias("a"), "tx", "ty", "gx", "gy", step.alias("s")).select(
+        *PAGE, "a", F.col("tx").alias("ax"), F.col("ty").alias("ay"), (F.col("gx") + F.col("s.dx")).alias("gx"), (F.col("gy") + F.col("s.dy")).alias("gy")
+    )
+    met = beside.join(edge.select(*PAGE, "gx", "gy", "tx", "ty", F.col("label").alias("b")), [*PAGE, "gx", "gy"])
+    links = cut_lineage(met.filter("ax <> tx or ay <> ty").select(*PAGE, "a", "b").distinct())
+    if links.isEmpty():
+        return local.select(*PAGE, "ord", "label")
+    roots = linked_labels(links)
+    return local.join(roots, [*PAGE, "label"], "left").select(*PAGE, "ord", F.coalesce("root", "label").alias("label"))
+
+
+def linked_labels(links: DataFrame) -> DataFrame:
+    """(label, root): the lowest label that each can reach over ``links`` (a, b), given both ways.
+
+    Each round takes the lowest root among a label's neighbours and then the root of that root, so
+    rounds grow with the logarithm of the longest way; every round is checkpointed.
+    """
+    edges = links.unionByName(links.select(*PAGE, "a", F.col("a").alias("b")).distinct())
+    labels = links.select(*PAGE, F.col("a").alias("label"), F.col("a").alias("root")).distinct()
     while True:
-        around = edges.join(
-            labels.select(*PAGE, F.col("ord").alias("b"), "label"), [*PAGE, "b"]
-        ).groupBy(*PAGE, F.col("a").alias("ord")).agg(F.min("label").alias("near"))
+        around = edges.join(labels.select(*PAGE, F.col("label").alias("b"), "root"), [*PAGE, "b"]).groupBy(
+            *PAGE, F.col("a").alias("label")
+        ).agg(F.min("root").alias("near"))
         hop = around.join(
-            labels.select(*PAGE, F.col("ord").alias("near"), F.col("label").alias("far")), [*PAGE, "near"]
-        ).join(labels, [*PAGE, "ord"])
+            labels.select(*PAGE, F.col("label").alias("near"), F.col("root").alias("far")), [*PAGE, "near"]
+        ).join(labels, [*PAGE, "label"])
         moved = cut_lineage(
-            hop.select(*PAGE, "ord", F.least("near", "far").alias("label"),
-                       (F.least("near", "far") < F.col("label")).alias("changed"))
+            hop.select(*PAGE, "label", F.least("near", "far").alias("root"), (F.least("near", "far") < F.col("root")).alias("changed"))
         )
-        labels = moved.select(*PAGE, "ord", "label")
+        labels = moved.select(*PAGE, "label", "root")
         if moved.filter("changed").isEmpty():
             return labels
 
@@ -410,33 +497,44 @@ def regions(prims: DataFrame, pages: DataFrame, cfg: Recognition = Recognition()
     )
 
 
+def square(value: Column, reach: int) -> Column:
+    """The cells around a cell, ``reach`` to either side."""
+    return F.sequence(value - reach, value + reach)
+
+
 def dimension_assoc(dims: DataFrame, prims: DataFrame, radius: float = 75.0, levels: int = 4) -> DataFrame:
     """Nearest primitive centre within ``radius`` of every dimension text, or null.
 
-    ``dims``: doc_id, page, text_id, ix, iy.  Primitives of one centre and texts of one spot
-    are folded first.  A fine grid answers the crowded places: a hit nearer than the grid side
-    is final, and only the texts without one go on to the next, twice as coarse, grid.
+    ``dims``: doc_id, page, text_id, ix, iy.  Primitives of one centre and texts of one spot are folded
+    first.  Cells of ``levels`` + 1 sizes, each half as wide as the one before, say where primitives are.  A text
+    asks around the smallest occupied cell it lies in: a primitive there is no further away than the
+    cell's diagonal, so the nearest lies within two cells.  Texts in no occupied cell ask the eight
+    cells around theirs of the largest size.  Two joins find them, whatever ``levels`` is.
     """
     mid = prims.filter("bx0 is not null").groupBy(
         *PAGE, ((F.col("bx0") + F.col("bx1")) / 2).alias("px"), ((F.col("by0") + F.col("by1")) / 2).alias("py")
     ).agg(F.min("ord").alias("ord"), F.min_by("prim_id", "ord").alias("prim_id"))
-    spots = dims.select(*PAGE, "ix", "iy").distinct()
-    found = None
-    for level in range(levels, -1, -1):
-        side = radius / (2**level)
-        homes = mid.withColumns(
-            {"gx": F.floor(F.col("px") / side).cast("long"), "gy": F.floor(F.col("py") / side).cast("long")}
-        )
-        asks = spots.withColumn("gx", F.explode(neighbor_cells(F.col("ix"), side))).withColumn(
-            "gy", F.explode(neighbor_cells(F.col("iy"), side))
+
+    def at_levels(df: DataFrame, x: str, y: str) -> DataFrame:
+        side = F.lit(radius) / F.pow(F.lit(2.0), F.col("level"))
+        return df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumns(
+            {"gx": F.floor(F.col(x) / side).cast("long"), "gy": F.floor(F.col(y) / side).cast("long")}
         )
-        d = F.hypot(F.col("ix") - F.col("px"), F.col("iy") - F.col("py"))
-        hit = asks.join(homes, [*PAGE, "gx", "gy"]).withColumn("d", d).filter(F.col("d") < side).groupBy(
-            *PAGE, "ix", "iy"
-        ).agg(F.min_by(F.struct("prim_id", "d"), F.struct("d", "ord")).alias("hit"))
-        found = hit if found is None else found.unionByName(hit)
-        if level:
-            spots = spots.join(hit, [*PAGE, "ix", "iy"], "left_anti")
+
+    cell = [*PAGE, "level", "gx", "gy"]
+    dims = cut_lineage(dims)  # parsed texts: used twice
+    homes = cut_lineage(at_levels(mid, "px", "py"))
+    spots = at_levels(dims.select(*PAGE, "ix", "iy").distinct(), "ix", "iy")
+    occupied = homes.select(*cell).distinct().withColumn("met", F.lit(True))
+    deepest = spots.join(occupied, cell, "left").groupBy(*PAGE, "ix", "iy").agg(
+        F.max_by(F.struct("level", "gx", "gy"), F.when(F.col("met") | (F.col("level") == 0), F.col("level"))).alias("own")
+    ).select(*PAGE, "ix", "iy", "own.*")
+    reach = F.when(F.col("level") == 0, 1).otherwise(2)
+    asks = deepest.withColumn("gx", F.explode(square(F.col("gx"), reach))).withColumn("gy", F.explode(square(F.col("gy"), reach)))
+    d = F.hypot(F.col("ix") - F.col("px"), F.col("iy") - F.col("py"))
+    found = asks.join(homes, cell).withColumn("d", d).filter(F.col("d") < radius).groupBy(*PAGE, "ix", "iy").agg(
+        F.min_by(F.struct("prim_id", "d"), F.struct("d", "ord")).alias("hit")
+    )
     return dims.join(found, [*PAGE, "ix", "iy"], "left").withColumns(
         {"nearest_prim_id": F.col("hit.prim_id"), "distance": F.col("hit.d")}
     ).drop("hit")
