@@ -1,10 +1,12 @@
 """Main text of HTML pages by a maximum-scoring subsequence.
 
-A page is a row of tokens.  Words score zero or more, tags less than zero; the weights come from labelled
-pages, those that mark their article themselves with an ``article`` or ``main`` element.  A word weighs
-the more, the more often words in elements of its kind were content; a tag costs the more, the more often
-it stood outside.  One linear scan finds the contiguous region of greatest score; what lies in elements
-learned as no content inside the region is left out of the text.
+A page is a row of tokens.  Words score zero to one, tags less than zero; the weights come from labelled
+pages, those that mark their article themselves with an ``article`` or ``main`` element.  Words of a
+kind of element that was content as often as not, or that is unknown, count in full, and less down to a
+quarter the more often they stood outside; a tag costs the more, the more often it stood outside.  One linear scan
+finds the contiguous region of greatest score; what lies in elements learned as no content inside the
+region is left out of the text.  No element that holds the page's main article, or most of its words, is
+left out, whatever its names say.
 """
 
 from __future__ import annotations
@@ -53,9 +55,13 @@ OUTSIDE_NAMES = frozenset("nav aside footer header form menu head dialog fieldse
 OUTSIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer "
     "header login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo related "
-    "reply replies share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split()
+    "reply replies reviews share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget".split()
 )
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
+#: Parts of a class that make it say something about another element (has-sidebar, share-enabled).
+ABOUT_OTHERS = frozenset("disabled enabled fixed has no with without".split())
+#: Least score of a word that is not left out.
+WORD_LEAST = 0.25
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -67,21 +73,52 @@ LABELS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|(
 BLANK = re.compile(r"\s+")
 
 
+@dataclass(slots=True, eq=False)
+class Node:
+    """An open container: what its names say, and what is known once its page has been read."""
+
+    parent: Node | None
+    name: str
+    kind: str
+    marked: bool = False  # an article or main that is not named as something else
+    again: bool = False  # an ancestor is of the same kind
+    words: int = 0  # in the subtree
+    kept: bool = False  # holds the main article or most words, or is a header of that article
+    article: bool = False  # is, or lies in, an article or main
+    suspect: str = ""  # kind of the outermost ancestor that names say is no content
+    out: bool = False
+    stopped: bool = False
+    content: bool = False
+    spared: bool = False
+
+
 @dataclass(slots=True)
 class Token:
-    """A tag (name, end, kind) or a stretch of text; ``inside``: kinds of the open containers."""
+    """A tag (name, end, kind) or a stretch of text; ``node``: the innermost open container, ``own``: the tag's."""
 
     text: str | None
+    node: Node
     name: str = ""
     end: bool = False
     kind: str = ""
-    inside: tuple[str, ...] = ()
+    own: Node | None = None
+
+
+def classes_of(rest: str) -> list[str]:
+    """Whole words of class, id and role, in lower case."""
+    return [w for m in LABELS.findall(rest) for w in "".join(m).lower().split()]
 
 
 def kind_of(name: str, rest: str) -> str:
-    """Name of an element with all words of its class, id and role."""
-    words = sorted({w for m in LABELS.findall(rest) for w in re.split(r"[^a-z0-9]+", "".join(m).lower()) if w})
-    return ".".join([name, *words])
+    """Name of an element with the parts of all words of its class, id and role.
+
+    A word that speaks of other elements (has-sidebar) stays one part.
+    """
+    words = set()
+    for word in classes_of(rest):
+        parts = [x for x in re.split(r"[^a-z0-9]+", word) if x]
+        words.update(["_".join(parts)] if ABOUT_OTHERS.intersection(parts) else parts)
+    return ".".join([name, *sorted(words)])
 
 
 def lexed(page: str) -> list[tuple[str | None, str, bool, str]]:
@@ -136,62 +173,113 @@ def closed(row: list[tuple[str | None, str, bool, str]]) -> set[int]:
     return found
 
 
-def tokens(page: str) -> Iterator[Token]:
-    """Tags and texts in page order; scripts, svgs, buttons and the like are gone; bad nesting is mended.
+class Stack:
+    """Open elements: names, nodes of containers, and where elements to be left out are."""
+
+    def __init__(self, root: Node):
+        self.rows: list[tuple[str, str, bool, Node]] = []  # name, kind, whether blocks may stand within, node
+        self.root, self.apart = root, []
+        self.names: Counter = Counter()
+        self.kinds: Counter = Counter()
+
+    @property
+    def node(self) -> Node:
+        return self.rows[-1][3] if self.rows else self.root
+
+    def push(self, name: str, kind: str, holds: bool, node: Node) -> None:
+        if name in APART:
+            self.apart.append(len(self.rows))
+        self.rows.append((name, kind, holds, node))
+        self.names[name] += 1
+        self.kinds[kind] += 1
+
+    def cut(self, at: int) -> None:
+        while len(self.rows) > at:
+            name, kind, _, _ = self.rows.pop()
+            self.names[name] -= 1
+            self.kinds[kind] -= 1
+        while self.apart and self.apart[-1] >= at:
+            self.apart.pop()
+
+    def last(self, name: str) -> int:
+        """Place of the innermost open element of this name, -1 if a closed template or the like hides it."""
+        if not self.names[name]:
+            return -1
+        for i in range(len(self.rows) - 1, -1, -1):
+            if self.rows[i][0] == name:
+                return i
+            if self.rows[i][0] in ("template", "noscript", "select") and self.rows[i][2]:
+                break
+        return -1
+
+
+def tokens(page: str) -> tuple[list[Token], list[Node]]:
+    """Tags and texts in page order, and the containers; scripts, svgs and the like are gone; bad nesting is mended.
 
     An element left out whose end tag is missing ends with its parent or at the next block; an svg always
     does, as in browsers, but for what its foreignObject holds.
     """
     row = lexed(page)
     ended = closed(row)
-    stack: list[tuple[str, str, bool]] = []  # name, kind, whether blocks may stand within
-    inside: tuple[str, ...] = ()
-    apart = False
-
-    def last(names: frozenset[str] | tuple[str, ...]) -> int:
-        """Place of the innermost open element of these names, -1 if a closed template or the like hides it."""
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                return i
-            if stack[i][0] in ("template", "noscript", "select") and stack[i][2]:
-                break
-        return -1
-
+    root = Node(None, "", "")
+    nodes, out, stack = [root], [], Stack(root)
     for at, (text, name, end, rest) in enumerate(row):
         if text is not None:
-            if not apart:
-                yield Token(html.unescape(text), inside=inside)
+            if not stack.apart:
+                token = Token(html.unescape(text), stack.node)
+                token.node.words += len(token.text.split())
+                out.append(token)
             continue
-        kind, size = name, len(stack)
-        if apart and (name in BLOCK or name in AFTER_SVG and not end):
-            for i in range(len(stack) - 1, -1, -1):
-                x, _, holds = stack[i]
-                if x not in APART:
-                    continue
-                if x == "svg" or name in BLOCK and (not holds or name in SECTIONS and x in ("button", "select") and not end):
-                    del stack[i:]
-                else:
+        kind, own = name, None
+        if stack.apart and (name in BLOCK or name in AFTER_SVG and not end):
+            while stack.apart:
+                x, _, holds, _ = stack.rows[stack.apart[-1]]
+                if x != "svg" and (name not in BLOCK or holds and (end or name not in SECTIONS or x not in ("button", "select"))):
                     break
+                stack.cut(stack.apart[-1])
         elif not end and name in ("button", "select", "input", "textarea"):
-            i = last((name,) if name == "button" else ("select",))
+            i = stack.last(name if name == "button" else "select")
             if i >= 0:
-                del stack[i:]
+                stack.cut(i)
         if name in CONTAINERS or name in APART:
             if not end:
+                node = stack.node
                 if name in CONTAINERS:
                     kind = kind_of(name, rest)
-                if name not in ("svg", "foreignobject") or not rest.endswith("/") and (apart or name == "svg"):
-                    stack.append((name, kind, at in ended))
+                    marked = name in CONTENT_NAMES and not OUTSIDE_WORDS.intersection(classes_of(rest))
+                    own = node = Node(stack.node, name, kind, marked, stack.kinds[kind] > 0)
+                    nodes.append(node)
+                if name not in ("svg", "foreignobject") or not rest.endswith("/") and (stack.apart or name == "svg"):
+                    stack.push(name, kind, at in ended, node)
             else:
-                i = last((name,))
+                i = stack.last(name)
                 if i >= 0:
-                    kind = stack[i][1]
-                    del stack[i:]
-        if name in CONTAINERS or name in APART or len(stack) != size:
-            inside = tuple(k for _, k, _ in stack)
-            apart = any(x in APART for x, _, _ in stack)
-        if not apart and name not in APART and (end or name not in RAW):
-            yield Token(None, name, end, kind, inside)
+                    _, kind, _, node = stack.rows[i]
+                    own = node if name in CONTAINERS else None
+                    stack.cut(i)
+        if not stack.apart and name not in APART and (end or name not in RAW):
+            out.append(Token(None, stack.node, name, end, kind, own))
+    _keep(nodes)
+    return out, nodes
+
+
+def _keep(nodes: list[Node]) -> None:
+    """Sum words up, and mark what may not be left out: the way to the main article and what holds most words."""
+    for node in reversed(nodes[1:]):
+        node.parent.words += node.words
+    most = max((n.words for n in nodes if n.marked), default=0)
+    for node in reversed(nodes):
+        if node.name in ("html", "body") or node.marked and 2 * node.words >= most or 2 * node.words > nodes[0].words:
+            node.kept = True
+        if node.kept and node.parent is not None and (node.marked or node.article):
+            node.parent.kept = node.parent.article = True  # for now: on the way to an article
+    for node in nodes:
+        node.article = node.name in CONTENT_NAMES or node.parent is not None and node.parent.article
+        if node.name == "header" and node.parent.kept and node.parent.article:
+            node.kept = node.kept or not OUTSIDE_WORDS.intersection(node.kind.split(".")[1:])
+        node.suspect = node.parent.suspect if node.parent is not None else ""
+        if not node.suspect and not node.kept and prior(node.kind) < 0:
+            node.suspect = node.kind
 
 
 def prior(kind: str) -> float:
@@ -208,48 +296,41 @@ class Weights:
 
     words: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
-    _left_out: dict[tuple[str, ...], bool] = field(default_factory=dict)
-    _spared: dict[tuple[str, ...], bool] = field(default_factory=dict)
 
     def odds(self, table: dict[str, float], kind: str) -> float:
         found = table.get(kind)
         return prior(kind) * math.log(PRIOR) if found is None else found
 
-    def excluded(self, inside: tuple[str, ...]) -> bool:
-        """Whether an open container is of a kind that holds no content."""
-        found = self._left_out.get(inside)
-        if found is None:
-            if len(self._left_out) > 10_000:
-                self._left_out.clear()
-            found = self._left_out[inside] = any(self.odds(self.words, k) < -1 for k in inside)
-        return found
-
-    def spared(self, chain: tuple[str, ...]) -> bool:
-        """Whether the last of these containers is left out of, or lies in one left out of, a content container.
+    def settle(self, nodes: list[Node]) -> None:
+        """What is left out: containers of a kind that holds no content, and all within them.
 
-        Tags of ``html`` and ``body`` stand outside any article, whatever their classes say.
+        ``spared``: left out of a content container, or within what is left out of one; tags of ``html`` and
+        ``body`` stand outside any article, whatever their classes say.
         """
-        found = self._spared.get(chain)
-        if found is None:
-            if len(self._spared) > 10_000:
-                self._spared.clear()
-            found = content = False
-            for k in chain:
-                if self.odds(self.words, k) < -1:
-                    found = content
-                    break
-                content |= k.split(".")[0] not in ("html", "body") and self.odds(self.tags, k) > 1
-            self._spared[chain] = found
-        return found
+        for node in nodes[1:]:
+            up = node.parent
+            own = not node.kept and self.odds(self.words, node.kind) < -1
+            node.out, node.stopped, node.content, node.spared = up.out or own, up.stopped, up.content, up.spared
+            if not node.stopped:
+                if own:
+                    node.stopped, node.spared = True, up.content
+                else:
+                    node.content |= node.name not in ("html", "body") and self.odds(self.tags, node.kind) > 1
 
-    def word(self, inside: tuple[str, ...]) -> float:
-        return 0.0 if self.excluded(inside) else 1.0
+    def word(self, node: Node) -> float:
+        """Score of a word in a container."""
+        if node.out:
+            return 0.0
+        return max(WORD_LEAST, 1.0 + min(0.0, self.odds(self.words, node.kind))) if node.kind and not node.kept else 1.0
 
     def tag(self, t: Token) -> float:
         """Cost of a tag; none for those of what is left out within content, which would cut it at its edges."""
-        if self.spared((*t.inside, t.kind) if t.end and t.name in CONTAINERS else t.inside):
+        if (t.own if t.end and t.own is not None else t.node).spared:
             return 0.0
-        odds = 0.0 if self.excluded(t.inside[:-1]) else self.odds(self.tags, t.kind)
+        held = t.node.parent is not None and t.node.parent.out
+        odds = 0.0 if held else self.odds(self.tags, t.kind)
+        if t.own is not None and t.own.kept:
+            odds = max(odds, 0.0)
         return -min(TAG_MOST, max(TAG_LEAST, -odds * TAG_STEP))
 
 
@@ -267,36 +348,51 @@ def learned(counts: Counter) -> Weights:
 def label_counts(page: str) -> Counter | None:
     """Counts of one page that marks its article, None for any other page."""
     counts: Counter = Counter()
-    labelled = False
-    for t in tokens(page):
-        names = [k.split(".")[0] for k in t.inside]
-        marks = [i for i, x in enumerate(names) if x in CONTENT_NAMES]
-        apart = [k for k in t.inside if prior(k) < 0]
-        held = bool(marks) and not apart
-        labelled |= bool(marks)
+    row, nodes = tokens(page)
+    if not any(n.name in CONTENT_NAMES for n in nodes):
+        return None
+    held: dict[int, int] = {}
+    for t in row:
+        inside = t.node.article and not t.node.suspect
         if t.text is not None:
+            n = len(t.text.split())
             # outside the article only the outermost suspect is to blame, else the innermost container
-            for k in dict.fromkeys(t.inside if held else apart[:1] or t.inside[-1:]):
-                counts["w", k, held] += len(t.text.split())
-        elif not apart or t.kind == apart[0]:
-            counts["t", t.kind, held or t.name in CONTENT_NAMES] += 1
-    return counts if labelled else None
+            if inside:
+                held[id(t.node)] = held.get(id(t.node), 0) + n
+            elif t.node.kind:
+                counts["w", t.node.suspect or t.node.kind, False] += n
+        elif not t.node.suspect or t.kind == t.node.suspect:
+            counts["t", t.kind, inside or t.name in CONTENT_NAMES] += 1
+    for node in reversed(nodes[1:]):
+        n = held.get(id(node), 0)
+        if n:
+            held[id(node.parent)] = held.get(id(node.parent), 0) + n
+            if not node.again:
+                counts["w", node.kind, True] += n
+    return counts
+
+
+def best_span(scores: list[float]) -> tuple[int, int]:
+    """The contiguous stretch of greatest sum over zero, the first of equals; empty if there is none."""
+    best, span, total, start = 0.0, (0, 0), 0.0, 0
+    for i, score in enumerate(scores):
+        total += score
+        if total <= 0:
+            total, start = 0.0, i + 1
+        elif total > best:
+            best, span = total, (start, i + 1)
+    return span
 
 
 def extract(page: str | None, weights: Weights) -> str:
     """The main text: blocks in page order, joined by an empty line."""
-    row = list(tokens(page or ""))
-    best, best_span, total, start = 0.0, (0, 0), 0.0, 0
-    for i, t in enumerate(row):
-        total += weights.tag(t) if t.text is None else weights.word(t.inside) * len(t.text.split())
-        if total <= 0:
-            total, start = 0.0, i + 1
-        elif total > best:
-            best, best_span = total, (start, i + 1)
+    row, nodes = tokens(page or "")
+    weights.settle(nodes)
+    span = best_span([weights.tag(t) if t.text is None else weights.word(t.node) * len(t.text.split()) for t in row])
     blocks, parts = [], []
-    for t in row[slice(*best_span)]:
+    for t in row[slice(*span)]:
         if t.text is not None:
-            if not weights.excluded(t.inside):
+            if not t.node.out:
                 parts.append(t.text)
         elif t.name in BLOCK:
             blocks.append("".join(parts))

@@ -5,6 +5,7 @@ import html
 import random
 import re
 import struct
+import time
 
 import public_tokenizers
 import pytest
@@ -15,6 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sheetlake.llm import bpe, chat_format, html_extraction, sharding
+from sheetlake.llm.ngram_join import drop_near_duplicates
 from sheetlake.llm.queries import QUERIES
 from tests.llm.test_text_operators import LONG, brute_components
 
@@ -275,3 +277,73 @@ def test_pipeline(spark):
     assert {r.doc_id for r in found.collect()} == want
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == columns
+
+
+TALK = "<h1>Head words here</h1><p>Some words of the article, and then some more of them.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body class="has-sidebar"><article>{TALK}</article>', f'<body class="header-fixed"><article>{TALK}</article>',
+        f'<article class="post tags-food">{TALK}</article>', f'<section class="story share-enabled">{TALK}</section>',
+        f'<div class="content with-sidebar">{TALK}</div>', f'<form action="x"><article>{TALK}</article></form>',
+        f'<article><header>{TALK[:24]}</header>{TALK[24:]}</article>', f'<form>{TALK}</form>', f'<div class="page widget">{TALK}</div>',
+        f'<article>{TALK}</article><div class="user-reviews"><p>I liked it</p></div>',
+        f'<article>{TALK}</article><aside class="related"><article><p>Teaser words</p></article></aside>',
+        f'<article>{TALK}</article><div class="comments"><article class="comment"><p>A comment here</p></article></div>',
+    ],
+)
+def test_html_keeps_the_article(spark, page):
+    menu = "<nav><a>Home</a> <a>News</a></nav>"
+    pages = spark.createDataFrame([(k, "u", f"{menu}{page}") for k in range(3)], "page_id long, url string, html string")
+    for w in (html_extraction.Weights(), html_extraction.learn_weights(pages), html_extraction.learned({})):
+        for whole in (page, f"{menu}{page}"):
+            assert html_extraction.extract(whole, w) == "Head words here\n\nSome words of the article, and then some more of them."
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<div>" * 50_000 + "x" + "</section>" * 50_000, "<article>" * 100_000 + "x"])
+def test_html_deep_nesting_is_linear(page):
+    start = time.process_time()
+    assert html_extraction.extract(page, html_extraction.Weights()) == "x"
+    assert time.process_time() - start < 20
+
+
+def test_html_region_is_the_greatest():
+    rng = random.Random(8)
+    for _ in range(300):
+        scores = [rng.choice([-3.0, -1.0, -0.5, 0.0, 1.0, 2.0]) for _ in range(rng.randint(0, 9))]
+        spans = [(sum(scores[a:b]), a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+        best = max((x for x, _, _ in spans), default=0)
+        a, b = html_extraction.best_span(scores)
+        assert sum(scores[a:b]) == max(best, 0)
+
+
+def test_html_words_of_outside_kinds_weigh_less():
+    w = html_extraction.Weights({"div": -0.6, "section": 2.0}, {})
+    root = html_extraction.Node(None, "", "")
+    div, section = (html_extraction.Node(root, k, k) for k in ("div", "section"))
+    w.settle([root, div, section])
+    assert 0.25 <= w.word(div) < w.word(section) == w.word(root) == 1.0
+
+
+def test_bpe_remembers_few_bytes_and_forgets(ours, spark):
+    small = bpe.ByteBPE(open(PATH, encoding="utf-8").read())
+    for k in range(60_000):
+        small.piece(f" w{k}")
+        assert small.taken <= bpe.REMEMBERED
+    assert 0 < len(small.known) < 60_000
+    small.forget()
+    assert not small.known and not small.taken
+    docs = spark.createDataFrame([(1, "the text é"), (2, None), (None, ""), (1, "the text é"), (3, "x" * 100_000)], "doc_id long, text string")
+    got = sorted((tuple(r) for r in bpe.digest_tokens(docs, PATH).collect()), key=str)
+    two = bpe.decode_ids(bpe.encode_texts(docs, PATH), PATH).collect()
+    assert got == sorted(((r.doc_id, len(r.ids) // 4, hashlib.sha256(r.ids).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest()) for r in two), key=str)
+
+
+def test_near_copies_of_one_doc_id_are_judged_by_their_text(spark):
+    one, two = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, one, 0), (2, one, 1), (2, two, 2), (None, one, 3), (4, None, 4), (5, "", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int")
+    kept = sorted(r["a.b"] for r in drop_near_duplicates(docs).collect())
+    assert kept == [0, 2, 3, 4, 5]
