@@ -280,7 +280,7 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return roots
 
 
-def ngram_components(docs: DataFrame, salts: int = 8) -> DataFrame:
+def ngram_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
 
     Two rows link when the Jaccard similarity of their sets of 5-word n-grams (A-Z lowered, words are
@@ -289,11 +289,16 @@ def ngram_components(docs: DataFrame, salts: int = 8) -> DataFrame:
     nothing.  Repeated rows come back as often as they were there; rows without doc_id get the smallest
     doc_id of their component, or null.  An empty table gives no rows.
     """
+    return marked_components(docs).drop("mark")
+
+
+def marked_components(docs: DataFrame, salts: int = 8) -> DataFrame:
+    """``ngram_components`` with ``mark``, a hash of the text, which tells texts of one doc_id apart."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     classes = stored(classes_of(docs))
     roots = link_classes(docs, classes)
     rooted = classes.where("n > 0").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "doc_id", "n", F.coalesce("root", "cls").alias("root")
+        "doc_id", "mark", "n", F.coalesce("root", "cls").alias("root")
     )
     many = rooted.groupBy("root").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1")
     salted = many.select("root", "low", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
@@ -302,11 +307,19 @@ def ngram_components(docs: DataFrame, salts: int = 8) -> DataFrame:
     )
     empty = classes.where("n = 0")
     return out.select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id")
-    ).unionByName(empty.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        "doc_id", "mark", F.col("n").cast("long").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id")
+    ).unionByName(empty.select("doc_id", "mark", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their component, all columns as they were."""
-    gone = ngram_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose doc_id is the smallest of their component, all columns as they were.
+
+    Of several rows with one doc_id each is judged by its own text.  Rows without doc_id, and null or empty
+    texts, stay; so do repeated rows of the document that stays.  An empty table gives no rows.
+    """
+    gone = marked_components(docs).where("doc_id <> component_id").select("doc_id", "mark").distinct()
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"),
+    )
+    return rows.join(gone, ["doc_id", "mark"], "left_anti").select("row.*")
