@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..plans.scale import block_of, cut_lineage, dense_position
+from ..plans.groups import Columns, scan_groups
 
 PAGE = ["doc_id", "page"]
 
@@ -43,38 +43,35 @@ def image_composite(images: DataFrame, pages: DataFrame, threshold: int = 256) -
     return kept.select(*PAGE, "kind", "ord", "a", "d", F.lit(1).cast("long").alias("instances")).unionByName(page_rows)
 
 
+def admit(room: int, px: np.ndarray) -> tuple[np.ndarray, int]:
+    """Which of some rasters, in order, fit the room that is left, and what is left after them.
+
+    Rasters larger than the room are out at once, for room only shrinks; of the others all up to
+    the first that doesn't fit come in together.
+    """
+    fits = np.zeros(len(px), bool)
+    open_ = np.flatnonzero(px <= room)
+    while len(open_):
+        total = np.cumsum(px[open_])
+        k = int(np.searchsorted(total, room, "right"))
+        fits[open_[:k]] = True
+        room -= int(total[k - 1])
+        open_ = open_[k + 1 :]
+        open_ = open_[px[open_] <= room]
+    return fits, room
+
+
 def raster_budget_greedy(rasters: DataFrame, budget: int) -> DataFrame:
     """Admit rasters of a document in order while they fit; a rejected one uses no budget.
 
-    ``rasters``: doc_id, ord, px.  A plain running sum is wrong, since the rejected do not count.
-    Documents are cut into blocks of their order; a round settles one block of every document from
-    the room the block before left, so rounds grow with a document's blocks, not with its overflows.
+    ``rasters``: doc_id, ord, px (not negative).  A plain running sum is wrong, since the rejected do not count.  Each
+    decision needs the room that all before it left, so a document's rasters, three numbers each, stream through one
+    task in order; the room is all that is kept, and a stretch is decided in a few vector steps.
     """
-    placed = dense_position(rasters, ["doc_id"], ["ord"], [block_of("ord")])
-    placed = cut_lineage(placed.select("doc_id", "ord", "px", block_of("pos").alias("block")))
-    rounds = (placed.agg(F.max("block")).first()[0] or 0) + 1
-    room = None
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        left, fits = int(pdf["room"].iloc[0]), []
-        for px in pdf["px"].to_list():
-            fits.append(px <= left)
-            if fits[-1]:
-                left -= px
-        return pdf[["doc_id", "ord", "px"]].assign(admitted=fits, room=left)
-
-    decided = None
-    for k in range(rounds):
-        now = placed.filter(F.col("block") == k)
-        if room is None:
-            now = now.withColumn("room", F.lit(budget).cast("long"))
-        else:
-            now = now.join(room, "doc_id")
-        done = cut_lineage(
-            now.groupBy("doc_id").applyInPandas(settle, "doc_id long, ord long, px long, admitted boolean, room long")
-        )
-        room = done.groupBy("doc_id").agg(F.first("room").alias("room"))
-        part = done.drop("room")
-        decided = part if decided is None else decided.unionByName(part)
-    return decided
+
+    def step(room: int, rows: Columns) -> tuple[int, Columns]:
+        fits, room = admit(room, rows["px"])
+        return room, rows | {"admitted": fits}
+
+    rows = rasters.select(*[F.col(c).cast("bigint").alias(c) for c in ("doc_id", "ord", "px")]).filter("px is not null")
+    return scan_groups(rows, ["doc_id"], ["ord"], lambda: budget, step, "doc_id bigint, ord bigint, px bigint, admitted boolean")

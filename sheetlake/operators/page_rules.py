@@ -506,11 +506,18 @@ def corpus_rollup(prims: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def heavy_pages(counts: DataFrame, threshold: int = 3000, entity_hint: int = 50_000, k: int = 20) -> DataFrame:
-    """The ``k`` heaviest pages above the object threshold, with the low-memory hint."""
+def heavy_pages(
+    counts: DataFrame, threshold: int = 3000, entity_hint: int = 50_000, k: int = 20, peak_hint_mb: float = 1024.0
+) -> DataFrame:
+    """The ``k`` heaviest pages above the object threshold, with the low-memory hint.
+
+    The hint is given for many objects, or for a peak of ``peak_hint_mb`` or more where ``counts`` has a
+    column ``peak_mb``.
+    """
     size = F.col("n_prims") + F.col("n_texts")
+    peak = F.coalesce("peak_mb", F.lit(0.0)) if "peak_mb" in counts.columns else F.lit(0.0)
     return (
-        counts.withColumns({"objects": size, "hint": size >= entity_hint})
+        counts.withColumns({"objects": size, "hint": (size >= entity_hint) | (peak >= peak_hint_mb)})
         .filter(F.col("objects") > threshold)
         .orderBy(F.desc("objects"), *PAGE)
         .limit(k)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import RasterBudget
 from ..functions import geometry as g
 from ..functions import style as st
-from ..plans.scale import running_sum, spread_join
+from ..plans.scale import block_of, dense_position, running_sum, spread_join
 
 PAGE = ["doc_id", "page"]
 
@@ -155,13 +155,10 @@ def redundant_page_fill(prims: DataFrame, pages: DataFrame) -> DataFrame:
     ).select("prim_id", *PAGE)
 
 
-def entity_table(
-    prims: DataFrame, pages: DataFrame, arrangement: str = "spread"
-) -> DataFrame:
-    """One styled row per drawable: a fill row and a stroke row where both exist."""
+def drawables(prims: DataFrame, pages: DataFrame, arrangement: str = "spread") -> DataFrame:
+    """Primitives with the offset ``dy`` of their page, once per entity ``_e`` (kind, colour ``c``) they become."""
     placed = prims.join(page_stack(pages, arrangement).select(*PAGE, "width", "height", "dy"), PAGE)
     stroke, fill = color_of("s"), color_of("f")
-    line = F.col("line")
     w, h = F.col("width"), F.col("height")
     tol = F.greatest(F.lit(1e-7), F.greatest(w, h, F.lit(1.0)) * 1e-7)
     paper = (
@@ -180,15 +177,28 @@ def entity_table(
         F.when(fill.isNotNull() & ~paper & area, F.struct(F.lit("fill").alias("kind"), fill.alias("c"))),
         F.when(stroke.isNotNull() & kind.isNotNull(), F.struct(kind.alias("kind"), stroke.alias("c"))),
     )
+    return placed.withColumn("_e", F.explode(F.filter(rows, lambda e: e.isNotNull())))
+
+
+def entity_table(
+    prims: DataFrame, pages: DataFrame, arrangement: str = "spread"
+) -> DataFrame:
+    """One styled row per drawable: a fill row and a stroke row where both exist.
+
+    ``ltscale`` is the scale of the line type, null for plain lines and fills.  The points of polylines
+    and fills are rows of ``entity_points``.
+    """
+    stroke, fill, line = color_of("s"), color_of("f"), F.col("line")
     # Dash patterns are few: the line type rule runs once per pattern.
     lines = st.with_linetype(prims.select("dash").filter("dash is not null").distinct(), "dash")
-    drawn = spread_join(placed, lines, ["dash"], "prim_id", how="left").withColumn("_e", F.explode(F.filter(rows, lambda e: e.isNotNull())))
+    drawn = spread_join(drawables(prims, pages, arrangement), lines, ["dash"], "prim_id", how="left")
     drawn = st.with_palette(drawn, F.col("_e.c"))
     is_fill = F.col("_e.kind") == "fill"
     return drawn.select(
         "prim_id", *PAGE, F.col("_e.kind").alias("kind"),
         st.layer_name(F.col("page"), F.col("layer"), F.coalesce(stroke, fill)).alias("layer"),
         F.when(~is_fill, F.coalesce(line["name"], F.lit("CONTINUOUS"))).alias("linetype"),
+        F.when(~is_fill, line["ltscale"]).alias("ltscale"),
         F.when(~is_fill, st.lineweight(F.col("line_width"))).alias("lineweight"),
         "palette",
         "x0", (F.col("y0") + F.col("dy")).alias("y0"), "x1", (F.col("y1") + F.col("dy")).alias("y1"),
@@ -196,6 +206,30 @@ def entity_table(
     )
 
 
+def entity_points(
+    prims: DataFrame, points: DataFrame, pages: DataFrame, arrangement: str = "spread"
+) -> DataFrame:
+    """Ordered points of every line, polyline and fill, shifted to its page's slot: one row a point.
+
+    ``points``: prim_id, seq, x, y.  ``position`` counts from 0 within an entity in order of seq.  Lines have their two
+    ends; circles and arcs have no points.  ``closed`` tells whether the last point joins the first; fills
+    always do.  Points are dealt over tasks, whatever share of them one primitive has.
+    """
+    drawn = drawables(prims, pages, arrangement).withColumn("kind", F.col("_e.kind"))
+    ends = F.array(*[F.struct(F.lit(k).cast("long").alias("position"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (0, 1)])
+    lines = drawn.filter("kind = 'line'").select(
+        "prim_id", *PAGE, "kind", F.lit(False).alias("closed"), "dy", F.explode(ends).alias("p")
+    ).select("prim_id", *PAGE, "kind", "closed", "p.position", "p.x", (F.col("p.y") + F.col("dy")).alias("y"))
+    placed = dense_position(points.select("prim_id", "seq", "x", "y"), ["prim_id"], ["seq"], [block_of("seq")], "position")
+    shapes = drawn.filter("kind in ('polyline', 'fill')").select(
+        "prim_id", *PAGE, "kind", ((F.col("kind") == "fill") | F.coalesce("closed", F.lit(False))).alias("closed"), "dy"
+    )
+    rows = spread_join(placed, shapes, ["prim_id"], "position").select(
+        "prim_id", *PAGE, "kind", "closed", "position", "x", (F.col("y") + F.col("dy")).alias("y")
+    )
+    return lines.unionByName(rows)
+
+
 def palette_use(prims: DataFrame) -> DataFrame:
     """Primitives per stroke colour and the palette index nearest to it."""
     folded = prims.filter("sr is not null").groupBy("sr", "sg", "sb").agg(

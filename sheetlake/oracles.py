@@ -436,6 +436,7 @@ oracle(
     "entity_table",
     f"""SELECT prim_id, doc_id, page, kind, CASE WHEN sr IS NOT NULL THEN {layer('s')} ELSE {layer('f')} END AS layer,
       CASE WHEN kind <> 'fill' THEN coalesce(linetype, 'CONTINUOUS') END AS linetype,
+      CASE WHEN kind <> 'fill' THEN ltscale END AS ltscale,
       CASE WHEN kind <> 'fill' THEN {WEIGHT} END AS lineweight,
       CASE WHEN kind = 'fill' THEN {palette('f')} ELSE {palette('s')} END AS palette,
       x0, {r('y0 + dy')} AS y0, x1, {r('y1 + dy')} AS y1, radius
@@ -450,6 +451,23 @@ oracle(
     *DASH_STEPS, ("stack", STACK.replace("$F", "1.2")),
 )
 
+oracle(
+    "entity_points",
+    f"""SELECT prim_id, doc_id, page, 'line' AS kind, false AS closed, CAST(k AS BIGINT) AS position, CASE k WHEN 0 THEN x0 ELSE x1 END AS x,
+      {r('CASE k WHEN 0 THEN y0 ELSE y1 END + dy')} AS y
+    FROM v_prims JOIN stack USING (doc_id, page), (VALUES (0), (1)) t(k) WHERE sr IS NOT NULL AND type = 'line' AND n_points = 2
+    UNION ALL
+    SELECT prim_id, doc_id, page, kind, closed, seq AS position, x, {r('y + dy')} AS y FROM (
+      SELECT prim_id, p.doc_id, p.page, s.dy, 'fill' AS kind, true AS closed FROM v_prims p JOIN stack s USING (doc_id, page)
+      WHERE fr IS NOT NULL AND bx1 > bx0 AND by1 > by0 AND n_points >= 3
+        AND NOT (sr IS NULL AND fr >= 0.995 AND fg >= 0.995 AND fb >= 0.995 AND bx0 = 0 AND by0 = 0 AND bx1 = width AND by1 = height)
+      UNION ALL
+      SELECT prim_id, p.doc_id, p.page, s.dy, 'polyline', closed FROM v_prims p JOIN stack s USING (doc_id, page)
+      WHERE sr IS NOT NULL AND NOT (type = 'line' AND n_points = 2) AND type <> 'circle' AND n_points >= 2
+    ) JOIN (SELECT prim_id, seq, x, y FROM v_points) USING (prim_id)""",
+    ("stack", STACK.replace("$F", "1.2")),
+)
+
 # ---- filters and page rules --------------------------------------------------------------
 
 MICRO = "type = 'line' AND n_points = 2 AND sqrt((x1-x0)**2 + (y1-y0)**2) < 6"
@@ -666,8 +684,9 @@ oracle(
 )
 oracle(
     "heavy_pages",
-    """SELECT *, n_prims + n_texts AS objects, n_prims + n_texts >= 62 AS hint FROM counts WHERE n_prims + n_texts > 40
-      ORDER BY objects DESC, doc_id, page LIMIT 25""",
+    f"""SELECT counts.*, {r('peak_mb')} AS peak_mb, n_prims + n_texts AS objects, n_prims + n_texts >= 62 OR coalesce(peak_mb, 0) >= 4.0 AS hint
+      FROM counts LEFT JOIN (SELECT doc_id, page, sum(px_w * px_h) * 4 / 1048576.0E0 AS peak_mb FROM v_images GROUP BY 1, 2) USING (doc_id, page)
+      WHERE n_prims + n_texts > 40 ORDER BY objects DESC, doc_id, page LIMIT 25""",
     COUNTS,
 )
 oracle(

@@ -83,3 +83,40 @@ def solve_groups(
             yield lot()
 
     return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def scan_groups(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable[[], object],
+    step: Callable[[object, Columns], tuple[object, Columns]], schema: str,
+) -> DataFrame:
+    """Pass over the sorted rows of every group, a stretch at a time, with a state carried from one to the next.
+
+    For decisions that depend on all rows before.  A group may be larger than a task's memory: only its
+    state and one stretch are held.  ``step`` takes the state and the columns of a stretch of one group and
+    returns the new state and the result's columns.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    names = list(keys)
+    fields = [part.split()[0] for part in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_arrays(batch.columns, names=batch.schema.names)
+            columns = {c: _plain(table.column(c)) for c in table.column_names}
+            starts = group_starts(table, names)
+            out: list[Columns] = []
+            for lo, hi in zip(starts, [*starts[1:], table.num_rows], strict=True):
+                key = tuple(table.column(c)[int(lo)].as_py() for c in names)
+                if last is None or key != last[0]:
+                    last, state = (key,), start()
+                state, found = step(state, {c: x[lo:hi] for c, x in columns.items()})
+                out.append(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([np.asarray(x[f]) for x in out])) for f in fields], fields
+            )
+
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

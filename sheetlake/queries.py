@@ -93,6 +93,11 @@ def entity_table(c):
     return rounded(style_jobs.entity_table(c.prims(), c.pages()))
 
 
+@query
+def entity_points(c):
+    return rounded(style_jobs.entity_points(c.prims(), c.points(), c.pages()))
+
+
 @query
 def nearest_palette(c):
     return style_jobs.palette_use(c.prims())
@@ -280,7 +285,10 @@ def page_stack(c):
 @query
 def heavy_pages(c):
     counts = page_rules.page_counts(c.prims(), c.texts())
-    return page_rules.heavy_pages(counts, threshold=40, entity_hint=62, k=25)
+    # the peak of a page: its image placements' pixels, four bytes each
+    peaks = c.images().groupBy(*PAGE).agg((F.sum(F.col("px_w") * F.col("px_h")) * 4 / 1048576.0).alias("peak_mb"))
+    counts = counts.join(peaks, PAGE, "left")
+    return rounded(page_rules.heavy_pages(counts, threshold=40, entity_hint=62, k=25, peak_hint_mb=4.0))
 
 
 @query

@@ -61,9 +61,14 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     )
 
 
-def write_entities(entities: DataFrame, path: str) -> None:
-    """Entity rows as Parquet, one folder per layer."""
-    entities.write.mode("overwrite").partitionBy("layer").parquet(path)
+def write_entities(entities: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
+    """Entity rows as Parquet, one folder per layer, files of a bounded size.
+
+    Rows are dealt by layer, so that a layer has few files; adaptive execution splits a layer that holds a large share
+    over several tasks.
+    """
+    dealt = entities.hint("rebalance", F.col("layer"))
+    dealt.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("layer").parquet(path)
 
 
 # ---- files ------------------------------------------------------------------------------

@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pytest
 from sheetlake.operators import assemble, images, reports, text_jobs
 
 
@@ -25,18 +27,32 @@ def test_long_near_run_is_thinned_block_by_block(spark):
     assert sorted(map(tuple, got)) == want
 
 
-def test_alternating_sizes_take_one_round_a_block(spark, monkeypatch):
-    calls = []
-    cut = images.cut_lineage
-    monkeypatch.setattr(images, "cut_lineage", lambda df: calls.append(1) or cut(df))
-    sizes = [1 if k % 2 == 0 else 10_000 - k // 2 for k in range(10_000)]
-    df = spark.createDataFrame([(0, k, s) for k, s in enumerate(sizes)], "doc_id long, ord long, px long")
-    room, want = 20_000, {}
-    for k, s in enumerate(sizes):
-        want[k] = s <= room
-        room -= s if want[k] else 0
-    got = {r.ord: r.admitted for r in images.raster_budget_greedy(df, 20_000).collect()}
-    assert got == want and len(calls) <= 3
+@pytest.mark.parametrize("batch", [10_000, 700])
+def test_alternating_sizes_pass_in_one_scan(spark, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        sizes = [1 if k % 2 == 0 else 10_000 - k // 2 for k in range(10_000)]
+        df = spark.createDataFrame([(d, k, s) for k, s in enumerate(sizes) for d in (0, 1)], "doc_id long, ord long, px long")
+        room, want = 20_000, {}
+        for k, s in enumerate(sizes):
+            want[k] = s <= room
+            room -= s if want[k] else 0
+        rows = images.raster_budget_greedy(df, 20_000).collect()
+        assert len(rows) == 20_000
+        assert all({r.ord: r.admitted for r in rows if r.doc_id == d} == want for d in (0, 1))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_admit_equals_one_by_one():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        px, room = rng.integers(0, 12, rng.integers(0, 30)), int(rng.integers(0, 40))
+        fits, left, want = *images.admit(room, px), []
+        for x in px.tolist():
+            want.append(x <= room)
+            room -= x if want[-1] else 0
+        assert fits.tolist() == want and left == room
 
 
 def test_digest_does_not_depend_on_order_or_tasks(spark):
