@@ -1230,7 +1230,7 @@ oracle(
     *FACTS,
 )
 oracle(
-    "recognize_pages",
+    "recognize_page_totals",
     f"""SELECT doc_id, page, primary_type AS mode_used, coalesce(tb, 0) AS title_block, coalesce(dm, 0) AS dims, coalesce(lk, 0) AS linked FROM profile
     LEFT JOIN (SELECT b.doc_id, b.page, 1 AS tb FROM (SELECT doc_id, page, count(*) AS n, max(iy)+1 AS y1 FROM v_texts WHERE {tag('titleblock_like')} GROUP BY 1, 2) b JOIN v_pages p
       ON b.doc_id = p.doc_id AND b.page = p.page WHERE n >= 2 AND y1 < height*0.4) USING (doc_id, page)
@@ -1340,3 +1340,21 @@ oracle(
     "stream_pages",
     f"SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS position, count(*) FILTER (NOT ({MICRO.replace('< 6', '< 4.5')})) AS kept, count(*) FILTER ({MICRO.replace('< 6', '< 4.5')}) AS removed FROM v_prims GROUP BY 1, 2",
 )
+
+ORACLES["recognize_pages"] = f"""
+    WITH home AS (
+      SELECT prim_id, doc_id, page FROM ({v.duck(v.SEGMENTS)})
+      UNION ALL SELECT DISTINCT -prim_id - 1, CAST(floor(pg / 3) AS BIGINT), CAST(1 + pg % 3 AS BIGINT) FROM ({v.duck(v.ARCS)})
+    ), totals AS ({ORACLES["recognize_page_totals"]})
+    SELECT doc_id, page, 'profile' AS part, CAST(1 AS BIGINT) AS items, mode_used AS note FROM totals
+    UNION ALL SELECT doc_id, page, 'title_blocks', CAST(1 AS BIGINT), NULL FROM totals WHERE title_block = 1
+    UNION ALL SELECT doc_id, page, 'dimensions', dims, CAST(linked AS VARCHAR) FROM totals WHERE dims > 0
+    UNION ALL SELECT doc_id, page, 'circles', count(*), NULL FROM (
+      SELECT -prim_id - 1 AS prim_id FROM ({ORACLES["find_circles"]})) JOIN home USING (prim_id) GROUP BY 1, 2
+    UNION ALL SELECT doc_id, page, 'boundaries', count(*), NULL FROM ({ORACLES["boundaries"]}) JOIN home USING (prim_id) GROUP BY 1, 2
+    UNION ALL SELECT doc_id, page, 'patterns', count(*), NULL FROM ({ORACLES["repeated_patterns"]}) JOIN home USING (prim_id) GROUP BY 1, 2
+    UNION ALL SELECT doc_id, page, 'tables', count(*), NULL FROM (WITH v_prims AS ({VIEWS["v_prims"]}), {", ".join(
+      f"{n} AS ({q})" for n, q in [("boxes", f"SELECT doc_id, page, ord, bx0, by0, bx1, by1 FROM v_prims WHERE {LOOP} AND area < 50"), *box_steps(60.0)[1:]])}
+      SELECT doc_id, page, leader FROM owner GROUP BY 1, 2, 3 HAVING count(*) >= 2) GROUP BY 1, 2
+    UNION ALL SELECT doc_id, page, 'text_tags', count(*), NULL FROM ({v.duck(v.TEXTS)}) WHERE {" OR ".join(f"({tag(t)})" for t in tx.TAGS)} GROUP BY 1, 2
+"""

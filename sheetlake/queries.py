@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import ContentClass, RasterBudget
+from .config import ContentClass, RasterBudget, Recognition
 from .operators import (
     assemble, bom, clusters, delivery, fractions, images, page_rules, reports, rules, shapes,
     style_jobs, text_jobs,
@@ -813,13 +813,17 @@ def recognition_review(c):
     ).filter("note is not null")
 
 
-@query
-def recognize_pages(c):
-    """Totals per page over the parts of the composite plan that are keyed by page."""
-    parts = recognize.recognize_pages(
+def _recognized(c, cfg):
+    return recognize.recognize_pages(
         _all_prims(c), c.arcs().select((-F.col("prim_id") - 1).alias("prim_id"), "seq", "x", "y"),
-        _loop_facts(c), c.texts(), c.pages(),
+        _loop_facts(c), c.texts(), c.pages(), cfg,
     )
+
+
+@query
+def recognize_page_totals(c):
+    """Totals per page over the parts of the composite plan that are keyed by page."""
+    parts = _recognized(c, Recognition())
     profile = parts["profile"].select(*PAGE, "mode_used")
     blocks = parts["title_blocks"].select(*PAGE, F.lit(1).alias("title_block"))
     dims = parts["dimensions"].groupBy(*PAGE).agg(
@@ -830,6 +834,13 @@ def recognize_pages(c):
     )
 
 
+@query
+def recognize_pages(c):
+    """All eight parts of the composite plan: one row per page and part."""
+    cfg = Recognition(circle_fit_tol=0.25, table_gap=60.0, table_min_cells=2)
+    return recognize.part_rows(_recognized(c, cfg), _all_prims(c))
+
+
 # ---- streaming jobs over the whole table ------------------------------------------
 
 

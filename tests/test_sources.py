@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sheetlake.functions import sql
+from sheetlake.operators import style_jobs
 from sheetlake.plans.views import Corpus
 from sheetlake.sources import corpus as src
 
@@ -98,3 +99,36 @@ def test_sql_functions(spark):
     assert (row.s, row.r, row.c) == ("1:20", 'token = "<REDACTED>"', "build_warn")
     pages = spark.sql("SELECT page FROM selected_pages('5-3,4,9,x', 6)").collect()
     assert [r.page for r in pages] == [3, 4, 5]
+
+
+def test_entities_go_to_few_bounded_files_per_layer(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("id as prim_id", "if(id % 10 < 8, 'hot', concat('l', id % 10)) as layer")
+    src.write_entities(rows.repartition(7), str(tmp_path / "out"), rows_per_file=300)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 1000 and back.select("layer").distinct().count() == 3
+    files = back.groupBy(F.input_file_name().alias("f"), "layer").count().collect()
+    assert max(r["count"] for r in files) <= 300 and len(files) <= 3 * 4 * 3
+
+
+def test_entity_points_in_order(spark):
+    c = Corpus(spark, SF)
+    points = style_jobs.entity_points(c.prims(), c.points(), c.pages())
+    table = style_jobs.entity_table(c.prims(), c.pages())
+    of = {}
+    for r in points.collect():
+        of.setdefault((r.prim_id, r.kind), []).append((r.position, r.x, r.y, r.closed))
+    wanted = {}
+    for r in c.points().collect():
+        wanted.setdefault(r.prim_id, []).append((r.seq, r.x, r.y))
+    dy = {(r.doc_id, r.page): r.dy for r in style_jobs.page_stack(c.pages()).collect()}
+    drawn = 0
+    for e in table.collect():
+        got = sorted(of.get((e.prim_id, e.kind), []))
+        if e.kind == "line":
+            assert [p[1:3] for p in got] == [(e.x0, e.y0), (e.x1, e.y1)] and not got[0][3]
+        elif e.kind in ("polyline", "fill"):
+            shift = dy[e.doc_id, e.page]
+            assert [p[1:3] for p in got] == [(x, y + shift) for _, x, y in sorted(wanted.get(e.prim_id, []))]
+            assert [p[0] for p in got] == list(range(len(got))) and all(p[3] for p in got if e.kind == "fill")
+            drawn += len(got)
+    assert drawn > 50
