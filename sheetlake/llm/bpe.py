@@ -11,6 +11,7 @@ that ends so many bytes before the end of what was read can't change any more an
 from __future__ import annotations
 
 import codecs
+import hashlib
 import heapq
 import json
 import re
@@ -22,7 +23,6 @@ from itertools import chain, islice
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sheetlake.llm.tables import arrow_map
 
@@ -36,8 +36,8 @@ ASCII_PIECES = re.compile(
 )
 #: Characters looked at together while a text is cut; the last matches are cut again with what follows.
 CHUNK, UNSURE = 1 << 16, 3
-#: Encoded pieces that are remembered, and their greatest length in bytes.
-REMEMBERED, SHORT = 1 << 19, 48
+#: Bytes that remembered pieces may take, about what one takes besides its text, and the longest remembered.
+REMEMBERED, EACH, SHORT = 8 << 20, 240, 48
 #: Rank of a pair that is no merge.
 NEVER = (1 << 62, -1)
 #: Largest vocabulary file that is sent to the executors.
@@ -77,6 +77,12 @@ class ByteBPE:
             if self.specials else None
         )
         self.known: dict[str, bytes] = {}
+        self.taken = 0
+
+    def forget(self) -> None:
+        """Drop all remembered pieces."""
+        self.known.clear()
+        self.taken = 0
 
     def _lookahead(self) -> int:
         """The longest reach of a change to the left, in bytes."""
@@ -148,8 +154,9 @@ class ByteBPE:
                 return b"".join(map(pack, chain(transducer.feed(data), transducer.finish())))
             found = array("I", self.merged(data)).tobytes()
             if len(data) <= SHORT:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
+                self.taken += EACH + len(data) + len(found)
+                if self.taken > REMEMBERED:
+                    self.forget()
                 self.known[text] = found
         return found
 
@@ -254,6 +261,7 @@ def encode_texts(docs: DataFrame, vocab_path: str) -> DataFrame:
                 part = batch.slice(at, 256)
                 ids = [b"".join(bpe.encode(t.as_py() or "")) for t in part.column(1)]
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        bpe.forget()
 
     return arrow_map(docs.select("doc_id", "text"), encode, "doc_id long, ids binary")
 
@@ -286,11 +294,34 @@ def decode_ids(tokens: DataFrame, vocab_path: str) -> DataFrame:
 
 
 def digest_tokens(docs: DataFrame, vocab_path: str) -> DataFrame:
-    """Number and digest of each text's tokens, and the digest of the text they decode to."""
-    read = decode_ids(encode_texts(docs, vocab_path), vocab_path)
-    return read.select(
-        "doc_id",
-        (F.length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
-    )
+    """Number and digest of each text's tokens, and the digest of the text they decode to.
+
+    One pass: tokens go to the decoder and both digests as they come, so a text takes no memory but its
+    own.  Null text is empty; repeated rows and null doc_ids come back as they are; an empty table gives
+    no rows.
+    """
+    source = _vocabulary(docs, vocab_path)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _loaded(source.value)
+        for batch in batches:
+            rows: list[tuple[int, str, str]] = []
+            for text in batch.column(1):
+                machine, ids, said, n = Decoder(bpe), hashlib.sha256(), hashlib.sha256(), 0
+                for part in bpe.encode(text.as_py() or ""):
+                    ids.update(part)
+                    n += len(part) // 4
+                    view = memoryview(part).cast("I")
+                    for at in range(0, len(view), 8192):
+                        said.update(machine.feed(view[at : at + 8192]).encode())
+                said.update(machine.finish().encode())
+                rows.append((n, ids.hexdigest(), said.hexdigest()))
+            counts, shas, texts = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.record_batch(
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+        bpe.forget()
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return arrow_map(docs.select("doc_id", "text"), digest, schema)
