@@ -3,9 +3,12 @@
 import math
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sheetlake.operators import clusters, images
+from sheetlake.plans import groups
 
 
 def boxes(spark, seed, n, spread):
@@ -142,3 +145,70 @@ def test_greedy_budget(spark):
             fits = used + px <= 200
             assert got[d, i] == fits
             used += px if fits else 0
+
+
+@pytest.mark.parametrize("side", [4, 128])
+def test_components_over_tiles_equal_a_flood_fill(spark, side):
+    rng = random.Random(side)
+    cells = {(d, x, y) for d in range(3) for x in range(-9, 12) for y in range(-7, 9) if rng.random() < 0.45}
+    order = list(cells)
+    rng.shuffle(order)
+    number = {c: k for k, c in enumerate(order)}
+    df = spark.createDataFrame([(d, 1, x, y, number[d, x, y]) for d, x, y in cells], "doc_id long, page long, gx long, gy long, ord long")
+    got = {(r.doc_id, r.ord): r.label for r in clusters.component_labels(df, side).collect()}
+    left, want = set(cells), {}
+    while left:
+        todo, part = [left.pop()], []
+        while todo:
+            d, x, y = todo.pop()
+            part.append((d, x, y))
+            near = {(d, x + a, y + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+            left -= near
+            todo += near
+        for c in part:
+            want[c[0], number[c]] = min(number[p] for p in part)
+    assert got == want
+
+
+def test_angle_leaders_of_calm_and_crowded_pages_agree(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(d, 1, k, k, round(rng.uniform(0, 179.999), rng.choice([0, 1, 5])) % 180.0, 1.0) for k in range(400) for d in (k % 3,)]
+    segs = spark.createDataFrame(rows, "doc_id long, page long, prim_id long, ord long, angle double, len double")
+
+    def owners():
+        return sorted((r.doc_id, r.angle, r.leader, r.l_angle) for r in clusters.angle_owners(segs, 3.0).collect())
+
+    calm = owners()
+    want, leaders = {}, {}
+    for d, _, _, k, a, _ in sorted(rows, key=lambda r: r[3]):
+        near = [x for x in leaders.setdefault(d, []) if min(abs(x[1] - a), 180 - abs(x[1] - a)) < 3.0]
+        if not near and (d, a) not in want:
+            leaders[d].append((k, a))
+            near = [(k, a)]
+        if (d, a) not in want:
+            want[d, a] = near[0]
+    assert calm == sorted((d, a, k, b) for (d, a), (k, b) in want.items())
+    monkeypatch.setattr(clusters, "MOST_ANGLES", 20)
+    assert owners() == calm
+
+
+def test_groups_and_scans_over_small_batches(spark):
+    rows = [(None if k % 7 == 0 else k % 7, k, k * k % 11) for k in range(300)]
+    df = spark.createDataFrame(rows, "g long, k long, v long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        def ranked(cols):
+            return {"k": cols["k"], "n": np.arange(len(cols["k"])), "total": np.full(len(cols["k"]), cols["v"].sum())}
+
+        got = {r.k: (r.n, r.total) for r in groups.solve_groups(df, ["g"], ["k"], ranked, "k bigint, n bigint, total bigint").collect()}
+        scanned = groups.scan_groups(
+            df, ["g"], ["k"], lambda: 0, lambda s, c: (s + int(c["v"].sum()), {"k": c["k"], "t": s + np.cumsum(c["v"])}), "k bigint, t bigint"
+        )
+        sums = {r.k: r.t for r in scanned.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for g, k, _ in rows:
+        own = [(b, v) for a, b, v in rows if a == g]
+        assert got[k] == (sum(b < k for b, _ in own), sum(v for _, v in own))
+        assert sums[k] == sum(v for b, v in own if b <= k)
+    assert groups.solve_groups(df.limit(0), ["g"], ["k"], ranked, "k bigint, n bigint, total bigint").count() == 0
