@@ -36,8 +36,8 @@ ASCII_PIECES = re.compile(
 )
 #: Characters looked at together while a text is cut; the last matches are cut again with what follows.
 CHUNK, UNSURE = 1 << 16, 3
-#: Bytes that remembered pieces may take, about what one takes besides its text, and the longest remembered.
-REMEMBERED, EACH, SHORT = 8 << 20, 240, 48
+#: Bytes that remembered pieces may take in a worker, about what one takes besides its text, and the longest remembered.
+REMEMBERED, EACH, SHORT = 32 << 20, 90, 48
 #: Rank of a pair that is no merge.
 NEVER = (1 << 62, -1)
 #: Largest vocabulary file that is sent to the executors.
@@ -261,7 +261,6 @@ def encode_texts(docs: DataFrame, vocab_path: str) -> DataFrame:
                 part = batch.slice(at, 256)
                 ids = [b"".join(bpe.encode(t.as_py() or "")) for t in part.column(1)]
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-        bpe.forget()
 
     return arrow_map(docs.select("doc_id", "text"), encode, "doc_id long, ids binary")
 
@@ -321,7 +320,6 @@ def digest_tokens(docs: DataFrame, vocab_path: str) -> DataFrame:
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
-        bpe.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return arrow_map(docs.select("doc_id", "text"), digest, schema)

@@ -327,7 +327,8 @@ def test_html_words_of_outside_kinds_weigh_less():
     assert 0.25 <= w.word(div) < w.word(section) == w.word(root) == 1.0
 
 
-def test_bpe_remembers_few_bytes_and_forgets(ours, spark):
+def test_bpe_remembers_few_bytes_and_forgets(ours, spark, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 1 << 20)
     small = bpe.ByteBPE(open(PATH, encoding="utf-8").read())
     for k in range(60_000):
         small.piece(f" w{k}")
