@@ -1,10 +1,12 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
 Two sets of sizes m and n are similar enough only if they share ``needed(m, n)`` n-grams.  With all
-n-grams in one order, frequent ones last, such sets meet within the first ``head`` n-grams of each: this
-block of the matrix is multiplied first.  Counts of pairs that meet there are added up, pairs that can't
-reach the size-derived bound with all that is left are discarded, and the remaining blocks of the product
-are taken for the surviving pairs alone.
+n-grams in one order, by the number of sets that hold them and rarest first, such sets meet within the
+first ``head`` n-grams of each: this block of the matrix is multiplied first.  Passages that many
+documents share come last, so that they make no pairs.  A pair that meets at places where it can't share
+enough before and after is not written; counts of the others are added up, pairs that can't reach the
+size-derived bound with all that is left are discarded, and the remaining blocks of the product are taken
+for the surviving pairs alone.
 
 Only components are asked for, so the product is taken in rounds: first of every document with the most
 central document of each n-gram, then, once linked documents are one component, of what is left between
@@ -28,9 +30,12 @@ from sheetlake.llm.words import BLANKS, TextRun, byte_table, mix, ngrams, text_r
 SHINGLE = 5
 #: Least similarity, in hundredths.
 LEAST = 75
-#: n-grams put last in the order: the most frequent ones met OFTEN times or more within a bounded stretch
-#: of documents; at most HOT of them.  The list changes the work, not the result.
-HOT, OFTEN, STRETCH = 1 << 18, 3, 1 << 21
+#: n-grams a task folds before it hands them on, and about as many as are counted at once.
+STRETCH = 1 << 21
+#: Least number of parts, as a power of two, that n-grams are dealt to for counting.
+PARTS = 12
+#: n-grams in fewer sets than this are equal in the order.  It changes the work, not the result.
+OFTEN = 2
 #: Rounds with central documents: one, and up to MORE while the rest would make over SPARE rows a row.
 ROUNDS, MORE, SPARE = 1, 4, 32
 _TABLE = byte_table(BLANKS, lower=True)
@@ -70,33 +75,6 @@ def needed(m: Column, n: Column) -> Column:
     return F.ceil((m + n) * LEAST / (100 + LEAST))
 
 
-def frequent(docs: DataFrame) -> np.ndarray:
-    """Hashes of frequent n-grams, sorted."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {}, 0
-
-        def counted() -> pa.RecordBatch:
-            grams, n = np.unique(np.concatenate([*held.values(), np.zeros(0, U)]), return_counts=True)
-            often = n >= OFTEN
-            return pa.record_batch([pa.array(grams[often].view(np.int64)), pa.array(n[often])], names=["gram", "n"])
-
-        for run in text_runs(batches, _TABLE):
-            for grams in sets_of(run):
-                key = digest(grams)
-                if key not in held:
-                    held[key] = grams
-                    size += len(grams)
-            if size >= STRETCH:
-                yield counted()
-                held, size = {}, 0
-        yield counted()
-
-    met = arrow_map(docs.select("text"), emit, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    top = met.orderBy(F.desc("n"), "gram").limit(HOT).select("gram")
-    return np.sort(np.fromiter((r[0] for r in top.toLocalIterator()), np.int64))  # at most HOT
-
-
 def classes_of(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, cls, n): the set every row has; ``mark`` tells texts of one doc_id apart."""
 
@@ -113,40 +91,118 @@ def classes_of(docs: DataFrame) -> DataFrame:
     return arrow_map(marked, emit, "doc_id long, mark long, cls long, n int")
 
 
-def first_block(docs: DataFrame, hot, maybe=None) -> DataFrame:
-    """The first block of the matrix as rows (gram, cls, n, k); ``maybe``: a filter on n-grams.
+def sets_chosen(maybe, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.int64, np.ndarray]]:
+    """(cls, set) of the rows (text, key) whose key passes a bit filter; empty sets are passed over."""
+    for batch in batches:
+        on = may_hold(maybe.value, batch.column(1).to_numpy(zero_copy_only=False))
+        for run in text_runs([batch.filter(pa.array(on))], _TABLE):
+            for s in sets_of(run):
+                if len(s):
+                    yield digest(s), s
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(text, key): the key says which rows speak for a set."""
+    return docs.select("text", F.xxhash64("doc_id", F.xxhash64("text")).alias("key"))
+
+
+def _numbers(column: pa.Array, kind) -> np.ndarray:
+    """All numbers in a column of byte strings, one after the other."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind)
+
 
-    ``k``: how many of a set's own rows pass the filter, at least as many as it can share there.
+def _strings(numbers: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Numbers as byte strings that start at ``cuts``; the last cut is the end."""
+    offsets = (cuts * numbers.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(numbers)])
+
+
+def frequencies(docs: DataFrame, speaking, total: int) -> DataFrame:
+    """(gram, df) of the n-grams that more than one set holds; ``total``: about how many n-grams there are.
+
+    n-grams travel as sorted byte strings, a range of hashes each; ranges are as many as keep one small,
+    and a task counts one after the other as they come in order.
     """
+    shift = U(64 - max(PARTS, (max(total, 1) // STRETCH).bit_length()))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = hot.value
-        for run in text_runs(batches, _TABLE):
-            grams, classes, sizes, passed, seen = [], [], [], [], set()
-            for s in sets_of(run):
-                key = digest(s)
-                if not len(s) or key in seen:
-                    continue
-                seen.add(key)
-                own = s.view(np.int64)
-                if len(late):
-                    at = np.minimum(np.searchsorted(late, own), len(late) - 1)
-                    held = late[at] == own
-                    own = np.concatenate([own[~held], own[held]])
-                own = own[: head(len(s))]
-                if maybe is not None:
-                    own = own[may_hold(maybe.value, own)]
-                grams.append(own)
-                classes.append(np.full(len(own), key))
-                sizes.append(np.full(len(own), len(s), np.int32))
-                passed.append(np.full(len(own), len(own), np.int32))
-            if grams:
-                columns = (grams, classes, sizes, passed)
-                yield pa.record_batch(
-                    [pa.array(np.concatenate(c)) for c in columns], names=["gram", "cls", "n", "k"]
-                )
+        held, size = {}, 0
+
+        def folded() -> pa.RecordBatch:
+            grams, n = np.unique(np.concatenate([*held.values(), np.zeros(0, U)]), return_counts=True)
+            part = grams >> shift
+            first = np.flatnonzero(np.diff(part, prepend=~part[:1]))
+            cuts = np.append(first, len(grams))
+            return pa.record_batch(
+                [pa.array(part[first].view(np.int64)), _strings(grams, cuts), _strings(n.astype(np.uint32), cuts)],
+                names=["part", "grams", "n"],
+            )
+
+        for key, s in sets_chosen(speaking, batches):
+            if key not in held:
+                held[key] = s
+                size += len(s)
+            if size >= STRETCH:
+                yield folded()
+                held, size = {}, 0
+        if held:
+            yield folded()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shared(grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            order = np.argsort(grams)
+            grams, n = grams[order], n[order].astype(np.int64)
+            first = np.flatnonzero(np.diff(grams, prepend=~grams[:1]))
+            df = np.add.reduceat(n, first) if len(first) else n
+            often = df > 1
+            return pa.record_batch([pa.array(grams[first][often].view(np.int64)), pa.array(df[often])], names=["gram", "df"])
+
+        grams, n = np.zeros(0, U), np.zeros(0, np.uint32)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            grams = np.concatenate([grams, _numbers(batch.column(1), U)])
+            n = np.concatenate([n, _numbers(batch.column(2), np.uint32)])
+            open_ = grams >> shift == U(batch.column(0)[-1].as_py())  # the next batch may have more of this part
+            yield shared(grams[~open_], n[~open_])
+            grams, n = grams[open_], n[open_]
+        yield shared(grams, n)
+
+    parts = arrow_map(keyed(docs), emit, "part long, grams binary, n binary")
+    return arrow_map(parts.repartition("part").sortWithinPartitions("part"), count, "gram long, df long")
+
 
-    return arrow_map(docs.select("text"), emit, "gram long, cls long, n int, k int")
+def candidates(docs: DataFrame, speaking, maybe) -> DataFrame:
+    """Shared n-grams (gram, cls, n) of the sets whose first block may hold one; ``maybe``: a filter on n-grams."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> pa.RecordBatch:
+            n = [len(g) for g in grams]
+            return pa.record_batch(
+                [pa.array(np.concatenate(grams)), pa.array(np.repeat(np.array(classes, np.int64), n)),
+                 pa.array(np.repeat(np.array(sizes, np.int32), n))],
+                names=["gram", "cls", "n"],
+            )
+
+        grams, classes, sizes, held = [], [], [], 0
+        for key, s in sets_chosen(speaking, batches):
+            own = s.view(np.int64)
+            own = own[may_hold(maybe.value, own)]
+            if len(s) - len(own) >= head(len(s)):
+                continue  # n-grams that no other set holds come first and fill the block
+            grams.append(own)
+            classes.append(key)
+            sizes.append(len(s))
+            held += len(own)
+            if held >= STRETCH // 8:
+                yield rows()
+                grams, classes, sizes, held = [], [], [], 0
+        if grams:
+            yield rows()
+
+    return arrow_map(keyed(docs), emit, "gram long, cls long, n int")
 
 
 def least_met(m: Column, n: Column) -> Column:
@@ -154,42 +210,64 @@ def least_met(m: Column, n: Column) -> Column:
     return needed(m, n) - F.greatest(m - head(m), n - head(n))
 
 
-def shared_columns(docs: DataFrame) -> DataFrame:
+def first_block(docs: DataFrame, speakers: DataFrame, total: int) -> DataFrame:
+    """The first block of the matrix as rows (gram, cls, n, pos, k), without n-grams of one set alone.
+
+    ``pos``: place in the set, rarest n-gram first; ``k``: how many rows of the block the set has.
+    """
+    speaking = bit_filter(speakers.select("key"))
+    known = stored(frequencies(docs, speaking, total))
+    maybe = bit_filter(known.select(F.col("gram").alias("key")))
+    rank = F.when(F.col("df") >= OFTEN, F.col("df")).otherwise(0)
+    rows = candidates(docs, speaking, maybe).join(known, "gram").select("cls", "n", F.struct(rank.alias("df"), "gram").alias("own"))
+    sets = rows.groupBy("cls").agg(F.max("n").alias("n"), F.sort_array(F.collect_set("own")).alias("own"))
+    alone = F.col("n") - F.size("own")
+    sets = sets.select("cls", "n", "own", alone.alias("alone"), (head(F.col("n")) - alone).alias("k")).where("k > 0")
+    block = sets.select("cls", "n", "alone", "k", F.posexplode(F.slice("own", F.lit(1), F.col("k"))).alias("at", "gram"))
+    block = stored(block.select("gram.gram", "cls", "n", (F.col("alone") + F.col("at")).alias("pos"), "k"))
+    release(known)
+    for table in (speaking, maybe):
+        table.unpersist()
+    return block
+
+
+def shared_columns(docs: DataFrame, speakers: DataFrame, total: int) -> DataFrame:
     """Rows of the first block whose n-gram occurs there in more than one set.
 
     A row is left out when its set meets others in too few n-grams for any size its column holds; the
     bound is weakest for the smallest and for the largest size that is near enough.
     """
-    hot = docs.sparkSession.sparkContext.broadcast(frequent(docs))
-    met = first_block(docs, hot).groupBy("gram").agg(
+    block = first_block(docs, speakers, total)
+    shared = block.groupBy("gram").agg(
         F.min("cls").alias("low"), F.max("cls").alias("high"), F.min("n").alias("least"), F.max("n").alias("most")
-    )
-    shared = stored(met.where("low < high").select("gram", "least", "most"))
-    maybe = bit_filter(shared.select(F.col("gram").alias("key")))
+    ).where("low < high").select("gram", "least", "most")
     n = F.col("n")
     small = F.greatest("least", F.ceil(n * LEAST / 100)).cast("int")
     large = F.least("most", F.floor(n * 100 / LEAST)).cast("int")
     # rounding up may put a size between the two one below them
     enough = F.col("k") >= F.least(least_met(small, n), least_met(large, n)) - 1
-    rows = first_block(docs, hot, maybe).distinct().join(shared, "gram").where(enough)
-    rows = stored(rows.select("gram", "cls", "n", (F.col("k") / head(n)).alias("share")))
-    release(shared)
+    rows = block.join(shared, "gram").where(enough)
+    rows = stored(rows.select("gram", "cls", "n", "pos", (F.col("k") / head(n)).alias("share")))
+    release(block)
     return rows
 
 
 def speakers_of(classes: DataFrame) -> DataFrame:
     """(cls, key): the row that stands for each set, by a hash of its doc_id and text."""
-    return classes.groupBy("cls").agg(F.min(F.struct("doc_id", "mark")).alias("at")).select(
+    return classes.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "mark")).alias("at")).select(
         "cls", F.xxhash64("at.doc_id", "at.mark").alias("key")
     )
 
 
+def in_reach(m: Column, n: Column, i: Column, j: Column) -> Column:
+    """May similar sets of m and n share the n-gram at places i and j: enough of both before and after it."""
+    return F.least(i, j) + 1 + F.least(m - 1 - i, n - 1 - j) >= needed(m, n)
+
+
 def similar(docs: DataFrame, speakers: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (x, y) of sets that are similar enough, by the remaining blocks of the product."""
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
     maybe = bit_filter(wanted.join(speakers, "cls").select("key"))
-    rows = docs.select("text", F.xxhash64("doc_id", F.xxhash64("text")).alias("key"))
-
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             on = may_hold(maybe.value, batch.column(1).to_numpy(zero_copy_only=False))
@@ -197,7 +275,8 @@ def similar(docs: DataFrame, speakers: DataFrame, pairs: DataFrame) -> DataFrame
                 keys = pa.array([digest(s) for s in sets_of(run)], pa.int64())
                 yield pa.record_batch([keys, run.rows.column(0)], names=["cls", "text"])
 
-    texts = stored(arrow_map(rows, chosen, "cls long, text string"))
+    texts = stored(arrow_map(keyed(docs), chosen, "cls long, text string"))
+    maybe.unpersist()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,15 +300,16 @@ def similar(docs: DataFrame, speakers: DataFrame, pairs: DataFrame) -> DataFrame
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    """Distinct pairs with the smaller end first, if their sizes allow enough similarity."""
+    """Distinct pairs with the smaller end first, if their sizes and places allow enough similarity."""
     fits = 100 * F.least("nx", "ny") >= LEAST * F.greatest("nx", "ny")
+    fits = fits & in_reach(F.col("nx"), F.col("ny"), F.col("px"), F.col("py"))
     return pairs.where((F.col("a") != F.col("b")) & fits).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
 
 
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, root): components of the sets that are linked with another one."""
-    block = shared_columns(docs)
     speakers = stored(speakers_of(classes))
+    block = shared_columns(docs, speakers, classes.agg(F.sum("n")).first()[0] or 0)
     links = tested = roots = product = None
     for turn in range(MORE + 1):
         left = block.withColumns({"root": F.col("cls"), "apart": F.lit(True)})
@@ -250,24 +330,30 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         rest = turn == MORE or turn >= ROUNDS and (product is None or product <= SPARE * rows)
         if rest:
             # Of a column's components the largest needs no pairs within: every pair has an end apart from it.
-            met = left.select("gram", F.col("cls").alias("a"), F.col("n").alias("nx"), F.col("root").alias("ra"), "apart")
-            other = left.where("apart").select(
-                "gram", F.col("cls").alias("b"), F.col("n").alias("ny"), F.col("root").alias("rb")
+            met = left.select(
+                "gram", F.struct("cls", "n", "pos").alias("a"), F.col("root").alias("ra"), "apart"
+            )
+            other = left.where("apart").select("gram", F.struct("cls", "n", "pos").alias("b"), F.col("root").alias("rb"))
+            fits = 100 * F.least("a.n", "b.n") >= LEAST * F.greatest("a.n", "b.n")
+            fits = fits & in_reach(F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos"))
+            once = ~F.col("apart") | (F.col("a.cls") < F.col("b.cls"))
+            ends = met.join(other, "gram").where(once & (F.col("ra") != F.col("rb")) & fits).select(
+                F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")
             )
-            fits = 100 * F.least("nx", "ny") >= LEAST * F.greatest("nx", "ny")
-            once = ~F.col("apart") | (F.col("a") < F.col("b"))
-            counts = met.join(other, "gram").where(once & (F.col("ra") != F.col("rb")) & fits)
-            counts = counts.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "nx", "ny")
-            sizes = F.struct(F.least("nx", "ny").alias("nx"), F.greatest("nx", "ny").alias("ny"))
-            counts = counts.groupBy("x", "y", sizes.alias("s")).count().select("x", "y", "s.*", "count")
-            beyond = F.greatest(F.col("nx") - head(F.col("nx")), F.col("ny") - head(F.col("ny")))
+            counts = ends.groupBy("x.cls", "y.cls", F.col("x.n").alias("nx"), F.col("y.n").alias("ny")).agg(
+                F.count(F.lit(1)).alias("count"), F.max("x.pos").alias("px"), F.max("y.pos").alias("py")
+            ).toDF("x", "y", "nx", "ny", "count", "px", "py")
+            # what is shared beyond the last n-gram met comes after it in both sets
+            beyond = F.least(F.col("nx") - 1 - F.col("px"), F.col("ny") - 1 - F.col("py"))
             pairs = counts.where(F.col("count") + beyond >= needed(F.col("nx"), F.col("ny"))).select("x", "y")
         else:
             order = F.struct("share", "cls") if turn == 0 else F.struct(F.xxhash64("root", F.lit(turn)), "share", "cls")
-            middle = left.groupBy("gram").agg(F.max_by(F.struct("cls", "n", "root"), order).alias("mid"))
+            middle = left.groupBy("gram").agg(F.max_by(F.struct("cls", "n", "pos", "root"), order).alias("mid"))
             met = left.join(middle, "gram").where(F.col("root") != F.col("mid.root"))
-            pairs = _ordered(met.select(F.col("cls").alias("a"), F.col("n").alias("nx"), F.col("mid.cls").alias("b"),
-                                        F.col("mid.n").alias("ny"))).distinct()
+            pairs = _ordered(met.select(
+                F.col("cls").alias("a"), F.col("n").alias("nx"), F.col("pos").alias("px"),
+                F.col("mid.cls").alias("b"), F.col("mid.n").alias("ny"), F.col("mid.pos").alias("py"),
+            )).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = stored(pairs)
