@@ -19,8 +19,9 @@ SLOTS = 64
 def split_subpaths(ops: DataFrame, gap: float = 0.01, tol: float = 0.01) -> DataFrame:
     """Cut ordered path operators into subpaths and give every operator its points.
 
-    ``ops``: path_id, seq (dense), op (m l c re h), x0, y0 (null start: continue from the
-    current point), x1, y1, control points.  A subpath starts at a move, a rectangle, after a
+    ``ops``: path_id, seq (dense), op (m l c re qu h), x0, y0 (null start: continue from the
+    current point), x1, y1, control points.  A quadrilateral states its corners as start, first control
+    point, end and second control point.  A subpath starts at a move, a rectangle or quadrilateral, after a
     closing, or where a stated start lies more than ``gap`` from the current point.
     Adds sub_id, ``pts`` (array of x, y, i, island, near) and ``closes``.
     """
@@ -33,10 +34,10 @@ def split_subpaths(ops: DataFrame, gap: float = 0.01, tol: float = 0.01) -> Data
         }
     )
     draws = F.col("op").isin("l", "c")
-    fresh = F.col("_op").isNull() | F.col("_op").isin("h", "re")
+    fresh = F.col("_op").isNull() | F.col("_op").isin("h", "re", "qu")
     stated = draws & F.col("x0").isNotNull()
     jump = stated & ~fresh & (F.hypot(F.col("x0") - F.col("_px"), F.col("y0") - F.col("_py")) > gap)
-    starts = F.col("op").isin("m", "re") | (draws & fresh) | jump
+    starts = F.col("op").isin("m", "re", "qu") | (draws & fresh) | jump
     p0 = g.point(F.col("x0"), F.col("y0"))
     p3 = g.point(F.col("x1"), F.col("y1"))
     curve = g.bezier_flatten(
@@ -48,6 +49,8 @@ def split_subpaths(ops: DataFrame, gap: float = 0.01, tol: float = 0.01) -> Data
     body = (
         F.when(F.col("op") == "re", g.rect_loop(
             F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
+        .when(F.col("op") == "qu", g.quad_loop(
+            p0, g.point(F.col("c1x"), F.col("c1y")), p3, g.point(F.col("c2x"), F.col("c2y"))))
         .when(F.col("op") == "c", curve)
         .when(F.col("op").isin("m", "l"), F.array(p3))
     )
@@ -114,7 +117,7 @@ def split_subpaths(ops: DataFrame, gap: float = 0.01, tol: float = 0.01) -> Data
         "path_id",
         "seq",
         "sub_id",
-        F.col("op").isin("h", "re").alias("closes"),
+        F.col("op").isin("h", "re", "qu").alias("closes"),
         numbered.alias("pts"),
     )
 

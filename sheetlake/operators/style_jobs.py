@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import RasterBudget
 from ..functions import geometry as g
@@ -32,17 +33,28 @@ def page_matrix(pages: DataFrame) -> DataFrame:
     )
 
 
-def place_on_model(rows: DataFrame, pages: DataFrame, xs, ys, scale: float = 1.0) -> DataFrame:
-    """Rows with their points (column pairs ``xs``, ``ys``) mapped to model millimetres."""
-    placed = rows.join(page_matrix(pages).select(*PAGE, "m", "seen_h"), PAGE)
-    new = {}
+def place_on_model(
+    rows: DataFrame, pages: DataFrame, xs, ys, scale: float = 1.0, form: str = "matrix"
+) -> DataFrame:
+    """Rows with their points (column pairs ``xs``, ``ys``) mapped to model millimetres.
+
+    ``form``: ``matrix`` maps with the page's affine, ``rotation`` with its angle and raw size alone.
+    """
+    new, extra = {}, {"matrix": ["m", "seen_h"], "rotation": ["_w", "_h", "_rot"]}[form]
+    named = page_matrix(pages).withColumns({"_w": F.col("width"), "_h": F.col("height"), "_rot": F.col("rotation")})
+    placed = rows.join(named.select(*PAGE, *extra), PAGE)
     for x, y in zip(xs, ys, strict=True):
-        q = g.page_to_model(F.col(x), F.col(y), F.col("m"), F.col("seen_h"), scale=scale)
+        if form == "matrix":
+            q = g.page_to_model(F.col(x), F.col(y), F.col("m"), F.col("seen_h"), scale=scale)
+        else:
+            q = g.page_to_model_rot(F.col(x), F.col(y), F.col("_w"), F.col("_h"), F.col("_rot"), scale=scale)
         new[x], new[y] = q["x"], q["y"]
-    return placed.withColumns(new).drop("m", "seen_h")
+    return placed.withColumns(new).drop(*extra)
 
 
-def page_extents(prims: DataFrame, texts: DataFrame, pages: DataFrame, scale: float = 1.0) -> DataFrame:
+def page_extents(
+    prims: DataFrame, texts: DataFrame, pages: DataFrame, scale: float = 1.0, form: str = "matrix"
+) -> DataFrame:
     """Extents and counts per page in model millimetres.
 
     Page matrices turn by multiples of 90 degrees, so the extent of the mapped points is the
@@ -60,7 +72,7 @@ def page_extents(prims: DataFrame, texts: DataFrame, pages: DataFrame, scale: fl
         F.min("bx0").alias("x0"), F.min("by0").alias("y0"),
         F.max("bx1").alias("x1"), F.max("by1").alias("y1"),
     )
-    placed = place_on_model(per_page, pages, ["x0", "x1"], ["y0", "y1"], scale)
+    placed = place_on_model(per_page, pages, ["x0", "x1"], ["y0", "y1"], scale, form)
     return placed.select(
         *PAGE, "n_prims", "n_texts",
         F.least("x0", "x1").alias("min_x"), F.least("y0", "y1").alias("min_y"),
@@ -68,15 +80,90 @@ def page_extents(prims: DataFrame, texts: DataFrame, pages: DataFrame, scale: fl
     )
 
 
+# Columns of the corpus tables that are lengths (or hold nested ones) and areas; all others stay.
+LENGTHS = {
+    "primitives": ("x0", "y0", "x1", "y1", "cx", "cy", "radius", "bx0", "by0", "bx1", "by1", "line_width"),
+    "points": ("x", "y"),
+    "texts": ("ix", "iy", "font_size", "bx0", "by0", "bx1", "by1"),
+    "pages": ("width", "height"),
+    "images": ("a", "b", "c", "d", "e", "f"),
+}
+AREAS = {"primitives": ("area",)}
+
+
+def scaled(value: Column, kind: T.DataType, k: float) -> Column:
+    """A value with every number inside it, at any depth of arrays, structs and maps, times ``k``."""
+    if isinstance(kind, T.NumericType):
+        return value * F.lit(float(k))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: scaled(v, kind.elementType, k))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, v: scaled(v, kind.valueType, k))
+    if isinstance(kind, T.StructType):
+        parts = F.struct(*[scaled(value[f.name], f.dataType, k).alias(f.name) for f in kind.fields])
+        return F.when(value.isNotNull(), parts)
+    return value
+
+
 def uniform_scale(rows: DataFrame, factor: float, lengths=(), areas=()) -> DataFrame:
-    """Scale length columns by ``factor`` and area columns by its square."""
-    if factor <= 0:
+    """Scale length columns, nested ones too, by ``factor`` and area columns by its square.
+
+    Nulls stay null; a factor that is not positive is an error.
+    """
+    if not factor > 0:
         raise ValueError("scale factor must be positive")
-    new = {c: F.col(c) * factor for c in lengths}
-    new |= {c: F.col(c) * (factor * factor) for c in areas}
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    new = {c: scaled(F.col(c), kinds[c], factor) for c in lengths}
+    new |= {c: scaled(F.col(c), kinds[c], factor * factor) for c in areas}
     return rows.withColumns(new)
 
 
+def rescale_corpus(tables: dict[str, DataFrame], factor: float) -> dict[str, DataFrame]:
+    """The corpus tables with every length and area rescaled; one projection each, nothing moves."""
+    out = {}
+    for name, df in tables.items():
+        have = set(df.columns)
+        out[name] = uniform_scale(
+            df, factor, [c for c in LENGTHS[name] if c in have], [c for c in AREAS.get(name, ()) if c in have]
+        )
+    return out
+
+
+def paint_use(strokes: DataFrame, spans: DataFrame) -> DataFrame:
+    """Rows per document, kind and colour as it looks on white paper.
+
+    ``strokes``: doc_id, packed (24-bit integer), parts (grey, RGB or CMYK components), opacity (0 to 1).
+    ``spans``: doc_id, packed, alpha (0 to 255), flags (paint bits).  Raw paints are folded first, so the
+    colour rules run once per distinct paint.  Rows without a readable colour count under null channels.
+    """
+    none = F.lit(None)
+    lines = strokes.groupBy("doc_id", "packed", "parts", "opacity").agg(F.count(F.lit(1)).alias("n")).select(
+        "doc_id", F.lit("stroke").alias("kind"), "n",
+        st.composite_alpha(st.normalize_color(F.col("packed"), F.col("parts")), F.col("opacity")).alias("c"),
+    )
+    texts = spans.groupBy("doc_id", "packed", "alpha", "flags").agg(F.count(F.lit(1)).alias("n")).select(
+        "doc_id", F.lit("text").alias("kind"), "n",
+        st.composite_alpha(
+            st.normalize_color(F.col("packed"), none.cast("array<double>")), st.text_alpha(F.col("alpha"), F.col("flags"))
+        ).alias("c"),
+    )
+    return lines.unionByName(texts).groupBy(
+        "doc_id", "kind", *[st.byte(F.col("c")[k]).alias(k) for k in "rgb"]
+    ).agg(F.sum("n").alias("n"))
+
+
+def plain_linetypes(strokes: DataFrame) -> DataFrame:
+    """Strokes per document and plain line type (by number and size of dashes); no pattern is CONTINUOUS.
+
+    ``strokes``: doc_id, dash.  Patterns are folded before they are read.
+    """
+    folded = strokes.groupBy("doc_id", "dash").agg(F.count(F.lit(1)).alias("n"))
+    read = folded.withColumn("_dash", st.parse_dashes(F.col("dash"))["dash"])
+    return read.groupBy(
+        "doc_id", F.coalesce(st.linetype_simple(F.col("_dash")), F.lit("CONTINUOUS")).alias("linetype")
+    ).agg(F.sum("n").alias("n"))
+
+
 def style_profile(prims: DataFrame) -> DataFrame:
     """Length, segments and distinct colours per (doc, layer, line type, line weight).
 

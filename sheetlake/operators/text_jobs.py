@@ -12,9 +12,15 @@ from ..plans.scale import block_of, dense_position, spread_join
 PAGE = ["doc_id", "page"]
 
 
+def with_normalized(texts: DataFrame) -> DataFrame:
+    """Texts with ``normalized``, worked out where the column is absent or null."""
+    rule = tx.normalize_text(F.col("text"))
+    return texts.withColumn("normalized", F.coalesce("normalized", rule) if "normalized" in texts.columns else rule)
+
+
 def classify_text(texts: DataFrame) -> DataFrame:
     """Texts with their distinct tags."""
-    return texts.withColumn("tags", tx.text_tags(F.col("text"), F.col("normalized")))
+    return with_normalized(texts).withColumn("tags", tx.text_tags(F.col("text"), F.col("normalized")))
 
 
 def text_annotations(texts: DataFrame) -> DataFrame:
@@ -29,7 +35,7 @@ def text_annotations(texts: DataFrame) -> DataFrame:
     ext = tx.glyph_extent(
         F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0"), F.col("rotation")
     )
-    return texts.groupBy(*PAGE, "font_name").agg(
+    return with_normalized(texts).groupBy(*PAGE, "font_name").agg(
         F.count(F.lit(1)).alias("items"),
         F.sum(tx.text_width_units(t)).alias("width_units"),
         F.sum(size).alias("font_size"),

@@ -19,7 +19,7 @@ POINTS_SQL = (
 )
 OPS_SQL = """
 SELECT prim_id AS path_id, seq,
-  CASE l_linenumber WHEN 7 THEN 'h' WHEN 6 THEN 're' WHEN 4 THEN 'c' WHEN 1 THEN 'm' ELSE 'l' END AS op,
+  CASE l_linenumber WHEN 7 THEN 'h' WHEN 6 THEN CASE WHEN prim_id % 3 = 0 THEN 'qu' ELSE 're' END WHEN 4 THEN 'c' WHEN 1 THEN 'm' ELSE 'l' END AS op,
   CASE WHEN l_linenumber IN (2, 3, 5) AND l_returnflag = 'N' THEN NULL ELSE x END AS x0,
   CASE WHEN l_linenumber IN (2, 3, 5) AND l_returnflag = 'N' THEN NULL ELSE y END AS y0,
   CASE WHEN l_linenumber = 1 THEN x ELSE x + l_quantity END AS x1,
@@ -51,6 +51,9 @@ VIEWS = {
     "v_files": v.duck(v.FILES),
     "v_images": v.duck(v.IMAGES),
     "v_fractions": v.duck(v.FRACTIONS),
+    "v_paints": v.duck(v.PAINTS),
+    "v_spans": v.duck(v.SPANS),
+    "v_reports": v.duck(v.REPORTS),
 }
 
 
@@ -198,8 +201,8 @@ FROM (SELECT path_id, sub_id, closed, p, len(p) AS n FROM thin) WHERE n >= 2
 """,
     ("o1", """SELECT *, lag(op) OVER w AS po, lag(x1) OVER w AS px, lag(y1) OVER w AS py
        FROM v_ops WINDOW w AS (PARTITION BY path_id ORDER BY seq)"""),
-    ("o2", """SELECT *, po IS NULL OR po IN ('h', 're') AS fresh FROM o1"""),
-    ("o3", """SELECT *, op IN ('m', 're') OR (op IN ('l', 'c') AND (fresh OR (x0 IS NOT NULL AND
+    ("o2", """SELECT *, po IS NULL OR po IN ('h', 're', 'qu') AS fresh FROM o1"""),
+    ("o3", """SELECT *, op IN ('m', 're', 'qu') OR (op IN ('l', 'c') AND (fresh OR (x0 IS NOT NULL AND
        sqrt((x0 - px) * (x0 - px) + (y0 - py) * (y0 - py)) > 0.01))) AS brk
        FROM o2 WHERE NOT (op = 'h' AND fresh)"""),
     ("o4", """SELECT *, sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER (PARTITION BY path_id ORDER BY seq) AS sub_id,
@@ -207,13 +210,14 @@ FROM (SELECT path_id, sub_id, closed, p, len(p) AS n FROM thin) WHERE n >= 2
          WHEN 'l' THEN CASE WHEN brk AND x0 IS NOT NULL THEN [{'x': x0, 'y': y0}, {'x': x1, 'y': y1}]
                        ELSE [{'x': x1, 'y': y1}] END
          WHEN 're' THEN [{'x': x0, 'y': y0}, {'x': x1, 'y': y0}, {'x': x1, 'y': y1}, {'x': x0, 'y': y1}, {'x': x0, 'y': y0}]
+         WHEN 'qu' THEN [{'x': x0, 'y': y0}, {'x': c1x, 'y': c1y}, {'x': x1, 'y': y1}, {'x': c2x, 'y': c2y}, {'x': x0, 'y': y0}]
          WHEN 'c' THEN list_concat(CASE WHEN brk THEN [{'x': x0, 'y': y0}] ELSE [] END,
            list_transform(range(1, ns + 1), lambda i: {
              'x': (1-i/ns)**3*x0 + 3*(1-i/ns)**2*(i/ns)*c1x + 3*(1-i/ns)*(i/ns)**2*c2x + (i/ns)**3*x1,
              'y': (1-i/ns)**3*y0 + 3*(1-i/ns)**2*(i/ns)*c1y + 3*(1-i/ns)*(i/ns)**2*c2y + (i/ns)**3*y1}))
        END AS pts
        FROM (SELECT *, greatest(4, least(32, CAST(ceil(sqrt((x1-x0)**2 + (y1-y0)**2) / 0.5) AS BIGINT))) AS ns FROM o3)"""),
-    ("subs", """SELECT path_id, sub_id, bool_or(op IN ('h', 're')) AS closed,
+    ("subs", """SELECT path_id, sub_id, bool_or(op IN ('h', 're', 'qu')) AS closed,
        flatten(list(pts ORDER BY seq) FILTER (pts IS NOT NULL)) AS p FROM o4 GROUP BY ALL"""),
     ("thin", """SELECT path_id, sub_id, closed, list_reduce(list_transform(p, lambda q: [q]),
        lambda a, b: CASE WHEN sqrt((a[-1].x - b[1].x)**2 + (a[-1].y - b[1].y)**2) > 0.01
@@ -283,6 +287,18 @@ def arc_steps(drop: bool) -> list[tuple[str, str]]:
     return [(n, s.replace("$DROP", str(drop).lower())) for n, s in ARC_STEPS]
 
 
+ORACLES["place_on_model_rotation"] = ORACLES["place_on_model"]
+BOX = "(bx1 - bx0) * 2.5 AS w, (by1 - by0) * 2.5 AS h"
+oracle(
+    "uniform_scale",
+    f"""SELECT kind, id, {", ".join(f"{r(c)} AS {c}" for c in ("x", "y", "w", "h", "size", "area"))} FROM (
+      SELECT 'primitive' AS kind, prim_id AS id, bx0 * 2.5 AS x, by0 * 2.5 AS y, {BOX}, line_width * 2.5 AS size, area * 6.25 AS area FROM v_prims
+      UNION ALL SELECT 'text', text_id, ix * 2.5, iy * 2.5, {BOX}, font_size * 2.5, NULL FROM v_texts
+      UNION ALL SELECT 'image', ord, e * 2.5, f * 2.5, a * 2.5, d * 2.5, NULL, NULL FROM v_images
+      UNION ALL SELECT 'page', pg, NULL, NULL, width * 2.5, height * 2.5, NULL, NULL FROM v_pages
+      UNION ALL SELECT 'point', prim_id, x * 2.5, y * 2.5, NULL, NULL, NULL, NULL FROM v_points)""",
+)
+
 oracle(
     "run_shape",
     f"""SELECT prim_id, n, {r('length', 3)} AS length, {r('max_turn', 3)} AS max_turn, turns, bends,
@@ -368,6 +384,40 @@ oracle(
     FROM v_prims LEFT JOIN dashes USING (dash) GROUP BY 1, 2, 3, 4""",
     *DASH_STEPS,
 )
+def shown(ch: str, a: str) -> str:
+    """A channel on white paper as a byte."""
+    return byte(f"(CASE WHEN {a} IS NULL OR isnan({a}) OR {a} >= 1 THEN {ch} ELSE least(1, greatest(0, greatest({a}, 0) * {ch} + (1 - greatest({a}, 0)))) END)")
+
+
+def packed(shift: int) -> str:
+    return f"CAST((packed >> {shift}) & 255 AS DOUBLE) / 255"
+
+
+def unit(e: str) -> str:
+    return f"least(1.0, greatest(0.0, {e}))"
+
+
+oracle(
+    "paint_use",
+    f"""SELECT doc_id, 'stroke' AS kind, {', '.join(f"{shown('c' + k, 'opacity')} AS {k}" for k in 'rgb')}, count(*) AS n FROM raw GROUP BY ALL
+      UNION ALL SELECT doc_id, 'text', {', '.join(f"{shown(packed(s), 'CASE WHEN flags IS NULL OR flags & 48 <> 0 THEN alpha / 255.0::DOUBLE END')} AS {k}" for s, k in ((16, 'r'), (8, 'g'), (0, 'b')))},
+        count(*) FROM v_spans GROUP BY ALL""",
+    ("raw", f"SELECT doc_id, opacity, " + ", ".join(
+        f"""CASE WHEN packed >= 0 THEN {packed(s)} WHEN packed < 0 THEN NULL WHEN n_parts = 1 THEN {unit('p1')}
+          WHEN n_parts = 3 THEN {unit(p)} WHEN n_parts = 4 THEN (1 - {unit(p)}) * (1 - {unit('p4')}) END AS c{k}"""
+        for k, p, s in (("r", "p1", 16), ("g", "p2", 8), ("b", "p3", 0))) + " FROM v_paints"),
+)
+oracle(
+    "plain_linetypes",
+    """SELECT doc_id, CASE WHEN n = 0 OR tot < 0.01 THEN 'CONTINUOUS' WHEN n = 1 THEN 'DASHED'
+        WHEN n = 2 THEN CASE WHEN m[1] < 0.01 THEN 'DOTTED' WHEN m[2] > m[1] * 2 THEN 'DASHED' ELSE 'CENTER' END
+        WHEN n = 4 THEN CASE WHEN m[3] < 0.05 THEN 'DASHDOT' ELSE 'CENTER' END
+        WHEN n >= 6 THEN CASE WHEN len(list_filter(m, lambda q: q < 0.05)) >= 2 THEN 'DASHDOTDOT' ELSE 'PHANTOM' END
+        ELSE 'DASHED' END AS linetype, count(*) AS n
+      FROM (SELECT doc_id, m, len(m) AS n, coalesce(list_sum(m), 0) AS tot FROM (
+        SELECT doc_id, list_transform(list_filter(string_split(regexp_extract(dash, '\\[([^\\]]*)\\]', 1), ' '), lambda w: w <> ''), lambda w: abs(CAST(w AS DOUBLE))) AS m
+        FROM v_paints)) GROUP BY 1, 2""",
+)
 oracle(
     "image_screen",
     f"""SELECT doc_id, page, placements, skewed, CASE WHEN z*72 + 1e-9 >= 36 THEN {r('z * 72')} END AS dpi FROM (
@@ -748,6 +798,19 @@ oracle(
     """SELECT event_id, 'import_report/1.1' AS schema, 'auto' AS mode, CAST(0 AS BIGINT) AS text_entities, 'unknown' AS status, false AS fallback_used,
       CAST(NULL AS VARCHAR) AS fallback_reason, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, CAST(NULL AS VARCHAR) AS corrupt FROM events""",
 )
+REP = "CASE WHEN json_valid(report) THEN json_extract_string(report, '$P') END"
+oracle(
+    "read_run_reports",
+    "SELECT cell_id, " + ", ".join(
+        f"coalesce(TRY_CAST({REP.replace('$P', p)} AS {kind}), {default}) AS {name}"
+        for name, p, kind, default in (
+            ("schema", "$.schema", "VARCHAR", "'import_report/1.1'"), ("mode", "$.mode", "VARCHAR", "'auto'"),
+            ("text_entities", "$.result.text_entities", "BIGINT", "0"), ("status", "$.result.status", "VARCHAR", "'unknown'"),
+            ("fallback_used", "$.fallback.used", "BOOLEAN", "false"), ("fallback_reason", "$.fallback.reason", "VARCHAR", "NULL"),
+            ("k", "$.k", "BIGINT", "0"),
+        )
+    ) + ", CASE WHEN NOT json_valid(report) THEN report END AS corrupt FROM v_reports",
+)
 oracle(
     "write_reports",
     """SELECT event_id, 'performance.elapsed_ms' AS path FROM events WHERE event_id % 97 = 0

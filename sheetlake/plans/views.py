@@ -250,6 +250,44 @@ WHERE role IN (0, 1) OR (role = 2 AND p_partkey % 5 > 0) OR (role = 3 AND p_part
    OR (role = 4 AND p_partkey % 11 = 0 AND p_partkey % 5 > 0)
 """
 
+PAINTS = """
+SELECT CAST(floor(o_custkey / 15) AS BIGINT) AS doc_id, o_orderkey AS prim_id,
+       CASE o_orderkey % 5 WHEN 0 THEN (o_orderkey * 7919) % 16777216 WHEN 1 THEN CAST(-1 AS BIGINT) END AS packed,
+       CASE o_orderkey % 5 WHEN 2 THEN 1 WHEN 3 THEN 3 WHEN 4 THEN 4 ELSE 0 END AS n_parts,
+       CAST(o_custkey % 11 - 1 AS DOUBLE) / 8 AS p1, CAST(o_custkey % 7 AS DOUBLE) / 8 AS p2,
+       CAST(o_custkey % 5 AS DOUBLE) / 4 AS p3, CAST(o_custkey % 9 AS DOUBLE) / 16 AS p4,
+       CASE o_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 1.0E0 WHEN 2 THEN 0.5E0 WHEN 3 THEN -0.25E0
+            WHEN 4 THEN 0.25E0 ELSE CAST('NaN' AS DOUBLE) END AS opacity,
+       CASE o_custkey % 10 WHEN 0 THEN '[6 3] 0' WHEN 1 THEN '[0.001 2] 0' WHEN 2 THEN '[ 3 ] 1'
+            WHEN 3 THEN '[6 1 0.02 1] 0' WHEN 4 THEN '[6 1 1 1] 0' WHEN 5 THEN '[6 1 0.01 1 0.01 1] 0'
+            WHEN 6 THEN '[6 1 2 1 2 1] 0' WHEN 7 THEN '[] 0' WHEN 8 THEN '[1 5] 2' ELSE '[1 2 3] 0' END AS dash
+FROM {orders}
+"""
+
+SPANS = """
+SELECT CAST(floor(p_partkey / 18) AS BIGINT) AS doc_id, (p_partkey * 104729) % 16777216 AS packed,
+       CASE p_partkey % 4 WHEN 0 THEN 255 WHEN 1 THEN 128 WHEN 2 THEN 0 END AS alpha,
+       CASE p_partkey % 3 WHEN 0 THEN 16 WHEN 1 THEN 4 END AS flags
+FROM {part}
+"""
+
+# Angle brackets stand for the braces of JSON, which the SQL above reads as table names.
+REPORTS = """
+SELECT cell_id, translate(report, '<>', concat(chr(123), chr(125))) AS report FROM (
+  SELECT cell_id, CASE cell_id % 13
+    WHEN 0 THEN '<"mode": "vector", "result": <"text_ent'
+    WHEN 1 THEN '<>'
+    WHEN 2 THEN CAST(NULL AS VARCHAR(9))
+    ELSE concat('<"mode": "', requested_representation, '"',
+      CASE WHEN cell_id % 4 = 0 THEN '' ELSE concat(', "schema": "import_report/1.', CAST(cell_id % 3 AS VARCHAR(9)), '"') END,
+      CASE WHEN cell_id % 7 = 0 THEN '' ELSE concat(', "result": <"text_entities": ', CAST(entities AS VARCHAR(20)),
+        CASE WHEN cell_id % 2 = 0 THEN concat(', "status": "', structural_status, '"') ELSE '' END, '>') END,
+      CASE WHEN cell_id % 5 = 0 THEN '' ELSE concat(', "fallback": <"used": ', CASE WHEN crashed THEN 'true, "reason": "crash"'
+        ELSE 'false' END, '>') END, ', "k": ', CAST(cell_id % 17 AS VARCHAR(9)), '>') END AS report
+  FROM (""" + OUTCOMES + """) o
+) j
+"""
+
 SPARK_SERIES = {
     "arc_series": "explode(sequence(0, 69)) AS k",
     "role_series": "explode(sequence(0, 4)) AS role",
@@ -351,6 +389,21 @@ class Corpus:
     def fractions(self) -> DataFrame:
         return self._sql(FRACTIONS)
 
+    def strokes(self) -> DataFrame:
+        """Raw paints of primitives: packed colours or components, opacity, dash pattern."""
+        raw = self._sql(PAINTS)
+        parts = F.slice(F.array("p1", "p2", "p3", "p4"), F.lit(1), F.col("n_parts"))
+        return raw.select(
+            "doc_id", "prim_id", "packed", F.when(F.col("n_parts") > 0, parts).alias("parts"), "opacity", "dash"
+        )
+
+    def spans(self) -> DataFrame:
+        return self._sql(SPANS)
+
+    def reports(self) -> DataFrame:
+        """Run reports as JSON: whole, with blocks left out, cut off, and absent ones."""
+        return self._sql(REPORTS)
+
     def path_ops(self) -> DataFrame:
         """Path operators of every order: lines, curves, rectangles, closings."""
         n = F.col("l_linenumber")
@@ -358,7 +411,7 @@ class Corpus:
         return self.points().select(
             F.col("prim_id").alias("path_id"),
             "seq",
-            F.when(n == 7, "h").when(n == 6, "re").when(n == 4, "c").when(n == 1, "m")
+            F.when(n == 7, "h").when((n == 6) & (F.col("prim_id") % 3 == 0), "qu").when(n == 6, "re").when(n == 4, "c").when(n == 1, "m")
             .otherwise("l").alias("op"),
             F.when((n.isin(2, 3, 5)) & joined, F.lit(None)).otherwise(F.col("x")).alias("x0"),
             F.when((n.isin(2, 3, 5)) & joined, F.lit(None)).otherwise(F.col("y")).alias("y0"),

@@ -58,6 +58,42 @@ def place_on_model(c):
     return rounded(style_jobs.page_extents(c.prims(), c.texts(), c.pages(), scale=2.0))
 
 
+@query
+def place_on_model_rotation(c):
+    """The same extents from page rotations instead of page matrices."""
+    return rounded(style_jobs.page_extents(c.prims(), c.texts(), c.pages(), scale=2.0, form="rotation"))
+
+
+@query
+def uniform_scale(c):
+    """Every box, point and size of the corpus at 2.5 times its size."""
+    t = style_jobs.rescale_corpus(
+        {"primitives": c.prims(), "points": c.points(), "texts": c.texts(), "images": c.images(), "pages": c.pages()}, 2.5
+    )
+    none = F.lit(None).cast("double")
+
+    def boxes(kind, df, key, x, y, w, h, size=none, area=none):
+        cols = {"x": x, "y": y, "w": w, "h": h, "size": size, "area": area}
+        return df.select(F.lit(kind).alias("kind"), key.alias("id"), *[v.alias(n) for n, v in cols.items()])
+
+    box = [F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0")]
+    rows = boxes("primitive", t["primitives"], F.col("prim_id"), F.col("bx0"), F.col("by0"), *box, F.col("line_width"), F.col("area"))
+    rows = rows.unionByName(boxes("text", t["texts"], F.col("text_id"), F.col("ix"), F.col("iy"), *box, F.col("font_size")))
+    rows = rows.unionByName(boxes("image", t["images"], F.col("ord"), F.col("e"), F.col("f"), F.col("a"), F.col("d")))
+    rows = rows.unionByName(boxes("page", t["pages"], F.col("pg"), none, none, F.col("width"), F.col("height")))
+    return rounded(rows.unionByName(boxes("point", t["points"], F.col("prim_id"), F.col("x"), F.col("y"), none, none)))
+
+
+@query
+def paint_use(c):
+    return style_jobs.paint_use(c.strokes(), c.spans())
+
+
+@query
+def plain_linetypes(c):
+    return style_jobs.plain_linetypes(c.strokes())
+
+
 @query
 def run_shape(c):
     return rounded(shapes.run_shape(c.arcs()), 3)
@@ -75,7 +111,7 @@ def image_screen(c):
 
 @query
 def text_annotations(c):
-    return rounded(text_jobs.text_annotations(c.texts()))
+    return rounded(text_jobs.text_annotations(c.texts().drop("normalized")))
 
 
 @query
@@ -356,6 +392,11 @@ def read_reports(c):
     return sources.parse_reports(c.table("events").select("event_id", "props"), "props")
 
 
+@query
+def read_run_reports(c):
+    return sources.parse_reports(c.reports(), "report")
+
+
 @query
 def write_reports(c):
     e = c.table("events").withColumns(
