@@ -27,6 +27,9 @@ IMPERIAL_FRACTION = r"^\s*(\d+)\s*/\s*(\d+)\s*[\"″]?\s*$"
 IMPERIAL_PLAIN = r"^\s*(\d+(?:\.\d+)?)\s*[\"″]"
 RATIO = r"(\d+)\s*:\s*(\d+)"
 QTY_PAREN = r"^\s*\((\d+)\)"
+# Typographic marks and their plain forms; marks at the end of a number.
+TYPOGRAPHIC = ("‘’“”–—⁄", "''\"\"--/")
+TRAILING_MARKS = r"[\"']+$"
 QTY_PREFIX = r"^\s*(\d+)\s*[-xX]\s*(?:[Øø]|\d)"
 DATE_TOKEN = r"(?<!\d)\d{1,2}\s*[/\-]\s*\d{1,2}\s*[/\-]\s*\d{2,4}(?!\d)"
 CLOCK_TOKEN = (
@@ -149,7 +152,7 @@ def text_tags(text: Column, normalized: Column) -> Column:
 
 def parse_token(token: Column) -> Column:
     """``1 3/8``, ``3/8`` or ``1.25`` as a number; null for anything else or a zero divisor."""
-    s = F.regexp_replace(F.trim(token), r"[\"']+$", "")
+    s = F.regexp_replace(F.trim(token), TRAILING_MARKS, "")
     mixed = number(s, MIXED, 1) + F.try_divide(number(s, MIXED, 2), number(s, MIXED, 3))
     simple = F.try_divide(number(s, SIMPLE_FRACTION, 1), number(s, SIMPLE_FRACTION, 2))
     return F.coalesce(mixed, simple, number(s, DECIMAL))
@@ -157,7 +160,7 @@ def parse_token(token: Column) -> Column:
 
 def clean_dimension_text(text: Column) -> Column:
     """Typographic quotes and dashes to ASCII, ``DIA.`` to ``DIA``, blanks collapsed."""
-    s = F.translate(text, "‘’“”–—⁄", "''\"\"--/")
+    s = F.translate(text, *TYPOGRAPHIC)
     s = F.regexp_replace(s, r"(?i)DIA\.?", "DIA")
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 

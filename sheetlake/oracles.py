@@ -453,6 +453,12 @@ oracle(
           FROM (SELECT *, trim(text) AS q FROM d3)) GROUP BY 1, 2, 3""",
     *dimension_steps("v_texts", "text"),
 )
+oracle(
+    "dimension_sql",
+    f"""SELECT doc_id, kind, {ACTION} AS action, count(*) AS n, {r("sum(coalesce(value, CASE kind WHEN 'slot' THEN sl * 25.4 WHEN 'scale' THEN qd END))")} AS total,
+      {r("sum(CASE kind WHEN 'slot' THEN sw * 25.4 END)")} AS width, sum(qty) AS quantity FROM d3 GROUP BY 1, 2, 3""",
+    *dimension_steps("v_texts", "text"),
+)
 NAMES = r"(?im)(\b(?:api[_-]?key|token|secret|password|client[_-]?secret)\b\s*[:=]\s*)"
 masked = rep("text", NAMES + "\"([^\"']+)\"", '\\1"<REDACTED>"')
 masked = rep(masked, NAMES + "'([^\"']+)'", "\\1'<REDACTED>'")

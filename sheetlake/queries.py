@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import ContentClass, RasterBudget, Recognition
+from .functions import sql as sql_functions
 from .operators import (
     assemble, bom, clusters, delivery, fractions, images, page_rules, reports, rules, shapes,
     style_jobs, text_jobs,
@@ -119,6 +120,19 @@ def dimension_facts(c):
     return rounded(text_jobs.dimension_facts(c.texts()), 6)
 
 
+@query
+def dimension_sql(c):
+    """Dimensions by the SQL function: kinds and sums per document."""
+    sql_functions.register(c.spark)
+    rows = c.spark.sql(
+        """SELECT doc_id, d.kind AS kind, confidence_action(d.confidence) AS action, count(*) AS n,
+          sum(coalesce(d.value, d.length, d.ratio_den)) AS total, sum(d.width) AS width, sum(d.quantity) AS quantity
+        FROM (SELECT doc_id, parse_dimension(text) AS d FROM {texts}) GROUP BY ALL""",
+        texts=c.texts(),
+    )
+    return rounded(rows)
+
+
 @query
 def redaction_report(c):
     return text_jobs.redaction_report(c.table("documents"), 40, 20, 10)
