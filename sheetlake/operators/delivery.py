@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .reports import set_digest
+
 # Rungs tried for each requested representation, and entity type of each bucket.
 LADDERS = {
     "text": ("text", "glyphs", "geometry"),
@@ -285,14 +289,49 @@ def resume_summary(requested: DataFrame, ledger: DataFrame) -> DataFrame:
     )
 
 
-def provenance(deliveries: DataFrame, texts: DataFrame) -> DataFrame:
-    """One row per delivered entity of a text item: ids, boxes, modes, fallback reason."""
+def resume_identity(requested: DataFrame, ledger: DataFrame, options: list[str], refuse: bool = False) -> DataFrame:
+    """Per requested session: the digest of its options, and how it stands to the ledger.
+
+    ``requested``, ``ledger``: session, source_sha and the option columns.  Status: ``new`` (not in the ledger), ``same``,
+    ``source`` (other source bytes) or ``options``.  A session with several rows in the ledger must agree with all.
+    ``refuse``: a session that disagrees fails the job.
+    """
+    def identity(df: DataFrame) -> DataFrame:
+        return df.select("session", "source_sha", options_digest(options).alias("options_sha")).distinct()
+
+    have = identity(ledger).select(
+        "session", F.col("source_sha").alias("_source"), F.col("options_sha").alias("_options")
+    )
+    found = identity(requested).join(have, "session", "left").groupBy("session", "source_sha", "options_sha").agg(
+        F.count("_source").alias("_n"),
+        F.bool_or(F.col("source_sha") != F.col("_source")).alias("_s"),
+        F.bool_or(F.col("options_sha") != F.col("_options")).alias("_o"),
+    )
+    status = F.when(F.col("_n") == 0, "new").when(F.col("_s"), "source").when(F.col("_o"), "options").otherwise("same")
+    if refuse:
+        fail = F.raise_error(F.concat(F.lit("resume session "), F.col("session").cast("string"), F.lit(" uses different "), status))
+        status = F.when(F.col("_s") | F.col("_o"), fail.cast("string")).otherwise(status)
+    return found.select("session", "source_sha", "options_sha", status.alias("status"))
+
+
+def options_digest(options: list[str]) -> Column:
+    """SHA-256 of an options record as JSON with sorted keys; absent options count as null."""
+    record = F.to_json(F.struct(*[F.col(c) for c in sorted(options)]), {"ignoreNullFields": "false"})
+    return F.sha2(record, 256)
+
+
+def provenance(deliveries: DataFrame, texts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per delivered entity of a text item: ids, boxes, modes, fallback reason.
+
+    ``keys``: columns of ``texts`` that are put in front, such as the document.
+    """
     made = deliveries.filter("verified and handle is not null")
     t = texts.select(
         F.col("text_id").alias("source_id"), F.col("page").alias("text_page"),
-        "bx0", "by0", "bx1", "by1",
+        "bx0", "by0", "bx1", "by1", *[F.col(k).alias(f"_key_{k}") for k in keys],
     )
     return made.join(t, "source_id").select(
+        *[F.col(f"_key_{k}").alias(k) for k in keys],
         F.concat_ws(":", F.lit("text_span"), F.col("text_page").cast("string"),
                     F.col("source_id").cast("string"), F.lit("entity"), "handle").alias("object_id"),
         F.col("text_page").alias("page"), F.lit("text_span").alias("source_kind"),
@@ -304,6 +343,36 @@ def provenance(deliveries: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
+MANIFEST_SCHEMA = "source_provenance/1.0"
+OBJECT_FIELDS = ("page", "source_kind", "created_entity_type", "parent_handle", "selected_text_mode", "fallback_reason")
+
+
+def session_manifest(
+    objects: DataFrame, sources: DataFrame, name: str, version: str = "", build: str = ""
+) -> DataFrame:
+    """One row per import session: importer, source file, pages, and its provenance objects as counts and one digest.
+
+    ``objects``: session and the columns of ``provenance``; ``sources``: session, path, sha256, page_count (null or
+    below 1: unknown).  The digest combines the objects in any order, so no session is collected; sessions without
+    objects have zero counts and a null digest.
+    """
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in OBJECT_FIELDS]
+    lines = objects.select("session", F.col("object_id").alias("path"), F.sha2(F.concat_ws("|", *texts), 256).alias("sha256"))
+    digest = set_digest(lines, ["session"]).select("session", F.col("sha256").alias("objects_sha256"))
+    counts = provenance_manifest(objects, ["session"]).groupBy("session").agg(
+        F.sum("objects").alias("objects"), F.sum("fallbacks").alias("fallbacks"), F.count(F.lit(1)).alias("entity_types")
+    )
+    zero = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("objects", "fallbacks", "entity_types")}
+    return sources.join(counts.join(digest, "session"), "session", "left").select(
+        F.lit(MANIFEST_SCHEMA).alias("schema"), "session",
+        *[F.lit(v or None).cast("string").alias(c) for c, v in
+          (("importer_name", name), ("importer_version", version), ("importer_build", build))],
+        F.col("path").alias("source_path"), F.col("sha256").alias("source_sha256"),
+        F.when(F.col("page_count") > 0, F.col("page_count")).alias("page_count"),
+        *zero.values(), "objects_sha256",
+    )
+
+
 def provenance_manifest(objects: DataFrame, keys: list[str]) -> DataFrame:
     """Roll-up of provenance rows per session: objects, fallbacks, entity types."""
     return objects.groupBy(*keys, "created_entity_type").agg(

@@ -148,7 +148,7 @@ def paint_use(strokes: DataFrame, spans: DataFrame) -> DataFrame:
         ).alias("c"),
     )
     return lines.unionByName(texts).groupBy(
-        "doc_id", "kind", *[st.byte(F.col("c")[k]).alias(k) for k in "rgb"]
+        "doc_id", "kind", *[F.when(F.col("c").isNotNull(), st.byte(F.col("c")[k])).alias(k) for k in "rgb"]
     ).agg(F.sum("n").alias("n"))
 
 

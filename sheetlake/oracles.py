@@ -386,7 +386,7 @@ oracle(
 )
 def shown(ch: str, a: str) -> str:
     """A channel on white paper as a byte."""
-    return byte(f"(CASE WHEN {a} IS NULL OR isnan({a}) OR {a} >= 1 THEN {ch} ELSE least(1, greatest(0, greatest({a}, 0) * {ch} + (1 - greatest({a}, 0)))) END)")
+    return f"CASE WHEN {ch} IS NOT NULL THEN " + byte(f"(CASE WHEN {a} IS NULL OR isnan({a}) OR {a} >= 1 THEN {ch} ELSE least(1, greatest(0, greatest({a}, 0) * {ch} + (1 - greatest({a}, 0)))) END)") + " END"
 
 
 def packed(shift: int) -> str:
@@ -1195,6 +1195,26 @@ oracle(
         FROM (SELECT folder, sha256(concat(path, '=', sha256)) AS h FROM files)) GROUP BY 1""",
     FILES,
 )
+DIGEST = f"sha256(concat_ws(':', count(*), {', '.join(f'sum(w[{i}])' for i in range(1, 9))}, {', '.join(f'bit_xor(w[{i}])' for i in range(1, 9))}))"
+oracle(
+    "session_manifest",
+    """SELECT 'source_provenance/1.0' AS schema, f.file_no AS session, 'sheetlake' AS importer_name, '3' AS importer_version, CAST(NULL AS VARCHAR) AS importer_build,
+      f.path AS source_path, f.sha256 AS source_sha256, p.page_count, coalesce(n, 0) AS objects, coalesce(fb, 0) AS fallbacks, coalesce(kinds, 0) AS entity_types, objects_sha256
+    FROM files f LEFT JOIN (SELECT doc_id, count(*) AS page_count FROM v_pages GROUP BY 1) p ON p.doc_id = f.file_no LEFT JOIN tally t ON t.doc_id = f.file_no""",
+    FILES,
+    *LADDER,
+    ("made", f"""SELECT t.doc_id, t.page, requested, {BUCKET} AS bucket, s.handle, CASE WHEN fallback_used THEN {REASON} ELSE '' END AS reason,
+      concat_ws(':', 'text_span', t.page, s.source_id, 'entity', s.handle) AS object_id FROM sent s JOIN v_texts t ON s.source_id = t.text_id WHERE s.verified AND s.handle IS NOT NULL"""),
+    ("hashed", """SELECT *, sha256(concat(object_id, '=', sha256(concat_ws('|', CAST(page AS VARCHAR), 'text_span', bucket, handle, requested, reason)))) AS h FROM made"""),
+    ("tally", f"""SELECT doc_id, count(*) AS n, count(*) FILTER (reason <> '') AS fb, count(DISTINCT bucket) AS kinds, {DIGEST} AS objects_sha256
+      FROM (SELECT *, list_transform(range(8), lambda i: CAST(concat('0x', h[1 + 8 * i : 8 + 8 * i]) AS BIGINT)) AS w FROM hashed) GROUP BY 1"""),
+)
+OPTIONS = "{'effective_page_strategy': effective_page_strategy, 'has_item_transitions': has_item_transitions, 'native_peer_count': native_peer_count, 'requested_representation': requested_representation, 'requested_representation_status': requested_representation_status}"
+oracle(
+    "resume_identity",
+    f"""SELECT cell_id AS session, concat('s', cell_id) AS source_sha, sha256(CAST(to_json({OPTIONS}) AS VARCHAR)) AS options_sha,
+      CASE WHEN cell_id % 6 = 0 THEN 'new' WHEN cell_id % 15 = 0 THEN 'source' WHEN cell_id % 7 = 0 THEN 'options' ELSE 'same' END AS status FROM v_outcomes""",
+)
 HINT = f"coalesce({sq.replace('$E', ex('$T', tx.PLATE, 0))}, {designation(ex('$T', tx.MEMBER, 0))}, {sq.replace('$E', ex('$T', tx.ROW_PROFILE, 1))})"
 HEADS = ", ".join(lit(h) for h in tx.HEADER_LINES)
 BOM = [

@@ -588,6 +588,30 @@ def provenance(c):
     return delivery.provenance(_deliveries(c), c.texts())
 
 
+@query
+def session_manifest(c):
+    """One import session per document of the corpus: its file, its pages and the objects it delivered."""
+    objects = delivery.provenance(_deliveries(c), c.texts(), ["doc_id"]).withColumnRenamed("doc_id", "session")
+    pages = c.pages().groupBy("doc_id").agg(F.count(F.lit(1)).alias("page_count"))
+    files = sources.file_inventory(_files(c)).join(c.files().select("path", F.col("file_no").alias("session")), "path")
+    known = files.select("session", "path", "sha256").join(pages, F.col("session") == F.col("doc_id"), "left")
+    return delivery.session_manifest(objects, known, "sheetlake", "3", "")
+
+
+@query
+def resume_identity(c):
+    """Cells of the outcome table as sessions, against a ledger with other sources, other options and gaps."""
+    options = ["effective_page_strategy", "requested_representation", "native_peer_count", "has_item_transitions",
+               "requested_representation_status"]
+    want = c.outcomes().select(F.col("cell_id").alias("session"), F.concat(F.lit("s"), F.col("cell_id").cast("string")).alias("source_sha"), *options)
+    k = F.col("session")
+    ledger = want.filter(k % 6 != 0).withColumns({
+        "source_sha": F.when(k % 15 == 0, "other").otherwise(F.col("source_sha")),
+        "native_peer_count": F.when(k % 7 == 0, F.col("native_peer_count") + 1).otherwise(F.col("native_peer_count")),
+    })
+    return delivery.resume_identity(want, ledger, options)
+
+
 @query
 def counts_delta(c):
     e = c.events().withColumn("n", F.lit(1))

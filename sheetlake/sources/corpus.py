@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import re
+from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.rules import non_finite
+from ..plans.scale import cut_lineage
 
 _D, _L, _S, _B = T.DoubleType(), T.LongType(), T.StringType(), T.BooleanType()
 
@@ -87,28 +94,86 @@ SIZE_UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
 def read_files(spark: SparkSession, path: str, glob: str = "*.pdf", recursive: bool = False) -> DataFrame:
     """Files below ``path`` as (path, content), flat or recursive.
 
-    The scan leaves out files of length zero, so those come from the file listing.
+    The scan leaves out files of length zero, so those come from a listing of the folders by Spark's tasks.
     """
     full = (
         spark.read.format("binaryFile").option("pathGlobFilter", glob)
         .option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "content")
     )
-    none = spark.createDataFrame([(p,) for p in empty_files(spark, path, glob, recursive)], "path string")
+    none = list_files(spark, path, glob, recursive).filter("size = 0").select("path")
     return full.unionByName(none.withColumn("content", F.lit(b"")))
 
 
-def empty_files(spark: SparkSession, path: str, glob: str, recursive: bool) -> list[str]:
-    """Paths of matching files of length zero, from the file system's own listing."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    wanted = jvm.org.apache.hadoop.fs.GlobFilter(glob)
-    found, listing = [], fs.listFiles(root, recursive)
-    while listing.hasNext():
-        status = listing.next()
-        if status.getLen() == 0 and wanted.accept(status.getPath()):
-            found.append(status.getPath().toString())
-    return found
+LISTED = "path string, size long, folder boolean"
+
+
+def list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What lies in each folder of a batch, without what lies in its folders, some 10,000 entries a batch."""
+    for batch in batches:
+        for folder in batch.column("path").to_pylist():
+            scheme, _, rest = folder.partition(":")
+            if scheme == "file":
+                system, inside = pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+            else:
+                # the object store is the same under both names
+                uri = ("s3" if scheme in ("s3a", "s3n") else scheme) + ":" + rest
+                system, inside = pafs.FileSystem.from_uri(quote(uri, safe=":/@"))
+                inside = unquote(inside)
+            head = folder[: len(folder) - len(inside)] if folder.endswith(inside) else folder
+            infos = system.get_file_info(pafs.FileSelector(inside, recursive=False))
+            for k in range(0, len(infos), 10_000):
+                part = infos[k : k + 10_000]
+                yield pa.RecordBatch.from_pydict({
+                    "path": pa.array([head + e.path for e in part], pa.string()),
+                    "size": pa.array([e.size if e.is_file else None for e in part], pa.int64()),
+                    "folder": pa.array([e.type == pafs.FileType.Directory for e in part], pa.bool_()),
+                })
+
+
+def list_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = False) -> DataFrame:
+    """Files below ``path`` as (path, size), listed by tasks: one round per level of folders.
+
+    Names that start with ``_`` or ``.`` are left out, as Spark's readers do.  The driver only learns whether a
+    level has folders.  Each level is written before the next one reads it, so a folder is listed once.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    named = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    level = spark.createDataFrame([(named,)], "path string")
+    levels = []
+    while True:
+        name = F.substring_index("path", "/", -1)
+        found = cut_lineage(level.mapInArrow(list_folders, LISTED).filter(~name.rlike("^[_.]")))
+        levels.append(found.filter("not folder").select("path", "size"))
+        below = found.filter("folder").select("path")
+        if not recursive or below.isEmpty():
+            break
+        level = below.repartition(F.col("path"))
+    files = functools.reduce(DataFrame.unionByName, levels)
+    return files.filter(F.substring_index("path", "/", -1).rlike("^(?:" + glob_pattern(glob) + ")$"))
+
+
+def glob_pattern(glob: str) -> str:
+    """A file name glob as a regular expression: ``*``, ``?``, ``[...]``, ``{a,b}``."""
+    out, i, open_braces = [], 0, 0
+    while i < len(glob):
+        ch = glob[i]
+        end = glob.find("]", i + 2)
+        if ch == "[" and end > 0:
+            inner = glob[i + 1 : end].replace("\\", "\\\\")
+            out.append("[" + ("^" + inner[1:] if inner[0] in "^!" else inner) + "]")
+            i = end
+        elif ch == "{":
+            out.append("(?:")
+            open_braces += 1
+        elif ch == "}" and open_braces:
+            out.append(")")
+            open_braces -= 1
+        elif ch == "," and open_braces:
+            out.append("|")
+        else:
+            out.append({"*": ".*", "?": "."}.get(ch) or re.escape(ch))
+        i += 1
+    return "".join(out)
 
 
 def size_label(size: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sheetlake.functions import sql
+from sheetlake.functions import text as tx
 from sheetlake.operators import style_jobs
 from sheetlake.plans.views import Corpus
 from sheetlake.sources import corpus as src
@@ -43,6 +44,32 @@ def test_files(spark, tmp_path):
     assert sizes["c.pdf"] == (2000, "1.95 KB")
 
 
+def test_listing_by_tasks(spark, tmp_path):
+    for i in range(40):
+        folder = tmp_path / f"a {i % 4}" / f"b{i % 3}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"f{i}.pdf").write_bytes(b"x" * (i % 5))
+        (folder / f"_h{i}.pdf").write_bytes(b"")
+    (tmp_path / "top.PDF").write_bytes(b"")
+    deep = {r.path.removeprefix("file:"): r.size for r in src.list_files(spark, str(tmp_path), "*.pdf", True).collect()}
+    want = {str(p): p.stat().st_size for p in tmp_path.rglob("*.pdf") if p.name[0] != "_"}
+    assert deep == want and len(want) == 40
+    assert [r.path[-7:] for r in src.list_files(spark, str(tmp_path), "*.{PDF,txt}").collect()] == ["top.PDF"]
+    files = src.read_files(spark, str(tmp_path), recursive=True)
+    assert files.count() == 40 and files.filter("length(content) = 0").count() == 8
+    assert src.list_files(spark, str(tmp_path / "a 1"), "*", False).count() == 0
+
+
+@pytest.mark.parametrize(("glob", "yes", "no"), [
+    ("*.pdf", "a.pdf", "a.pdfx"), ("a?[0-9].{txt,md}", "ab3.md", "ab3.pdf"), ("[!x]*", "y1", "x1"), ("a+b", "a+b", "aab"),
+])
+def test_glob(glob, yes, no):
+    import re
+
+    pattern = src.glob_pattern(glob)
+    assert re.fullmatch(pattern, yes) and not re.fullmatch(pattern, no)
+
+
 def test_page_selection(spark):
     pages = spark.createDataFrame([(0, p) for p in range(1, 6)], "doc_id long, page long")
 
@@ -95,6 +122,11 @@ def test_sql_functions(spark):
         "SELECT classify_text('SCALE 1:50') AS tags, strip_temporal('9:10 PM 1:20') AS s, "
         "redact_secrets('token = \"abc\"') AS r, confidence_action(0.8) AS c"
     ).first()
+    texts = ['13/16" X 1 1/4" SLOT', "(2) Ø7/16 DIA.", "11'-6 1/2\"", "3 CM", '6 7/8"', "1:50", "3/0", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    df.createOrReplaceTempView("dimension_texts")
+    by_sql = {r.i: r.d for r in spark.sql("SELECT i, parse_dimension(t) AS d FROM dimension_texts").collect()}
+    assert by_sql == {r.i: r.dim for r in tx.with_dimension(df, F.col("t")).collect()}
     assert "scale_like" in row.tags and "titleblock_like" in row.tags
     assert (row.s, row.r, row.c) == ("1:20", 'token = "<REDACTED>"', "build_warn")
     pages = spark.sql("SELECT page FROM selected_pages('5-3,4,9,x', 6)").collect()
