@@ -47,23 +47,37 @@ def slot_of(key: Column, slots: int) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(slots)).cast("int")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """A column name that none of ``taken`` has, whatever their case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def assign_shards(rows: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> DataFrame:
     """``rows`` with ``slot`` and ``shard``; no shuffle, so a hot source or key can't pile up.
 
     Rows of equal keys, repeated ones too, share a shard; a null key is placed like an empty text.  An
-    empty table stays empty.  Columns of ``rows`` named slot or shard are replaced.
+    empty table stays empty.  Columns of ``rows`` named slot or shard are replaced, the key too if it is one of
+    them; all others, whatever their names, stay as they are.
     """
     table = lookup_table(shards, slots)
+    at, slot, shard = (free_name(n, rows.columns) for n in ("_at", "_slot", "_shard"))
     found = rows.sparkSession.createDataFrame(
-        [(i, shards[s]) for i, s in enumerate(table.tolist())], "_slot int, _shard string"
+        [(i, shards[s]) for i, s in enumerate(table.tolist())], f"{at} int, {shard} string"
     )
-    placed = rows.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), slots))
+    placed = rows.withColumn(slot, slot_of(F.col("`" + key.replace("`", "``") + "`"), slots)).drop("slot", "shard")
     # proven bound: the table has `slots` rows
-    out = placed.join(F.broadcast(found), F.col("slot") == F.col("_slot"), "left")
-    return out.withColumn("shard", F.col("_shard")).drop("_slot", "_shard")
+    out = placed.join(F.broadcast(found), F.col(slot) == F.col(at), "left")
+    kept = [F.col("`" + c.replace("`", "``") + "`") for c in placed.columns if c != slot]
+    return out.select(*kept, F.col(slot).alias("slot"), F.col(shard).alias("shard"))
 
 
 def write_shards(placed: DataFrame, path: str, files_per_shard: int = 8) -> None:
-    """Write rows placed by ``assign_shards`` as one folder per shard, each dealt over several files."""
-    dealt = placed.withColumn("_deal", F.pmod(F.col("slot"), F.lit(files_per_shard)))
-    dealt.repartition("shard", "_deal").drop("_deal").write.partitionBy("shard").parquet(path)
+    """Write rows placed by ``assign_shards`` as one folder per shard, each dealt over several files.
+
+    All columns are written.  An empty table writes no shard.
+    """
+    deal = F.pmod(F.col("slot"), F.lit(files_per_shard))
+    placed.repartition(F.col("shard"), deal).write.partitionBy("shard").parquet(path)

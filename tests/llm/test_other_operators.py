@@ -244,6 +244,40 @@ def test_lookup_table():
             sharding.lookup_table(*bad)
 
 
+def test_shard_columns_with_clashing_names(spark, tmp_path):
+    cols = ["a.b", "_slot", "_SHARD", "_at", "_deal", "Slot"]
+    rows = spark.createDataFrame([(i, i + 1, f"s{i}", i + 2, i + 3, i % 3) for i in range(50)], ["k", *cols[1:]]).withColumnRenamed("k", "a.b")
+    for key, of in (("a.b", 0), ("slot", 5)):
+        placed = sharding.assign_shards(rows, key, ["x", "y", "z"], 101)
+        assert placed.columns == [*cols[:5], "slot", "shard"]
+        table = sharding.lookup_table(["x", "y", "z"], 101)
+        got = {r[0]: tuple(r) for r in placed.collect()}
+        for i in range(50):
+            row = (i, i + 1, f"s{i}", i + 2, i + 3, i % 3)
+            slot = int(hashlib.sha256(str(row[of]).encode()).hexdigest()[:15], 16) % 101
+            assert got[i] == (*row[:5], slot, "xyz"[table[slot]])
+    sharding.write_shards(placed, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r["_deal"] for r in back.select("_deal").collect()) == list(range(3, 53))
+
+
+def test_lookup_table_by_whole_permutations():
+    names, slots = [f"n{i}" for i in range(7)], 211
+    orders = []
+    for name in names:
+        d = hashlib.sha256(name.encode()).digest()
+        start, step = int.from_bytes(d[:8], "big") % slots, int.from_bytes(d[8:16], "big") % (slots - 1) + 1
+        orders.append([(start + k * step) % slots for k in range(slots)])
+        assert sorted(orders[-1]) == list(range(slots))
+    owner = {}
+    while len(owner) < slots:
+        for shard, order in enumerate(orders):
+            free = [s for s in order if s not in owner]
+            if free:
+                owner[free[0]] = shard
+    assert sharding.lookup_table(names, slots).tolist() == [owner[s] for s in range(slots)]
+
+
 def test_sharding(spark, tmp_path):
     rows = spark.createDataFrame([(1, "x"), (1, "x"), (None, "y"), (2, None)], "k long, shard string")
     placed = sharding.assign_shards(rows, "k", ["a", "b"], 101)
