@@ -12,6 +12,7 @@ from ..config import ContentClass, RasterBudget
 from ..functions import geometry as g
 from ..functions import style as st
 from ..functions import text as tx
+from ..plans.scale import shuffled_join
 from .shapes import fit_residuals
 from .style_jobs import page_stack
 
@@ -151,9 +152,9 @@ def page_profile(
     ]
     if points is not None:
         loops = prims.filter((kind == "closed_loop") & (F.col("n_points") >= 8))
-        fits = fit_residuals(points.join(loops.select("prim_id"), "prim_id", "left_semi"))
+        fits = fit_residuals(shuffled_join(points, loops.select("prim_id"), "prim_id", "left_semi"))
         round_ones = fits.filter("rms < 0.5").select("prim_id")
-        parts.append(part(loops.join(round_ones, "prim_id", "left_semi"), circles=F.lit(1)))
+        parts.append(part(shuffled_join(loops, round_ones, "prim_id", "left_semi"), circles=F.lit(1)))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)

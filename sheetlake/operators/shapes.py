@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..config import ArcFit
 from ..functions import geometry as g
-from ..plans.scale import BLOCK, block_of, with_halo
+from ..plans.scale import BLOCK, block_of, shuffled_join, with_halo
 
 
 def with_facts(blocked: DataFrame, facts: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def with_facts(blocked: DataFrame, facts: DataFrame) -> DataFrame:
     """
     last = F.floor((F.col("n") - 1) / BLOCK).cast("long")
     copies = facts.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    return blocked.join(copies, ["prim_id", "_block"])
+    return shuffled_join(blocked, copies, ["prim_id", "_block"])
 
 
 def _det(a, b, c, d, e, f, p, q, r) -> Column:
@@ -192,8 +192,8 @@ def promote_arcs(
     promoted primitive: prim_id, type, cx, cy, r, start_deg, end_deg.
     """
     loose = variant == "loose"
-    p = points.join(prims, "prim_id", "left_semi")
-    facts = arc_facts(p, drop_closing=not loose).join(prims.select("prim_id", "closed"), "prim_id")
+    p = shuffled_join(points, prims, "prim_id", "left_semi")
+    facts = shuffled_join(arc_facts(p, drop_closing=not loose), prims.select("prim_id", "closed"), "prim_id")
     r, rms = F.col("r"), F.col("rms")
     arc = g.arc_angles(F.col("first_angle"), F.col("first_angle") + F.col("sweep"))
     if loose:
@@ -245,7 +245,7 @@ def find_circles(explicit: DataFrame, loops: DataFrame, points: DataFrame, tol:
 
     ``explicit``: prim_id, cx, cy, radius.  ``loops``: prim_id of closed loops.
     """
-    fits = fit_residuals(points.join(loops, "prim_id", "left_semi"))
+    fits = fit_residuals(shuffled_join(points, loops, "prim_id", "left_semi"))
     fitted = fits.filter((F.col("n") >= 6) & (F.col("rms") < tol)).select(
         "prim_id", "cx", "cy", F.col("r").alias("radius"), "rms", F.lit("fit").alias("origin")
     )

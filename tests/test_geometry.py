@@ -133,3 +133,19 @@ def test_one_path_larger_than_a_block(spark):
     row = assemble.assemble_primitives(ops).first()
     assert row.n_points == n - 1 and row.closed
     assert row.area == pytest.approx((n - 3) * 1000.0 / 2)
+
+
+def test_generated_points_are_never_broadcast(spark):
+    """Points made by a generator look as few as their source rows; none may pass the driver."""
+    source = spark.range(1, 40).selectExpr("id AS prim_id", "id % 3 = 0 AS closed")
+    pts = source.selectExpr("*", "explode(sequence(0L, 7L + prim_id % 5)) AS seq").selectExpr(
+        "*", "10 * cos(seq * 0.5) AS x", "10 * sin(seq * 0.5) AS y"
+    )
+    heads = pts.filter("seq = 0").select("prim_id", "closed")
+    for made in (
+        shapes.fit_residuals(pts), shapes.run_shape(pts), shapes.promote_arcs(heads, pts),
+        shapes.promote_arcs(heads, pts, variant="loose"),
+    ):
+        assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+    fits = shapes.fit_residuals(pts).collect()
+    assert len(fits) == 39 and all(r.rms < 1e-6 and r.r == pytest.approx(10) for r in fits)
