@@ -142,9 +142,11 @@ def test_generated_points_are_never_broadcast(spark):
         "*", "10 * cos(seq * 0.5) AS x", "10 * sin(seq * 0.5) AS y"
     )
     heads = pts.filter("seq = 0").select("prim_id", "closed")
+    given = heads.selectExpr("-prim_id AS prim_id", "1D AS cx", "1D AS cy", "5D AS radius")
     for made in (
         shapes.fit_residuals(pts), shapes.run_shape(pts), shapes.promote_arcs(heads, pts),
         shapes.promote_arcs(heads, pts, variant="loose"),
+        shapes.find_circles(given, heads.select("prim_id"), pts, 0.25),
     ):
         assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
     fits = shapes.fit_residuals(pts).collect()
