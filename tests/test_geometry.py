@@ -1,6 +1,7 @@
 """Fits, promotion, path assembly and fills on known shapes."""
 
 import math
+import random
 
 import pytest
 
@@ -151,3 +152,26 @@ def test_generated_points_are_never_broadcast(spark):
         assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
     fits = shapes.fit_residuals(pts).collect()
     assert len(fits) == 39 and all(r.rms < 1e-6 and r.r == pytest.approx(10) for r in fits)
+
+
+def test_only_points_near_others_become_rows(spark):
+    """Runs of near points that start in an earlier operator; everything else is folded where it is made."""
+    rng, rows, want = random.Random(5), [], {}
+    for path in range(12):
+        x = y = 0.0
+        kept = [(x, y)]
+        rows.append((path, 0, "m", x, y, x, y) + (None,) * 4)
+        for k in range(1, 40):
+            step = rng.choice((0.0, 0.004, 0.008, 0.015, 5.0)) if path % 3 else 5.0
+            x, y = x + step, y + (1.0 if step == 5.0 and k % 2 else 0.0)
+            rows.append((path, k, "l", None, None, x, y) + (None,) * 4)
+            if math.hypot(kept[-1][0] - x, kept[-1][1] - y) > 0.01:
+                kept.append((x, y))
+        rows.append((path, 40, "h") + (None,) * 8)
+        area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(kept, kept[1:] + kept[:1], strict=True))
+        want[path] = (len(kept), round(abs(area) / 2, 6))
+    ops = spark.createDataFrame(rows, OPS)
+    got = {r.path_id: (r.n_points, round(r.area, 6)) for r in assemble.assemble_primitives(ops).collect()}
+    assert got == want
+    pieces = assemble.split_subpaths(ops.filter("path_id % 3 = 0"))
+    assert pieces.count() == 4 and not pieces.filter("pts is not null").count()
