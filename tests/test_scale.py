@@ -64,3 +64,12 @@ def test_checkpoint_folder_is_the_named_one(spark, tmp_path):
     assert scale.cut_lineage(spark.range(3)).count() == 3
     assert sc.getCheckpointDir() is not None
     assert before is None or sc.getCheckpointDir() == before
+
+
+def test_dense_position_numbers_rows_once(spark):
+    """Run sizes are counted, not read off a second numbering of all rows."""
+    df = spark.createDataFrame([(k, v // 3, v) for k in range(3) for v in range(9)], "k long, b long, v long")
+    got = scale.dense_position(df, ["k"], ["v"], [F.col("b")])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") == 1
+    assert all(r.pos == r.v for r in got.collect())
