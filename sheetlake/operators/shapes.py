@@ -303,21 +303,24 @@ def visible_fill(points: DataFrame) -> DataFrame:
         .agg(F.max(F.abs("net")).alias("unbalanced"))
     )
     far = F.greatest(F.abs(F.col("x") - F.col("a.x")), F.abs(F.col("y") - F.col("a.y")))
-    anchored = with_facts(p, ends)
-    anchor = anchored.groupBy("prim_id").agg(
-        F.first("n").alias("n"), F.max_by(at, F.struct(far, -F.col("seq"))).alias("m")
+    # Facts are joined as narrow as each pass needs them: these rows are the ones that are sorted.
+    place = p.select("prim_id", "_block", "seq", "x", "y")
+    anchor = (
+        with_facts(place, ends.select("prim_id", "n", "a"))
+        .groupBy("prim_id")
+        .agg(F.first("n").alias("n"), F.first("a").alias("a"), F.max_by(at, F.struct(far, -F.col("seq"))).alias("m"))
     )
     off = (F.col("m.x") - F.col("a.x")) * (F.col("y") - F.col("a.y")) - (
         F.col("m.y") - F.col("a.y")
     ) * (F.col("x") - F.col("a.x"))
-    spans = (
-        with_facts(anchored.drop("n"), anchor)
-        .groupBy("prim_id")
-        .agg(F.max((off != 0).cast("int")).alias("spans"),
-             (F.first("kept") - F.when(
-                 (F.first("a") == F.first("z")) & (F.first("kept") >= 2), 1).otherwise(0)).alias("kept"))
+    wide = (
+        with_facts(place.drop("seq"), anchor).groupBy("prim_id").agg(F.max((off != 0).cast("int")).alias("spans"))
+    )
+    ring = (F.col("a") == F.col("z")) & (F.col("kept") >= 2)
+    spans = shuffled_join(
+        wide, ends.select("prim_id", (F.col("kept") - F.when(ring, 1).otherwise(0)).alias("kept")), "prim_id"
     )
-    return spans.join(balance, "prim_id", "left").select(
+    return shuffled_join(spans, balance, "prim_id", "left").select(
         "prim_id",
         (
             (F.col("kept") >= 3) & (F.col("spans") == 1)

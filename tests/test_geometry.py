@@ -147,7 +147,7 @@ def test_generated_points_are_never_broadcast(spark):
     for made in (
         shapes.fit_residuals(pts), shapes.run_shape(pts), shapes.promote_arcs(heads, pts),
         shapes.promote_arcs(heads, pts, variant="loose"),
-        shapes.find_circles(given, heads.select("prim_id"), pts, 0.25),
+        shapes.visible_fill(pts.filter("closed")), shapes.find_circles(given, heads.select("prim_id"), pts, 0.25),
     ):
         assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
     fits = shapes.fit_residuals(pts).collect()
