@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..config import Hatching, Recognition
 from ..functions import geometry as g
 from ..plans.groups import Columns, solve_groups
-from ..plans.scale import cells_between, cut_lineage, gap_moments, spread_join
+from ..plans.scale import cells_between, cut_lineage, gap_moments, shuffled_join, spread_join
 from .page_rules import table_cells
 
 PAGE = ["doc_id", "page"]
@@ -134,7 +134,7 @@ def leader_links(items: DataFrame, leaders: DataFrame, shape: list[str], adjacen
     )
     near = adjacent(lambda c: F.col(c), lambda c: F.col(f"l_{c}"))
     return (
-        a.join(b, [*PAGE, "cell"])
+        shuffled_join(a, b, [*PAGE, "cell"])
         .filter(near & (F.col("leader") <= F.col("ord")))
         .select(*PAGE, "ord", "leader", *[f"l_{c}" for c in shape])
         .distinct()
@@ -526,13 +526,13 @@ def dimension_assoc(dims: DataFrame, prims: DataFrame, radius: float = 75.0, lev
     homes = cut_lineage(at_levels(mid, "px", "py"))
     spots = at_levels(dims.select(*PAGE, "ix", "iy").distinct(), "ix", "iy")
     occupied = homes.select(*cell).distinct().withColumn("met", F.lit(True))
-    deepest = spots.join(occupied, cell, "left").groupBy(*PAGE, "ix", "iy").agg(
+    deepest = shuffled_join(spots, occupied, cell, "left").groupBy(*PAGE, "ix", "iy").agg(
         F.max_by(F.struct("level", "gx", "gy"), F.when(F.col("met") | (F.col("level") == 0), F.col("level"))).alias("own")
     ).select(*PAGE, "ix", "iy", "own.*")
     reach = F.when(F.col("level") == 0, 1).otherwise(2)
     asks = deepest.withColumn("gx", F.explode(square(F.col("gx"), reach))).withColumn("gy", F.explode(square(F.col("gy"), reach)))
     d = F.hypot(F.col("ix") - F.col("px"), F.col("iy") - F.col("py"))
-    found = asks.join(homes, cell).withColumn("d", d).filter(F.col("d") < radius).groupBy(*PAGE, "ix", "iy").agg(
+    found = shuffled_join(asks, homes, cell).withColumn("d", d).filter(F.col("d") < radius).groupBy(*PAGE, "ix", "iy").agg(
         F.min_by(F.struct("prim_id", "d"), F.struct("d", "ord")).alias("hit")
     )
     return dims.join(found, [*PAGE, "ix", "iy"], "left").withColumns(
