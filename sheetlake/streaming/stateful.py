@@ -87,7 +87,23 @@ def written(
 # ---- budgets ---------------------------------------------------------------------------------------------
 
 _STOPPED = "run_id bigint, session_start timestamp, stopped_ord bigint, pages bigint, elapsed_ms double"
-_RUN_STATE = "session bigint, last bigint, pages bigint, elapsed double, stopped boolean"
+_RUN_STATE = (
+    "run array<bigint>, session array<bigint>, last array<bigint>, pages array<bigint>, elapsed array<double>, "
+    "stopped array<boolean>"
+)
+#: Groups that runs, and documents, are dealt to by hash: a call and a state row each, whatever their number.
+BUCKETS = 1024
+
+
+def _dealt(key: str, buckets: int) -> Column:
+    """Bucket of a long key; rows without one have a bucket of their own, -1."""
+    return F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int")
+
+
+def _runs_of(keys: np.ndarray) -> list[np.ndarray]:
+    """Row numbers of each distinct key, in the order of the rows."""
+    at = np.argsort(keys, kind="stable")
+    return np.split(at, np.flatnonzero(np.diff(keys[at])) + 1)
 
 
 def _spend(ts: np.ndarray, order: np.ndarray, ms: np.ndarray, state: tuple | None, budget: float, idle: int):
@@ -118,38 +134,47 @@ def _spend(ts: np.ndarray, order: np.ndarray, ms: np.ndarray, state: tuple | Non
 
 
 def stream_over_budget(
-    events: DataFrame, budget_ms: float, idle: str = "1 hour", delay: str = "10 minutes"
+    events: DataFrame, budget_ms: float, idle: str = "1 hour", delay: str = "10 minutes", buckets: int = BUCKETS
 ) -> DataFrame:
     """One row per session of a run that passes its budget: where it stopped, and nothing of it afterwards.
 
     ``events``: run_id, ord, ts, ms, a stream whose rows arrive in time order up to ``delay``.  A run's time adds up in
     order of (ts, ord); rows without a usable time count for nothing.  The event that takes it over the
     budget is the last one counted.  A pause longer than ``idle`` ends a session: what follows is a new
-    one.  State is five values a run, and goes when the watermark passes the last event by
-    ``idle``.  Results do not depend on how the events fall into batches.
+    one.  State is five values a run, kept by ``buckets`` of runs, and goes when the watermark passes the run's
+    last event by ``idle``.  Results do not depend on how the events fall into batches or buckets.
     """
     gap = int(pd.Timedelta(idle).value // 1000)
 
     def spend(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        held = {run: rest for run, *rest in zip(*state.get, strict=True)} if state.exists else {}
+        found = []
+        if not state.hasTimedOut:
+            rows = pd.concat(list(parts))
+            runs, us, order, ms = (rows[c].to_numpy() for c in ("run", "us", "ord", "ms"))
+            for at in _runs_of(runs):
+                run = int(runs[at[0]])
+                out, held[run] = _spend(us[at], order[at], ms[at], held.get(run), budget_ms, gap)
+                found += [(None if key[0] < 0 else run, *x) for x in out]
+        now = state.getCurrentWatermarkMs()
+        expires = {run: (after[1] + gap) // 1000 + 1 for run, after in held.items()}
+        held = {run: after for run, after in held.items() if expires[run] > now}
+        if held:
+            state.update(tuple(list(x) for x in zip(*[(run, *after) for run, after in held.items()], strict=True)))
+            state.setTimeoutTimestamp(min(expires[run] for run in held))
+        elif state.exists:
             state.remove()
-            return
-        rows = pd.concat(list(parts))
-        found, after = _spend(
-            rows["us"].to_numpy(), rows["ord"].to_numpy(), rows["ms"].to_numpy(), state.get if state.exists else None,
-            budget_ms, gap,
-        )
-        state.update(after)
-        expires = (after[1] + gap) // 1000 + 1
-        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
         if found:
-            out = pd.DataFrame(found, columns=["session_start", "stopped_ord", "pages", "elapsed_ms"])
+            out = pd.DataFrame(found, columns=["run_id", "session_start", "stopped_ord", "pages", "elapsed_ms"])
             out["session_start"] = pd.to_datetime(out["session_start"], unit="us")
-            yield out.assign(run_id=key[0])[["run_id", "session_start", "stopped_ord", "pages", "elapsed_ms"]]
+            yield out
 
     timed = events.filter(usable(F.col("ms"))).withWatermark("ts", delay)
-    rows = timed.select("run_id", "ts", F.unix_micros("ts").alias("us"), "ord", F.col("ms").cast("double").alias("ms"))
-    return rows.groupBy("run_id").applyInPandasWithState(
+    rows = timed.select(
+        _dealt("run_id", buckets).alias("bucket"), F.coalesce("run_id", F.lit(0)).cast("long").alias("run"),
+        "ts", F.unix_micros("ts").alias("us"), "ord", F.col("ms").cast("double").alias("ms"),
+    )
+    return rows.groupBy("bucket").applyInPandasWithState(
         spend, _STOPPED, _RUN_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 

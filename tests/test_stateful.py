@@ -54,6 +54,21 @@ def test_runs_stop_at_their_budget_over_restarts(spark, tmp_path):
     assert len({(r[0], r[1]) for r in found}) == len(found)  # once a session
 
 
+def test_runs_share_state_rows_by_bucket(spark, tmp_path):
+    """As many calls and state rows as buckets, however many runs; rows without a run are a run of their own."""
+    path = str(tmp_path / "in")
+    rows = [(run, 60 * n + k, START + timedelta(minutes=n), 7.0) for n in range(4) for k, run in enumerate([None, *range(-3, 50)])]
+    for k in (0, 1):
+        land(spark, rows[108 * k : 108 * k + 108], EVENTS, path)
+        over = stateful.stream_over_budget(spark.readStream.schema(EVENTS).parquet(path), 20.0, buckets=3)
+        query = stateful.written(over, str(tmp_path / "out"), str(tmp_path / "cp"))
+        assert stateful.finish(query) == "complete"
+        progress = [p for p in query.recentProgress if p["stateOperators"]]
+        assert 0 < progress[-1]["stateOperators"][0]["numRowsTotal"] <= 4
+    got = {(r.run_id, r.stopped_ord, r.pages, r.elapsed_ms) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(run, 120 + k, 3, 21.0) for k, run in enumerate([None, *range(-3, 50)])}
+
+
 def test_state_goes_when_a_run_is_idle(spark, tmp_path):
     path = str(tmp_path / "in")
     for day in range(3):  # another run each day
