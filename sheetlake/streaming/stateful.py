@@ -205,15 +205,15 @@ def _release(held: dict[int, list[int]], due: int, width: int) -> tuple[list[lis
 
 
 def stream_pages_in_order(
-    stream: DataFrame, requests: DataFrame, measures: dict[str, Column]
+    stream: DataFrame, requests: DataFrame, measures: dict[str, Column], buckets: int = BUCKETS
 ) -> DataFrame:
     """Sums of ``measures`` per requested page, released in request order within each document.
 
     ``stream``: page rows in any order, a page may be split over batches.  ``requests``: doc_id, page,
     position (1, 2, ... within the document), rows (how many rows the page has).  Rows of pages not
     requested are left out.  A page is released once all its rows have come and every page before it is
-    out; until then its sums wait in the document's state, a handful of numbers a page.  A requested page
-    of which nothing lands holds up those behind it.
+    out; until then its sums wait in the document's state, a handful of numbers a page, kept by ``buckets`` of
+    documents.  A requested page of which nothing lands holds up those behind it.
     """
     names = list(measures)
     width = len(names)
@@ -223,21 +223,36 @@ def stream_pages_in_order(
     asked = folded.join(requests.select(*PAGE, "position", F.col("rows").alias("expected")), PAGE)
 
     def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        due, flat = state.get if state.exists else (1, [])
+        docs, dues, counts, flat = state.get if state.exists else ([], [], [], [])
         step = 4 + width
-        held = {int(flat[k]): [int(x) for x in flat[k + 1 : k + step]] for k in range(0, len(flat), step)}
+        # per document: the position that is due and its held pages, which lie one after the other in the state
+        held, at = {}, 0
+        for doc, due, n in zip(docs, dues, counts, strict=True):
+            held[doc] = (due, {int(flat[k]): [int(x) for x in flat[k + 1 : k + step]] for k in range(at, at + n * step, step)})
+            at += n * step
+        touched = set()
         for part in parts:
-            for row in part[["position", "page", "expected", "seen", *names]].itertuples(index=False):
-                at = held.setdefault(int(row[0]), [int(row[1]), int(row[2]), 0, *[0] * width])
-                at[2:] = [a + int(b) for a, b in zip(at[2:], row[3:], strict=True)]
-        out, due = _release(held, due, width)
-        state.update((due, [x for position, rest in sorted(held.items()) for x in (position, *rest)]))
+            for row in part[["doc_id", "position", "page", "expected", "seen", *names]].itertuples(index=False):
+                doc = int(row[0])
+                touched.add(doc)
+                page = held.setdefault(doc, (1, {}))[1].setdefault(int(row[1]), [int(row[2]), int(row[3]), 0, *[0] * width])
+                page[2:] = [a + int(b) for a, b in zip(page[2:], row[4:], strict=True)]
+        out = []
+        for doc in touched:
+            due, pages = held[doc]
+            found, due = _release(pages, due, width)
+            held[doc] = (due, pages)
+            out += [[doc, *x] for x in found]
+        state.update((
+            list(held), [due for due, _ in held.values()], [len(pages) for _, pages in held.values()],
+            [x for _, pages in held.values() for position, rest in sorted(pages.items()) for x in (position, *rest)],
+        ))
         if out:
-            yield pd.DataFrame(out, columns=["position", "page", *names]).assign(doc_id=key[0])[["doc_id", "position", "page", *names]]
+            yield pd.DataFrame(out, columns=["doc_id", "position", "page", *names])
 
-    return asked.groupBy("doc_id").applyInPandasWithState(
+    return asked.withColumn("bucket", _dealt("doc_id", buckets)).groupBy("bucket").applyInPandasWithState(
         keep, ", ".join(f"{c} bigint" for c in ["doc_id", "position", "page", *names]),
-        "due bigint, held array<bigint>", "append", GroupStateTimeout.NoTimeout,
+        "doc array<bigint>, due array<bigint>, pages array<bigint>, held array<bigint>", "append", GroupStateTimeout.NoTimeout,
     )
 
 

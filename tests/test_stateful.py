@@ -115,6 +115,25 @@ def test_pages_come_in_request_order(spark, tmp_path):
     assert len(set(batches.values())) > 2
 
 
+def test_documents_share_state_rows_by_bucket(spark, tmp_path):
+    """As many calls and state rows as buckets, however many documents; their order is kept apart."""
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    docs = range(-2, 40)
+    requests = spark.createDataFrame([(d, p, p, 2) for d in docs for p in (1, 2)], "doc_id long, page long, position long, rows long")
+    # the second page lands first, one half of the first page with it
+    for rows in ([(d, p, 1) for d in docs for p in (2, 1, 2)], [(d, 1, 5) for d in docs]):
+        land(spark, rows, PAGES, path)
+        stream = spark.readStream.schema(PAGES).parquet(path)
+        query = stateful.written(
+            stateful.stream_pages_in_order(stream, requests, {"total": F.col("v")}, buckets=3), out, str(tmp_path / "cp")
+        )
+        assert stateful.finish(query) == "complete"
+        progress = [p for p in query.recentProgress if p["stateOperators"]]
+        assert 0 < progress[-1]["stateOperators"][0]["numRowsTotal"] <= 3
+    got = sorted((r.doc_id, r.page, r.position, r.total, r.batch) for r in spark.read.parquet(out).collect())
+    assert got == [(d, p, p, 6 if p == 1 else 2, 1) for d in docs for p in (1, 2)]
+
+
 LANDED = "source_sha string, options_sha string, page long, digest string"
 
 
