@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from ..operators.reports import usable
 
@@ -265,10 +266,20 @@ def ledger_bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("source_sha", "options_sha", "page"), F.lit(buckets)).cast("int")
 
 
+def _by_bucket(rows: DataFrame, buckets: int, parts: int = 32) -> DataFrame:
+    """Rows moved once, to where their page is judged and written: a bucket's pages are dealt to ``parts`` tasks at most."""
+    part = F.pmod(F.shiftright(F.xxhash64("source_sha", "options_sha", "page"), 32), F.lit(parts)).cast("int")
+    return rows.withColumns({"bucket": ledger_bucket(buckets), "part": part}).repartition("bucket", "part")
+
+
+def _append(rows: DataFrame, folder: str) -> None:
+    rows.select(*KEYS, "bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(folder)
+
+
 def seed_ledger(done: DataFrame, ledger: str, buckets: int = 32) -> None:
     """Write pages that are certified already as a ledger of their own batch."""
-    rows = done.select(*KEYS).distinct().withColumn("bucket", ledger_bucket(buckets))
-    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{ledger}/run=seed/batch=0")
+    rows = _by_bucket(done.select(*KEYS), buckets).groupBy("bucket", "part", *KEYS).agg(F.count(F.lit(1)))
+    _append(rows, f"{ledger}/run=seed/batch=0")
 
 
 def stream_ledger(
@@ -287,16 +298,23 @@ def stream_ledger(
     def certify(batch: DataFrame, number: int) -> None:
         if cancelled is not None and cancelled(number):
             raise RuntimeError(CANCELLED)
-        asked = batch.groupBy("source_sha", "options_sha", "page").agg(F.min("digest").alias("digest"))
-        asked = asked.withColumn("bucket", ledger_bucket(buckets))
-        touched = [r[0] for r in asked.select("bucket").distinct().collect()]  # `buckets` numbers at most
+        rows = batch.select(*KEYS, F.lit(True).alias("asked"))
+        touched = [r[0] for r in batch.select(ledger_bucket(buckets).alias("bucket")).distinct().collect()]  # `buckets` numbers at most
         done = read_pages_done(spark, ledger)
         if done is not None:
             own = (F.col("run") == run) & (F.col("batch") == number)
-            known = done.filter(F.col("bucket").isin(touched) & ~own).select("bucket", *KEYS)
-            same = [F.col(f"a.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ["bucket", *KEYS]]
-            asked = asked.alias("a").join(known.alias("k"), same, "left_anti")
-        asked.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{ledger}/run={run}/batch={number}")
+            known = done.filter(F.col("bucket").isin(touched) & ~own)
+            rows = rows.unionByName(known.select(*KEYS, F.lit(False).alias("asked")))
+        # Pages and what is known of them move together once; all that follows happens where they are.
+        page = ["bucket", "part", "source_sha", "options_sha", "page"]
+        order = Window.partitionBy(*page).orderBy(F.col("digest").isNull(), "digest", "asked")
+        judged = _by_bucket(rows, buckets).withColumns({
+            "nth": F.sum(F.col("asked").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "before": F.lag(F.struct("digest", "asked")).over(order),
+        })
+        # the smallest digest asked for counts, and a known one like it stands right before it
+        same = F.col("before").isNotNull() & ~F.col("before.asked") & F.col("before.digest").eqNullSafe(F.col("digest"))
+        _append(judged.filter(F.col("asked") & (F.col("nth") == 1) & ~same), f"{ledger}/run={run}/batch={number}")
 
     return (
         stream.writeStream.foreachBatch(certify).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -163,6 +163,25 @@ def test_ledger_certifies_once_and_a_cancelled_batch_is_taken_up_again(spark, tm
     assert run("two") == "complete" and certified("two") == []
 
 
+def test_ledger_moves_each_page_once(spark, tmp_path):
+    """One exchange of the pages by bucket serves the fold, the look-up and the write; nulls are keys and digests too."""
+    rows = [("s", "o", 1, None), ("s", "o", 1, "b"), (None, "o", 2, None), ("s", None, 3, "x"), ("s", "o", 4, "z")]
+    frame = spark.createDataFrame(rows, LANDED)
+    plan = stateful._by_bucket(frame, 4).groupBy("bucket", "part", *stateful.KEYS).count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    path, ledger = str(tmp_path / "in"), str(tmp_path / "ledger")
+    land(spark, rows, LANDED, path)
+    stateful.seed_ledger(spark.createDataFrame([(None, "o", 2, None), ("s", "o", 4, "y")] * 2, LANDED), ledger, buckets=4)
+    assert stateful.read_pages_done(spark, ledger).count() == 2
+    for name in ("one", "two"):
+        stream = spark.readStream.schema(LANDED).parquet(path)
+        stateful.finish(stateful.stream_ledger(stream, ledger, str(tmp_path / name), name, buckets=4))
+    done = stateful.read_pages_done(spark, ledger).filter("run <> 'seed'").collect()
+    assert sorted(((r.run, r.source_sha, r.options_sha, r.page, r.digest) for r in done), key=str) == [
+        ("one", "s", "o", 1, "b"), ("one", "s", "o", 4, "z"), ("one", "s", None, 3, "x")
+    ]
+
+
 def test_progress_callback_stops_the_stream(spark, tmp_path):
     path = str(tmp_path / "in")
     for k in range(8):
