@@ -36,8 +36,11 @@ STRETCH = 1 << 21
 PARTS = 12
 #: n-grams in fewer sets than this are equal in the order.  It changes the work, not the result.
 OFTEN = 2
-#: Rounds with central documents: one, and up to MORE while the rest would make over SPARE rows a row.
+#: Rounds with central documents: one, and up to MORE while the rest would meet over SPARE pairs a row and
+#: the round before has halved them.
 ROUNDS, MORE, SPARE = 1, 4, 32
+#: Sketch of a set: whether the number of its n-grams is odd, in each of 1,024 hash cells.
+SKETCH = [f"b{i}" for i in range(16)]
 _TABLE = byte_table(BLANKS, lower=True)
 U = np.uint64
 
@@ -75,20 +78,37 @@ def needed(m: Column, n: Column) -> Column:
     return F.ceil((m + n) * LEAST / (100 + LEAST))
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Parities of a set's n-grams over hash cells, as 64-bit numbers.
+
+    Two sets differ in at least as many n-grams as their sketches differ in bits.
+    """
+    odd = np.bincount((grams >> U(54)).astype(np.int64), minlength=64 * len(SKETCH)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def near_sketches(m: Column, n: Column, a: str, b: str) -> Column:
+    """May sets of m and n with the sketches in the structs a and b be similar."""
+    differ = sum((F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in SKETCH), F.lit(0))
+    return differ + 2 * needed(m, n) <= m + n
+
+
 def classes_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, cls, n): the set every row has; ``mark`` tells texts of one doc_id apart."""
+    """(doc_id, mark, cls, n, sketch columns): the set every row has; ``mark`` tells texts of one doc_id apart."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in text_runs(batches, _TABLE):
             sets = sets_of(run)
+            sketches = np.array([sketch(s) for s in sets], np.int64).reshape(len(sets), len(SKETCH))
             yield pa.record_batch(
                 [run.rows.column(0), run.rows.column(2), pa.array([digest(s) for s in sets], pa.int64()),
-                 pa.array([len(s) for s in sets], pa.int32())],
-                names=["doc_id", "mark", "cls", "n"],
+                 pa.array([len(s) for s in sets], pa.int32()), *[pa.array(c) for c in sketches.T.copy()]],
+                names=["doc_id", "mark", "cls", "n", *SKETCH],
             )
 
     marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
-    return arrow_map(marked, emit, "doc_id long, mark long, cls long, n int")
+    schema = ", ".join(["doc_id long, mark long, cls long, n int", *[f"{k} long" for k in SKETCH]])
+    return arrow_map(marked, emit, schema)
 
 
 def sets_chosen(maybe, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.int64, np.ndarray]]:
@@ -253,9 +273,10 @@ def shared_columns(docs: DataFrame, speakers: DataFrame, total: int) -> DataFram
 
 
 def speakers_of(classes: DataFrame) -> DataFrame:
-    """(cls, key): the row that stands for each set, by a hash of its doc_id and text."""
-    return classes.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "mark")).alias("at")).select(
-        "cls", F.xxhash64("at.doc_id", "at.mark").alias("key")
+    """(cls, key, sketch columns): the row that stands for each set, by a hash of its doc_id and text."""
+    kept = [F.max(k).alias(k) for k in SKETCH]  # one value in all rows of a set
+    return classes.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "mark")).alias("at"), *kept).select(
+        "cls", F.xxhash64("at.doc_id", "at.mark").alias("key"), *SKETCH
     )
 
 
@@ -310,7 +331,7 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, root): components of the sets that are linked with another one."""
     speakers = stored(speakers_of(classes))
     block = shared_columns(docs, speakers, classes.agg(F.sum("n")).first()[0] or 0)
-    links = tested = roots = product = None
+    links = tested = roots = product = last = None
     for turn in range(MORE + 1):
         left = block.withColumns({"root": F.col("cls"), "apart": F.lit(True)})
         if roots is not None:
@@ -324,18 +345,23 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
             ).where("roots > 1")
             left = left.join(columns.select("gram", "major", (F.col("m") - F.col("most")).alias("minor")), "gram")
             left = stored(left.select(*block.columns, "root", "minor", (F.col("root") != F.col("major")).alias("apart")))
-            rows, product = left.agg(F.count(F.lit(1)), F.sum("minor")).first()
+            last, (rows, product) = product, left.agg(F.count(F.lit(1)), F.sum("minor")).first()
             if not rows:
                 break
         rest = turn == MORE or turn >= ROUNDS and (product is None or product <= SPARE * rows)
+        rest = rest or last is not None and 2 * product > last
         if rest:
             # Of a column's components the largest needs no pairs within: every pair has an end apart from it.
-            met = left.select(
-                "gram", F.struct("cls", "n", "pos").alias("a"), F.col("root").alias("ra"), "apart"
+            seen = left.join(speakers.select("cls", *SKETCH), "cls").withColumn("sketch", F.struct(*SKETCH))
+            met = seen.select(
+                "gram", F.struct("cls", "n", "pos").alias("a"), F.col("root").alias("ra"), "apart", F.col("sketch").alias("sa")
+            )
+            other = seen.where("apart").select(
+                "gram", F.struct("cls", "n", "pos").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sb")
             )
-            other = left.where("apart").select("gram", F.struct("cls", "n", "pos").alias("b"), F.col("root").alias("rb"))
             fits = 100 * F.least("a.n", "b.n") >= LEAST * F.greatest("a.n", "b.n")
             fits = fits & in_reach(F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos"))
+            fits = fits & near_sketches(F.col("a.n"), F.col("b.n"), "sa", "sb")
             once = ~F.col("apart") | (F.col("a.cls") < F.col("b.cls"))
             ends = met.join(other, "gram").where(once & (F.col("ra") != F.col("rb")) & fits).select(
                 F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")

@@ -7,6 +7,7 @@ import re
 import textwrap
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -157,6 +158,25 @@ def test_ngram_join_without_order_or_rounds(spark, rows, monkeypatch):
     assert got == collections.Counter(brute_components(part))
 
 
+def test_sketches_keep_similar_sets_and_drop_others(spark):
+    """No similar pair differs in too many bits; near copies that fall short of the threshold are not written as pairs."""
+    rng, rows, similar = np.random.default_rng(3), [], []
+    for n in (1, 2, 7, 40, 400, 3000):
+        for shared in (100, 90, 86, 85, 65, 40, 0):
+            both = n * shared // 100
+            grams = rng.integers(0, 1 << 64, 2 * n - both, np.uint64)
+            x, y = np.unique(grams[:n]), np.unique(grams[n - both :])
+            bits = [dict(zip(ngram_join.SKETCH, ngram_join.sketch(s).tolist(), strict=True)) for s in (x, y)]
+            assert sum((a ^ b).bit_count() for a, b in zip(*[[v & (1 << 64) - 1 for v in b.values()] for b in bits], strict=True)) <= len(np.setxor1d(x, y))
+            similar.append(100 * both >= 75 * (2 * n - both))
+            rows.append((len(rows), n, shared, *bits))
+    sketch = "struct<" + ",".join(f"{k}:bigint" for k in ngram_join.SKETCH) + ">"
+    pairs = spark.createDataFrame(rows, f"i int, n int, shared int, a {sketch}, b {sketch}")
+    kept = pairs.select("i", "n", "shared", ngram_join.near_sketches(F.col("n"), F.col("n"), "a", "b").alias("near")).collect()
+    assert all(r.near for r in kept if similar[r.i])
+    assert not any(r.near for r in kept if r.n in (40, 400) and r.shared <= 65)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 199), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "x long, y long")).collect()}
