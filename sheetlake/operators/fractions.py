@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..plans.scale import block_of, cut_lineage, dense_position, keep_when, spread_join
+from ..plans.scale import block_of, dense_position, keep_when, spread_join, written
 
 PAGE = ["doc_id", "page"]
 #: What overlays must share, as far as the texts have it, beside their characters.
@@ -78,7 +78,7 @@ def near_digits(sp: DataFrame) -> DataFrame:
     A digit is filed under its own size class and the next one, since sizes further apart cannot form
     a fraction; also under those up to the largest unclear slash of its page, which blocks digits of
     any size; and under all classes of the page when it lacks a layout, because such a digit blocks
-    the slash whatever its size.
+    the slash whatever its size.  A digit lies in its own cell only: slashes, which are fewer, look around.
     """
     unclear = F.col("is_slash") & ~(F.col("exact") & (F.col("t") == "/"))
     tops = sp.groupBy(*PAGE).agg(
@@ -98,14 +98,12 @@ def near_digits(sp: DataFrame) -> DataFrame:
         F.min_by(F.struct(*cols, "split", "nx", "ny", "dx", "dy", "value"), "ord").alias("d")
     ).select(*PAGE, "d.*")
     s = spread_join(s, tops.select(*PAGE, "hi"), PAGE, "s_text_id")
-    s = s.withColumn("c", F.explode(F.sequence("s_k", "hi"))).drop("hi").withColumns(
-        {"gx": F.floor(F.col("s_x") / reach).cast("long"), "gy": F.floor(F.col("s_y") / reach).cast("long")}
-    )
+    s = s.withColumn("c", F.explode(F.sequence("s_k", "hi"))).drop("hi").withColumn(
+        "gx", F.explode(F.array(cell("s_x") - 1, cell("s_x"), cell("s_x") + 1))
+    ).withColumn("gy", F.explode(F.array(cell("s_y") - 1, cell("s_y"), cell("s_y") + 1)))
     upto = F.when(F.col("exact"), F.greatest(F.col("k") + 1, F.col("hi_unclear"))).otherwise(F.col("hi"))
     d = spread_join(d, tops, PAGE, "text_id").withColumn("c", F.explode(F.sequence(F.col("k"), upto)))
-    d = d.drop("hi", "hi_unclear").withColumn(
-        "gx", F.explode(F.array(cell("x") - 1, cell("x"), cell("x") + 1))
-    ).withColumn("gy", F.explode(F.array(cell("y") - 1, cell("y"), cell("y") + 1)))
+    d = d.drop("hi", "hi_unclear").withColumns({"gx": cell("x"), "gy": cell("y")})
     em = _middle(F.col("font_size"), F.col("s_font_size"))
     at_char = _local(F.col("x"), F.col("y"), F.col("s_x"), F.col("s_y"), F.col("s_rotation"), em)
     at_pen = _local(F.col("ix"), F.col("iy"), F.col("s_ix"), F.col("s_iy"), F.col("s_rotation"), em)
@@ -185,10 +183,10 @@ def fraction_candidates(near: DataFrame) -> DataFrame:
 
 def merge_decisions(texts: DataFrame, chars: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, members): one accepted proposal per fraction, and every class's items."""
-    sp = cut_lineage(spans(texts, chars))
+    sp = written(spans(texts, chars), "spans")
     # Read by several joins below, so each is written once.
-    near = cut_lineage(near_digits(sp))
-    cand = cut_lineage(fraction_candidates(near))
+    near = written(near_digits(sp), "near")
+    cand = written(fraction_candidates(near), "proposals")
     members = sp.select(*PAGE, "cls", "text_id", "ord")
     bad = near.groupBy(*PAGE, "s_cls").agg(
         F.max((~F.col("good_slash")).cast("int")).alias("bad_slash"),
@@ -232,7 +230,7 @@ def merge_decisions(texts: DataFrame, chars: DataFrame) -> tuple[DataFrame, Data
 def merge_fractions(texts: DataFrame, chars: DataFrame) -> DataFrame:
     """Texts with every unambiguous fraction merged into its slash, and dense page-local ids."""
     accepted, members = merge_decisions(texts, chars)
-    accepted = cut_lineage(accepted)
+    accepted = written(accepted, "accepted")
     eaten = accepted.select(*PAGE, F.explode("parts").alias("cls")).join(members, [*PAGE, "cls"]).select(
         *PAGE, "text_id"
     ).distinct()

@@ -40,3 +40,12 @@ def test_overlays_must_agree_in_all_they_show(spark):
     assert merged(spark, [*PLAIN, *PLAIN]) == ["3/8"]
     other = [row("3", -2.0, color="red"), *PLAIN[1:]]
     assert merged(spark, [*PLAIN, *other]) == sorted(["3", "3", "/", "/", "8", "8"])
+
+
+def test_slashes_look_around_and_digits_stay_in_their_cell(spark):
+    """Digits are the many: only the rows of slashes are copied to neighbouring cells."""
+    texts = spark.createDataFrame([], TEXTS)
+    chars = spark.createDataFrame([], "text_id long, idx int, ch string, x double, y double")
+    plan = fractions.near_digits(fractions.spans(texts, chars))._jdf.queryExecution().analyzed().toString()
+    around = [line for line in plan.splitlines() if "Generate explode(array(" in line]
+    assert len(around) == 2 and all("s_x" in line or "s_y" in line for line in around)
