@@ -177,12 +177,49 @@ def test_sketches_keep_similar_sets_and_drop_others(spark):
     assert not any(r.near for r in kept if r.n in (40, 400) and r.shared <= 65)
 
 
+def brute_roots(links):
+    root = {v: v for link in links for v in link}
+    for _ in root:
+        before = dict(root)
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+        if before == root:
+            break
+    return root
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 199), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "x long, y long")).collect()}
     assert got == {i: 0 for i in range(61)} | {k: 100 for k in range(100, 140)} | {199: 199, 200: 199}
 
 
+def test_components_of_a_large_group_take_few_stages(spark):
+    links = [(d, 1000 + d % 3) for d in range(300)] + [(d, 1000 + d % 2) for d in range(0, 300, 50)] + [(5000 + d, 4000 + d) for d in range(50)]
+    table = spark.createDataFrame(links, "x long, y long").repartition(6)
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        got = {r.node: r.root for r in components(table).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(j).stageIds]
+    assert got == brute_roots(links)
+    assert len(stages) <= 30
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_across_tasks(spark, seed):
+    rng = np.random.default_rng(seed)
+    chain = rng.permutation(120).tolist()
+    links = list(zip(chain[:-1], chain[1:], strict=True)) if seed else []
+    links += [(int(a) + 200, int(b) + 200) for a, b in rng.integers(0, 60, (40, 2))]
+    table = spark.createDataFrame(links, "x long, y long").repartition(8)
+    found = components(table).collect()
+    assert len(found) == len({r.node for r in found})
+    assert {r.node: r.root for r in found} == brute_roots(links)
+
+
 def test_exact_dedup(spark, rows):
     def plain(t):
         return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
