@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..plans.scale import block_of, dense_position, keep_when, spread_join, written
+from ..plans.scale import block_of, dense_position, keep_when, shuffled_join, spread_join, written
 
 PAGE = ["doc_id", "page"]
 #: What overlays must share, as far as the texts have it, beside their characters.
@@ -51,7 +51,8 @@ def spans(texts: DataFrame, chars: DataFrame) -> DataFrame:
     rows = texts.withColumns({"t": t, "is_slash": slash}).filter(slash | digit)
     rows = rows.withColumn("split", tx.split_fraction_digits(F.col("t")))
     cut = F.length("split.num_text")
-    placed = chars.join(rows.select("text_id", cut.alias("cut")), "text_id").groupBy("text_id").agg(
+    # Texts may be made of few rows by a generator, so none of them goes to the driver.
+    placed = shuffled_join(chars, rows.select("text_id", cut.alias("cut")), "text_id").groupBy("text_id").agg(
         F.avg("x").alias("cx"), F.avg("y").alias("cy"),
         F.avg(F.when(F.col("idx") < F.col("cut"), F.col("x"))).alias("nx"),
         F.avg(F.when(F.col("idx") < F.col("cut"), F.col("y"))).alias("ny"),
@@ -62,7 +63,7 @@ def spans(texts: DataFrame, chars: DataFrame) -> DataFrame:
     )
     seen = [c for c in OBSERVED if c in texts.columns]
     k = F.ceil(F.log2(F.greatest("font_size", F.lit(0.01)))).cast("int")
-    return rows.join(placed, "text_id", "left").withColumns(
+    return shuffled_join(rows, placed, "text_id", "left").withColumns(
         {
             "exact": F.col("laid_out") & F.col("cx").isNotNull(),
             "x": F.coalesce("cx", "ix"), "y": F.coalesce("cy", "iy"), "k": k,
@@ -81,9 +82,10 @@ def near_digits(sp: DataFrame) -> DataFrame:
     the slash whatever its size.  A digit lies in its own cell only: slashes, which are fewer, look around.
     """
     unclear = F.col("is_slash") & ~(F.col("exact") & (F.col("t") == "/"))
+    # Dealt over salts below, which makes it many times as large as the optimizer takes it for.
     tops = sp.groupBy(*PAGE).agg(
         F.max("k").alias("hi"), F.coalesce(F.max(F.when(unclear, F.col("k"))), F.min("k")).alias("hi_unclear")
-    )
+    ).hint("merge")
     reach = REACH_EM * F.pow(F.lit(2.0), F.col("c"))
 
     def cell(v):
@@ -113,7 +115,7 @@ def near_digits(sp: DataFrame) -> DataFrame:
         return (F.abs(p[0]) <= REACH_EM) & (F.abs(p[1]) <= REACH_EM)
 
     return (
-        d.join(s, [*PAGE, "c", "gx", "gy"])
+        shuffled_join(d, s, [*PAGE, "c", "gx", "gy"])
         .filter(F.col("c") == F.greatest("k", "s_k"))
         .filter(_turn(F.col("rotation"), F.col("s_rotation")) <= 1.0)
         .filter(F.when(good, within(at_char)).otherwise(within(at_pen)))

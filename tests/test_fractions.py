@@ -1,5 +1,7 @@
 """What blocks a fraction, on hand-made texts."""
 
+from pyspark.sql import functions as F
+
 from sheetlake.operators import fractions
 
 TEXTS = (
@@ -49,3 +51,12 @@ def test_slashes_look_around_and_digits_stay_in_their_cell(spark):
     plan = fractions.near_digits(fractions.spans(texts, chars))._jdf.queryExecution().analyzed().toString()
     around = [line for line in plan.splitlines() if "Generate explode(array(" in line]
     assert len(around) == 2 and all("s_x" in line or "s_y" in line for line in around)
+
+
+def test_generated_texts_and_cells_are_never_broadcast(spark):
+    """Texts, cells and copies made of few rows look small to the optimizer."""
+    made = spark.range(2).select(*[F.col("id").cast(kind).alias(name) for name, kind in map(str.split, TEXTS.split(", "))])
+    chars = made.selectExpr("text_id", "1 as idx", "text as ch", "ix as x", "iy as y")
+    sp = fractions.spans(made, chars)
+    for found in (sp, fractions.near_digits(sp)):
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
