@@ -1,8 +1,9 @@
 """Exact dedup: a Bloom filter of cells met twice decides which hashes may repeat; only those meet by digest.
 
-Pass one hashes every text into ``PROBES`` cells of a bit table, counts the cells (two folded cell
-rows a document shuffle for that), and keeps a bit for each cell met more than once.  Pass two reads the rows again: a row with a probe on a clear bit has no
-copy and passes straight through; the others meet by the digest of their text.  The bit table is
+Texts are read and hashed once; their digests are written, and both passes read those.  Pass one turns
+every digest into ``PROBES`` cells of a bit table, counts the cells (two folded cell rows a document
+shuffle for that), and keeps a bit for each cell met more than once.  In pass two a row with a probe on
+a clear bit has no copy and passes straight through; the others meet by their digest.  The bit table is
 broadcast: it has at most ``MAX_BITS`` bits (128 MB), whatever the input.  Beyond a few hundred million
 rows it fills up and more rows take the shuffle; the result stays exact.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheetlake.llm.tables import stored
 from sheetlake.plans.scale import spread_join
 
 PROBES = 2
@@ -68,8 +70,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     without doc_id come back with their group, and are kept only if no row of the group has a doc_id.
     An empty table gives no rows.  Other columns are ignored.
     """
-    digests = docs.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
-    bits = table_bits(docs.count())
+    # Read by the bit table and three times below: a row of it is a tenth of a document, or less.
+    digests = stored(docs.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256")))
+    bits = table_bits(digests.count())
     table = repeated_cells(digests, bits)
     tested = digests
     for k, cell in enumerate(cells(F.col("text_sha256"), bits)):

@@ -242,6 +242,12 @@ def test_exact_dedup(spark, rows):
     )
 
 
+def test_texts_are_hashed_once(spark, rows):
+    """The bit table and the rows tested by it read written digests, not the texts again."""
+    plan = exact_dedup.exact_duplicates(frame(spark, rows))._jdf.queryExecution().analyzed().toString()
+    assert "sha2(" not in plan and "text_sha256" in plan
+
+
 def test_bit_table_may_be_full(spark, rows, monkeypatch):
     want = sorted(map(str, exact_dedup.exact_duplicates(frame(spark, rows)).collect()))
     monkeypatch.setattr(exact_dedup, "MIN_BITS", 32768)
