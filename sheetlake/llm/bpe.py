@@ -16,7 +16,7 @@ import heapq
 import json
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, islice
 
@@ -39,7 +39,7 @@ CHUNK, UNSURE = 1 << 16, 3
 #: Bytes that remembered pieces may take in a worker, about what one takes besides its text, and the longest remembered.
 REMEMBERED, EACH, SHORT = 32 << 20, 90, 48
 #: Rank of a pair that is no merge.
-NEVER = (1 << 62, -1)
+NEVER = 1 << 62
 #: Largest vocabulary file that is sent to the executors.
 MAX_VOCAB_BYTES = 64 << 20
 
@@ -51,6 +51,17 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+class Asked(dict):
+    """A dict that calls ``find`` for a key it does not have; so it can be mapped over keys without a loop."""
+
+    def __init__(self, find: Callable, *known):
+        super().__init__(*known)
+        self.find = find
+
+    def __missing__(self, key) -> bytes:
+        return self.find(key)
+
+
 class ByteBPE:
     """A byte-level BPE vocabulary in the layout of the tokenizers library's JSON files."""
 
@@ -62,21 +73,25 @@ class ByteBPE:
         self.bytes_of = {
             i: bytes(alphabet[c] for c in token) for token, i in model["vocab"].items()
         } | {i: text.encode() for text, i in self.specials.items()}
+        self.said = Asked(lambda _: b"", self.bytes_of)
         self.single = [0] * 256
         for i, raw in self.bytes_of.items():
             if len(raw) == 1:
                 self.single[raw[0]] = i
         vocab = model["vocab"]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
+            self.made.append(vocab[left + right])
             self.merges[vocab[left], vocab[right]] = rank, vocab[left + right]
+        self.ranks = {pair: rank for pair, (rank, _) in self.merges.items()}
         self.lookahead = self._lookahead()
         self.split_specials = (
             regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))))
             if self.specials else None
         )
-        self.known: dict[str, bytes] = {}
+        self.known = Asked(self._find)
         self.taken = 0
 
     def forget(self) -> None:
@@ -110,19 +125,19 @@ class ByteBPE:
         """All merges applied to the bytes, lowest rank first, leftmost first."""
         ids = [self.single[b] for b in data]
         n = len(ids)
-        merges = self.merges
         if n <= SHORT:
-            get = merges.get
+            get, made = self.ranks.get, self.made
             ranks = [get(pair, NEVER) for pair in zip(ids, ids[1:])]  # noqa: B905
-            while ranks and (best := min(ranks)) is not NEVER:
+            while ranks and (best := min(ranks)) != NEVER:
                 i = ranks.index(best)
-                ids[i : i + 2] = [best[1]]
+                ids[i : i + 2] = [made[best]]
                 del ranks[i]
                 if i < len(ranks):
                     ranks[i] = get((ids[i], ids[i + 1]), NEVER)
                 if i:
                     ranks[i - 1] = get((ids[i - 1], ids[i]), NEVER)
             return ids
+        merges = self.merges
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [(found[0], i) for i in range(n - 1) if (found := merges.get((ids[i], ids[i + 1])))]
         heapq.heapify(queue)
@@ -146,18 +161,19 @@ class ByteBPE:
 
     def piece(self, text: str) -> bytes:
         """Packed ids of one piece; short pieces are remembered, up to a bound."""
-        found = self.known.get(text)
-        if found is None:
-            data = text.encode()
-            if len(data) > self.lookahead:
-                transducer = Transducer(self)
-                return b"".join(map(pack, chain(transducer.feed(data), transducer.finish())))
-            found = array("I", self.merged(data)).tobytes()
-            if len(data) <= SHORT:
-                self.taken += EACH + len(data) + len(found)
-                if self.taken > REMEMBERED:
-                    self.forget()
-                self.known[text] = found
+        return self.known[text]
+
+    def _find(self, text: str) -> bytes:
+        data = text.encode()
+        if len(data) > self.lookahead:
+            transducer = Transducer(self)
+            return b"".join(map(pack, chain(transducer.feed(data), transducer.finish())))
+        found = array("I", self.merged(data)).tobytes()
+        if len(data) <= SHORT:
+            self.taken += EACH + len(data) + len(found)
+            if self.taken > REMEMBERED:
+                self.forget()
+            self.known[text] = found
         return found
 
     def encode(self, text: str) -> Iterator[bytes]:
@@ -170,7 +186,7 @@ class ByteBPE:
         yield from self._plain(text, at, len(text))
 
     def _plain(self, text: str, at: int, end: int) -> Iterator[bytes]:
-        known, size = self.known, CHUNK
+        packed, size = self.known.__getitem__, CHUNK
         text = text[at:end] if at or end < len(text) else text
         at, end = 0, end - at
         cut = (ASCII_PIECES if text.isascii() else PIECES).findall
@@ -184,7 +200,7 @@ class ByteBPE:
                 del found[-UNSURE:]
             at += sum(map(len, found))
             size = CHUNK
-            yield b"".join([known.get(x) or self.piece(x) for x in found])
+            yield b"".join(map(packed, found))
 
 
 def pack(token: int) -> bytes:
@@ -220,12 +236,11 @@ class Decoder:
     """Takes token ids, gives text; holds back the bytes of an unfinished character only."""
 
     def __init__(self, bpe: ByteBPE):
-        self.bytes_of = bpe.bytes_of
+        self.said = bpe.said.__getitem__
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, tokens: Iterable[int]) -> str:
-        of = self.bytes_of
-        return self.state.decode(b"".join([of.get(t, b"") for t in tokens]))
+        return self.state.decode(b"".join(map(self.said, tokens)))
 
     def finish(self) -> str:
         return self.state.decode(b"", True)

@@ -100,8 +100,35 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def drop_marked(docs: DataFrame, gone: DataFrame, mark: Column) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and ``mark`` are no row of ``gone`` (doc_id, mark); all columns as they were.
+
+    A bit table of the doc_ids of ``gone`` is broadcast, as large as that of ``exact_duplicates`` at most.
+    Rows on a clear bit stay where they are; the others, few where few are dropped, meet ``gone`` itself.
+    """
+    gone = stored(gone.select("doc_id", "mark").distinct())
+    bits = table_bits(docs.count())
+
+    def cell(doc_id: str) -> Column:
+        return F.pmod(F.xxhash64(doc_id), F.lit(bits))
+
+    table = gone.groupBy(F.floor(cell("doc_id") / BLOCK_BITS).cast("int").alias("_block")).agg(
+        F.bitmap_construct_agg(cell("doc_id") % BLOCK_BITS).alias("_bits")
+    )
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    # proven bound: MAX_BITS / 8 bytes
+    tested = rows.join(F.broadcast(table), F.floor(cell("row.doc_id") / BLOCK_BITS).cast("int") == F.col("_block"), "left")
+    tested = tested.select("row", F.coalesce(bit_set(F.col("_bits"), cell("row.doc_id")), F.lit(False)).alias("_maybe"))
+    maybe = tested.where("_maybe").select("row", mark.alias("row_mark"))
+    hit = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("row_mark") == F.col("mark"))
+    return tested.where(~F.col("_maybe")).select("row.*").unionByName(maybe.join(gone, hit, "left_anti").select("row.*"))
+
+
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text no row with a smaller doc_id has, all columns as they were."""
+    """The rows of ``docs`` whose text no row with a smaller doc_id has, all columns as they were.
+
+    All rows are dealt by doc_id and text, so what is left is in even parts for the tasks that read it.
+    """
     found = exact_duplicates(docs).where(~F.col("kept")).select("doc_id", "text_sha256").distinct()
     marked = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.sha2(normalised(F.col("text")), 256).alias("sha")

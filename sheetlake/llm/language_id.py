@@ -52,15 +52,13 @@ def gram_counts(text: str | None) -> np.ndarray | None:
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     codes = np.concatenate(([32], codes[keep], [32])).astype(U)
-    grams = []
-    for n in LENGTHS:
-        if len(codes) < n:
-            continue
-        h = codes[: len(codes) - n + 1]
-        for k in range(1, n):
-            h = h * U(0x100000001B3) + codes[k : len(codes) - n + 1 + k]
-        grams.append(((h + U(n)) * U(0x9E3779B97F4A7C15)) >> U(64 - 15))
-    return np.bincount(np.concatenate(grams).astype(np.int64), minlength=BUCKETS)
+    grams, h = [], codes  # h: hash of the n-gram that starts at each place
+    for n in range(1, min(max(LENGTHS), len(codes)) + 1):
+        if n > 1:
+            h = h[:-1] * U(0x100000001B3) + codes[n - 1 :]
+        if n in LENGTHS:
+            grams.append(((h + U(n)) * U(0x9E3779B97F4A7C15)) >> U(64 - 15))
+    return np.bincount(np.concatenate(grams).view(np.int64), minlength=BUCKETS)
 
 
 def vector(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

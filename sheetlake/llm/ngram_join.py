@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetlake.llm.components import components
+from sheetlake.llm.exact_dedup import drop_marked
 from sheetlake.llm.tables import arrow_map, bit_filter, may_hold, release, stored
 from sheetlake.llm.words import BLANKS, TextRun, byte_table, mix, ngrams, text_runs
 
@@ -114,11 +115,13 @@ def classes_of(docs: DataFrame) -> DataFrame:
 def sets_chosen(maybe, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.int64, np.ndarray]]:
     """(cls, set) of the rows (text, key) whose key passes a bit filter; empty sets are passed over."""
     for batch in batches:
-        on = may_hold(maybe.value, batch.column(1).to_numpy(zero_copy_only=False))
-        for run in text_runs([batch.filter(pa.array(on))], _TABLE):
-            for s in sets_of(run):
-                if len(s):
-                    yield digest(s), s
+        for at in range(0, batch.num_rows, 1024):  # a filter copies its texts
+            part = batch.slice(at, 1024)
+            on = may_hold(maybe.value, part.column(1).to_numpy(zero_copy_only=False))
+            for run in text_runs([part.filter(pa.array(on))], _TABLE):
+                for s in sets_of(run):
+                    if len(s):
+                        yield digest(s), s
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -290,9 +293,9 @@ def similar(docs: DataFrame, speakers: DataFrame, pairs: DataFrame) -> DataFrame
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
     maybe = bit_filter(wanted.join(speakers, "cls").select("key"))
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            on = may_hold(maybe.value, batch.column(1).to_numpy(zero_copy_only=False))
-            for run in text_runs([batch.filter(pa.array(on))], _TABLE):
+        for part in (batch.slice(at, 1024) for batch in batches for at in range(0, batch.num_rows, 1024)):
+            on = may_hold(maybe.value, part.column(1).to_numpy(zero_copy_only=False))
+            for run in text_runs([part.filter(pa.array(on))], _TABLE):
                 keys = pa.array([digest(s) for s in sets_of(run)], pa.int64())
                 yield pa.record_batch([keys, run.rows.column(0)], names=["cls", "text"])
 
@@ -429,9 +432,5 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Of several rows with one doc_id each is judged by its own text.  Rows without doc_id, and null or empty
     texts, stay; so do repeated rows of the document that stays.  An empty table gives no rows.
     """
-    gone = marked_components(docs).where("doc_id <> component_id").select("doc_id", "mark").distinct()
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"),
-    )
-    return rows.join(gone, ["doc_id", "mark"], "left_anti").select("row.*")
+    gone = marked_components(docs).where("doc_id <> component_id")
+    return drop_marked(docs, gone, F.xxhash64("row.text"))

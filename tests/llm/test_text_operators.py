@@ -248,6 +248,14 @@ def test_texts_are_hashed_once(spark, rows):
     assert "sha2(" not in plan and "text_sha256" in plan
 
 
+def test_rows_that_stay_are_not_moved(spark, rows):
+    """Only rows that a bit table can't clear meet the dropped ones; the texts of the others are not shuffled."""
+    plan = ngram_join.drop_near_duplicates(frame(spark, rows))._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union"
+    stay, meet = (plan.children().apply(k).toString() for k in (0, 1))
+    assert "LeftAnti" not in stay and "LeftAnti" in meet
+
+
 def test_bit_table_may_be_full(spark, rows, monkeypatch):
     want = sorted(map(str, exact_dedup.exact_duplicates(frame(spark, rows)).collect()))
     monkeypatch.setattr(exact_dedup, "MIN_BITS", 32768)
